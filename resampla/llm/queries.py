@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import packing, quality, toxicity
+from resampla.llm import boilerplate, packing, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,29 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    clean = boilerplate.drop_boilerplate(pages, boilerplate.host_of(F.col("url")), boilerplate.html_text(F.col("html")))
+    return clean.select("page_id", boilerplate.host_of(F.col("url")).alias("host"), F.col("_lines.n_lines").alias("n_lines"), F.col("_lines.n_dropped").alias("n_dropped"), F.md5("text").alias("kept_md5"))
+
+
+OP4_SQL = rf"""
+with p as (
+  select page_id, lower(regexp_extract(url, '{boilerplate.HOST}', 1)) as host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(html,
+      '{boilerplate.HIDDEN}', '', 'g'), '{boilerplate.BREAK}', chr(10), 'g'), '{boilerplate.TAG}', '', 'g'), chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') as ls
+  from pages),
+l as (select page_id, host, unnest(ls) as line, generate_subscripts(ls, 1) as i from p),
+f as (select host, line, count(distinct page_id) as n from l group by host, line),
+t as (select host, count(*) as total from p group by host),
+b as (select f.host, f.line from f join t using (host) where n >= 5 and n > 0.1::double * total),
+k as (select l.page_id, count(*) as kept, string_agg(l.line, chr(10) order by i) as txt
+  from l anti join b on l.host = b.host and l.line = b.line group by l.page_id)
+select p.page_id, p.host, len(p.ls)::bigint as n_lines, (len(p.ls) - coalesce(k.kept, 0))::bigint as n_dropped, md5(coalesce(k.txt, '')) as kept_md5
+from p left join k using (page_id)
+"""
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = quality.train_quality(docs, read(spark, sf_dir, "labels"))
@@ -41,5 +64,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing}
+ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
