@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, packing, quality, toxicity
+from resampla.llm import boilerplate, decontaminate, packing, quality, toxicity
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,10 @@ from p left join k using (page_id)
 """
 
 
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     net = quality.train_quality(docs, read(spark, sf_dir, "labels"))
@@ -64,5 +68,5 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing}
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing}
 ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
