@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, ngram_join, packing, quality, toxicity
+from resampla.llm import boilerplate, decontaminate, ngram_join, packing, quality, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,5 +72,9 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(read(spark, sf_dir, "documents"), 3, 90)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard}
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.cosine_components(read(spark, sf_dir, "embeddings"), 0.9)
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup}
 ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
