@@ -53,6 +53,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` less the rows whose id is among ``ids`` (one column); the ids are broadcast only up to ``broadcast_rows``."""
+    ids = materialize(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
+    small = ids.count() <= broadcast_rows
+    return docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_gone"), "left_anti")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -192,6 +192,20 @@ def score_quality(docs: DataFrame, net: ByteConv, id_col: str = "doc_id", text_c
     return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
 
+def keep_quality(docs: DataFrame, net: ByteConv, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose score is ``threshold`` or more; without a shuffle."""
+    names = docs.columns
+    at = names.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            data, offsets = text_buffers(b.column(at))
+            parts = [net.score(d, o) for _, _, d, o in slices(data, offsets, 1 << 20)]
+            yield b.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = 1000, steps: int = 700) -> ByteConv:
     """Learn from at most ``rows`` labelled texts of each class whose crc32(doc_id) mod 5 is not 0."""
     texts, y, prior = labelled_sample(docs, labels, "quality", 5, 0, {0: rows, 1: rows})
