@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, ngram_join, packing, quality, toxicity, vector_join
+from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(read(spark, sf_dir, "documents"))
+
+
 def op4_site_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read(spark, sf_dir, "pages")
     clean = boilerplate.drop_boilerplate(pages, boilerplate.host_of(F.col("url")), boilerplate.html_text(F.col("html")))
@@ -76,5 +80,5 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.cosine_components(read(spark, sf_dir, "embeddings"), 0.9)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup}
 ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
