@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, toxicity, vector_join
+from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, suffix_dedup, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,5 +80,10 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_join.cosine_components(read(spark, sf_dir, "embeddings"), 0.9)
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = suffix_dedup.substring_dedup(read(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
