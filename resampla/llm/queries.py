@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, suffix_dedup, toxicity, vector_join
+from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, suffix_dedup, surrogates, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+PII_KEY = "test key"  # a deployment sets its own secret
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_entities(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_entities", "text")
+
+
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_corpus(read(spark, sf_dir, "documents"))
 
@@ -85,5 +92,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup}
 ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
