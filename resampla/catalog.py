@@ -1,4 +1,572 @@
-"""Registered queries of the inference operators, and their SQL."""
+"""Registered queries of the inference operators, and their SQL.
 
-QUERIES: dict = {}
+All tests use hash-keyed draws, so SQL can repeat them number by number.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from resampla import api
+from resampla.functions import tails, text
+from resampla.operators import confounding, linear, logistic, report, resample
+from resampla.plans.frame import Moments, moments, outcome_kind, prepare
+from resampla.sources import tables
+
+X, Y, B, SEED = ["n_orders", "n_f", "balance"], "spend", 199, 42
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return register
+
+
+def r6(c, places: int = 6):
+    return F.bround(c, places) + F.lit(0.0)  # no negative zero
+
+
+def customers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Moments]:
+    frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
+    return frame, moments(frame, [*X, Y])
+
+
+def labelled(spark: SparkSession, sf_dir: str, features: list[str], target: str) -> tuple[DataFrame, Moments]:
+    frame = prepare(tables.labelled(spark, sf_dir), "id", features, target)
+    return frame, moments(frame, [*features, target])
+
+
+# ---------------------------------------------------------------- SQL parts
+
+
+def det(m: list[list[str]]) -> str:
+    if not m:
+        return "1.0"
+    if len(m) == 1:
+        return m[0][0]
+    parts = [f"{'-' if j % 2 else '+'}{m[0][j]}*({det([r[:j] + r[j + 1 :] for r in m[1:]])})" for j in range(len(m))]
+    return "(" + "".join(parts).lstrip("+") + ")"
+
+
+def cov(a: str, b: str) -> str:
+    return "m.c_" + "_".join(sorted((a, b)))
+
+
+def slopes(target: str, on: list[str]) -> list[str]:
+    g = [[cov(a, b) for b in on] for a in on]
+    return [f"({det([[cov(a, target) if j == i else g[k][j] for j in range(len(on))] for k, a in enumerate(on)])}/{det(g)})" for i in range(len(on))]
+
+
+def fit_sql(target: str, on: list[str]) -> str:
+    return f"(m.m_{target}" + "".join(f"+{b}*({c}-m.m_{c})" for b, c in zip(slopes(target, on), on)) + ")"
+
+
+def resid(target: str, on: list[str]) -> str:
+    return f"({target}-{fit_sql(target, on)})"
+
+
+def rss(target: str, on: list[str]) -> str:
+    return f"(m.n*({cov(target, target)}" + "".join(f"-{b}*{cov(c, target)}" for b, c in zip(slopes(target, on), on)) + "))"
+
+
+CUST = """cust as (select c_custkey as id, coalesce(o.n_orders, 0.0) as n_orders, coalesce(o.avg_price, 0.0) as avg_price, coalesce(o.n_f, 0.0) as n_f,
+  c_acctbal as acctbal, c_acctbal / 1000 as balance, coalesce(o.total, 0.0) / 1e6 as spend
+  from customer left join (select o_custkey, count(*)::double as n_orders, avg(o_totalprice) as avg_price,
+    sum(case when o_orderstatus = 'F' then 1.0::double else 0 end) as n_f, sum(o_totalprice) as total from orders group by o_custkey) o on o_custkey = c_custkey)"""
+LBL = """lbl as (select doc_id as id, n_chars / 1000.0::double as k_chars, length(regexp_replace(text, '[^0-9]', '', 'g'))::double as n_dig,
+  (lang = 'en')::int::double as is_en, quality::double as quality, toxic::double as toxic from labels join documents using (doc_id))"""
+
+
+def frame_sql(source: str, columns: list[str]) -> str:
+    pairs = ", ".join(f"covar_pop({a}, {b}) as c_{a}_{b}" for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i:])
+    return f"fr as (select row_number() over (order by id) as rid, * from {source}), m as (select count(*)::double as n, {', '.join(f'avg({c}) as m_{c}' for c in columns)}, {pairs} from fr)"
+
+
+BASE = f"with {CUST}, {frame_sql('cust', [*X, Y])}"
+REPS = f"reps as (select unnest(range(1, {B + 1})) as rep)"
+
+
+def move_sql(name: str, work: str, keep: str, count: int = B) -> str:
+    return f"select rep, w.rid, row_number() over (partition by rep order by md5(concat_ws(':', '{SEED}', '{name}', rep::varchar, w.rid::varchar)), w.rid) as pos, {keep} from {work} w, (select unnest(range(1, {count + 1})) as rep)"
+
+
+def stars_sql(p: str) -> str:
+    return f"round_even({p}, 3)::varchar || case when {p} < 0.01 then ' (**)' when {p} < 0.05 then ' (*)' else ' (ns)' end"
+
+
+# ---------------------------------------------------------------- sources, projections, outcomes
+
+
+@query("select l_orderkey, l_linenumber, case when l_returnflag = 'R' then 1.0::double else 0.0 end as y from lineitem")
+def recode_target(spark, sf_dir):
+    line = tables.table(spark, sf_dir, "lineitem")
+    return line.select("l_orderkey", "l_linenumber", tables.recode(F.col("l_returnflag"), "R").alias("y"))
+
+
+@query(f"with {CUST} select id, n_orders, round_even(avg_price, 7) as avg_price, n_f, acctbal, round_even(spend, 8) as spend from cust")
+def customer_features(spark, sf_dir):
+    c = tables.customers(spark, sf_dir)
+    return c.select("id", "n_orders", F.bround("avg_price", 7).alias("avg_price"), "n_f", "acctbal", F.bround("spend", 8).alias("spend"))
+
+
+@query(f"with {LBL} select id, k_chars, n_dig, is_en, quality, toxic from lbl")
+def labelled_features(spark, sf_dir):
+    return tables.labelled(spark, sf_dir)
+
+
+@query(f"with {CUST} select id, n_orders, acctbal from cust")
+def column_subset(spark, sf_dir):
+    return tables.customers(spark, sf_dir).select("id", "n_orders", "acctbal")
+
+
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust) select rid, n_f, balance, round_even(spend, 8) as spend, 1.0::double as intercept from fr")
+def reduced_design(spark, sf_dir):
+    rest = [c for c in X if c != "n_orders"]
+    frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
+    return frame.select("rid", *rest, F.bround(Y, 8).alias(Y), F.lit(1.0).alias("intercept"))
+
+
+KINDS = {"spend": "cust", "n_orders": "cust", "quality": "lbl", "toxic": "lbl", "k_chars": "lbl"}
+
+
+@query(f"with {CUST}, {LBL} " + " union all ".join(f"select '{c}' as outcome, count(distinct {c}) as n_distinct, count(distinct {c}) = 2 and bool_and({c} in (0, 1)) as is_binary, case when count(distinct {c}) = 2 and bool_and({c} in (0, 1)) then 'logistic' else 'linear' end as model_type from {t}" for c, t in KINDS.items()))
+def detect_outcome_type(spark, sf_dir):
+    frames = {"cust": tables.customers(spark, sf_dir), "lbl": tables.labelled(spark, sf_dir)}
+    out = None
+    for c, t in KINDS.items():
+        binary = (F.count_distinct(c) == 2) & F.bool_and(F.col(c).isin(0.0, 1.0))
+        one = frames[t].agg(F.lit(c).alias("outcome"), F.count_distinct(c).alias("n_distinct"), binary.alias("is_binary"), F.when(binary, "logistic").otherwise("linear").alias("model_type"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# ---------------------------------------------------------------- correlations
+
+
+PAIRS = [(a, b) for i, a in enumerate([*X, Y]) for b in [*X, Y][i + 1 :]]
+
+
+@query(f"with {CUST} " + " union all ".join(f"select '{a}' as a, '{b}' as b, round_even(covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0), 6) as r from cust" for a, b in PAIRS))
+def pearson_matrix(spark, sf_dir):
+    row = tables.customers(spark, sf_dir).agg(*[confounding.pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(PAIRS)])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), r6(F.col(f"r{i}")).alias("r")) for i, (a, b) in enumerate(PAIRS)])).alias("x")).select("x.*")
+
+
+@query(f"with {CUST}, r as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, count(*) as n, covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) as r from cust" for a, b in PAIRS) + ") select a, b, round_even(r * sqrt((n - 2) / (1 - r * r)), 4) as t from r")
+def pearson_t(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    rows = []
+    for a, b in PAIRS:
+        r = confounding.correlation(m, a, b)
+        rows.append((a, b, float(r * math.sqrt((m.n - 2) / (1 - r * r)))))
+    return spark.createDataFrame(rows, "a string, b string, t double").withColumn("t", r6("t", 4))
+
+
+@query()
+def pearson_p(spark, sf_dir):
+    """Two-sided p-values; SQL has no t distribution."""
+    _, m = customers(spark, sf_dir)
+    return spark.createDataFrame([(a, b, tails.pearson_p(confounding.correlation(m, a, b), m.n)) for a, b in PAIRS], "a string, b string, p double")
+
+
+# |t| at the 5 % level for v degrees of freedom, by the expansion around the normal quantile z
+T_CRIT = "(z.z + (pow(z.z, 3) + z.z) / (4 * (n - 2)) + (5 * pow(z.z, 5) + 16 * pow(z.z, 3) + 3 * z.z) / (96 * pow(n - 2, 2)))"
+
+
+def screen_sql(predictors: list[str]) -> str:
+    rows = " union all ".join(f"select '{p}' as predictor, '{c}' as feature, count(*) as n, corr({c}, {p}) as r, corr({c}, {Y}) as s from cust" for p in predictors for c in X if c != p)
+    return f"sc as ({rows}), z as (select 1.959963984540054 as z), sr as (select predictor, feature, r, s, abs(r) >= 0.1 and abs(s) >= 0.1 and abs(r) * sqrt((n - 2) / (1 - r * r)) > {T_CRIT} and abs(s) * sqrt((n - 2) / (1 - s * s)) > {T_CRIT} as is_candidate from sc, z)"
+
+
+@query(f"with {CUST}, {screen_sql(['n_orders'])} select predictor, feature, round_even(r, 6) as r_pred, round_even(s, 6) as r_out, is_candidate from sr")
+def screen_confounders(spark, sf_dir):
+    frame, _ = customers(spark, sf_dir)
+    return confounding.screen(frame, X, Y, ["n_orders"]).select("predictor", "feature", r6("r_pred").alias("r_pred"), r6("r_out").alias("r_out"), "is_candidate")
+
+
+# ---------------------------------------------------------------- least squares
+
+
+@query(f"with {CUST} " + " union all ".join(f"select '{c}' as feature, round_even(regr_slope({Y}, {c}), 6) as slope, round_even(regr_intercept({Y}, {c}), 6) as intercept from cust" for c in X))
+def ols_simple(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    fits = {c: m.fit(Y, [c]) for c in X}
+    return spark.createDataFrame([(c, float(b[0]), float(a)) for c, (a, b) in fits.items()], "feature string, slope double, intercept double").select("feature", r6("slope").alias("slope"), r6("intercept").alias("intercept"))
+
+
+@query(f"{BASE} " + " union all ".join(f"select '{c}' as feature, {i} as ordinal, round_even({b}, 6) as coef from m" for i, (c, b) in enumerate(zip(X, slopes(Y, X)))))
+def ols_multi(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    return spark.createDataFrame([(c["feature"], c["ordinal"], c["coef"]) for c in linear.coefficients(m, X, Y)], "feature string, ordinal int, coef double").withColumn("coef", r6("coef"))
+
+
+@query(f"""{BASE}, d as (select n, 3 as p, {rss(Y, X)} as rss, n * {cov(Y, Y)} as tss from m), l as (select *, -n / 2 * (ln(2 * pi() * rss / n) + 1) as llf from d)
+select n::bigint as n_observations, p as n_features, round_even(1 - rss / tss, 4) as r_squared, round_even(1 - rss / tss * (n - 1) / (n - p - 1), 4) as r_squared_adj,
+round_even((tss - rss) / p / (rss / (n - p - 1)), 4) as f_statistic, round_even(2 * (p + 1) - 2 * llf, 4) as aic, round_even((p + 1) * ln(n) - 2 * llf, 4) as bic from l""")
+def ols_diagnostics(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    d = linear.diagnostics(m, X, Y)
+    names = ["r_squared", "r_squared_adj", "f_statistic", "aic", "bic"]
+    frame = spark.createDataFrame([(d["n_observations"], d["n_features"], *[float(d[k]) for k in names])], "n_observations long, n_features int, " + ", ".join(f"{k} double" for k in names))
+    return frame.select("n_observations", "n_features", *[r6(k, 4).alias(k) for k in names])
+
+
+def se_sql(i: int) -> str:
+    g = [[cov(a, b) for b in X] for a in X]
+    minor = [[c for j, c in enumerate(r) if j != i] for k, r in enumerate(g) if k != i]
+    return f"sqrt({rss(Y, X)} / (m.n - {len(X) + 1}) * {det(minor)} / {det(g)} / m.n)"
+
+
+@query(f"{BASE} " + " union all ".join(f"select '{c}' as feature, round_even({se_sql(i)}, 6) as se, round_even({slopes(Y, X)[i]} / {se_sql(i)}, 4) as stat from m" for i, c in enumerate(X)))
+def classic_t_linear(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    return spark.createDataFrame([(c["feature"], c["se"], c["stat"]) for c in linear.coefficients(m, X, Y)], "feature string, se double, stat double").select("feature", r6("se").alias("se"), r6("stat", 4).alias("stat"))
+
+
+@query()
+def classic_pvalues_linear(spark, sf_dir):
+    """Classical p-values with marks, F and its p-value; SQL has neither tail."""
+    _, m = customers(spark, sf_dir)
+    f = linear.diagnostics(m, X, Y)["f_p_value"]
+    return spark.createDataFrame([(c["feature"], c["p_classic"], text.marked(c["p_classic"], 3, 0.05, 0.01), float(f)) for c in linear.coefficients(m, X, Y)], "feature string, p_classic double, p_classic_str string, f_p_value double")
+
+
+@query(f"{BASE} select rid, round_even({fit_sql(Y, ['n_f', 'balance'])}, 6) as fitted, round_even({resid(Y, ['n_f', 'balance'])}, 6) + 0.0 as residual from fr, m")
+def residuals_reduced(spark, sf_dir):
+    frame, m = customers(spark, sf_dir)
+    return linear.fitted(frame, m, Y, ["n_f", "balance"]).select("rid", r6("fitted").alias("fitted"), r6("residual").alias("residual"))
+
+
+@query(f"{BASE} select rid, round_even({fit_sql('n_orders', ['n_f'])}, 6) as fitted, round_even({resid('n_orders', ['n_f'])}, 6) + 0.0 as residual, round_even(n_orders - m.m_n_orders, 6) + 0.0 as centred from fr, m")
+def exposure_residuals(spark, sf_dir):
+    frame, m = customers(spark, sf_dir)
+    a, b = linear.fitted(frame, m, "n_orders", ["n_f"]), linear.fitted(frame, m, "n_orders", [])
+    return a.join(b.select("rid", F.col("residual").alias("centred")), "rid").select("rid", r6("fitted").alias("fitted"), r6("residual").alias("residual"), r6("centred").alias("centred"))
+
+
+@query(f"{BASE} select rid, round_even({resid('n_orders', ['balance'])}, 6) + 0.0 as r_n_orders, round_even({resid('n_f', ['balance'])}, 6) + 0.0 as r_n_f from fr, m")
+def exposure_residuals_multi(spark, sf_dir):
+    from resampla.plans.frame import residual
+
+    frame, m = customers(spark, sf_dir)
+    return frame.select("rid", *[r6(residual(m, c, ["balance"])).alias(f"r_{c}") for c in ("n_orders", "n_f")])
+
+
+@query(f"{BASE} select round_even({rss(Y, ['n_f'])}, 6) as rss_reduced, round_even({rss(Y, X)}, 6) as rss_full, round_even({rss(Y, ['n_f'])} - {rss(Y, X)}, 6) as improvement from m")
+def rss_metric(spark, sf_dir):
+    _, m = customers(spark, sf_dir)
+    a, b = m.rss(Y, ["n_f"]), m.rss(Y, X)
+    return spark.createDataFrame([(a, b, a - b)], "rss_reduced double, rss_full double, improvement double").select(*[r6(c).alias(c) for c in ("rss_reduced", "rss_full", "improvement")])
+
+
+# ---------------------------------------------------------------- resampling
+
+
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), p as ({move_sql('n_orders', 'fr', 'round_even(spend, 8) as spend', 5)}) select rep, rid, pos, spend from p")
+def permute_residuals(spark, sf_dir):
+    frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
+    return resample.permuted(frame, frame.count(), 5, SEED, "n_orders", [Y]).select("rep", "rid", "pos", F.bround(Y, 8).alias(Y))
+
+
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), p as ({move_sql('joint', 'fr', 'n_orders, n_f', 5)}) select rep, rid, pos, n_orders, n_f from p")
+def permute_rows_joint(spark, sf_dir):
+    frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
+    return resample.permuted(frame, frame.count(), 5, SEED, "joint", ["n_orders", "n_f"]).select("rep", "rid", "pos", "n_orders", "n_f")
+
+
+def draw_sql(text_: str) -> str:
+    return f"('0x' || substr(md5({text_}), 1, 15))::bigint"
+
+
+def boot_sql(count: int) -> str:
+    index = draw_sql(f"concat_ws(':', '{SEED}', 'boot', rep::varchar, s.rid::varchar)")
+    return f"bi as (select rep, s.rid as slot, {index} % (select count(*) from fr) + 1 as rid from fr s, (select unnest(range(1, {count + 1})) as rep))"
+
+
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {boot_sql(5)} select rep, slot, rid from bi")
+def bootstrap_indices(spark, sf_dir):
+    frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
+    return resample.bootstrap(frame, frame.count(), 5, SEED, [Y]).select("rep", "slot", "rid")
+
+
+@query(f"with {LBL}, fr as (select row_number() over (order by id) as rid, * from lbl) select rep, rid, ({draw_sql(f'''concat_ws(':', '{SEED}', 'k_chars:draw', rep::varchar, rid::varchar)''')}::double / pow(2, 60) < least(greatest(k_chars / 10, 0.001), 0.999))::int::double as y from fr, (select unnest(range(1, 4)) as rep)")
+def bernoulli_outcome(spark, sf_dir):
+    frame = prepare(tables.labelled(spark, sf_dir), "id", ["k_chars"], "quality")
+    rows = frame.crossJoin(F.broadcast(resample.replicates(spark, 3)))
+    return rows.select("rep", "rid", resample.bernoulli(F.col("k_chars") / 10, resample.key(SEED, "k_chars:draw", F.col("rep"), F.col("rid"))).alias("y"))
+
+
+# ---------------------------------------------------------------- permutation tests, linear
+
+
+def run_test(spark, sf_dir, method: str, confounders=(), features=None, target=Y, source=tables.customers, count: int = B) -> api.PermutationTest:
+    return api.PermutationTest(source(spark, sf_dir), "id", features or X, target, method, list(confounders), count, SEED, plan="rows")
+
+
+def coefficient_rows(test: api.PermutationTest) -> DataFrame:
+    t = test.coefficient_table()
+    return t.select("feature", "ordinal", r6("coef").alias("coef"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_exceed", "n_perm")], r6("p_emp").alias("p_emp"), "p_emp_str")
+
+
+def exceed_sql(c: str, i: int, masked: bool = False) -> str:
+    coef = f"(select {slopes(Y, X)[i]} from m)"
+    if masked:
+        return f"select '{c}' as feature, {i} as ordinal, round_even({coef}, 6) as coef, 0::bigint as n_exceed, 0::bigint as n_perm, null::double as p_emp, '{text.MASKED}' as p_emp_str"
+    inner = f"select count(*) filter (abs(stat) >= abs({coef}) * (1 - 1e-9)) as b, count(*) as k from s_{c}"
+    return f"select '{c}' as feature, {i} as ordinal, round_even({coef}, 6) as coef, b as n_exceed, k as n_perm, round_even((b + 1) / (k + 1), 6) as p_emp, {stars_sql('((b + 1) / (k + 1))')} as p_emp_str from ({inner})"
+
+
+def braak_sql() -> str:
+    ctes = []
+    for c in X:
+        rest = [x for x in X if x != c]
+        ctes.append(f"w_{c} as materialized (select rid, {resid(Y, rest)} as e, {resid(c, rest)} as x from fr, m), p_{c} as ({move_sql(c, f'w_{c}', 'w.e')}), s_{c} as (select rep, sum(w.x * p.e) / (select sum(x * x) from w_{c}) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
+    return ", ".join(ctes)
+
+
+@query(f"{BASE}, {braak_sql()} " + " union all ".join(exceed_sql(c, i) for i, c in enumerate(X)))
+def ter_braak_linear(spark, sf_dir):
+    return coefficient_rows(run_test(spark, sf_dir, "ter_braak"))
+
+
+def kennedy_sql(z: list[str]) -> str:
+    ctes = []
+    for c in X:
+        if c in z:
+            continue
+        a, b = [x for x in X if x != c]
+        ctes.append(
+            f"w_{c} as materialized (select rid, {resid(c, z)} as r, {resid(Y, [a, b])} as e, {resid(a, [])} as q0, {resid(b, [a])} as q1 from fr, m), p_{c} as ({move_sql(c, f'w_{c}', 'w.r')}), k_{c} as (select sum(r * r) as rr, sum(q0 * q0) as n0, sum(q1 * q1) as n1 from w_{c}), "
+            f"s_{c} as (select rep, sum(w.e * p.r) / ((select rr from k_{c}) - pow(sum(w.q0 * p.r), 2) / (select n0 from k_{c}) - pow(sum(w.q1 * p.r), 2) / (select n1 from k_{c})) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
+    return ", ".join(ctes)
+
+
+@query(f"{BASE}, {kennedy_sql([])} " + " union all ".join(exceed_sql(c, i) for i, c in enumerate(X)))
+def kennedy_linear(spark, sf_dir):
+    return coefficient_rows(run_test(spark, sf_dir, "kennedy"))
+
+
+@query(f"{BASE}, {kennedy_sql(['n_f'])} " + " union all ".join(exceed_sql(c, i, c == "n_f") for i, c in enumerate(X)))
+def kennedy_linear_confounders(spark, sf_dir):
+    return coefficient_rows(run_test(spark, sf_dir, "kennedy", ["n_f"]))
+
+
+def joint_sql() -> str:
+    t, z = ["n_orders", "n_f"], ["balance"]
+    work = f"w as materialized (select rid, {resid(Y, z)} as y, {resid(t[0], z)} as x0, {resid(t[1], z)} as x1, {resid('balance', [])} as q from fr, m), p as ({move_sql('joint', 'w', 'w.x0, w.x1')})"
+    gram = "g as (select sum(x0 * x0) as g00, sum(x0 * x1) as g01, sum(x1 * x1) as g11, sum(q * q) as qq from w)"
+    sums = "u as (select rep, sum(w.y * p.x0) as c0, sum(w.y * p.x1) as c1, sum(w.q * p.x0) as a0, sum(w.q * p.x1) as a1 from p join w on w.rid = p.pos group by rep)"
+    solve = "s as (select *, g00 - a0 * a0 / qq as s00, g01 - a0 * a1 / qq as s01, g11 - a1 * a1 / qq as s11 from u, g), i as (select (c0 * c0 * s11 - 2 * c0 * c1 * s01 + c1 * c1 * s00) / (s00 * s11 - s01 * s01) as v from s)"
+    obs = f"o as (select {rss(Y, z)} - {rss(Y, X)} as ob from m), b as (select count(*) filter (v >= ob - 1e-9 * greatest(1, abs(ob))) as b, count(*) as k from i, o)"
+    return f"{BASE}, {work}, {gram}, {sums}, {solve}, {obs} select round_even(ob, 6) as observed_improvement, b as n_exceed, k as n_perm, round_even((b + 1) / (k + 1), 6) as p_value, {stars_sql('((b + 1) / (k + 1))')} as p_value_str, 'RSS Reduction' as metric_type, 'linear' as model_type, 'n_orders, n_f' as features_tested, 'balance' as confounders from b, o"
+
+
+@query(joint_sql())
+def kennedy_joint_linear(spark, sf_dir):
+    t = run_test(spark, sf_dir, "kennedy_joint", ["balance"]).joint_table()
+    return t.select(r6("observed_improvement").alias("observed_improvement"), "n_exceed", "n_perm", r6("p_value").alias("p_value"), "p_value_str", "metric_type", "model_type", F.array_join("features_tested", ", ").alias("features_tested"), F.array_join("confounders", ", ").alias("confounders"))
+
+
+@query()
+def ter_braak_replicates(spark, sf_dir):
+    """The same test by the replicate-parallel plan, whose generator SQL doesn't have."""
+    return api.PermutationTest(tables.customers(spark, sf_dir), "id", X, Y, "ter_braak", None, 5000, SEED, plan="replicates").coefficient_table()
+
+
+PS = [0.0, 0.004, 0.01, 0.0100001, 0.049, 0.05, 0.2, 0.0005, 1.0]
+
+
+@query("select p, " + stars_sql("p") + " as marked from (select unnest([" + ", ".join(f"{p}::double" for p in PS) + "]) as p)")
+def significance_stars(spark, sf_dir):
+    return spark.createDataFrame([(p,) for p in PS], "p double").select("p", text.marked_column(F.col("p"), 3, 0.05, 0.01).alias("marked"))
+
+
+@query("select l_returnflag as grp, count(*) filter (abs(l_discount - 0.05) >= 0.03 * (1 - 1e-9)) as n_exceed, count(*) as n_perm, round_even((count(*) filter (abs(l_discount - 0.05) >= 0.03 * (1 - 1e-9)) + 1) / (count(*) + 1), 6) as p_emp from lineitem group by l_returnflag")
+def empirical_pvalues(spark, sf_dir):
+    line = tables.table(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("grp"))
+    t = line.agg(F.count_if(resample.exceeds(F.col("l_discount") - 0.05, F.lit(0.03))).alias("n_exceed"), F.count("*").alias("n_perm"))
+    return t.withColumn("p_emp", r6(resample.p_value(F.col("n_exceed"), F.col("n_perm"))))
+
+
+# ---------------------------------------------------------------- mediation and confounders
+
+
+def paths_sql(x: str, z: str, y: str) -> dict[str, str]:
+    c = lambda a, b: f"covar_samp({a}, {b})"
+    low = f"nullif({c(x, x)} * {c(z, z)} - pow({c(x, z)}, 2), 0)"
+    return {"total": f"{c(x, y)} / nullif({c(x, x)}, 0)", "a": f"{c(x, z)} / nullif({c(x, x)}, 0)", "b": f"({c(z, y)} * {c(x, x)} - {c(x, y)} * {c(x, z)}) / {low}", "direct": f"({c(x, y)} * {c(z, z)} - {c(z, y)} * {c(x, z)}) / {low}"}
+
+
+def mediation_sql(pairs: list[tuple[str, str]], name: str = "md") -> str:
+    parts = []
+    for x, z in pairs:
+        e = paths_sql(x, z, Y)
+        boot = f"select ({e['a']}) * ({e['b']}) as i from bi join fr using (rid) group by rep"
+        parts.append(f"select '{x}' as predictor, '{z}' as mediator, p.*, q.lo, q.hi from (select {', '.join(f'{v} as {k}' for k, v in e.items())} from fr) p, (select quantile_cont(i, 0.025) as lo, quantile_cont(i, 0.975) as hi from ({boot})) q")
+    fill = lambda t: "replace(replace('" + t.replace("'", "''") + "', '{m}', mediator), '{p}', predictor)"
+    say = f"case when (lo > 0 or hi < 0) and abs(direct) < abs(total) * 0.1 then {fill(text.FULL)} when lo > 0 or hi < 0 then {fill(text.PARTIAL)} else {fill(text.NEITHER)} end"
+    return f"{name} as (select *, a * b as indirect, coalesce(lo > 0 or hi < 0, false) as is_mediator, case when abs(total) > 1e-10 then a * b / total end as share, {say} as interpretation from ({' union all '.join(parts)}))"
+
+
+FR = f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {boot_sql(B)}"
+MED_SELECT = "select predictor, mediator, round_even(total, 4) as total_effect, round_even(direct, 4) as direct_effect, round_even(a, 4) as a_path, round_even(b, 4) as b_path, round_even(indirect, 4) as indirect_effect, round_even(lo, 4) as ci_lower, round_even(hi, 4) as ci_upper, is_mediator, round_even(share, 4) as proportion_mediated, interpretation from md"
+
+
+@query(f"{FR}, {mediation_sql([('n_f', 'n_orders'), ('n_orders', 'n_f')])} {MED_SELECT}")
+def mediation(spark, sf_dir):
+    frame, m = customers(spark, sf_dir)
+    t = confounding.mediate(frame, m.n, Y, [("n_f", "n_orders"), ("n_orders", "n_f")], B, 0.95, SEED)
+    return t.select(*[F.bround(c, 4).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
+
+
+@query(f"with {CUST}, e as (select {', '.join(f'{v} as {k}' for k, v in paths_sql('n_f', 'n_orders', Y).items())} from cust) select round_even(total, 6) as total_effect, round_even(direct, 6) as direct_effect, round_even(a, 6) as a_path, round_even(b, 6) as b_path, round_even(direct + a * b - total, 6) + 0.0 as gap from e")
+def mediation_point(spark, sf_dir):
+    e = confounding.paths("n_f", "n_orders", Y)
+    row = tables.customers(spark, sf_dir).agg(*[v.alias(k) for k, v in e.items()])
+    return row.select(r6("total").alias("total_effect"), r6("direct").alias("direct_effect"), r6("a").alias("a_path"), r6("b").alias("b_path"), r6(F.col("direct") + F.col("a") * F.col("b") - F.col("total")).alias("gap"))
+
+
+@query(f"{FR}, {mediation_sql([('n_f', 'n_orders')])} select round_even(lo, 4) as ci_lower, round_even(hi, 4) as ci_upper, is_mediator from md")
+def mediation_bootstrap_ci(spark, sf_dir):
+    frame, m = customers(spark, sf_dir)
+    return confounding.mediate(frame, m.n, Y, [("n_f", "n_orders")], B, 0.95, SEED).select(F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper"), "is_mediator")
+
+
+def identify_sql(predictors: list[str]) -> str:
+    pairs = [(p, c) for p in predictors for c in X if c != p]
+    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(X))
+    lists = "select sr.predictor, " + ", ".join(f"coalesce(string_agg(case when is_candidate and is_mediator = {flag} then feature end, ',' order by o.i), '') as {name}" for flag, name in (("false", "identified_confounders"), ("true", "identified_mediators")))
+    q = lambda t: "replace('" + t.replace("'", "''") + "', '{p}', predictor)"
+    advice = f"case when identified_confounders = '' then {q(text.NO_CONTROL)} else replace({q(text.CONTROL)}, '{{c}}', '''' || replace(identified_confounders, ',', ''', ''') || '''') end as recommendation"
+    return f"{FR}, {mediation_sql(pairs)}, {screen_sql(predictors)}, o(c, i) as (values {order}), li as ({lists} from sr join md on md.predictor = sr.predictor and md.mediator = sr.feature join o on o.c = sr.feature group by sr.predictor) select predictor, identified_confounders, identified_mediators, {advice} from li"
+
+
+def identified(spark, sf_dir, predictors: list[str]) -> DataFrame:
+    frame, m = customers(spark, sf_dir)
+    summary, _, _ = confounding.identify(frame, m.n, X, Y, predictors, count=B, seed=SEED)
+    return summary.select("predictor", *[F.array_join(c, ",").alias(c) for c in ("identified_confounders", "identified_mediators")], "recommendation")
+
+
+@query(identify_sql(["n_orders"]))
+def identify_confounders(spark, sf_dir):
+    return identified(spark, sf_dir, ["n_orders"])
+
+
+@query(identify_sql(X))
+def identify_all(spark, sf_dir):
+    return identified(spark, sf_dir, X)
+
+
+@query(f"with i as ({identify_sql(X)}) select predictor, identified_confounders from i where identified_confounders <> ''")
+def predictors_with_confounders(spark, sf_dir):
+    return identified(spark, sf_dir, X).where("identified_confounders <> ''").select("predictor", "identified_confounders")
+
+
+@query()
+def kennedy_with_found_confounders(spark, sf_dir):
+    """Sweep, first flagged predictor, Kennedy's test with its confounders; the report as rows."""
+    r = api.kennedy_with_found_confounders(tables.customers(spark, sf_dir), "id", X, Y, B, B, SEED)
+    lines = report.coefficient_report(r, X, Y).split("\n") if r else ["No confounders identified for any predictor."]
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+@query()
+def confounder_report(spark, sf_dir):
+    lines = report.confounder_report(api.identify_all(tables.customers(spark, sf_dir), "id", X, Y, n_bootstrap=B, random_state=SEED)).split("\n")
+    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+
+
+# ---------------------------------------------------------------- logistic
+
+
+def newton_sql(steps: int = 12) -> str:
+    out = ["b0 as (select 0.0::double as a, 0.0::double as b)"]
+    for i in range(steps):
+        out.append(
+            f"h{i} as (select any_value(a) as a, any_value(b) as b, sum(quality - p) as g0, sum((quality - p) * x) as g1, sum(p * (1 - p)) as h00, sum(p * (1 - p) * x) as h01, sum(p * (1 - p) * x * x) as h11 from (select a, b, k_chars as x, quality, 1 / (1 + exp(-(a + b * k_chars))) as p from fr, b{i})), "
+            f"b{i + 1} as materialized (select a + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01) as a, b + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) as b from h{i})")
+    return f"with {LBL}, fr as materialized (select * from lbl), " + ", ".join(out) + f", e as (select a, b, k_chars as x, quality as y, 1 / (1 + exp(-(a + b * k_chars))) as p from fr, b{steps})"
+
+
+@query(newton_sql() + " select round_even(any_value(a), 6) as intercept, round_even(any_value(b), 6) as coef, round_even(any_value(b) / sqrt(sum(p * (1 - p)) / (sum(p * (1 - p)) * sum(p * (1 - p) * x * x) - pow(sum(p * (1 - p) * x), 2))), 4) as stat from e")
+def logit_fit_1(spark, sf_dir):
+    frame, m = labelled(spark, sf_dir, ["k_chars"], "quality")
+    model = logistic.fit(frame, m, "quality", ["k_chars"])
+    c = logistic.coefficients(model, ["k_chars"])[0]
+    return spark.createDataFrame([(float(model["beta"][0]), c["coef"], c["stat"])], "intercept double, coef double, stat double").select(r6("intercept").alias("intercept"), r6("coef").alias("coef"), r6("stat", 4).alias("stat"))
+
+
+@query(newton_sql() + ", l as (select count(*) as n, avg(y) as q, sum(y * ln(p) + (1 - y) * ln(1 - p)) as ll from e), d as (select *, n * (q * ln(q) + (1 - q) * ln(1 - q)) as l0 from l) select n::bigint as n_observations, 1 as n_features, round_even(1 - ll / l0, 4) as pseudo_r_squared, round_even(ll, 4) as log_likelihood, round_even(l0, 4) as log_likelihood_null, round_even(4 - 2 * ll, 4) as aic, round_even(2 * ln(n) - 2 * ll, 4) as bic from d")
+def logit_diagnostics(spark, sf_dir):
+    frame, m = labelled(spark, sf_dir, ["k_chars"], "quality")
+    d = logistic.diagnostics(logistic.fit(frame, m, "quality", ["k_chars"]), m, ["k_chars"], "quality")
+    names = ["pseudo_r_squared", "log_likelihood", "log_likelihood_null", "aic", "bic"]
+    t = spark.createDataFrame([(d["n_observations"], d["n_features"], *[float(d[k]) for k in names])], "n_observations long, n_features int, " + ", ".join(f"{k} double" for k in names))
+    return t.select("n_observations", "n_features", *[r6(k, 4).alias(k) for k in names])
+
+
+@query(newton_sql() + " select round_even(-2 * sum(y * ln(p) + (1 - y) * ln(1 - p)), 4) as deviance, round_even(sum(y - p), 6) + 0.0 as score_0, round_even(sum((y - p) * x), 6) + 0.0 as score_1 from e")
+def deviance_metric(spark, sf_dir):
+    frame, m = labelled(spark, sf_dir, ["k_chars"], "quality")
+    p = logistic.probability(logistic.fit(frame, m, "quality", ["k_chars"])["beta"], ["k_chars"])
+    e = frame.withColumn("p", p)
+    dev = logistic.deviance(frame, "quality", p)
+    return e.agg(F.bround(F.lit(dev), 4).alias("deviance"), r6(F.sum(F.col("quality") - F.col("p"))).alias("score_0"), r6(F.sum((F.col("quality") - F.col("p")) * F.col("k_chars"))).alias("score_1"))
+
+
+@query()
+def classic_pvalues_logistic(spark, sf_dir):
+    """Wald and likelihood-ratio p-values; SQL has neither tail."""
+    frame, m = labelled(spark, sf_dir, ["k_chars", "n_dig"], "quality")
+    model = logistic.fit(frame, m, "quality", ["k_chars", "n_dig"])
+    p = logistic.diagnostics(model, m, ["k_chars", "n_dig"], "quality")["llr_p_value"]
+    return spark.createDataFrame([(c["feature"], c["coef"], c["stat"], c["p_classic"], p) for c in logistic.coefficients(model, ["k_chars", "n_dig"])], "feature string, coef double, stat double, p_classic double, llr_p_value double")
+
+
+def logistic_test(spark, sf_dir, method: str, confounders=()):
+    return api.PermutationTest(tables.labelled(spark, sf_dir), "id", ["k_chars", "n_dig"], "quality", method, list(confounders), B, SEED)
+
+
+@query()
+def ter_braak_logistic(spark, sf_dir):
+    return logistic_test(spark, sf_dir, "ter_braak").coefficient_table()
+
+
+@query()
+def kennedy_logistic(spark, sf_dir):
+    return logistic_test(spark, sf_dir, "kennedy", ["n_dig"]).coefficient_table()
+
+
+@query()
+def kennedy_joint_logistic(spark, sf_dir):
+    return logistic_test(spark, sf_dir, "kennedy_joint").joint_table()
+
+
+# ---------------------------------------------------------------- text
+
+
+@query("select p_partkey, case when length(n) <= 25 then n else substr(n, 1, 22) || '...' end as short from (select p_partkey, p_name || ' ' || p_type as n from part)")
+def truncate_name(spark, sf_dir):
+    return tables.table(spark, sf_dir, "part").select("p_partkey", text.shortened(F.concat_ws(" ", "p_name", "p_type"), 25).alias("short"))
+
+
+@query()
+def report_rows(spark, sf_dir):
+    """The coefficient and joint reports, line by line."""
+    source = tables.customers(spark, sf_dir)
+    a = report.coefficient_report(api.permutation_test_regression(source, "id", X, Y, B, random_state=SEED, plan="rows"), X, Y)
+    b = report.joint_report(api.permutation_test_regression(source, "id", X, Y, B, method="kennedy_joint", confounders=["balance"], random_state=SEED, plan="rows"), Y)
+    return spark.createDataFrame(list(enumerate((a + b).split("\n"))), "line int, text string")
+
+
+__all__ = ["ORACLE", "QUERIES", "outcome_kind"]
