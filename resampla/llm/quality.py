@@ -89,8 +89,9 @@ class ByteConv:
         return out
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        z = (self.features(data, offsets) - self.shift) / self.scale @ self.p["out"] + self.p["bias"]
-        return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -35, 35)))
+        x = (self.features(data, offsets).astype(np.float64) - self.shift) / self.scale
+        z = (x * self.p["out"]).sum(1) + self.p["bias"]
+        return np.round(1 / (1 + np.exp(-np.clip(z, -35, 35))), 6)  # beyond what single precision settles
 
     def fit(self, texts: list[bytes], labels: np.ndarray, steps: int, seed: int = 11) -> ByteConv:
         """Adam on batches of chunks drawn from anywhere in the sample's texts; then the last layer on whole texts."""

@@ -199,8 +199,8 @@ class BiGru:
     def score(self, data, offsets):
         f = self.features(data, offsets)
         f = np.where(np.isnan(f[:, :1]), self.floor if hasattr(self, "floor") else 0.0, f)
-        z = (f - self.mean) / self.std @ self.final + self.offset
-        return sigmoid(z.astype(np.float64))
+        z = ((f - self.mean) / self.std * self.final).sum(1) + self.offset
+        return np.round(sigmoid(z.astype(np.float64)), 6)  # beyond what single precision settles
 
     def fit(self, texts: list[bytes], labels, steps: int, bag: int = 24, seed: int = 5) -> BiGru:
         """Adam on the smooth maximum over runs of windows drawn from anywhere in a text; then the document layer on whole texts."""
