@@ -1,0 +1 @@
+"""Tail probabilities and text forms of results."""

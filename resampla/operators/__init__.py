@@ -1,0 +1 @@
+"""Statistical operators: resampling, linear and logistic tests, confounder search, reports."""

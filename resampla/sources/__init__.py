@@ -1,0 +1 @@
+"""Tables and the analysis frames derived from them."""

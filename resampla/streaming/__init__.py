@@ -1,0 +1 @@
+"""Streams: the library has no streaming operator; every test needs its whole sample."""
