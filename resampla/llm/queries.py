@@ -93,4 +93,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup}
-ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL}
+CLOSURE = "reach as (select {id} as id, {id} as r from {nodes} union select reach.id, l.b from reach join l on reach.r = l.a)"
+OP8_SQL = rf"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+g as (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from w where len(w) > 0),
+s as (select distinct doc_id, array_to_string(w[i:i + 2], ' ') as sh from g),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as i from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * i >= 90 * (x.n + y.n - i)),
+{CLOSURE.format(id="doc_id", nodes="documents")}
+select d.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(reach.r) as component_id
+from documents d left join n using (doc_id) join reach on reach.id = d.doc_id group by d.doc_id
+"""
+OP9_SQL = f"""
+with recursive v as (select vec_id, list_transform(embedding, lambda x: x::double) as e from embeddings),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) as size from v),
+l as (select a.vec_id as a, b.vec_id as b from u a join u b on a.vec_id <> b.vec_id and list_dot_product(a.e, b.e) / (a.size * b.size) >= 0.9),
+{CLOSURE.format(id="vec_id", nodes="embeddings")},
+d as (select a, count(*) as n from l group by a), c as (select id, min(r) as r from reach group by id)
+select vec_id, coalesce(d.n, 0)::bigint as n_links, c.r as component_id, vec_id = c.r as kept
+from embeddings join c on c.id = vec_id left join d on d.a = vec_id
+"""
+ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
