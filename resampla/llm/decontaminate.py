@@ -63,14 +63,18 @@ def running_sums(g: np.ndarray) -> np.ndarray:
 
 def fingerprints(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """SimHash of the shingles from each start to its end: a bit is set if more than half of them have it."""
-    out, step = np.empty(len(starts), np.uint64), 1 << 12
-    for lo in range(0, len(starts), step):
-        s, e = starts[lo : lo + step], ends[lo : lo + step]
-        if e[-1] - e[0] == len(e) - 1 == s[-1] - s[0] and e[0] - s[0] == e[-1] - s[-1]:  # a run of windows of one size
-            bits = sums[e[0] : e[-1] + 1] - sums[s[0] : s[-1] + 1] > np.uint16((e[0] - s[0]) // 2)
-        else:
-            bits = sums[e] - sums[s] > ((e - s) // 2).astype(np.uint16)[:, None]
-        out[lo : lo + step] = np.packbits(bits.ravel()).view(np.uint64)
+    bits = sums[ends] - sums[starts] > ((ends - starts) // 2).astype(sums.dtype)[:, None]
+    return np.packbits(bits.ravel()).view(np.uint64)
+
+
+def window_fingerprints(sums: np.ndarray, size: int) -> np.ndarray:
+    """SimHash of all runs of ``size`` shingles; ``sums`` may be modulo 256 for sizes below that."""
+    n = max(0, len(sums) - size)
+    out, step = np.empty(n, np.uint64), 1 << 12
+    for lo in range(0, n, step):
+        hi = min(lo + step, n)
+        bits = np.subtract(sums[lo + size : hi + size], sums[lo:hi]) > sums.dtype.type(size // 2)
+        out[lo:hi] = np.packbits(bits.ravel()).view(np.uint64)
     return out
 
 
@@ -97,27 +101,32 @@ class Index:
                 near[block][(value[:, None] ^ FLIPS[None]).ravel()] = True
             self.by_size[size] = (prints, near, items)
 
+    @staticmethod
+    def near_any(near, prints):
+        """Positions of the fingerprints with a block within three flips of an item's."""
+        block = prints.view(np.uint16).reshape(-1, 4)
+        return np.flatnonzero(near[0][block[:, 0]] | near[1][block[:, 1]] | near[2][block[:, 2]] | near[3][block[:, 3]])
+
     def search(self, data: np.ndarray, offsets: np.ndarray):
         """(document, item, similarity, first shingle) of each matching document and item, at its best window."""
         g, first = shingle_hashes(data, offsets)
         if not len(g):
             return []
         sums, count, best = running_sums(g), np.diff(first), {}
+        narrow = sums.astype(np.uint8)  # half the bytes to move, and exact for windows under 256 shingles
         doc = np.repeat(np.arange(len(count)), count)
         for size, (prints, near, items) in self.by_size.items():
             least = math.ceil(SIMILARITY * size)
-            begin = np.arange(max(0, len(g) - size + 1))
-            stop = begin + size
-            inside = doc[begin] == doc[stop - 1] if len(begin) else np.zeros(0, bool)
-            p = fingerprints(sums, begin, stop)
+            p = window_fingerprints(narrow if size < 256 else sums, size)
+            hit = self.near_any(near, p)
+            hit = hit[doc[hit] == doc[hit + size - 1]]
             small = np.flatnonzero((count >= least) & (count < size))
-            p = np.r_[p, fingerprints(sums, first[small], first[small + 1])]
-            begin, stop, inside = np.r_[begin, first[small]], np.r_[stop, first[small + 1]], np.r_[inside, np.ones(len(small), bool)]
-            block = p.view(np.uint16).reshape(-1, 4)
-            hit = near[0][block[:, 0]] | near[1][block[:, 1]] | near[2][block[:, 2]] | near[3][block[:, 3]]
-            hit = np.flatnonzero(hit & inside)
+            q = fingerprints(sums, first[small], first[small + 1])
+            also = self.near_any(near, q)
+            begin, stop = np.r_[hit, first[small[also]]], np.r_[hit + size, first[small[also] + 1]]
+            p = np.r_[p[hit], q[also]]
             for own, (item, kinds, times) in zip(prints, items):
-                for w in hit[np.bitwise_count(p[hit] ^ own) <= RADIUS]:
+                for w in np.flatnonzero(np.bitwise_count(p ^ own) <= RADIUS):
                     s, e = begin[w], stop[w]
                     have, often = np.unique(g[s:e], return_counts=True)
                     at = np.minimum(np.searchsorted(kinds, have), len(kinds) - 1)
