@@ -16,7 +16,7 @@ written, and expected false matches).  A node signs in its own band and the next
 differing bytes than the pair may have differing shingles exclude a link for certain.
 
 *Verification.*  Passing pairs are verified on the whole sets in integers.  The first round takes for
-each node and group the few most alike partners; components follow; the second round takes every
+each node and group the most alike partner; components follow; the second round takes every
 remaining pair between different components, so no link between components is lost, while groups
 that are already connected are not expanded into pairs.
 
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import LOWER, U64, connected_components, materialize, mix, partitions, shingles, slices, text_buffers, word_hashes
 
-BLOCK, FIRST = 2048, 4
+BLOCK, FIRST = 2048, 1
 
 
 def shingle_sets(data, offsets, k):
@@ -92,7 +92,7 @@ def allocation(i: int, num: int) -> tuple[int, int, int]:
         if best is None or cost < best[0]:
             best = (cost, n0, n1)
     fine = 8
-    while fine < 2 * most:
+    while fine < 4 * most:
         fine *= 2
     return best[1], best[2], fine
 
@@ -238,7 +238,7 @@ def node_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, id_col: str, t
 def passing_pairs(groups: DataFrame, nodes: DataFrame, num: int, first_round: bool) -> DataFrame:
     """(a, b) pairs of a group that the finer segments don't exclude; ``groups``: (group, node, label).
 
-    First round: the ``FIRST`` most alike partners of each node; else all pairs of different labels.
+    First round: the ``FIRST`` most alike partners of each node in the group; else all pairs of different labels.
     """
     sizes = groups.groupBy("group").agg(F.count("*").alias("_size"), F.min("label").alias("_l"), F.max("label").alias("_h"))
     sizes = sizes.where("_size > 1 and _l < _h").select("group", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
