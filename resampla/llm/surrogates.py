@@ -44,6 +44,15 @@ LATIN = ["ba", "den", "fer", "gol", "har", "ki", "lan", "mor", "nel", "per", "ro
 CYRILLIC = ["ба", "ден", "фер", "гол", "хар", "ки", "лан", "мор", "нел", "пер", "рос", "сан", "тор", "вел", "вен", "зан"]
 
 
+def may_hold(text: Column) -> Column:
+    """False only for texts in which no pattern can match: plain searches, far cheaper than the patterns."""
+    needed = ["@", *"0123456789", "AKIA", "ASIA", "=", ":", *(f"{x}{end}" for x in [*FEMALE, *MALE] for end in (" ", "."))]
+    out = text.contains(needed[0])
+    for x in needed[1:]:
+        out = out | text.contains(x)
+    return out
+
+
 def kind_of(hit: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
@@ -171,7 +180,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """``docs`` with entities in ``text_col`` replaced, and the count of replaced mentions as ``n_entities``."""
     hits = F.regexp_extract_all(F.col("_text"), F.lit(ANY), F.lit(0))
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    found = plain.select("_id", F.xxhash64("_text").alias("_hash"), hits.alias("_hits")).where(F.size("_hits") > 0)
+    found = plain.where(may_hold(F.col("_text"))).select("_id", F.xxhash64("_text").alias("_hash"), F.explode(F.array(hits)).alias("_hits")).where(F.size("_hits") > 0)
     # one row per entity of a mention, so that the text is searched once here and once below
     each = found.select("_id", "_hash", F.posexplode("_hits").alias("_pos", "_hit")).withColumn("_kind", kind_of(F.col("_hit")))
     each = each.select("_id", "_hash", "_pos", "_hit", F.col("_kind"), F.posexplode(atoms(F.col("_hit"), F.col("_kind"))).alias("_sub", "_atom"))
