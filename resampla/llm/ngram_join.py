@@ -10,7 +10,8 @@ same or in neighbouring bands.  Up to size ``hi``, linked sets differ in at most
 indexed as they are (they match if none of their shingles differs) and ``n1`` with all their
 one-deletion neighbours (they match if at most one differs).  ``n0 + 2 n1 > H`` guarantees that linked
 sets share a signature; among such allocations the one of least cost is taken (signatures
-written, and expected false matches).  A node signs in its own band and the next one.
+written, and expected false matches).  Where segments are small there are more of them than needed, and each set
+leaves out its smallest, which say least.  A node signs in its own band and the next one.
 
 *Filter.*  Nodes that share a signature are compared by one byte hashes of ``F`` finer segments: more
 differing bytes than the pair may have differing shingles exclude a link for certain.
@@ -94,7 +95,10 @@ def allocation(i: int, num: int) -> tuple[int, int, int]:
     fine = 8
     while fine < 4 * most:
         fine *= 2
-    return best[1], best[2], fine
+    n0, n1 = best[1:]
+    if not n1 and hi < 6 * n0:  # small segments: a quarter more of them, of which each set leaves out the smallest
+        n0 += -(-n0 // 4)
+    return n0, n1, fine
 
 
 def seed(b: int) -> np.uint64:
@@ -105,13 +109,14 @@ def seed(b: int) -> np.uint64:
 def signatures(g, d, first, num):
     """(signature, document) of all sets in their own and in the next band."""
     size = np.diff(first)
-    own = band_of(size, num)
+    place = band_of(size, num)
     sig, of = [], []
     for step in (0, 1):
-        for b in np.unique(own[size > 0]) + step:
+        for b in np.unique(place[size > 0]) + step:
             n0, n1, _ = allocation(int(b), num)
             m = n0 + n1
-            at = np.flatnonzero((own + step == b) & (size > 0))
+            hi = band(int(b), num)[1]
+            at = np.flatnonzero((place + step == b) & (size > 0))
             count = size[at]
             pos = np.repeat(first[:-1][at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
             x, row = g[pos], np.repeat(np.arange(len(at)), count)
@@ -124,9 +129,17 @@ def signatures(g, d, first, num):
             if len(cell):
                 begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
                 total[cell[begin]] = np.add.reduceat(value, begin)
+            keep = np.ones(len(at) * m, bool)
+            if not n1:
+                # linked sets have more than m - 1 - own equal segments, in the same order of size in both, so
+                # each may leave out its m - 1 - own smallest: the largest equal one is among neither's
+                own = (count + np.minimum(hi, count * 100 // num)) * (100 - num) // (100 + num)
+                filled = np.bincount(cell, minlength=len(at) * m).reshape(len(at), m)
+                rank = np.argsort(np.argsort(filled * m + np.arange(m), axis=1), axis=1)
+                keep = (rank >= (m - 1 - own)[:, None]).ravel()
             tag = (U64(int(b)) << U64(20)) + (np.arange(len(at) * m) % m).astype(np.uint64)
-            sig.append(mix(total + mix(tag)))
-            of.append(np.repeat(at, m))
+            sig.append(mix(total + mix(tag))[keep])
+            of.append(np.repeat(at, m)[keep])
             gone = (cell % m) >= n0  # every shingle of these segments left out once
             sig.append(mix(total[cell[gone]] - value[gone] + mix(tag[cell[gone]])))
             of.append(at[cell[gone] // m])
