@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from resampla.llm.common import materialize, partitions
 
 CAPACITY = 2048
-MEMO = 400_000  # spellings that a worker remembers; only speed depends on it
+MEMO = 700_000  # spellings that a worker remembers; only speed depends on it
 _HARD = re.compile(r"\s \s")
 _state: dict = {}
 
@@ -74,16 +74,18 @@ class Encoder:
 
     def learn(self, missing: list[str]) -> dict[str, bytes]:
         """Ids of the spellings, each after one space."""
-        plain = [x for x in missing if x and x.split() == [x]]
-        odd = list(set(missing) - set(plain))
-        new = dict(zip(odd, self.raw([" " + x for x in odd])))
-        ids = np.array(self.ranked.encode_ordinary(" " + " ".join(plain)) if plain else [], "<u4")
-        begin = np.r_[0, np.cumsum(self.size[ids])]
-        stop = np.searchsorted(begin, np.cumsum([1 + len(x.encode()) for x in plain]))
-        data, last = ids.tobytes(), 0
-        for x, e in zip(plain, stop.tolist()):
-            new[x] = data[4 * last : 4 * e]
-            last = e
+        plain = [x for x in missing if x and "\n" not in x]
+        if len(" ".join(plain).split()) != len(plain):  # other white space inside
+            plain = [x for x in plain if x.split() == [x]]
+        ids = lambda x: np.array(self.ranked.encode_ordinary(x), "<u4")
+        new = {x: ids(" " + x).tobytes() for x in set(missing).difference(plain)}
+        joined = " " + " ".join(plain) if plain else ""
+        found = ids(joined)
+        # each spelling begins at a space, the only ones there are, and so does its first token
+        starts = np.flatnonzero(np.frombuffer(joined.encode(), np.uint8) == 32)
+        cut = np.searchsorted(np.r_[0, np.cumsum(self.size[found])], np.r_[starts, len(joined.encode())]) * 4
+        data, cut = found.tobytes(), cut.tolist()
+        new.update(zip(plain, [data[i:j] for i, j in zip(cut, cut[1:])]))
         return new
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -193,7 +195,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     runs = best_fit(counts, capacity)
     table = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in runs], pa.int64()) for i, n in enumerate(("length", "_lo", "_n", "_bin", "_off"))}))
     rank = F.row_number().over(Window.partitionBy("length", "_salt").orderBy(id_col, "piece")) - 1
-    ranked = pieces.withColumn("_local", rank).join(F.broadcast(bases), ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_local"))
+    ranked = pieces.withColumn("_local", rank).join(bases, ["length", "_salt"]).withColumn("_rank", F.col("_base") + F.col("_local"))
     hit = (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_lo") + F.col("_n"))
     placed = ranked.join(F.broadcast(table.withColumnRenamed("length", "_length")), (F.col("length") == F.col("_length")) & hit)
     return placed.withColumn("sequence_id", F.col("_bin") + F.col("_rank") - F.col("_lo")).withColumn("offset", F.col("_off")).drop("_salt", "_local", "_base", "_rank", "_lo", "_n", "_bin", "_off", "_length")
