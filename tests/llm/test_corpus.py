@@ -311,6 +311,27 @@ def test_flips_cover_the_radius():
     assert len(set(decontaminate.FLIPS.tolist())) == 1 + 16 + 120 + 560 and decontaminate.RADIUS // 4 == 3
 
 
+def test_passages_just_similar_enough_are_all_found():
+    """Items with words changed near their ends, as many as 0.8 allows: no fingerprint radius may lose any."""
+    r = np.random.default_rng(21)
+    grams = lambda w: {*zip(*(w[j:] for j in range(5)))}
+    items, docs = {}, {}
+    for k in range(1500):
+        size = int(r.integers(12, 56))
+        w = ["w%d" % x for x in r.integers(0, 10**9, size + 4)]
+        items[k], have = " ".join(w), list(w)
+        for at in [0, len(w) - 1, 1, len(w) - 2, 2, len(w) - 3, 3, len(w) - 4]:
+            new = [*have[:at], "e%d" % r.integers(0, 10**9), *have[at + 1 :]]
+            if 9 * len(grams(new) & grams(w)) >= 8 * size:
+                have = new
+        docs[k] = " ".join(have)
+    index = decontaminate.Index(list(items), list(items.values()))
+    raw = [t.encode() for t in docs.values()]
+    got = index.search(np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])])
+    assert {(d, i) for d, i, _, _ in got} == {(k, k) for k in items}
+    assert min(like for _, _, like, _ in got) >= 0.8 and np.mean([like < 0.9 for _, _, like, _ in got]) > 0.9
+
+
 # ---------------------------------------------------------------- packing (7)
 
 
