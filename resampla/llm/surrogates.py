@@ -11,7 +11,10 @@ the surname in common.  One domain name maps to one domain name.
 
 *Collision checks.*  All distinct entities are gathered; replacements that equal another's, or a real entity of
 the type, are drawn anew until none is left, so distinct entities stay distinct and no real one is
-named.  A type whose format has too few values for that raises an error.
+named.  A name drawn anew grows by a syllable with each round of draws.  Mailboxes and secrets keep their length for
+``SAME`` rounds and grow by a character with each after, so a full format becomes a wider one.  Numbers keep their
+format: phone and social security numbers that the draws leave unsettled get the format's free values, in the order of
+keyed hashes.  Only a format with fewer free values than that raises an error.
 
 Texts without entities are never shuffled.  The other documents' replacements are broadcast only while
 they are few (``broadcast_rows``), else joined by id.  Null and empty texts stay as they are, with no entities.
@@ -20,7 +23,7 @@ Repeated rows, also ones that share an id, are each replaced by their own text.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from resampla.llm.common import materialize
@@ -40,6 +43,7 @@ PATTERNS = {
     "name": r"(?<!\p{L})(?:" + "|".join([*FEMALE, *MALE]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+SAME = 8  # rounds of draws of a mailbox or secret before it grows
 LATIN = ["ba", "den", "fer", "gol", "har", "ki", "lan", "mor", "nel", "per", "ros", "san", "tor", "vel", "wen", "zan"]
 CYRILLIC = ["ба", "ден", "фер", "гол", "хар", "ки", "лан", "мор", "нел", "пер", "рос", "сан", "тор", "вел", "вен", "зан"]
 
@@ -110,7 +114,8 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """Replacement of a normal form."""
     seed = seed_of(key, kind, value, attempt)
     local, domain = F.regexp_extract(value, r"\A([^@]*)@", 1), F.regexp_extract(value, r"@(.*)\.[^.]*\z", 1)
-    email = F.concat(shaped(local, seed), F.lit("@"), shaped(domain, seed_of(key, F.lit("domain"), domain, F.lit(0))), F.regexp_extract(value, r"(\.[^.]*)\z", 1))
+    more = F.substring(seed, F.lit(1), F.greatest(attempt - SAME, F.lit(0)))
+    email = F.concat(shaped(local, seed), more, F.lit("@"), shaped(domain, seed_of(key, F.lit("domain"), domain, F.lit(0))), F.regexp_extract(value, r"(\.[^.]*)\z", 1))
     ip = F.concat_ws(".", (number_at(seed, F.lit(0), 223) + 1).cast("string"), *[number_at(seed, F.lit(i), 256).cast("string") for i in (1, 2, 3)])
     drawn = shaped(value, seed)
     phone = F.when((F.length(value) == 11) & value.startswith("1"), F.concat(F.lit("1"), (number_at(seed, F.lit(40), 8) + 2).cast("string"), F.substr(drawn, F.lit(3)))).otherwise(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(drawn, F.lit(2))))
@@ -119,14 +124,16 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     card = F.concat(body, F.when(luhn(value) == 0, check).otherwise(F.substr(drawn, F.length(value), F.lit(1))))
     hexadecimal = F.when(value.rlike(r"\A[0-9a-f]{8,128}\z"), F.substring(seed, F.lit(1), F.length(value)))
     secret = hexadecimal.when(value.rlike(r"\A[0-9A-F]{8,128}\z"), F.upper(F.substring(seed, F.lit(1), F.length(value)))).otherwise(drawn)
+    secret = F.concat(secret, F.when(value.rlike(r"\A[0-9A-F]{8,128}\z"), F.upper(more)).otherwise(more))
     access = F.concat(F.substr(value, F.lit(1), F.lit(4)), shaped(F.substr(value, F.lit(5)), seed))
     names = {}
     for script, parts, female, male in (("latin", LATIN, ["a", "ia", "ina"], ["o", "us", "ek"]), ("cyrillic", CYRILLIC, ["а", "ия", "ина"], ["ий", "ек", "ан"])):
-        part = lambda i, p=parts: F.element_at(F.array(*map(F.lit, p)), number_at(seed, F.lit(i), len(p)) + 1)
+        part = lambda i, p=parts: F.element_at(F.array(*map(F.lit, p)), number_at(seed, i if isinstance(i, Column) else F.lit(i), len(p)) + 1)
         end = lambda e, i: F.element_at(F.array(*map(F.lit, e)), number_at(seed, F.lit(i), len(e)) + 1)
-        names[f"given_f_{script}"] = F.concat(part(0), part(1), part(2), end(female, 3))
-        names[f"given_m_{script}"] = F.concat(part(0), part(1), part(2), end(male, 3))
-        names[f"surname_{script}"] = F.concat(part(0), part(1), part(2), part(3), part(4))
+        grown = F.array_join(F.transform(F.sequence(F.lit(5), attempt + 5), lambda i: F.when(i > 5, part(i)).otherwise("")), "")  # noqa: B023
+        names[f"given_f_{script}"] = F.concat(part(0), part(1), part(2), grown, end(female, 3))
+        names[f"given_m_{script}"] = F.concat(part(0), part(1), part(2), grown, end(male, 3))
+        names[f"surname_{script}"] = F.concat(part(0), part(1), part(2), part(3), part(4), grown)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", access).when(kind == "secret", secret)
     for k, v in names.items():
         out = out.when(kind == k, v)
@@ -164,16 +171,50 @@ def surrogate_table(entities: DataFrame, key: str, rounds: int = 30) -> DataFram
     """(kind, norm, new) of all distinct entities; no two share a replacement and none is a real entity."""
     now = materialize(entities.select("kind", "norm", F.lit(0).alias("attempt"), surrogate(key, F.col("kind"), F.col("norm"), F.lit(0)).alias("new")), "surrogates")
     real = now.select("kind", F.col("norm").alias("new"), F.lit(True).alias("_real"))
-    for _ in range(rounds):
+    for drawn_before in range(rounds + 1):
         best = now.groupBy("kind", "new").agg(F.min(F.struct(F.col("attempt") * -1, "norm")).alias("_b"), F.count("*").alias("_n"))  # who drew longest keeps it
         seen = best.join(real, ["kind", "new"], "left").where("_n > 1 or _real")
         bad = materialize(now.join(seen, ["kind", "new"]).where("_real or norm <> _b.norm").select("kind", "norm"), "collisions")
         if not bad.limit(1).count():
             return now
-        again = now.join(bad.withColumn("_bad", F.lit(True)), ["kind", "norm"], "left").withColumn("attempt", F.col("attempt") + F.when(F.col("_bad"), 1).otherwise(0))
+        if drawn_before == rounds:
+            return free_values(now, bad, key)
+        again = now.join(bad.withColumn("_bad", F.lit(True)), ["kind", "norm"], "left").withColumn("attempt", F.when(F.col("_bad"), drawn_before + 1).otherwise(F.col("attempt")))
         drawn = F.when(F.col("_bad"), surrogate(key, F.col("kind"), F.col("norm"), F.col("attempt"))).otherwise(F.col("new"))
         now = materialize(again.select("kind", "norm", "attempt", drawn.alias("new")), "surrogates")
-    raise ValueError("a format has too few values to keep its entities distinct")
+
+
+def free_values(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
+    """``now`` with the unsettled numbers given free values of their format, in the order of keyed hashes.
+
+    A format (kind, length, fixed first digits) is listed in full, which only formats near full come to.
+    """
+    head = F.when(F.col("kind") == "ssn", "").when((F.length("norm") == 11) & F.col("norm").startswith("1"), "1").otherwise(F.substring("norm", 1, 1))
+    left = materialize(bad.select("kind", "norm", head.alias("_head"), F.length("norm").alias("_size")), "unsettled")
+    sizes = left.groupBy("kind", "_head", "_size").count().collect()
+    error = ValueError("a format has too few values to keep its entities distinct")
+    if any(r["kind"] not in ("ssn", "phone") for r in sizes):
+        raise error
+    settled = now.join(left, ["kind", "norm"], "left_anti")
+    parts = [settled.select("kind", "norm", "attempt", "new")]
+    order = lambda c: F.sha2(F.concat_ws("|", F.lit(key), F.lit("rank"), c), 256)
+    for kind, first, size, count in sizes:
+        width = size - len(first)
+        values = now.sparkSession.range(10**width).select(F.concat(F.lit(first), F.lpad(F.col("id").cast("string"), width, "0")).alias("new"))
+        if kind == "phone" and first == "1" and size == 11:
+            values = values.where(F.substring("new", 2, 1) >= "2")
+        used = now.where(F.col("kind") == kind).select(F.col("norm").alias("new")).unionByName(settled.where(F.col("kind") == kind).select("new"))
+        free = values.join(used, "new", "left_anti").orderBy(order(F.col("new"))).limit(count)
+        free = materialize(free.select("new", F.row_number().over(Window.orderBy(order(F.col("new")))).alias("_rank")), "free")
+        if free.count() < count:
+            raise error
+        mine = left.where((F.col("kind") == kind) & (F.col("_head") == first) & (F.col("_size") == size))
+        mine = mine.select("kind", "norm", F.row_number().over(Window.orderBy(order(F.col("norm")))).alias("_rank"))
+        parts.append(mine.join(free, "_rank").select("kind", "norm", F.lit(-1).alias("attempt"), "new"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return materialize(out, "surrogates")
 
 
 def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:

@@ -200,6 +200,22 @@ def test_surrogate_collisions_are_drawn_anew(spark):
         surrogates.surrogate_table(table(spark, [("ssn", f"{i:02d}") for i in range(60)], "kind string, norm string"), "k", rounds=4)
 
 
+def test_full_formats_still_get_distinct_surrogates(spark):
+    """More given names than three syllables can tell apart, all mailboxes of one letter, and half of a format's numbers."""
+    rows = [("given_f_latin", f"name{i}") for i in range(14_000)] + [("email", f"{c}@mail.example.com") for c in "abcdefghijklmnopqrstuvwxyz"]
+    rows += [("ssn", f"{i:03d}") for i in range(500)] + [("phone", f"5{i:02d}") for i in range(0, 100, 2)] + [("secret", f"{i}") for i in range(10)]
+    got = {(r["kind"], r["norm"]): r["new"] for r in surrogates.surrogate_table(table(spark, rows, "kind string, norm string"), "k").collect()}
+    assert set(got) == set(rows) and len({(k, new) for (k, _), new in got.items()}) == len(rows)
+    assert not {(k, new) for (k, _), new in got.items()} & set(rows)
+    for (kind, norm), new in got.items():
+        if kind in ("ssn", "phone"):
+            assert new.isdigit() and len(new) == len(norm) and (kind == "ssn" or new[0] == "5")
+        elif kind == "email":
+            assert re.fullmatch(r"[a-z0-9]+@[a-z]{4}\.[a-z]{7}\.com", new)
+        elif kind == "given_f_latin":
+            assert re.fullmatch("[a-z]{6,}a", new)
+
+
 # ---------------------------------------------------------------- language model (3)
 
 
