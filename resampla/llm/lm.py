@@ -1,7 +1,7 @@
 """Hierarchical Pitman-Yor language model over the whole corpus, and its scores of every text.
 
-Each context - the class of the preceding token: one of 255 by its last two bytes, or the start of a
-text - is a restaurant whose customers are the tokens that follow; all restaurants share one parent,
+Each context - the preceding token itself, or the start of a text -
+is a restaurant whose customers are the tokens that follow; all restaurants share one parent,
 the restaurant of the whole corpus, whose parent is uniform over the V known tokens and one unknown.
 Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and re-enter one by
 one, each taking a new table with the probability of the Chinese-restaurant process; tables send
@@ -9,13 +9,13 @@ customers to the parent.  (Beyond 64 customers of one dish they re-enter in bloc
 seated.)  Discounts come from the counts of counts.  The predictive probabilities of the sweeps after
 burn-in are averaged; a text's score is the sum of their log10.
 
-*Distribution.*  Tokens are 56-bit hashes; the key space (hash, context) is cut into ranges, one per
-partition, so all contexts of a word lie together.  A block of documents sends each range its distinct
-keys with training counts, summed before the shuffle, so a frequent word costs one entry per block.
-Ranges sample independently; restaurant totals, a few numbers each, are gathered between sweeps, and a
-later sweep replays the earlier ones from seeds and totals.  Ranges answer each block's keys, and the
-block sums them by document.  No task holds a vocabulary or a document's tokens twice, and nothing but
-totals reaches the driver.
+*Distribution.*  Tokens are 56-bit hashes; the space of words is cut into ranges, one per partition, so all
+contexts of a word lie together.  A block of documents sends each range its distinct (word, context) pairs with
+training counts, summed before the shuffle, so a frequent word costs one entry per block and context.
+Ranges sample independently; a restaurant's totals are summed between sweeps by ranges of contexts, which each
+range of words asks for the contexts it meets, and a later sweep replays the earlier ones from seeds and totals.
+Ranges answer each block's pairs, and the block sums them by document.  No task holds a vocabulary or a
+document's tokens twice, and nothing but a few sums reaches the driver.
 
 Null and empty texts have the end token alone.  Repeated rows are scored, and counted, each.  A null
 id counts as training.  Extra columns are ignored; an empty table gives no rows.
@@ -32,53 +32,73 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import LOWER, U64, materialize, mix, partitions, prefix_hash, slices, span_hash, text_buffers, words
 
-CONTEXTS, START, BLOCK_BYTES, SWEEPS, BURN, THETA = 256, 255, 16 << 20, 3, 1, 1.0
+BLOCK_BYTES, SWEEPS, BURN, THETA = 16 << 20, 3, 1, 1.0
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
+START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFF
 ROW = "uid string, bucket int, a binary, b binary, c binary"
+STATE = "bucket int, part int, a binary, b binary, c binary"
 
 
 def token_keys(data, offsets):
-    """(key, document) of all tokens; key: 56 bits of the token's hash and 8 of its context."""
+    """(word, context, document) of all tokens: 56-bit hashes of the token and of the one before it."""
     low = LOWER[data]
     starts, ends, docs = words(low, offsets)
     n = len(offsets) - 1
     h = span_hash(prefix_hash(low), starts, ends) & U64(0xFFFFFFFFFFFFFF00) if len(starts) else np.zeros(0, np.uint64)
-    tail = low[ends - 1].astype(np.uint64) * U64(256) + np.where(ends - starts > 1, low[np.maximum(ends - 2, 0)], 0).astype(np.uint64) if len(starts) else h
-    kind = (mix(tail) % U64(START)).astype(np.uint8)
     count = np.bincount(docs, minlength=n)
     total = len(h) + n
     at = np.arange(len(h)) + docs  # one end token after each document's words
     last = np.cumsum(count + 1) - 1
-    token, prev, doc = np.full(total, U64(END)), np.full(total, START, np.uint8), np.repeat(np.arange(n), count + 1)
+    token, prev, doc = np.full(total, U64(END)), np.full(total, U64(START)), np.repeat(np.arange(n), count + 1)
     token[at] = h
-    prev[at + 1] = kind
+    prev[at + 1] = h
     prev[np.r_[0, last[:-1] + 1]] = START  # a text's first token; also the end token of an empty text
-    return token | prev.astype(np.uint64), doc
+    return token, prev, doc
+
+
+def changes(*columns):
+    """Positions where a run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+
+
+def packed(word, context):
+    """Sorted pairs in bytes: the number of words, each word and its number of pairs, and the contexts."""
+    first = changes(word)
+    return np.uint64(len(first)).tobytes() + word[first].tobytes() + np.diff(np.r_[first, len(word)]).astype("<u4").tobytes() + context.tobytes()
+
+
+def unpacked(raw, kind=np.uint64):
+    n = int(np.frombuffer(raw, np.uint64, 1)[0])
+    word, arity = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
+    return np.repeat(word, arity), np.frombuffer(raw, kind, int(arity.sum()), 8 + 12 * n)
 
 
 def bucket_bounds(parts: int) -> np.ndarray:
-    """Least key of each range."""
+    """Least hash of each range."""
     return np.array([(i << 64) // parts & ~0xFF for i in range(parts)], np.uint64)
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
-    """Per block of documents: a row per range (a: distinct keys, b: training counts), and under bucket -1 the postings."""
+    """Per block of documents: a row per range (a: distinct pairs, b: training counts), and under bucket -1 the postings."""
     parts = partitions(docs.sparkSession)
 
     def run(batches):
         def emit(held):
-            keys, doc = (np.concatenate(x) for x in zip(*[(k, d) for k, d, _, _ in held]))
-            ids, out = np.concatenate([i for _, _, i, _ in held]), np.concatenate([o for _, _, _, o in held])
-            order = np.argsort(keys, kind="stable")
-            keys, doc = keys[order], doc[order]
-            begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            kinds, size = keys[begin], np.diff(np.r_[begin, len(keys)])
+            word, context, doc = (np.concatenate(x) for x in zip(*[h[:3] for h in held]))
+            ids, out = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+            order = np.lexsort((context, word))
+            word, context, doc = word[order], context[order], doc[order]
+            begin = changes(word, context)
+            size = np.diff(np.r_[begin, len(word)])
+            word, context = word[begin], context[begin]
             train = np.add.reduceat((~out[doc]).astype(np.int64), begin).astype("<u4")
-            cut = np.r_[np.searchsorted(kinds, bucket_bounds(parts)), len(kinds)]
+            cut = np.r_[np.searchsorted(word, bucket_bounds(parts)), len(word)]
             uid = uuid.uuid4().hex
             wide = "<u2" if len(ids) < 1 << 16 else "<u4"
             rows = [(uid, -1, ids.astype("<i8").tobytes(), out.tobytes() + size.astype("<u4").tobytes(), doc.astype(wide).tobytes())]
-            rows += [(uid, i, kinds[s:e].tobytes(), train[s:e].tobytes(), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
+            rows += [(uid, i, packed(word[s:e], context[s:e]), train[s:e].tobytes(), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["uid", "bucket", "a", "b", "c"])
 
         held, seen, size = [], 0, 0
@@ -86,8 +106,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
             data, offsets = text_buffers(b.column(2))
             ids, out = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, d, o in slices(data, offsets):
-                keys, doc = token_keys(d, o)
-                held.append((keys, doc + seen, ids[lo:hi], out[lo:hi]))
+                word, context, doc = token_keys(d, o)
+                held.append((word, context, doc + seen, ids[lo:hi], out[lo:hi]))
                 seen, size = seen + hi - lo, size + len(d)
                 if size >= BLOCK_BYTES or seen >= 60_000:
                     yield emit(held)
@@ -100,18 +120,25 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
 
 
 def merged(batches):
-    """(bucket, keys, training counts) of each range met in a partition, keys without training left out."""
+    """State of each range met in a partition.
+
+    a: pairs with training (contexts by their number), b: their counts, c: all contexts asked for, in order.
+    """
     held: dict[int, list] = {}
-    for b in batches:
-        for bucket, a, n in zip(*(b.column(i) for i in (0, 1, 2))):
-            keys, n = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(n.as_py(), "<u4")
-            held.setdefault(bucket.as_py(), []).append((keys[n > 0], n[n > 0].astype(np.int64)))
+    for batch in batches:
+        for bucket, a, n in zip(*(batch.column(i) for i in (0, 1, 2))):
+            word, context = unpacked(a.as_py())
+            n = np.frombuffer(n.as_py(), "<u4")
+            held.setdefault(bucket.as_py(), []).append((word[n > 0], context[n > 0], n[n > 0].astype(np.int64), np.unique(context)))
     for bucket in sorted(held):
-        keys, n = (np.concatenate(x) for x in zip(*held.pop(bucket)))
-        order = np.argsort(keys, kind="stable")
-        keys, n = keys[order], n[order]
-        begin = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        yield bucket, keys[begin], np.add.reduceat(n, begin) if len(begin) else n
+        word, context, n, asked = (list(x) for x in zip(*held.pop(bucket)))
+        word, context, n, asked = np.concatenate(word), np.concatenate(context), np.concatenate(n), np.unique(np.concatenate(asked))
+        order = np.lexsort((context, word))
+        word, context, n = word[order], context[order], n[order]
+        begin = changes(word, context)
+        n = np.add.reduceat(n, begin) if len(begin) else n
+        number = np.searchsorted(asked, context[begin]).astype("<u4")
+        yield bucket, packed(word[begin], number), n.astype("<u4").tobytes(), asked.tobytes()
 
 
 def seat(c, a, d, rng):
@@ -128,16 +155,22 @@ def seat(c, a, d, rng):
 
 
 class Restaurants:
-    """One range's dishes: keys with training counts, and the seatings that known totals lead to."""
+    """One range's dishes: keys with training counts, and the seatings that known totals lead to.
+
+    A key has the number of its context in its low bits (shared["bits"], 8 if not given) and its word above.
+    """
 
     def __init__(self, bucket, keys, counts, shared):
         self.keys, self.counts, self.shared, self.bucket = keys, counts, shared, bucket
-        self.context = (keys & U64(0xFF)).astype(np.int64)
-        word = keys >> U64(8)
+        self.bits = U64(shared.get("bits", 8))
+        self.context, word = self.split(keys)
         self.first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(keys) else np.zeros(0, np.int64)
         self.words = word[self.first]
         self.of = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(keys)]))
 
+    def split(self, keys):
+        return (keys & ((U64(1) << self.bits) - U64(1))).astype(np.int64), keys >> self.bits
+
     def summed(self, x):
         return np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
 
@@ -161,7 +194,7 @@ class Restaurants:
         """Mean predictive probability of the keys over the sweeps after burn-in, and training counts of their words."""
         s = self.shared
         d, d0, p0 = s["d"], s["d0"], 1 / (s["V"] + 1)
-        context, word = (keys & U64(0xFF)).astype(np.int64), keys >> U64(8)
+        context, word = self.split(keys)
         if len(self.keys):
             at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
             hit = self.keys[at] == keys
@@ -194,73 +227,141 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = materialize(blocks(docs, id_col, text_col, fold), "blocks")
     asked = table.where("bucket >= 0")
 
+    def emit(rows):
+        cols = list(zip(*rows))
+        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "part", "a", "b", "c"])
+
     def count(batches):
-        for bucket, keys, n in merged(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], names=["bucket", "a", "b"])
+        for bucket, a, n, contexts in merged(batches):
+            yield emit([(bucket, -1, a, n, contexts)])
+
+    # totals are kept apart, one table a sweep: (bucket, part: number of the sweep, a: a total for each context asked for)
+    state = materialize(asked.select("bucket", "a", "b").repartition(parts, "bucket").mapInArrow(count, STATE), "counts")
+    blank = lambda df: df.select("bucket", "part", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
+    known = [state]
+
+    def ranges(rows):
+        """(bucket, words, contexts, restaurants, totals of the contexts by sweep) of each range in a partition."""
+        held: dict[int, dict] = {}
+        for bucket, part, a, b, c in rows:
+            held.setdefault(bucket, {})[part] = (a, b, c)
+        for bucket in sorted(held):
+            mine = held.pop(bucket)
+            a, b, c = mine.pop(-1)
+            word, number = unpacked(a, "<u4")
+            first = changes(word)
+            keys = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.r_[first, len(word)])) << U64(32) | number.astype(np.uint64)
+            sums = [np.frombuffer(mine[i][0], "<u8").astype(np.float64) for i in sorted(mine)]
+            own = {**shared, "bits": 32, "customers": sums[0] if sums else None}
+            yield bucket, word[first], np.frombuffer(c, np.uint64), Restaurants(bucket, keys, np.frombuffer(b, "<u4").astype(np.int64), own), sums[1:]
+
+    def rows_of(batches):
+        for b in batches:
+            yield from zip(*(c.to_pylist() for c in b.columns))
 
-    state = materialize(asked.select("bucket", "a", "b").repartition(parts, "bucket").mapInArrow(count, "bucket int, a binary, b binary"), "counts")
+    def together():
+        """The state with all totals so far, each range in one partition."""
+        out = known[0]
+        for k in known[1:]:
+            out = out.unionByName(k)
+        return out.repartition(parts, "bucket") if len(known) > 1 else out
 
     def gathered(measure):
         """Sum over all ranges of a short vector of numbers: one row per range reaches the driver."""
 
         def run(batches):
-            for b in batches:
-                for bucket, a, n in zip(*b.columns):
-                    v = measure(bucket.as_py(), np.frombuffer(a.as_py(), np.uint64), np.frombuffer(n.as_py(), np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array([np.asarray(v, np.float64).tolist()], pa.list_(pa.float64()))], names=["v"])
+            for bucket, _, _, x, sums in ranges(rows_of(batches)):
+                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(measure(x, sums), np.float64).tolist()], pa.list_(pa.float64()))], names=["v"])
 
-        rows = state.mapInArrow(run, "v array<double>").collect()
+        rows = together().mapInArrow(run, "v array<double>").collect()
         return np.sum([r["v"] for r in rows], axis=0) if rows else None
 
-    def shape(bucket, keys, n):
-        x = Restaurants(bucket, keys, n, {})
-        per_word = x.summed(n)
-        tables = np.bincount(x.context, minlength=CONTEXTS)
-        nums = [n.sum(), len(x.words), len(keys), (n == 1).sum(), (n == 2).sum()]
-        arity = np.diff(np.r_[x.first, len(keys)])
-        return np.r_[nums, (arity == 1).sum(), (arity == 2).sum(), tables, np.bincount(x.context, n, CONTEXTS), per_word.max() if len(per_word) else 0]
-
+    def exchange(measure, number):
+        """Totals over all ranges of a number for each key, by context, sent back to every range that asks for the context."""
+
+        def ask(batches):
+            for bucket, _, contexts, x, sums in ranges(rows_of(batches)):
+                v = np.bincount(x.context, measure(x, sums), len(contexts)).astype("<u4")
+                cut = np.r_[np.searchsorted(contexts, bucket_bounds(parts)), len(contexts)]
+                for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
+                    if s < e:
+                        yield emit([(bucket, i, contexts[s:e].tobytes(), v[s:e].tobytes(), None)])
+
+        def add(batches):
+            held: dict[int, list] = {}
+            for bucket, part, a, b, _ in rows_of(batches):
+                held.setdefault(part, []).append((bucket, np.frombuffer(a, np.uint64), np.frombuffer(b, "<u4")))
+            for part in sorted(held):
+                asks = held.pop(part)
+                kinds, at = np.unique(np.concatenate([a for _, a, _ in asks]), return_inverse=True)
+                sums = np.bincount(at, np.concatenate([v for _, _, v in asks]), len(kinds)).astype("<u8")
+                for (bucket, _, _), v in zip(asks, np.split(sums[at], np.cumsum([len(a) for _, a, _ in asks])[:-1])):
+                    yield emit([(bucket, part, v.tobytes(), None, None)])
+
+        def join(batches):
+            held: dict[int, dict] = {}
+            for bucket, part, a, _, _ in rows_of(batches):
+                held.setdefault(bucket, {})[part] = a
+            for bucket in sorted(held):
+                yield emit([(bucket, number, b"".join(held[bucket][i] for i in sorted(held[bucket])), None, None)])
+
+        replies = together().mapInArrow(ask, STATE).repartition(parts, "part").mapInArrow(add, STATE)
+        known.append(materialize(blank(replies.repartition(parts, "bucket").mapInArrow(join, STATE)), "totals"))
+
+    def shape(x, sums):
+        per_word = x.summed(x.counts)
+        arity = np.diff(np.r_[x.first, len(x.keys)])
+        return [x.counts.sum(), len(x.words), len(x.keys), (x.counts == 1).sum(), (x.counts == 2).sum(), (arity == 1).sum(), (arity == 2).sum(), len(per_word)]
+
+    shared: dict = {}
     found = gathered(shape)
     if found is None:
-        found = np.zeros(8 + 2 * CONTEXTS)
+        found = np.zeros(8)
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-    shared = {"N": int(found[0]), "V": int(found[1]), "d": discount(found[3], found[4]), "d0": discount(found[5], found[6]), "customers": found[7 + CONTEXTS : 7 + 2 * CONTEXTS], "seed": seed}
-    totals = [(found[7 : 7 + CONTEXTS], found[2], found[1])]
-    for _ in range(SWEEPS):
+    shared = {"N": int(found[0]), "V": int(found[1]), "d": discount(found[3], found[4]), "d0": discount(found[5], found[6]), "seed": seed}
+    exchange(lambda x, sums: x.counts, 0)
+    exchange(lambda x, sums: np.ones(len(x.keys)), 1)
+    parent = [(found[2], found[1])]  # customers and tables of the parent before each sweep
 
-        def tables(bucket, keys, n, totals=tuple(totals)):
-            x = Restaurants(bucket, keys, n, shared)
-            for t, cw, tw in x.sweeps(totals):
+    def whole(sums, parent):
+        return [(t, c, r) for t, (c, r) in zip(sums, parent)]
+
+    for i in range(SWEEPS):
+
+        def last(x, sums, parent=tuple(parent)):
+            for seated in x.sweeps(whole(sums, parent)):
                 pass
-            return np.r_[np.bincount(x.context, t, CONTEXTS), cw.sum(), tw.sum()]
+            return seated
 
-        v = gathered(tables)
-        v = np.zeros(CONTEXTS + 2) if v is None else v
-        totals.append((v[:CONTEXTS], v[-2], v[-1]))
+        v = gathered(lambda x, sums, last=last: [np.sum(y) for y in last(x, sums)[1:]])
+        exchange(lambda x, sums, last=last: last(x, sums)[0], i + 2)
+        parent.append((0, 0) if v is None else tuple(v))
 
     def answer(batches):
-        held: dict[int, list] = {}
-        for b in batches:
-            for bucket, uid, a, n in zip(*(c.to_pylist() for c in b.columns)):
-                held.setdefault(bucket, [None, []])
-                if uid is None:
-                    held[bucket][0] = (np.frombuffer(a, np.uint64), np.frombuffer(n, np.int64))
-                else:
-                    held[bucket][1].append((uid, a))
-        for bucket in sorted(held):
-            known, questions = held.pop(bucket)
-            keys, n = known or (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            raw = [np.frombuffer(a, np.uint64) for _, a in questions]
-            if not raw:
+        state, asks = [], {}
+        for bucket, part, a, b, c, uid in rows_of(batches):
+            if uid is None:
+                state.append((bucket, part, a, b, c))
+            else:
+                asks.setdefault(bucket, []).append((uid, a))
+        for bucket, word, contexts, x, sums in ranges(state):
+            pairs = [unpacked(a) for _, a in asks.get(bucket, [])]
+            if not pairs:
                 continue
-            p, total = Restaurants(bucket, keys, n, shared).averaged(totals, np.concatenate(raw))
-            cut = np.cumsum([len(r) for r in raw])[:-1]
-            rows = [(uid, bucket, x.astype("<f4").tobytes(), y.astype("<u8").tobytes(), None) for (uid, _), x, y in zip(questions, np.split(np.log10(p), cut), np.split(total, cut))]
+            w, u = (np.concatenate(y) for y in zip(*pairs))
+            at = np.searchsorted(word, w)
+            if len(word):
+                at[word[np.minimum(at, len(word) - 1)] != w] = len(word)
+            p, total = x.averaged(whole(sums, parent), at.astype(np.uint64) << U64(32) | np.searchsorted(contexts, u).astype(np.uint64))
+            cut = np.cumsum([len(y) for y, _ in pairs])[:-1]
+            rows = [(uid, bucket, y.astype("<f4").tobytes(), z.astype("<u8").tobytes(), None) for (uid, _), y, z in zip(asks.pop(bucket), np.split(np.log10(p), cut), np.split(total, cut))]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["uid", "bucket", "a", "b", "c"])
 
-    questions = asked.select("bucket", "uid", "a", F.lit(None).cast("binary").alias("b"))
-    known = state.select("bucket", F.lit(None).cast("string").alias("uid"), "a", "b")
-    answers = questions.unionByName(known).repartition(parts, "bucket").mapInArrow(answer, ROW)
+    nothing = F.lit(None).cast("binary")
+    questions = asked.select("bucket", F.lit(-2).alias("part"), "a", nothing.alias("b"), nothing.alias("c"), "uid")
+    both = questions.unionByName(together().withColumn("uid", F.lit(None).cast("string")))
+    answers = both.repartition(parts, "bucket").mapInArrow(answer, ROW)
 
     def finish(batches):
         def close(rows):

@@ -269,6 +269,18 @@ def test_seating_follows_the_process():
     assert got.mean() == pytest.approx(float(dist @ np.arange(c + 2)), rel=0.01)
 
 
+def test_contexts_are_the_preceding_tokens(spark):
+    """After words with the same two last bytes, each word is expected after its own one only."""
+    rows = [(i, f"w{i % 20}ing then{i % 20}") for i in range(400)] + [(1000 + i, f"w{i % 20}ing then{(i + 7) % 20}") for i in range(400)]
+    got = lm.score_corpus(table(spark, [r for r in rows if r[0] < 1000 or zlib.crc32(str(r[0]).encode()) % 10 == 0])).collect()
+    own = [r["score"] for r in got if r["held_out"] and r["doc_id"] < 1000]
+    other = [r["score"] for r in got if r["held_out"] and r["doc_id"] >= 1000]
+    assert len(own) > 20 and len(other) > 20 and np.mean(own) > np.mean(other) + 1
+    word, prev, doc = lm.token_keys(np.frombuffer(b"running onaning onaning", np.uint8), np.array([0, 15, 23]))
+    assert doc.tolist() == [0, 0, 0, 1, 1] and prev[0] == prev[3] == lm.START
+    assert prev[2] == word[1] == word[3] == prev[4] != prev[1] == word[0]
+
+
 # ---------------------------------------------------------------- lines (4)
 
 
