@@ -60,7 +60,11 @@ def changes(*columns):
     """Positions where a run of equal rows begins."""
     if not len(columns[0]):
         return np.zeros(0, np.int64)
-    return np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+    new = np.ones(len(columns[0]), bool)
+    np.not_equal(columns[0][1:], columns[0][:-1], out=new[1:])
+    for c in columns[1:]:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
 
 def packed(word, context):
@@ -88,7 +92,8 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
         def emit(held):
             word, context, doc = (np.concatenate(x) for x in zip(*[h[:3] for h in held]))
             ids, out = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
-            order = np.lexsort((context, word))
+            held.clear()  # a worker keeps the most memory it ever took
+            order = np.lexsort((context, word)).astype(np.uint32)
             word, context, doc = word[order], context[order], doc[order]
             begin = changes(word, context)
             size = np.diff(np.r_[begin, len(word)])
@@ -107,7 +112,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
             ids, out = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for lo, hi, d, o in slices(data, offsets):
                 word, context, doc = token_keys(d, o)
-                held.append((word, context, doc + seen, ids[lo:hi], out[lo:hi]))
+                held.append((word, context, (doc + seen).astype(np.uint32), ids[lo:hi], out[lo:hi]))
                 seen, size = seen + hi - lo, size + len(d)
                 if size >= BLOCK_BYTES or seen >= 60_000:
                     yield emit(held)
@@ -274,15 +279,20 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for bucket, _, _, x, sums in ranges(rows_of(batches)):
                 yield pa.RecordBatch.from_arrays([pa.array([np.asarray(measure(x, sums), np.float64).tolist()], pa.list_(pa.float64()))], names=["v"])
 
-        rows = together().mapInArrow(run, "v array<double>").collect()
+        rows = state.mapInArrow(run, "v array<double>").collect()
         return np.sum([r["v"] for r in rows], axis=0) if rows else None
 
-    def exchange(measure, number):
-        """Totals over all ranges of a number for each key, by context, sent back to every range that asks for the context."""
+    def exchange(measure, number, ranged):
+        """Totals over all ranges of a number for each key, by context, sent back to every range that asks for the context.
+
+        ``measure`` gives the numbers and two sums for the driver; returns the sums over all ranges.
+        """
 
         def ask(batches):
             for bucket, _, contexts, x, sums in ranges(rows_of(batches)):
-                v = np.bincount(x.context, measure(x, sums), len(contexts)).astype("<u4")
+                each, *others = measure(x, sums)
+                yield emit([(bucket, -1, np.array(others, np.float64).tobytes(), None, None)])
+                v = np.bincount(x.context, each, len(contexts)).astype("<u4")
                 cut = np.r_[np.searchsorted(contexts, bucket_bounds(parts)), len(contexts)]
                 for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
                     if s < e:
@@ -306,8 +316,11 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for bucket in sorted(held):
                 yield emit([(bucket, number, b"".join(held[bucket][i] for i in sorted(held[bucket])), None, None)])
 
-        replies = together().mapInArrow(ask, STATE).repartition(parts, "part").mapInArrow(add, STATE)
+        asks = materialize(ranged.mapInArrow(ask, STATE), "asks")
+        others = [np.frombuffer(r["a"], np.float64) for r in asks.where("part = -1").select("a").collect()]
+        replies = asks.where("part >= 0").repartition(parts, "part").mapInArrow(add, STATE)
         known.append(materialize(blank(replies.repartition(parts, "bucket").mapInArrow(join, STATE)), "totals"))
+        return np.sum(others, axis=0) if others else np.zeros(2)
 
     def shape(x, sums):
         per_word = x.summed(x.counts)
@@ -320,8 +333,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         found = np.zeros(8)
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
     shared = {"N": int(found[0]), "V": int(found[1]), "d": discount(found[3], found[4]), "d0": discount(found[5], found[6]), "seed": seed}
-    exchange(lambda x, sums: x.counts, 0)
-    exchange(lambda x, sums: np.ones(len(x.keys)), 1)
+    exchange(lambda x, sums: (x.counts, 0, 0), 0, state)
+    exchange(lambda x, sums: (np.ones(len(x.keys)), 0, 0), 1, state)
     parent = [(found[2], found[1])]  # customers and tables of the parent before each sweep
 
     def whole(sums, parent):
@@ -332,11 +345,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         def last(x, sums, parent=tuple(parent)):
             for seated in x.sweeps(whole(sums, parent)):
                 pass
-            return seated
+            t, cw, tw = seated
+            return t, cw.sum(), tw.sum()
 
-        v = gathered(lambda x, sums, last=last: [np.sum(y) for y in last(x, sums)[1:]])
-        exchange(lambda x, sums, last=last: last(x, sums)[0], i + 2)
-        parent.append((0, 0) if v is None else tuple(v))
+        parent.append(tuple(exchange(last, i + 2, together())))
 
     def answer(batches):
         state, asks = [], {}
