@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from resampla.llm.common import LOWER, U64, distinct, mix, powers, prefix_hash, slices, span_hash, text_buffers, words
 from resampla.llm.quality import labelled_sample, logistic
 
-WINDOW, STRIDE, DIM, H, BUCKETS = 16, 12, 16, 8, 1 << 14
+WINDOW, STRIDE, DIM, H, BUCKETS = 16, 8, 16, 8, 1 << 14
 
 
 def sigmoid(x):

@@ -156,6 +156,14 @@ def test_gru_gradients(spark):
         assert g[name][at] == pytest.approx((out[0] - out[1]) / 2e-3, rel=2e-2, abs=2e-3), name
 
 
+def test_short_phrases_lie_whole_in_a_window():
+    """Nine words at any place of texts of any length; half of a window and one word more."""
+    for n in range(1, 80):
+        begin, size, _ = toxicity.windows(np.zeros(n, int))
+        for at in range(max(1, n - 8)):
+            assert ((begin <= at) & (begin + size >= min(at + 9, n))).any(), (n, at)
+
+
 # ---------------------------------------------------------------- surrogates (2)
 
 
