@@ -24,10 +24,22 @@ SLICE_BYTES = 2 << 20
 # ---------------------------------------------------------------- scratch tables
 
 
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of this session by bytes, so that a Python worker's memory doesn't follow the length of texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only where unset (tests)."""
+    """The folder that all executors share, from ``spark.checkpoint.dir``; a local one only in local mode where unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="resampla-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -47,17 +59,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     Unlike an executor-local copy it survives lost executors.  Removed when the driver ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/resampla-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def without(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """``docs`` less the rows whose id is among ``ids`` (one column); the ids are broadcast only up to ``broadcast_rows``."""
-    ids = materialize(ids.toDF("_gone").where("_gone is not null").distinct(), "ids")
-    small = ids.count() <= broadcast_rows
-    return docs.join(F.broadcast(ids) if small else ids, F.col(id_col) == F.col("_gone"), "left_anti")
+def discard(*tables: DataFrame) -> None:
+    """Remove scratch tables that ``materialize`` wrote, once their last reader is done."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            _remove(df.sparkSession, file)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -215,7 +228,7 @@ def connected_components(edges: DataFrame, name: str, most: int = 50) -> DataFra
     """
     spark = edges.sparkSession
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    e = materialize(e, name)
+    e = held = materialize(e, name)
     seen = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -223,7 +236,9 @@ def connected_components(edges: DataFrame, name: str, most: int = 50) -> DataFra
         big = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         e = big.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u > v").distinct()
-        e = materialize(e, name)
+        before, e = held, materialize(e, name)
+        held = e
+        discard(before)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen or not now[0]:
             break

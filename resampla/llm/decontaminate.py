@@ -11,7 +11,9 @@ the rest.  Windows within reach are verified by the exact weighted Jaccard simil
 
 Words are maximal runs of letters, digits and non-ASCII bytes with A-Z lowered, so punctuation, case
 and line ends don't hide a passage.  A document shorter than an item is one window of its own.  Items
-under five words have no shingle and match nothing; the same holds for null and empty texts.  Items
+under five words have no shingle and match nothing; the same holds for null and empty texts.  Items without
+an id are left out, and items that repeat an id with other texts are all searched.  Extra columns are ignored
+(``remove_contaminated`` keeps them); empty tables find nothing.  Items
 are searched in passes of ``ITEMS`` over the documents, so what is sent to executors has a bound and
 the benchmark may be of any size.  There is no shuffle; repeated rows are reported each.
 """
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resampla.llm import common
-from resampla.llm.common import LOWER, U64, prefix_hash, slices, span_hash, text_buffers
+from resampla.llm.common import LOWER, U64, prefix_hash, slices, small_batches, span_hash, text_buffers
 
 SHINGLE, RADIUS, SIMILARITY, ITEMS = 5, 15, 0.8, 2000
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # first bit and width
@@ -54,10 +56,10 @@ def shingle_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     return g, np.searchsorted(docs[at], np.arange(n + 1))
 
 
-def running_sums(g: np.ndarray) -> np.ndarray:
-    """Row i: per bit, the ones among the first i shingles, modulo 2**16 (differences below that stay exact)."""
+def running_sums(g: np.ndarray, wide: bool = False) -> np.ndarray:
+    """Row i: per bit, the ones among the first i shingles, modulo 2**16 (differences below that stay exact) where ``wide`` is not needed."""
     bits = np.unpackbits(g.view(np.uint8).reshape(-1, 8), axis=1).view(np.uint64)
-    out = np.zeros((len(g) + 1, 64), np.uint16)
+    out = np.zeros((len(g) + 1, 64), np.uint32 if wide else np.uint16)
     for lo in range(0, len(g), 255):  # eight one-byte sums in a word cannot overflow within 255 rows
         part = np.cumsum(bits[lo : lo + 255], axis=0).view(np.uint8)
         np.add(part, out[lo], out=out[lo + 1 : lo + 1 + len(part)])
@@ -89,7 +91,7 @@ class Index:
             prints, items = [], []
             for r in rows:
                 own = g[first[r] : first[r + 1]]
-                prints.append(fingerprints(running_sums(own), np.array([0]), np.array([size]))[0])
+                prints.append(fingerprints(running_sums(own, size >= 1 << 16), np.array([0]), np.array([size]))[0])
                 items.append((ids[r], *np.unique(own, return_counts=True)))
             prints = np.array(prints, np.uint64)
             near = []
@@ -140,7 +142,7 @@ class Index:
             if not len(begin):
                 continue
             if sums is None:
-                sums = running_sums(g)
+                sums = running_sums(g, max(self.by_size) >= 1 << 16)
             p = fingerprints(sums, begin, stop)
             at = self.near_any(near, p)
             begin, stop, p = begin[at], stop[at], p[at]
@@ -157,17 +159,26 @@ class Index:
         return [(d, i, like, at) for (d, i), (like, at) in best.items()]
 
 
+def indexes(benchmark: DataFrame, item_col: str, item_text: str):
+    """Indexes of the items in the order of their ids, a bounded block at a time; one at least."""
+    last, some = None, False
+    while True:
+        rest = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null")
+        rows = (rest if last is None else rest.where(F.col("i") > last)).groupBy("i").agg(F.collect_set("t").alias("t")).orderBy("i").limit(ITEMS).collect()
+        if rows or not some:
+            flat = [(r["i"], t) for r in rows for t in sorted(r["t"])]
+            yield Index([i for i, _ in flat], [t for _, t in flat])
+        if len(rows) < ITEMS:
+            return
+        last, some = rows[-1]["i"], True
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, similarity, word): the documents that hold a benchmark item, with the best window's first word."""
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    schema, parts, last = "id long, item long, similarity double, word long", [], None
-    while True:  # the items in the order of their ids, a bounded block at a time
-        rest = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).alias("t")).where("i is not null")
-        rows = (rest if last is None else rest.where(F.col("i") > last)).groupBy("i").agg(F.collect_set("t").alias("t")).orderBy("i").limit(ITEMS).collect()
-        if not rows and parts:
-            break
-        flat = [(r["i"], t) for r in rows for t in sorted(r["t"])]
-        index = Index([i for i, _ in flat], [t for _, t in flat])
+    out = None
+    for index in indexes(benchmark, item_col, item_text):
 
         def run(batches, index=index):
             for b in batches:
@@ -178,11 +189,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["id", "item", "similarity", "word"])
 
-        parts.append(plain.mapInArrow(run, schema))
-        if len(rows) < ITEMS:
-            break
-        last = rows[-1]["i"]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        found = plain.mapInArrow(run, "id long, item long, similarity double, word long")
+        out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text holds no benchmark item; without a shuffle or a join."""
+    small_batches(docs.sparkSession)
+    at = docs.columns.index(text_col)
+    for index in indexes(benchmark, item_col, item_text):
+
+        def run(batches, index=index):
+            for b in batches:
+                data, offsets = text_buffers(b.column(at))
+                clean = np.ones(b.num_rows, bool)
+                for lo, _, d, o in slices(data, offsets, 1 << 20):
+                    clean[[lo + k for k, *_ in index.search(d, o)]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -10,7 +10,7 @@ same or in neighbouring bands.  Up to size ``hi``, linked sets differ in at most
 indexed as they are (they match if none of their shingles differs) and ``n1`` with all their
 one-deletion neighbours (they match if at most one differs).  ``n0 + 2 n1 > H`` guarantees that linked
 sets share a signature; among such allocations the one of least cost is taken (signatures
-written, and expected false matches).  Where segments are small there are more of them than needed, and each set
+written, and expected false matches, which grow with the corpus).  Where segments are small there are more of them than needed, and each set
 leaves out its smallest, which say least.  A node signs in its own band and the next one.
 
 *Filter.*  Nodes that share a signature are compared by one byte hashes of ``F`` finer segments: more
@@ -22,8 +22,9 @@ remaining pair between different components, so no link between components is lo
 that are already connected are not expanded into pairs.
 
 Groups larger than ``BLOCK`` are split into pairs of blocks, so no task holds a whole group.  Null and
-empty texts are in no group.  Document ids should be unique; repeated rows are returned each.  Extra
-columns are ignored; an empty table gives no rows.
+empty texts are in no group.  Rows that share an id are each a document by their own text, and so are rows without
+one; their component is the smallest id that they reach, null if there is none.  Extra columns are ignored; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -35,9 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, connected_components, materialize, mix, partitions, shingles, slices, text_buffers, word_hashes
+from resampla.llm.common import LOWER, U64, connected_components, discard, materialize, mix, partitions, shingles, slices, text_buffers, word_hashes
 
-BLOCK, FIRST = 2048, 1
+BLOCK, BLOCK_BYTES, FIRST, RARITY = 2048, 8 << 20, 1, 0.05
+BANDS = U64(0xFFF)
+SIGN_BYTES = 1 << 20
 
 
 def shingle_sets(data, offsets, k):
@@ -53,12 +56,12 @@ def shingle_sets(data, offsets, k):
 
 
 def node_ids(g, first):
-    """A 64-bit identity of each set; 0 for the empty set."""
+    """An even 64-bit identity of each set; 0 for the empty set."""
     size = np.diff(first)
     out = np.zeros(len(size), np.uint64)
     if len(g):
         full = np.flatnonzero(size)
-        out[full] = mix(np.add.reduceat(mix(g ^ U64(0x5851F42D4C957F2D)), first[:-1][full]) + size[full].astype(np.uint64))
+        out[full] = mix(np.add.reduceat(mix(g ^ U64(0x5851F42D4C957F2D)), first[:-1][full]) + size[full].astype(np.uint64)) & ~U64(1)
     return out
 
 
@@ -78,8 +81,12 @@ def band_of(sizes: np.ndarray, num: int) -> np.ndarray:
 
 
 @lru_cache(None)
-def allocation(i: int, num: int) -> tuple[int, int, int]:
-    """(n0, n1, F) of band i: plain segments, segments with one-deletion neighbours, finer segments of the filter."""
+def allocation(i: int, num: int, nodes: int) -> tuple[int, int]:
+    """(n0, n1) of band i in a corpus of ``nodes`` sets: plain segments, and segments with one-deletion neighbours.
+
+    The cost of a signature is itself and the sets that match it by chance, ``RARITY`` of all for each shingle that it
+    holds.  So deletions take over where segments hold few shingles, and the more sets there are the sooner.
+    """
     hi = band(i, num)[1]
     most = 2 * hi * (100 - num) // (100 + num)
     best = None
@@ -89,16 +96,22 @@ def allocation(i: int, num: int) -> tuple[int, int, int]:
         if not m:
             continue
         size = hi / m
-        cost = n0 + n1 * (1 + size) + 50 * (n0 * 0.6**size + n1 * (1 + size) * 0.6 ** max(size - 1, 0))
+        cost = n0 * (1 + nodes * RARITY**size) + n1 * (1 + size) * (1 + nodes * RARITY ** max(size - 1, 0))
         if best is None or cost < best[0]:
             best = (cost, n0, n1)
-    fine = 8
-    while fine < 4 * most:
-        fine *= 2
     n0, n1 = best[1:]
     if not n1 and hi < 6 * n0:  # small segments: a quarter more of them, of which each set leaves out the smallest
         n0 += -(-n0 // 4)
-    return n0, n1, fine
+    return n0, n1
+
+
+@lru_cache(None)
+def fine_segments(i: int, num: int) -> int:
+    """Finer segments of the filter in band i."""
+    most, fine = 2 * band(i, num)[1] * (100 - num) // (100 + num), 8
+    while fine < 4 * most:
+        fine *= 2
+    return fine
 
 
 def seed(b: int) -> np.uint64:
@@ -106,14 +119,17 @@ def seed(b: int) -> np.uint64:
     return U64((b + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
 
 
-def signatures(g, d, first, num):
-    """(signature, document) of all sets in their own and in the next band."""
+def signatures(g, d, first, num, nodes):
+    """(signature, document, whether the band is the set's own) of all sets in their own and in the next band.
+
+    The band stands in the signature's low bits.
+    """
     size = np.diff(first)
     place = band_of(size, num)
-    sig, of = [], []
+    sig, of, mine = [], [], []
     for step in (0, 1):
         for b in np.unique(place[size > 0]) + step:
-            n0, n1, _ = allocation(int(b), num)
+            n0, n1 = allocation(int(b), num, nodes)
             m = n0 + n1
             hi = band(int(b), num)[1]
             at = np.flatnonzero((place + step == b) & (size > 0))
@@ -138,19 +154,19 @@ def signatures(g, d, first, num):
                 rank = np.argsort(np.argsort(filled * m + np.arange(m), axis=1), axis=1)
                 keep = (rank >= (m - 1 - own)[:, None]).ravel()
             tag = (U64(int(b)) << U64(20)) + (np.arange(len(at) * m) % m).astype(np.uint64)
-            sig.append(mix(total + mix(tag))[keep])
-            of.append(np.repeat(at, m)[keep])
             gone = (cell % m) >= n0  # every shingle of these segments left out once
-            sig.append(mix(total[cell[gone]] - value[gone] + mix(tag[cell[gone]])))
-            of.append(at[cell[gone] // m])
+            for value_, row_ in ((mix(total + mix(tag))[keep], np.repeat(at, m)[keep]), (mix(total[cell[gone]] - value[gone] + mix(tag[cell[gone]])), at[cell[gone] // m])):
+                sig.append(value_ & ~BANDS | U64(int(b)))
+                of.append(row_)
+                mine.append(np.full(len(row_), step == 0))
     if not sig:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(sig), np.concatenate(of)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, bool)
+    return np.concatenate(sig), np.concatenate(of), np.concatenate(mine)
 
 
 def fine_bytes(s: np.ndarray, b: int, num: int) -> bytes:
     """One byte for each of F segments of a set, in band b."""
-    fine = allocation(b, num)[2]
+    fine = fine_segments(b, num)
     out = np.zeros(fine, np.uint64)
     y = mix(s + seed(b) + U64(99))
     np.add.at(out, (y % U64(fine)).astype(np.int64), mix(y))
@@ -158,33 +174,34 @@ def fine_bytes(s: np.ndarray, b: int, num: int) -> bytes:
 
 
 def shingle_nodes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, node) of every row; node null for the empty set."""
+    """(id, n_shingles, node, hash of the text) of every row; node null for the empty set."""
 
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(1))
             n, node = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for _, _, x, o in slices(data, offsets):
+            for _, _, x, o in slices(data, offsets, SIGN_BYTES):
                 g, _, first = shingle_sets(x, o, k)
                 n.append(np.diff(first))
                 node.append(node_ids(g, first))
             n, node = np.concatenate(n), np.concatenate(node)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0)], names=["id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), b.column(2)], names=["id", "n_shingles", "node", "text_hash"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n_shingles long, node long")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
+    return plain.mapInArrow(run, "id long, n_shingles long, node long, text_hash long")
 
 
-def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str) -> DataFrame:
-    """(group, node): nodes that share a signature; groups of the same members are one."""
+def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str, count: int) -> DataFrame:
+    """(group, node): nodes that share a signature, of about ``count`` nodes; groups of the same members are one."""
     parts = partitions(docs.sparkSession)
 
     def sign(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(0))
-            for _, _, x, o in slices(data, offsets, 8 << 20):
+            for _, _, x, o in slices(data, offsets, SIGN_BYTES):
                 g, d, first = shingle_sets(x, o, k)
-                sig, of = signatures(g, d, first, num)
-                node = node_ids(g, first)[of]
+                sig, of, mine = signatures(g, d, first, num, count)
+                node = node_ids(g, first)[of] | mine
                 bucket = (sig >> U64(33)) % U64(parts)
                 order = np.lexsort((node, sig, bucket))
                 sig, node, bucket = sig[order], node[order], bucket[order]
@@ -214,10 +231,15 @@ def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str) -> DataFr
                 continue
             begin = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[begin, len(sig)])
-            whole = mix(np.add.reduceat(mix(node), begin) + size.astype(np.uint64))  # the same members: the same group
+            own = np.add.reduceat((node & U64(1)).astype(np.int64), begin) > 0
+            node = node & ~U64(1)
+            whole = mix(np.add.reduceat(mix(node), begin) + size.astype(np.uint64)) & ~BANDS | sig[begin] & BANDS  # the same members: the same group
             first = np.zeros(len(whole), bool)
             first[np.unique(whole, return_index=True)[1]] = True
+            first &= own  # sets of the band below meet there
             keep = np.repeat(first, size)
+            if not keep.any():
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole, size)[keep].view(np.int64)), pa.array(node[keep].view(np.int64))], names=["group", "node"])
 
     blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(sign, "bucket int, pairs binary").repartition(parts, "bucket")
@@ -225,25 +247,26 @@ def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str) -> DataFr
 
 
 def node_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
-    """(node, n, band, fine0, fine1, members) of the documents that ``reps`` names by id."""
+    """(node, n, band, fine0, fine1, members) of the texts that ``reps`` (id, hash of the text) names."""
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    reps = reps.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"))
     small = reps.count() <= broadcast_rows
-    chosen = plain.join(F.broadcast(reps) if small else reps, "id", "left_semi").dropDuplicates(["id"])
+    chosen = plain.join(F.broadcast(reps) if small else reps, (F.xxhash64("text") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
 
     def run(batches):
         for b in batches:
             data, offsets = text_buffers(b.column(1))
-            out = []
-            for _, _, x, o in slices(data, offsets):
+            for _, _, x, o in slices(data, offsets, SIGN_BYTES):
+                out = []
                 g, _, first = shingle_sets(x, o, k)
                 own, node = band_of(np.diff(first), num), node_ids(g, first).view(np.int64)
                 for i in range(len(first) - 1):
                     s = g[first[i] : first[i + 1]]
                     if len(s):
                         out.append((int(node[i]), len(s), int(own[i]), fine_bytes(s, int(own[i]), num), fine_bytes(s, int(own[i]) + 1, num), s.tobytes()))
-            cols = list(zip(*out)) or [()] * 6
-            types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", "band", "fine0", "fine1", "members"])
+                cols = list(zip(*out)) or [()] * 6
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", "band", "fine0", "fine1", "members"])
 
     return chosen.mapInArrow(run, "node long, n long, band int, fine0 binary, fine1 binary, members binary").dropDuplicates(["node"])
 
@@ -254,59 +277,52 @@ def passing_pairs(groups: DataFrame, nodes: DataFrame, num: int, first_round: bo
     First round: the ``FIRST`` most alike partners of each node in the group; else all pairs of different labels.
     """
     sizes = groups.groupBy("group").agg(F.count("*").alias("_size"), F.min("label").alias("_l"), F.max("label").alias("_h"))
-    sizes = sizes.where("_size > 1 and _l < _h").select("group", F.ceil(F.col("_size") / BLOCK).cast("int").alias("_blocks"))
-    work = groups.join(sizes, "group").withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
+    fine = F.length(F.col("fine"))
+    place = F.col("group").bitwiseAND(F.lit(int(BANDS))).cast("int")
+    sets = nodes.select("node", "n", F.explode(F.array(F.struct(F.col("band").alias("_band"), F.lit(True).alias("own"), F.col("fine0").alias("fine")), F.struct((F.col("band") + 1).alias("_band"), F.lit(False).alias("own"), F.col("fine1").alias("fine")))).alias("_s")).select("node", "n", "_s.*")
+    work = groups.join(sizes.where("_size > 1 and _l < _h").select("group", "_size"), "group").withColumn("_band", place).join(sets, ["node", "_band"])
+    work = work.withColumn("_blocks", F.ceil(F.col("_size") / F.least(F.lit(BLOCK), F.ceil(F.lit(BLOCK_BYTES) / fine))).cast("int"))
+    work = work.withColumn("_at", F.pmod(F.xxhash64("node"), F.col("_blocks")).cast("int"))
     work = work.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    work = work.withColumn("_x", F.least("_own", "_other")).withColumn("_y", F.greatest("_own", "_other"))
-    work = work.join(nodes.select("node", "n", "band", "fine0", "fine1"), "node").select("group", "_x", "_y", "_own", "node", "label", "n", "band", "fine0", "fine1")
+    work = work.withColumn("_x", F.least("_at", "_other")).withColumn("_y", F.greatest("_at", "_other")).select("group", "_x", "_y", "_at", "node", "label", "n", "own", "fine")
     parts = partitions(groups.sparkSession)
     keys = ["group", "_x", "_y"]
 
-    def pairs(rows):
-        own, node, label, n, bands = (np.array(c) for c in (rows["_own"], rows["node"], rows["label"], rows["n"], rows["band"]))
-        cross = rows["_x"][0] != rows["_y"][0]
-        found = []
-        for b in np.unique(np.r_[bands, bands + 1]):
-            at = np.flatnonzero((bands == b) | (bands == b - 1))
-            if len(at) < 2 or not (bands[at] == b).any():
-                continue
-            fine = np.stack([np.frombuffer(rows["fine0"][i] if bands[i] == b else rows["fine1"][i], np.uint8) for i in at])
-            left = np.flatnonzero(own[at] == rows["_x"][0]) if cross else np.arange(len(at))
-            right = np.flatnonzero(own[at] == rows["_y"][0]) if cross else np.arange(len(at))
-            for lo in range(0, len(left), 64):
-                l = left[lo : lo + 64]
-                most = (n[at[l]][:, None] + n[at[right]][None]) * (100 - num) // (100 + num)
-                ok = (node[at[l]][:, None] != node[at[right]][None]) & (label[at[l]][:, None] != label[at[right]][None])
-                ok &= (bands[at[l]][:, None] == b) | (bands[at[right]][None] == b)
-                i, j = np.nonzero(ok)
-                far = np.empty(len(i), np.int64)
-                for s in range(0, len(i), 1 << 13):
-                    far[s : s + (1 << 13)] = (fine[l[i[s : s + (1 << 13)]]] != fine[right[j[s : s + (1 << 13)]]]).sum(1)
-                good = far <= most[i, j]
-                i, j, far = i[good], j[good], far[good]
-                if first_round:
-                    order = np.lexsort((far, i))
-                    i, j = i[order], j[order]
-                    start = np.searchsorted(i, i)
-                    near = np.arange(len(i)) - start < FIRST
-                    i, j = i[near], j[near]
-                found.append(np.stack([node[at[l[i]]], node[at[right[j]]]]))
-        if not found:
-            return np.zeros((2, 0), np.int64)
-        both = np.concatenate(found, axis=1)
-        return np.unique(np.sort(both, axis=0), axis=1)
+    def pairs(at, node, label, n, own, fine, x, y):
+        """Of one group and pair of blocks; a pair of two sets of the band below is met there."""
+        left, right = (np.arange(len(at)),) * 2 if x == y else (np.flatnonzero(at == x), np.flatnonzero(at == y))
+        step, found = max(1, (1 << 22) // max(1, fine.shape[1])), []
+        for lo in range(0, len(left), 64):
+            l = left[lo : lo + 64]
+            most = (n[l][:, None] + n[right][None]) * (100 - num) // (100 + num)
+            ok = (node[l][:, None] != node[right][None]) & (label[l][:, None] != label[right][None]) & (own[l][:, None] | own[right][None])
+            i, j = np.nonzero(ok)
+            far = np.empty(len(i), np.int64)
+            for s in range(0, len(i), step):
+                far[s : s + step] = np.count_nonzero(fine[l[i[s : s + step]]] != fine[right[j[s : s + step]]], axis=1)
+            good = far <= most[i, j]
+            i, j, far = i[good], j[good], far[good]
+            if first_round:
+                order = np.lexsort((far, i))
+                i, j = i[order], j[order]
+                near = np.arange(len(i)) - np.searchsorted(i, i) < FIRST
+                i, j = i[near], j[near]
+            found.append(np.stack([node[l[i]], node[right[j]]]))
+        both = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
+        return np.unique(np.sort(both, axis=0), axis=1) if both.shape[1] else both
 
     def run(batches):
-        held, names = None, [*keys, "_own", "node", "label", "n", "band", "fine0", "fine1"]
+        held = None
 
         def flush(table):
-            out = []
-            key = np.stack([table.column(c).to_numpy() for c in keys])
+            cols = {c: table.column(c).to_numpy() for c in (*keys, "_at", "node", "label", "n", "own")}
+            key = np.stack([cols[c] for c in keys])
             cut = np.r_[0, np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1, table.num_rows]
-            rows = table.to_pydict()
+            out = []
             for s, e in zip(cut[:-1], cut[1:]):
                 if e - s > 1:
-                    out.append(pairs({c: rows[c][s:e] for c in names}))
+                    raw = np.frombuffer(b"".join(x.as_py() for x in table.column("fine").slice(s, e - s)), np.uint8).reshape(e - s, -1)
+                    out.append(pairs(*(cols[c][s:e] for c in ("_at", "node", "label", "n", "own")), raw, cols["_x"][s], cols["_y"][s]))
             both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
             both = np.unique(both, axis=1) if both.shape[1] else both
             return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
@@ -347,23 +363,51 @@ def verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
     return both.select("a", "b", "_s", "_t").mapInArrow(run, "a long, b long")
 
 
-def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
-    """(id, n_shingles, component_id) of every row; component_id: the smallest id reachable by links."""
-    spark = docs.sparkSession
+def jaccard_rows(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """(id, n_shingles, node, text_hash) of every row, and (node, component, id, text_hash) of every set with the row that stands for it."""
     rows = materialize(shingle_nodes(docs, k, id_col, text_col), "nodes")
-    groups = materialize(candidate_groups(docs, k, percent, text_col), "groups")
-    least = rows.where("node is not null").groupBy("node").agg(F.min("id").alias("id"))
-    reps = materialize(groups.select("node").distinct().join(least, "node"), "reps")
-    nodes = materialize(node_sets(docs, reps.select("id"), k, percent, id_col, text_col, broadcast_rows), "sets")
-    links = materialize(verified(materialize(passing_pairs(groups.withColumn("label", F.col("node")), nodes, percent, True), "pairs"), nodes, percent), "links")
-    found = connected_components(links, "parts")
-    labels = materialize(found, "labels")
+    # a node's row: rows with an id before those without, so that copies without one are hashed once
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash")).alias("_row")
+    least = materialize(rows.where("node is not null").groupBy("node").agg(first).select("node", "_row.id", "_row.text_hash"), "least")
+    groups = materialize(candidate_groups(docs, k, percent, text_col, 1 << least.count().bit_length()), "groups")
+    reps = least.join(groups.select("node").distinct(), "node", "left_semi")
+    nodes = materialize(node_sets(docs, reps.select("id", "text_hash"), k, percent, id_col, text_col, broadcast_rows), "sets")
+    passed = materialize(passing_pairs(groups.withColumn("label", F.col("node")), nodes, percent, True), "pairs")
+    links = materialize(verified(passed, nodes, percent), "links")
+    labels = materialize(connected_components(links, "parts"), "labels")
     rest = groups.join(labels, "node", "left").select("group", "node", F.coalesce("component", "node").alias("label"))
-    more = materialize(verified(materialize(passing_pairs(rest, nodes, percent, False), "pairs"), nodes, percent), "links")
+    again = materialize(passing_pairs(rest, nodes, percent, False), "pairs")
+    more = materialize(verified(again, nodes, percent), "links")
+    discard(passed, again, nodes, groups)
     if more.limit(1).count():
         labels = materialize(connected_components(links.unionByName(more), "parts"), "labels")
-    named = least.join(labels, "node")
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    single = least.join(labels, "node", "left").join(smallest, "component", "left").select("node", F.coalesce("component_id", "id").alias("component_id"))
-    out = rows.join(single, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    return rows, least.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "id", "text_hash")
+
+
+def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """(id, n_shingles, component_id) of every row; component_id: the smallest id reachable by links."""
+    rows, sets = jaccard_rows(docs, k, percent, id_col, text_col, broadcast_rows)
+    smallest = sets.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = sets.join(smallest, "component").select("node", "component_id")
+    out = rows.join(named, "node", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumnRenamed("id", id_col)
+
+
+def one_of_each(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one row of each group of linked documents: that of the smallest id (rows without one come last).
+
+    Rows without words all stay.  What goes is found by id and text, so another row of the same id isn't touched.
+    """
+    rows, sets = jaccard_rows(docs, k, percent, id_col, text_col, broadcast_rows)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "node")
+    kept = sets.groupBy("component").agg(F.min(order).alias("_k")).select(F.col("_k.node").alias("node"), F.col("_k.id").alias("_kid"), F.col("_k.text_hash").alias("_khash"))
+    own = rows.where("node is not null").join(kept, "node", "left")
+    stays = F.col("_khash").isNotNull() & F.col("id").eqNullSafe(F.col("_kid")) & (F.col("text_hash") == F.col("_khash"))
+    gone = materialize(own.where(~stays).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone")
+    same = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_hash"))
+    out = docs.join(F.broadcast(gone) if gone.count() <= broadcast_rows else gone, same, "left_anti")
+    twice = materialize(own.where(stays).groupBy("id", "text_hash").count().where("count > 1").select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")), "twice")
+    if not twice.limit(1).count():
+        return out
+    many = out.join(twice, same, "left_semi").withColumn("_of", F.xxhash64(text_col)).dropDuplicates([id_col, "_of"]).drop("_of")
+    return out.join(twice, same, "left_anti").unionByName(many)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import slices, text_buffers
+from resampla.llm.common import slices, small_batches, text_buffers
 
 WIDTH, DIM, FILTERS, CELL, HIDDEN = 7, 4, 16, 128, 16
 
@@ -189,6 +189,7 @@ def score_quality(docs: DataFrame, net: ByteConv, id_col: str = "doc_id", text_c
             parts = [net.score(d, o) for _, _, d, o in slices(data, offsets, 1 << 20)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=["id", "score"])
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 
@@ -204,6 +205,7 @@ def keep_quality(docs: DataFrame, net: ByteConv, threshold: float, text_col: str
             parts = [net.score(d, o) for _, _, d, o in slices(data, offsets, 1 << 20)]
             yield b.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) >= threshold))
 
+    small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, distinct, mix, powers, prefix_hash, slices, span_hash, text_buffers, words
+from resampla.llm.common import LOWER, U64, distinct, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffers, words
 from resampla.llm.quality import labelled_sample, logistic
 
 WINDOW, STRIDE, DIM, H, BUCKETS = 16, 8, 16, 8, 1 << 14
@@ -265,6 +265,7 @@ def score_toxicity(docs: DataFrame, net: BiGru, id_col: str = "doc_id", text_col
             parts = [net.score(d, o) for _, _, d, o in slices(data, offsets, 6 << 20)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())], names=["id", "score"])
 
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
 

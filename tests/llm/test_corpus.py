@@ -449,7 +449,7 @@ def test_allocation_keeps_the_pigeonhole():
     for percent in (80, 90):
         for b in range(60):
             lo, hi = ngram_join.band(b, percent)
-            n0, n1, _ = ngram_join.allocation(b, percent)
+            n0, n1 = ngram_join.allocation(b, percent, 1 << 16)
             assert n0 + 2 * n1 > 2 * hi * (100 - percent) // (100 + percent)
             assert (hi + 1) * percent // 100 <= hi  # what links to a larger band reaches the next one only
             assert ngram_join.band(b + 1, percent)[1] >= lo * 100 // percent
