@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from resampla.llm import boilerplate, decontaminate, ngram_join, packing, quality
-from resampla.llm.common import materialize, without
+from resampla.llm.common import materialize
 from resampla.llm.queries import read, tokenizer_path
 
 QUALITY_THRESHOLD = 0.3
@@ -28,18 +28,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     clean = boilerplate.drop_boilerplate(docs, F.col("source"), F.col("text"), out_col="_clean")
     cut = F.col("_lines.n_dropped") > 0
     text = F.when(cut, F.col("_clean")).otherwise(F.col("text"))
-    return clean.select("doc_id", text.alias("text"), "lang", "source", F.when(cut, F.length("_clean").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
+    new = {"text": text, "n_chars": F.when(cut, F.length("_clean").cast("long")).otherwise(F.col("n_chars"))}
+    return clean.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    found = ngram_join.jaccard_components(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
-    return without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Of each group of near duplicates the document with the smallest id stays; documents without words all stay."""
+    return ngram_join.one_of_each(docs, SHINGLE_WORDS, SIMILARITY_PERCENT)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return without(docs, decontaminate.contaminated(docs, read(spark, sf_dir, "benchmark")).select("doc_id"))
+    return decontaminate.remove_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
