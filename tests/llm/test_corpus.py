@@ -519,11 +519,34 @@ def test_equal_windows_choose_equal_anchors():
     found = []
     for pad in (0, 17, 300):
         data = np.r_[r.integers(97, 101, pad).astype(np.uint8), shared, r.integers(97, 101, 50).astype(np.uint8)]
-        k, _, _, first, count, _ = suffix_dedup.anchors(data, np.array([0, len(data)]))
-        found.append(int(k[(first <= pad) & (pad < first + count)][0]))
+        k, _, _, first, count = suffix_dedup.anchors(data, np.array([0, len(data)]))
+        found.append(tuple(k[(first <= pad) & (pad < first + count)][0].tolist()))
     assert len(set(found)) == 1
 
 
+def test_multikey_quicksort_orders_suffixes():
+    r = np.random.default_rng(4)
+    texts = [bytes(r.integers(97, 99, 32).astype(np.uint8)) for _ in range(9000)] + [b"b" * 32] * 3000
+    keys = np.array([[int.from_bytes(t[i : i + 8]) for i in range(0, 32, 8)] for t in texts], np.uint64)
+    for small in (16, 1 << 12):
+        assert [texts[i] for i in suffix_dedup.multikey_quicksort(keys, small)] == sorted(texts)
+    cut = np.array(sorted(keys.tolist()), np.uint64)[[500, 4000, 4001, 9000, 11000]]
+    assert suffix_dedup.range_of(keys, cut).tolist() == [sum(tuple(c) <= tuple(k) for c in cut.tolist()) for k in keys.tolist()]
+
+
+def test_repeated_and_missing_ids_cover_only_what_repeats(spark):
+    r = np.random.default_rng(5)
+    a, b, c, d = (prose(r, 60) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, d), (None, d + "! " + d), (9, b[:200])]
+    got = collections.defaultdict(list)
+    for x in suffix_dedup.substring_dedup(table(spark, rows)).collect():
+        got[x["doc_id"]].append((x["n_bytes"], x["n_removed"], bytes(x["kept"]).decode()))
+    size = {t: len(t.encode()) for t in (a, b, c, d)}
+    assert got[1] == [(size[a], 0, a)] and sorted(got[5]) == sorted([(size[a], size[a], ""), (size[b], 0, b)])
+    assert got[7] == [(size[c], 0, c)] * 2 and got[9] == [(200, 200, "")]
+    assert sum(n for _, n, _ in got[None]) == 2 * size[d] and len(got) == 5
+
+
 def test_digest_of_the_query(spark, texts):
     kept = suffix_dedup.substring_dedup(table(spark, [(1, "a" * 250), (2, None)])).collect()
     by = {r["doc_id"]: r for r in kept}
