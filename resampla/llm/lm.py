@@ -6,19 +6,21 @@ the restaurant of the whole corpus, whose parent is uniform over the V known tok
 Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and re-enter one by
 one, each taking a new table with the probability of the Chinese-restaurant process; tables send
 customers to the parent.  (Beyond 64 customers of one dish they re-enter in blocks of a 64th of those
-seated.)  Discounts come from the counts of counts.  The predictive probabilities of the sweeps after
-burn-in are averaged; a text's score is the sum of their log10.
+seated, each of which takes its expected new tables, rounded at random.)  Discounts come from the counts of counts.  The predictive
+probabilities of the sweeps after burn-in are averaged; a text's score is the sum of their log10.  Draws hang on hashes
+of word, context and sweep, so the scores are the same for any partitioning.
 
 *Distribution.*  Tokens are 56-bit hashes; the space of words is cut into ranges, one per partition, so all
 contexts of a word lie together.  A block of documents sends each range its distinct (word, context) pairs with
-training counts, summed before the shuffle, so a frequent word costs one entry per block and context.
+training counts, summed before the shuffle, so a frequent word costs one entry per block and context.  The range keeps
+its pairs once, and for each block the places of its pairs among them.
 Ranges sample independently; a restaurant's totals are summed between sweeps by ranges of contexts, which each
-range of words asks for the contexts it meets, and a later sweep replays the earlier ones from seeds and totals.
+range of words asks for the contexts it meets, and a later sweep replays the earlier ones from hashes and totals.
 Ranges answer each block's pairs, and the block sums them by document.  No task holds a vocabulary or a
-document's tokens twice, and nothing but a few sums reaches the driver.
+document's tokens twice, and nothing but a few sums reaches the driver.  Scratch tables go as soon as they are read.
 
 Null and empty texts have the end token alone.  Repeated rows are scored, and counted, each.  A null
-id counts as training.  Extra columns are ignored; an empty table gives no rows.
+id stays null and counts as training.  Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,17 +32,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, materialize, mix, partitions, prefix_hash, slices, span_hash, text_buffers, words
+from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, words
 
 BLOCK_BYTES, SWEEPS, BURN, THETA = 16 << 20, 3, 1, 1.0
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
-START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFF
-ROW = "uid string, bucket int, a binary, b binary, c binary"
-STATE = "bucket int, part int, a binary, b binary, c binary"
+START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFFFF
+PAIRS, POSTINGS = 0, 1
+BLOCK = "kind int, uid string, bucket int, a binary, b binary, c binary"
+STATE = "bucket int, part int, uid string, a binary, b binary, c binary"
+COUNTS, PLACES = -1, -2  # parts of a range's state: its pairs, and where a block's pairs stand among them
 
 
 def token_keys(data, offsets):
-    """(word, context, document) of all tokens: 56-bit hashes of the token and of the one before it."""
+    """(word, context, document) of all tokens: 56-bit hashes of the token and of the one before it (contexts: 48 bits of them)."""
     low = LOWER[data]
     starts, ends, docs = words(low, offsets)
     n = len(offsets) - 1
@@ -53,7 +57,7 @@ def token_keys(data, offsets):
     token[at] = h
     prev[at + 1] = h
     prev[np.r_[0, last[:-1] + 1]] = START  # a text's first token; also the end token of an empty text
-    return token, prev, doc
+    return token, prev & ~U64(0xFFFF), doc
 
 
 def changes(*columns):
@@ -67,16 +71,41 @@ def changes(*columns):
     return np.flatnonzero(new)
 
 
-def packed(word, context):
-    """Sorted pairs in bytes: the number of words, each word and its number of pairs, and the contexts."""
+def packed(word, context, kind=None):
+    """Sorted pairs in bytes: the number of words, each word and its number of pairs, and the contexts (hashes in six bytes, or numbers of ``kind``)."""
     first = changes(word)
-    return np.uint64(len(first)).tobytes() + word[first].tobytes() + np.diff(np.r_[first, len(word)]).astype("<u4").tobytes() + context.tobytes()
+    out = np.uint64(len(first)).tobytes() + word[first].tobytes() + np.diff(np.r_[first, len(word)]).astype("<u4").tobytes()
+    if kind:
+        return out + context.astype(kind).tobytes()
+    return out + (context >> U64(32)).astype("<u4").tobytes() + (context >> U64(16)).astype("<u2").tobytes()
 
 
-def unpacked(raw, kind=np.uint64):
+def unpacked(raw, kind=None):
     n = int(np.frombuffer(raw, np.uint64, 1)[0])
     word, arity = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
-    return np.repeat(word, arity), np.frombuffer(raw, kind, int(arity.sum()), 8 + 12 * n)
+    total, at = int(arity.sum()), 8 + 12 * n
+    if kind:
+        return np.repeat(word, arity), np.frombuffer(raw, kind, total, at)
+    high, low = np.frombuffer(raw, "<u4", total, at), np.frombuffer(raw, "<u2", total, at + 4 * total)
+    return np.repeat(word, arity), high.astype(np.uint64) << U64(32) | low.astype(np.uint64) << U64(16)
+
+
+def shrunk(x):
+    """Numbers in as few bytes as nearly all of them need; the others follow in eight."""
+    for size in (1, 2, 4):
+        top = (1 << 8 * size) - 1
+        far = np.flatnonzero(x >= top)
+        if len(far) * 16 <= len(x):
+            break
+    return np.array([size, len(far)], np.uint64).tobytes() + np.minimum(x, top).astype(f"<u{size}").tobytes() + x[far].astype(np.uint64).tobytes()
+
+
+def grown(raw):
+    size, far = (int(v) for v in np.frombuffer(raw, np.uint64, 2))
+    n = (len(raw) - 16 - 8 * far) // size
+    x = np.frombuffer(raw, f"<u{size}", n, 16).astype(np.int64)
+    x[x == (1 << 8 * size) - 1] = np.frombuffer(raw, np.uint64, far, 16 + size * n).astype(np.int64)
+    return x
 
 
 def bucket_bounds(parts: int) -> np.ndarray:
@@ -84,142 +113,149 @@ def bucket_bounds(parts: int) -> np.ndarray:
     return np.array([(i << 64) // parts & ~0xFF for i in range(parts)], np.uint64)
 
 
+def emit(rows, schema):
+    cols = list(zip(*rows)) or [()] * len(schema.split(","))
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(cols, fields)], names=[n for n, _ in fields])
+
+
+def rows_of(batches):
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
+
+
 def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
-    """Per block of documents: a row per range (a: distinct pairs, b: training counts), and under bucket -1 the postings."""
+    """Per block of documents: a row per range (a: distinct pairs, b: training counts), and its postings (a: ids, b: marks and the pairs' tokens, c: their documents)."""
     parts = partitions(docs.sparkSession)
 
     def run(batches):
-        def emit(held):
+        def close(held):
             word, context, doc = (np.concatenate(x) for x in zip(*[h[:3] for h in held]))
-            ids, out = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
+            ids, marks = np.concatenate([h[3] for h in held]), np.concatenate([h[4] for h in held])
             held.clear()  # a worker keeps the most memory it ever took
             order = np.lexsort((context, word)).astype(np.uint32)
             word, context, doc = word[order], context[order], doc[order]
             begin = changes(word, context)
             size = np.diff(np.r_[begin, len(word)])
             word, context = word[begin], context[begin]
-            train = np.add.reduceat((~out[doc]).astype(np.int64), begin).astype("<u4")
+            train = np.add.reduceat((marks[doc] & 1 == 0).astype(np.int64), begin)
             cut = np.r_[np.searchsorted(word, bucket_bounds(parts)), len(word)]
             uid = uuid.uuid4().hex
             wide = "<u2" if len(ids) < 1 << 16 else "<u4"
-            rows = [(uid, -1, ids.astype("<i8").tobytes(), out.tobytes() + size.astype("<u4").tobytes(), doc.astype(wide).tobytes())]
-            rows += [(uid, i, packed(word[s:e], context[s:e]), train[s:e].tobytes(), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["uid", "bucket", "a", "b", "c"])
+            rows = [(POSTINGS, uid, -1, ids.astype("<i8").tobytes(), marks.tobytes() + shrunk(size), doc.astype(wide).tobytes())]
+            rows += [(PAIRS, uid, i, packed(word[s:e], context[s:e]), shrunk(train[s:e]), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
+            return emit(rows, BLOCK)
 
         held, seen, size = [], 0, 0
         for b in batches:
             data, offsets = text_buffers(b.column(2))
-            ids, out = b.column(0).fill_null(-1).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            ids, marks = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy().astype(np.uint8)
             for lo, hi, d, o in slices(data, offsets):
                 word, context, doc = token_keys(d, o)
-                held.append((word, context, (doc + seen).astype(np.uint32), ids[lo:hi], out[lo:hi]))
+                held.append((word, context, (doc + seen).astype(np.uint32), ids[lo:hi], marks[lo:hi]))
                 seen, size = seen + hi - lo, size + len(d)
                 if size >= BLOCK_BYTES or seen >= 60_000:
-                    yield emit(held)
+                    yield close(held)
                     held, seen, size = [], 0, 0
         if held:
-            yield emit(held)
+            yield close(held)
 
-    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == 0, F.lit(False))
-    return docs.select(F.col(id_col).cast("long"), held_out, F.col(text_col)).toDF("id", "out", "text").mapInArrow(run, ROW)
+    held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == 0, F.lit(False)).cast("int")
+    marks = held_out + 2 * F.col(id_col).isNull().cast("int")  # bit 0: held out, bit 1: no id
+    return docs.select(F.col(id_col).cast("long"), marks, F.col(text_col)).toDF("id", "marks", "text").mapInArrow(run, BLOCK)
 
 
 def merged(batches):
-    """State of each range met in a partition.
-
-    a: pairs with training (contexts by their number), b: their counts, c: all contexts asked for, in order.
-    """
+    """State of each range met in a partition: COUNTS (a: all pairs, contexts by number; b: training counts; c: the contexts), and PLACES of each block."""
     held: dict[int, list] = {}
-    for batch in batches:
-        for bucket, a, n in zip(*(batch.column(i) for i in (0, 1, 2))):
-            word, context = unpacked(a.as_py())
-            n = np.frombuffer(n.as_py(), "<u4")
-            held.setdefault(bucket.as_py(), []).append((word[n > 0], context[n > 0], n[n > 0].astype(np.int64), np.unique(context)))
+    for bucket, uid, a, n in rows_of(batches):
+        held.setdefault(bucket, []).append((uid, a, n))
     for bucket in sorted(held):
-        word, context, n, asked = (list(x) for x in zip(*held.pop(bucket)))
-        word, context, n, asked = np.concatenate(word), np.concatenate(context), np.concatenate(n), np.unique(np.concatenate(asked))
+        mine = held.pop(bucket)
+        pairs = [unpacked(a) for _, a, _ in mine]
+        word, context = (np.concatenate(x) for x in zip(*pairs))
+        sizes = np.cumsum([len(w) for w, _ in pairs])[:-1]
+        del pairs
+        n = np.concatenate([grown(x) for _, _, x in mine])
         order = np.lexsort((context, word))
-        word, context, n = word[order], context[order], n[order]
+        word, context = word[order], context[order]
         begin = changes(word, context)
-        n = np.add.reduceat(n, begin) if len(begin) else n
-        number = np.searchsorted(asked, context[begin]).astype("<u4")
-        yield bucket, packed(word[begin], number), n.astype("<u4").tobytes(), asked.tobytes()
+        place = np.empty(len(order), np.int64)
+        place[order] = np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(order)]))
+        n = np.add.reduceat(n[order], begin)
+        word, context = word[begin], context[begin]
+        asked, number = np.unique(context, return_inverse=True)
+        yield emit([(bucket, COUNTS, None, packed(word, number, "<u4"), shrunk(n), asked.tobytes())], STATE)
+        for (uid, _, _), x in zip(mine, np.split(place, sizes)):
+            yield emit([(bucket, PLACES, uid, shrunk(np.diff(x, prepend=-1)), None, None)], STATE)
+
+
+def drawn(key, salt, step):
+    """A number in [0, 1) for each key."""
+    return (mix(key + U64((salt * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) & (1 << 64) - 1)) >> U64(11)).astype(np.float64) / 2.0**53
 
 
-def seat(c, a, d, rng):
-    """Tables of c customers (each >= 1) of one dish that enter one by one; a: mass of a new table for the dish."""
-    t, done = np.ones(len(c)), np.ones(len(c), np.int64)
+def seat(c, a, d, key, salt):
+    """Tables of c customers (each >= 1) of one dish that enter one by one; a: mass of a new table for the dish; draws hang on ``key``."""
+    t, done, step = np.ones(len(c)), np.ones(len(c), np.int64), 0
     live = np.flatnonzero(c > 1)
     while len(live):
         m = np.minimum(np.maximum(done[live] // 64, 1), c[live] - done[live])
         p = a[live] / (a[live] + done[live] - d * t[live])
-        t[live] += rng.binomial(m, np.clip(p, 0, 1))
+        t[live] += np.floor(m * np.clip(p, 0, 1) + drawn(key[live], salt, step))
         done[live] += m
-        live = live[done[live] < c[live]]
+        live, step = live[done[live] < c[live]], step + 1
     return t
 
 
 class Restaurants:
-    """One range's dishes: keys with training counts, and the seatings that known totals lead to.
+    """One range's dishes, and the seatings that known totals lead to.
 
-    A key has the number of its context in its low bits (shared["bits"], 8 if not given) and its word above.
+    Sorted pairs of word and context (its number among ``contexts``) with training counts; pairs without are only asked for.
     """
 
-    def __init__(self, bucket, keys, counts, shared):
-        self.keys, self.counts, self.shared, self.bucket = keys, counts, shared, bucket
-        self.bits = U64(shared.get("bits", 8))
-        self.context, word = self.split(keys)
-        self.first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]]) if len(keys) else np.zeros(0, np.int64)
-        self.words = word[self.first]
-        self.of = np.repeat(np.arange(len(self.first)), np.diff(np.r_[self.first, len(keys)]))
-
-    def split(self, keys):
-        return (keys & ((U64(1) << self.bits) - U64(1))).astype(np.int64), keys >> self.bits
+    def __init__(self, word, number, counts, contexts, shared):
+        begin = changes(word)
+        self.words, self.of_all, self.number, self.shared = word[begin], np.repeat(np.arange(len(begin)), np.diff(np.r_[begin, len(word)])), number, shared
+        self.at = np.flatnonzero(counts > 0)
+        self.of, self.context, self.counts = self.of_all[self.at], number[self.at], counts[self.at]
+        self.pair = mix(word[self.at] + mix(contexts[self.context] + U64(1)))
 
     def summed(self, x):
-        return np.add.reduceat(x, self.first) if len(self.first) else np.zeros(0)
+        return np.bincount(self.of, x, len(self.words))
+
+    def root(self, cw, tw, c, r):
+        """The parent's probability of each word, given its customers and tables and those of all words."""
+        s = self.shared
+        return (cw - s["d0"] * tw + (THETA + s["d0"] * r) / (s["V"] + 1)) / (THETA + c)
 
     def sweeps(self, totals):
-        """After each sweep: tables per key, customers and tables per word in the parent.
+        """After each sweep: tables per pair, customers and tables per word in the parent.
 
         totals[i]: the corpus's (tables per context, parent's customers, parent's tables) before sweep i.
         """
         s = self.shared
-        d, d0, p0 = s["d"], s["d0"], 1 / (s["V"] + 1)
-        cw, tw = self.summed(np.ones(len(self.keys))), np.ones(len(self.words))
+        cw = self.summed(np.ones(len(self.at)))
+        tw = (cw > 0).astype(np.float64)
         for i, (tables, c, r) in enumerate(totals):
-            rng = np.random.default_rng([s["seed"], self.bucket, i])
-            root = (cw - d0 * tw + (THETA + d0 * r) * p0) / (THETA + c)
-            t = seat(self.counts, (THETA + d * tables[self.context]) * root[self.of], d, rng)
-            cw = self.summed(t)
-            tw = seat(cw.astype(np.int64), np.full(len(cw), (THETA + d0 * r) * p0), d0, rng)
+            t = seat(self.counts, (THETA + s["d"] * tables[self.context]) * self.root(cw, tw, c, r)[self.of], s["d"], self.pair, 2 * (s["seed"] + i))
+            cw, tw = self.summed(t), np.zeros(len(self.words))
+            some = np.flatnonzero(cw > 0)
+            tw[some] = seat(cw[some].astype(np.int64), np.full(len(some), (THETA + s["d0"] * r) / (s["V"] + 1)), s["d0"], self.words[some], 2 * (s["seed"] + i) + 1)
             yield t, cw, tw
 
-    def averaged(self, totals, keys):
-        """Mean predictive probability of the keys over the sweeps after burn-in, and training counts of their words."""
-        s = self.shared
-        d, d0, p0 = s["d"], s["d0"], 1 / (s["V"] + 1)
-        context, word = self.split(keys)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            hit = self.keys[at] == keys
-            w = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-            known = self.words[w] == word
-            total = np.where(known, self.summed(self.counts)[w], 0)
-        else:
-            at = w = np.zeros(len(keys), np.int64)
-            hit = known = np.zeros(len(keys), bool)
-            total = np.zeros(len(keys), np.int64)
-        mean = np.zeros(len(keys))
+    def averaged(self, totals, customers):
+        """Mean predictive probability of all pairs over the sweeps after burn-in, and training counts of the words."""
+        s, mean = self.shared, np.zeros(len(self.of_all))
         for i, (t, cw, tw) in enumerate(self.sweeps(totals[:-1])):
             if i < BURN:
                 continue
             tables, c, r = totals[i + 1]
-            pick = lambda x, ok, k: np.where(ok, x[k], 0) if len(x) else np.zeros(len(k))
-            root = (pick(cw, known, w) - d0 * pick(tw, known, w) + (THETA + d0 * r) * p0) / (THETA + c)
-            own = pick(self.counts - d * t, hit, at)
-            mean += (own + (THETA + d * tables[context]) * root) / (THETA + s["customers"][context])
-        return mean / (SWEEPS - BURN), total
+            own = np.zeros(len(mean))
+            own[self.at] = self.counts - s["d"] * t
+            mean += (own + (THETA + s["d"] * tables[self.number]) * self.root(cw, tw, c, r)[self.of_all]) / (THETA + customers[self.number])
+        return mean / (SWEEPS - BURN), self.summed(self.counts).astype(np.int64)
 
 
 def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 10, seed: int = 17) -> DataFrame:
@@ -229,178 +265,146 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    table = materialize(blocks(docs, id_col, text_col, fold), "blocks")
-    asked = table.where("bucket >= 0")
-
-    def emit(rows):
-        cols = list(zip(*rows))
-        kinds = (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["bucket", "part", "a", "b", "c"])
-
-    def count(batches):
-        for bucket, a, n, contexts in merged(batches):
-            yield emit([(bucket, -1, a, n, contexts)])
-
-    # totals are kept apart, one table a sweep: (bucket, part: number of the sweep, a: a total for each context asked for)
-    state = materialize(asked.select("bucket", "a", "b").repartition(parts, "bucket").mapInArrow(count, STATE), "counts")
-    blank = lambda df: df.select("bucket", "part", "a", F.lit(None).cast("binary").alias("b"), F.lit(None).cast("binary").alias("c"))
-    known = [state]
+    table = materialize(blocks(docs, id_col, text_col, fold), "blocks", by="kind")
+    pairs = table.where(F.col("kind") == PAIRS).select("bucket", "uid", "a", "b")
+    state = materialize(pairs.repartition(parts, "bucket").mapInArrow(merged, STATE), "state")
+    discard(table, part=f"kind={PAIRS}")
+    release(spark)
+    known = [state.where(F.col("part") == COUNTS)]
+    shared: dict = {"seed": seed}
 
     def ranges(rows):
-        """(bucket, words, contexts, restaurants, totals of the contexts by sweep) of each range in a partition."""
-        held: dict[int, dict] = {}
-        for bucket, part, a, b, c in rows:
-            held.setdefault(bucket, {})[part] = (a, b, c)
+        """(bucket, contexts, restaurants, totals of the contexts by sweep, places of blocks) of each range in a partition."""
+        held: dict[int, tuple] = {}
+        for bucket, part, uid, a, b, c in rows:
+            mine = held.setdefault(bucket, ({}, []))
+            if part == PLACES:
+                mine[1].append((uid, a))
+            else:
+                mine[0][part] = (a, b, c)
         for bucket in sorted(held):
-            mine = held.pop(bucket)
-            a, b, c = mine.pop(-1)
+            mine, places = held.pop(bucket)
+            a, b, c = mine.pop(COUNTS)
+            contexts = np.frombuffer(c, np.uint64)
             word, number = unpacked(a, "<u4")
-            first = changes(word)
-            keys = np.repeat(np.arange(len(first), dtype=np.uint64), np.diff(np.r_[first, len(word)])) << U64(32) | number.astype(np.uint64)
-            sums = [np.frombuffer(mine[i][0], "<u8").astype(np.float64) for i in sorted(mine)]
-            own = {**shared, "bits": 32, "customers": sums[0] if sums else None}
-            yield bucket, word[first], np.frombuffer(c, np.uint64), Restaurants(bucket, keys, np.frombuffer(b, "<u4").astype(np.int64), own), sums[1:]
-
-    def rows_of(batches):
-        for b in batches:
-            yield from zip(*(c.to_pylist() for c in b.columns))
+            sums = [grown(mine[i][0]).astype(np.float64) for i in sorted(mine)]
+            yield bucket, contexts, Restaurants(word, number.astype(np.int64), grown(b), contexts, shared), sums, places
 
     def together():
         """The state with all totals so far, each range in one partition."""
         out = known[0]
         for k in known[1:]:
             out = out.unionByName(k)
-        return out.repartition(parts, "bucket") if len(known) > 1 else out
+        return out.repartition(parts, "bucket")
 
-    def gathered(measure):
-        """Sum over all ranges of a short vector of numbers: one row per range reaches the driver."""
+    def exchange(measure, ranged):
+        """Totals over all ranges of some numbers for each pair, by context, sent back to every range that asks for the context.
 
-        def run(batches):
-            for bucket, _, _, x, sums in ranges(rows_of(batches)):
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(measure(x, sums), np.float64).tolist()], pa.list_(pa.float64()))], names=["v"])
-
-        rows = state.mapInArrow(run, "v array<double>").collect()
-        return np.sum([r["v"] for r in rows], axis=0) if rows else None
-
-    def exchange(measure, number, ranged):
-        """Totals over all ranges of a number for each key, by context, sent back to every range that asks for the context.
-
-        ``measure`` gives the numbers and two sums for the driver; returns the sums over all ranges.
+        ``measure`` gives the numbers and what the driver sums up; returns the sums over all ranges.
         """
 
         def ask(batches):
-            for bucket, _, contexts, x, sums in ranges(rows_of(batches)):
-                each, *others = measure(x, sums)
-                yield emit([(bucket, -1, np.array(others, np.float64).tobytes(), None, None)])
-                v = np.bincount(x.context, each, len(contexts)).astype("<u4")
+            for bucket, contexts, x, sums, _ in ranges(rows_of(batches)):
+                each, others = measure(x, sums)
+                yield emit([(bucket, -1, None, np.array(others, np.float64).tobytes(), None, None)], STATE)
+                v = np.stack([np.bincount(x.context, y, len(contexts)).astype(np.int64) for y in each])
                 cut = np.r_[np.searchsorted(contexts, bucket_bounds(parts)), len(contexts)]
                 for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])):
                     if s < e:
-                        yield emit([(bucket, i, contexts[s:e].tobytes(), v[s:e].tobytes(), None)])
+                        yield emit([(bucket, i, None, (contexts[s:e] >> U64(32)).astype("<u4").tobytes() + (contexts[s:e] >> U64(16)).astype("<u2").tobytes(), shrunk(v[:, s:e].ravel()), None)], STATE)
 
         def add(batches):
             held: dict[int, list] = {}
-            for bucket, part, a, b, _ in rows_of(batches):
-                held.setdefault(part, []).append((bucket, np.frombuffer(a, np.uint64), np.frombuffer(b, "<u4")))
+            for bucket, part, _, a, b, _ in rows_of(batches):
+                n = len(a) // 6
+                context = np.frombuffer(a, "<u4", n).astype(np.uint64) << U64(16) | np.frombuffer(a, "<u2", n, 4 * n).astype(np.uint64)
+                held.setdefault(part, []).append((bucket, context, grown(b).reshape(-1, n)))
             for part in sorted(held):
                 asks = held.pop(part)
                 kinds, at = np.unique(np.concatenate([a for _, a, _ in asks]), return_inverse=True)
-                sums = np.bincount(at, np.concatenate([v for _, _, v in asks]), len(kinds)).astype("<u8")
-                for (bucket, _, _), v in zip(asks, np.split(sums[at], np.cumsum([len(a) for _, a, _ in asks])[:-1])):
-                    yield emit([(bucket, part, v.tobytes(), None, None)])
+                v = np.concatenate([v for *_, v in asks], axis=1)
+                sums = np.stack([np.bincount(at, y, len(kinds)) for y in v]).astype(np.int64)[:, at]
+                for (bucket, _, _), x in zip(asks, np.split(sums, np.cumsum([len(a) for _, a, _ in asks])[:-1], axis=1)):
+                    yield emit([(bucket, part, None, shrunk(x.ravel()), len(x).to_bytes(1), None)], STATE)
 
-        def join(batches):
+        def join(batches, first=0 if len(known) == 1 else len(known)):  # the first exchange is of two numbers
             held: dict[int, dict] = {}
-            for bucket, part, a, _, _ in rows_of(batches):
-                held.setdefault(bucket, {})[part] = a
+            for bucket, part, _, a, b, _ in rows_of(batches):
+                held.setdefault(bucket, {})[part] = grown(a).reshape(b[0], -1)
             for bucket in sorted(held):
-                yield emit([(bucket, number, b"".join(held[bucket][i] for i in sorted(held[bucket])), None, None)])
+                mine = held.pop(bucket)
+                for k, x in enumerate(np.concatenate([mine[i] for i in sorted(mine)], axis=1)):
+                    yield emit([(bucket, first + k, None, shrunk(x), None, None)], STATE)
 
         asks = materialize(ranged.mapInArrow(ask, STATE), "asks")
-        others = [np.frombuffer(r["a"], np.float64) for r in asks.where("part = -1").select("a").collect()]
+        others = [np.frombuffer(r["a"], np.float64) for r in asks.where("part = -1").select("a").collect()]  # a row a range
         replies = asks.where("part >= 0").repartition(parts, "part").mapInArrow(add, STATE)
-        known.append(materialize(blank(replies.repartition(parts, "bucket").mapInArrow(join, STATE)), "totals"))
-        return np.sum(others, axis=0) if others else np.zeros(2)
+        known.append(materialize(replies.repartition(parts, "bucket").mapInArrow(join, STATE), "totals"))
+        discard(asks)
+        release(spark)
+        return np.sum(others, axis=0) if others else np.zeros(8)
 
     def shape(x, sums):
-        per_word = x.summed(x.counts)
-        arity = np.diff(np.r_[x.first, len(x.keys)])
-        return [x.counts.sum(), len(x.words), len(x.keys), (x.counts == 1).sum(), (x.counts == 2).sum(), (arity == 1).sum(), (arity == 2).sum(), len(per_word)]
-
-    shared: dict = {}
-    found = gathered(shape)
-    if found is None:
-        found = np.zeros(8)
+        arity = np.bincount(x.of, minlength=len(x.words))
+        some = [x.counts.sum(), (arity > 0).sum(), len(x.at), (x.counts == 1).sum(), (x.counts == 2).sum(), (arity == 1).sum(), (arity == 2).sum()]
+        return (x.counts, np.ones(len(x.at))), some
+
+    found = exchange(shape, known[0])  # customers and first tables of each context
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.05, 0.95))
-    shared = {"N": int(found[0]), "V": int(found[1]), "d": discount(found[3], found[4]), "d0": discount(found[5], found[6]), "seed": seed}
-    exchange(lambda x, sums: (x.counts, 0, 0), 0, state)
-    exchange(lambda x, sums: (np.ones(len(x.keys)), 0, 0), 1, state)
+    shared |= {"N": int(found[0]), "V": int(found[1]), "d": discount(found[3], found[4]), "d0": discount(found[5], found[6])}
     parent = [(found[2], found[1])]  # customers and tables of the parent before each sweep
 
     def whole(sums, parent):
-        return [(t, c, r) for t, (c, r) in zip(sums, parent)]
+        return [(t, c, r) for t, (c, r) in zip(sums[1:], parent)]
 
-    for i in range(SWEEPS):
+    for _ in range(SWEEPS):
 
         def last(x, sums, parent=tuple(parent)):
             for seated in x.sweeps(whole(sums, parent)):
                 pass
             t, cw, tw = seated
-            return t, cw.sum(), tw.sum()
+            return (t,), [cw.sum(), tw.sum()]
 
-        parent.append(tuple(exchange(last, i + 2, together())))
+        parent.append(tuple(exchange(last, together())[:2]))
 
     def answer(batches):
-        state, asks = [], {}
-        for bucket, part, a, b, c, uid in rows_of(batches):
-            if uid is None:
-                state.append((bucket, part, a, b, c))
-            else:
-                asks.setdefault(bucket, []).append((uid, a))
-        for bucket, word, contexts, x, sums in ranges(state):
-            pairs = [unpacked(a) for _, a in asks.get(bucket, [])]
-            if not pairs:
-                continue
-            w, u = (np.concatenate(y) for y in zip(*pairs))
-            at = np.searchsorted(word, w)
-            if len(word):
-                at[word[np.minimum(at, len(word) - 1)] != w] = len(word)
-            p, total = x.averaged(whole(sums, parent), at.astype(np.uint64) << U64(32) | np.searchsorted(contexts, u).astype(np.uint64))
-            cut = np.cumsum([len(y) for y, _ in pairs])[:-1]
-            rows = [(uid, bucket, y.astype("<f4").tobytes(), z.astype("<u8").tobytes(), None) for (uid, _), y, z in zip(asks.pop(bucket), np.split(np.log10(p), cut), np.split(total, cut))]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))], names=["uid", "bucket", "a", "b", "c"])
-
-    nothing = F.lit(None).cast("binary")
-    questions = asked.select("bucket", F.lit(-2).alias("part"), "a", nothing.alias("b"), nothing.alias("c"), "uid")
-    both = questions.unionByName(together().withColumn("uid", F.lit(None).cast("string")))
-    answers = both.repartition(parts, "bucket").mapInArrow(answer, ROW)
+        for bucket, _, x, sums, places in ranges(rows_of(batches)):
+            p, total = x.averaged(whole(sums, parent), sums[0])
+            p = np.log10(p).astype("<f4")
+            for uid, at in places:
+                at = np.cumsum(grown(at)) - 1
+                of = x.of_all[at]
+                begin = changes(of)
+                words_ = shrunk(total[of[begin]])
+                yield emit([(POSTINGS, uid, bucket, p[at].tobytes(), words_, shrunk(np.diff(np.r_[begin, len(of)])))], BLOCK)
+
+    known.append(state.where(F.col("part") == PLACES))
+    answers = together().mapInArrow(answer, BLOCK)
 
     def finish(batches):
         def close(rows):
             _, ids, sizes, doc = rows[0]
             ids = np.frombuffer(ids, "<i8")
             n = len(ids)
-            out, size = np.frombuffer(sizes[:n], bool), np.frombuffer(sizes[n:], "<u4")
+            marks, size = np.frombuffer(sizes[:n], np.uint8), grown(sizes[n:])
             doc = np.frombuffer(doc, "<u2" if n < 1 << 16 else "<u4")
             log = np.concatenate([np.frombuffer(a, "<f4") for _, a, _, _ in rows[1:]]).astype(np.float64)
-            total = np.concatenate([np.frombuffer(b, "<u8") for _, _, b, _ in rows[1:]]).astype(np.float64)
+            total = np.concatenate([np.repeat(grown(b), grown(c)) for _, _, b, c in rows[1:]]).astype(np.float64)
             base = np.log10((total + 0.1) / (shared["N"] + 0.1 * (shared["V"] + 1)))
             sums = [np.bincount(doc, np.repeat(x, size), n) for x in (np.ones(len(size)), total > 0, base, log)]
-            cols = [pa.array(ids), pa.array(out), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, shared["N"], np.int64)), pa.array(sums[2]), pa.array(sums[3])]
+            cols = [pa.array(ids, mask=marks & 2 > 0), pa.array(marks & 1 > 0), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64)), pa.array(np.full(n, shared["N"], np.int64)), pa.array(sums[2]), pa.array(sums[3])]
             return pa.RecordBatch.from_arrays(cols, names=["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
         rows, key = [], None
-        for b in batches:
-            for i in range(b.num_rows):
-                uid, bucket, x, y, z = (c[i].as_py() for c in b.columns)
-                if uid != key and rows:
-                    yield close(rows)
-                    rows = []
-                key = uid
-                rows.append((bucket, x, y, z))
+        for uid, bucket, x, y, z in rows_of(batches):
+            if uid != key and rows:
+                yield close(rows)
+                rows = []
+            key = uid
+            rows.append((bucket, x, y, z))
         if rows:
             yield close(rows)
 
-    both = table.where("bucket = -1").unionByName(answers).repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
+    both = table.where(F.col("kind") == POSTINGS).unionByName(answers).drop("kind").repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.mapInArrow(finish, schema).withColumnRenamed("id", id_col)

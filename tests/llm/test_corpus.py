@@ -235,7 +235,6 @@ def test_language_model_counts_and_improves(spark, texts):
     count = collections.Counter(w for i, t in rows if not held(i) for w in [*tokens(t), None])
     total, kinds = sum(count.values()), len(count)
     text_of = dict(rows)
-    text_of[-1] = "null id"
     for r in got:
         w = [*tokens(text_of[r["doc_id"]]), None]
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(count[x] > 0 for x in w), total)
@@ -247,20 +246,19 @@ def test_language_model_counts_and_improves(spark, texts):
 
 def test_predictive_probabilities_sum_to_one():
     r = np.random.default_rng(0)
-    words = np.unique(common.mix(np.arange(1, 40, dtype=np.uint64))) & np.uint64(0xFFFFFFFFFFFFFF00)
-    keys = np.unique(np.concatenate([words | np.uint64(c) for c in (3, 9)]))
-    counts = r.integers(1, 200, len(keys))
-    shared = {"N": int(counts.sum()), "V": len(words), "d": 0.6, "d0": 0.4, "seed": 1, "customers": np.bincount((keys & np.uint64(0xFF)).astype(int), counts, 256)}
-    x = lm.Restaurants(0, keys, counts, shared)
-    totals = [(np.bincount(x.context, minlength=256).astype(float), float(len(keys)), float(len(words)))]
+    kinds = np.unique(common.mix(np.arange(1, 41, dtype=np.uint64))) & np.uint64(0xFFFFFFFFFFFFFF00)
+    word, number = np.repeat(kinds, 3), np.tile(np.arange(3), 40)  # the last word is unknown, the last context has no customers
+    counts = np.where((number < 2) & (word != kinds[-1]), r.integers(1, 200, len(word)), 0)
+    shared, contexts = {"V": 39, "d": 0.6, "d0": 0.4, "seed": 1}, np.array([5, 6, 7], np.uint64)
+    x = lm.Restaurants(word, number, counts, contexts, shared)
+    customers = np.bincount(number, counts, 3)
+    totals = [(np.bincount(x.context, minlength=3).astype(float), float(len(x.at)), 39.0)]
     for _ in range(lm.SWEEPS):
         *_, (t, cw, tw) = x.sweeps(totals)
-        assert (t >= 1).all() and (t <= counts).all() and (tw <= cw).all()
-        totals.append((np.bincount(x.context, t, 256), cw.sum(), tw.sum()))
-    unknown = np.uint64(0x1234567890AB00)
-    for context in (3, 9, 77):
-        p, n = x.averaged(totals, np.r_[words, unknown] | np.uint64(context))
-        assert p.sum() == pytest.approx(1, abs=1e-9) and (p > 0).all() and n[-1] == 0
+        assert (t >= 1).all() and (t <= x.counts).all() and (tw <= cw).all()
+        totals.append((np.bincount(x.context, t, 3), cw.sum(), tw.sum()))
+    p, n = x.averaged(totals, customers)
+    assert n[-1] == 0 and (p > 0).all() and np.bincount(number, p) == pytest.approx(np.ones(3), abs=1e-9)
 
 
 def test_seating_follows_the_process():
@@ -273,8 +271,50 @@ def test_seating_follows_the_process():
         new = np.where(dist > 0, dist * a / np.maximum(a + n - d * t, 1e-9), 0)
         dist = dist - new
         dist[1:] += new[:-1]
-    got = lm.seat(np.full(20_000, c), np.full(20_000, a), d, np.random.default_rng(0))
+    got = lm.seat(np.full(20_000, c), np.full(20_000, a), d, common.mix(np.arange(20_000, dtype=np.uint64)), 3)
     assert got.mean() == pytest.approx(float(dist @ np.arange(c + 2)), rel=0.01)
+    assert got.var() == pytest.approx(float(dist @ np.arange(c + 2) ** 2 - (dist @ np.arange(c + 2)) ** 2), rel=0.05)
+
+
+def plain_model(rows, fold=10, seed=17):
+    """The same sampler over dictionaries, one pair after another."""
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % fold == 0
+    keyed = [(held(i), [(int(w), int(c)) for w, c, _ in zip(*lm.token_keys(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])))]) for i, t in rows]
+    n = collections.Counter(p for out, ps in keyed if not out for p in ps)
+    by_word, by_context, customers = collections.Counter(w for w, _ in n), collections.Counter(c for _, c in n), collections.Counter()
+    for (_, c), k in n.items():
+        customers[c] += k
+    cut = lambda c: min(0.95, max(0.05, c[1] / max(c[1] + 2 * c[2], 1)))
+    d, d0, v = cut(collections.Counter(n.values())), cut(collections.Counter(by_word.values())), len(by_word)
+    cw, tw, tables, c, r = dict(by_word), dict.fromkeys(by_word, 1), dict(by_context), len(n), v
+    one = lambda x: np.array([x], np.uint64)
+    mean = collections.Counter()
+    root = lambda w: (cw.get(w, 0) - d0 * tw.get(w, 0) + (lm.THETA + d0 * r) / (v + 1)) / (lm.THETA + c)
+    for i in range(lm.SWEEPS):
+        t = {(w, u): lm.seat(np.array([k]), np.array([(lm.THETA + d * tables[u]) * root(w)]), d, common.mix(one(w) + common.mix(one(u) + np.uint64(1))), 2 * (seed + i))[0] for (w, u), k in n.items()}
+        cw, tables = collections.Counter(), collections.Counter()
+        for (w, u), k in t.items():
+            cw[w] += k
+            tables[u] += k
+        tw = {w: lm.seat(np.array([int(k)]), np.array([(lm.THETA + d0 * r) / (v + 1)]), d0, one(w), 2 * (seed + i) + 1)[0] for w, k in cw.items()}
+        c, r = sum(cw.values()), sum(tw.values())
+        if i >= lm.BURN:
+            for w, u in {p for _, ps in keyed for p in ps}:
+                own = n[w, u] - d * t[w, u] if (w, u) in t else 0
+                mean[w, u] += (own + (lm.THETA + d * tables.get(u, 0)) * root(w)) / (lm.THETA + customers[u]) / (lm.SWEEPS - lm.BURN)
+    return [sum(math.log10(mean[p]) for p in ps) for _, ps in keyed]
+
+
+def test_scores_equal_a_plain_sampler_for_any_partitioning(spark, texts):
+    rows = [(i, t) for i, t in texts.items() if i != 74] + [(None, "null id of words"), (3, texts[3])]
+    want = sorted(zip([-1 if i is None else i for i, _ in rows], plain_model(rows)))
+    for parts in ("4", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in lm.score_corpus(table(spark, rows)).collect())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert [i for i, _ in got] == [i for i, _ in want] and [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-5)
 
 
 def test_contexts_are_the_preceding_tokens(spark):
