@@ -2,11 +2,11 @@
 
 Entities are found by one pattern of alternatives, so they never overlap: e-mail addresses, IPv4
 addresses, phone, social security and card numbers, access keys and labelled secrets, and names after a form
-of address.  Each gets a replacement derived from a secret key, the entity's type and its normal form,
+of address.  In a text with such a name, its words are entities wherever they stand alone with a capital, too.  Each gets a replacement derived from a secret key, the entity's type and its normal form,
 so every mention gets the same one in every document.  Replacements keep the type and the format:
 punctuation and length of numbers, valid octets, the issuer digit of cards and their check digit
 where it held, hexadecimal secrets, the top domain, upper and lower case, and for names the gender (from the form of
-address) and the script.  Names are replaced word by word, so "Mr John Reed" and a later "Mr Reed" keep
+address, or where that has none from a list of given names, else neither) and the script.  Names are replaced word by word, so "Mr John Reed" and a later "Mr Reed" keep
 the surname in common.  One domain name maps to one domain name.
 
 *Collision checks.*  All distinct entities are gathered; replacements that equal another's, or a real entity of
@@ -18,7 +18,9 @@ keyed hashes.  Only a format with fewer free values than that raises an error.
 
 Texts without entities are never shuffled.  The other documents' replacements are broadcast only while
 they are few (``broadcast_rows``), else joined by id.  Null and empty texts stay as they are, with no entities.
-Repeated rows, also ones that share an id, are each replaced by their own text.  Extra columns are kept.
+Repeated rows, also ones that share an id, are each replaced by their own text.  Extra columns are kept, but one named as
+the count is replaced by it.  An empty table gives no rows.  Patterns start only where a run of their characters does, and have
+bounds wherever a group repeats, so that the time is in proportion to a text whatever it holds.
 """
 
 from __future__ import annotations
@@ -28,21 +30,27 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import materialize
 
-# Forms of address, by gender.
-MALE = ["Mr", "Herr", "Monsieur", "Señor", "Господин"]
-FEMALE = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа"]
+# Forms of address, by gender, and given names that tell it where the form doesn't.
+MALE = ["Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Don", "Signor", "Господин"]
+FEMALE = ["Mrs", "Ms", "Miss", "Madam", "Lady", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Doña", "Signora", "Госпожа"]
+EITHER = ["Dr", "Prof", "Professor", "Doctor", "Доктор", "Профессор"]
+WOMEN = "mary anna ann anne maria elena laura emma julia sophie sarah susan linda karen lisa nancy helen ruth alice eva clara marie claire camille carmen lucia ana isabel greta heike petra monika olga irina tatiana анна мария елена ольга ирина татьяна наталья светлана".split()
+MEN = "john james robert michael david william thomas peter paul mark george charles henry jack hans karl klaus jürgen wolfgang stefan pierre jean jacques michel luc josé juan carlos luis pedro miguel ivan boris sergei dmitri иван пётр сергей дмитрий алексей николай борис михаил".split()
+TITLES = [*FEMALE, *MALE, *EITHER]
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+WORD = r"\p{Lu}\p{L}*+(?:['’-]\p{L}{2,}+){0,3}+"
 PATTERNS = {
-    "email": r"[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,256}+@(?:[A-Za-z0-9-]{1,63}+\.){1,100}[A-Za-z]{2,}+",
     "ip": rf"(?<![\w.])(?:{OCTET}\.){{3}}{OCTET}(?!\w|\.\d)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,5}(?!\w)",
     "card": r"(?<!\w)\d(?:[ -]?\d){12,18}(?!\w)",
     "key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
-    "secret": r"(?i:(?<!\w)(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d|pwd)[\"']?\s*[=:]\s*[\"']?)[A-Za-z0-9_\-/+]{8,}",
-    "name": r"(?<!\p{L})(?:" + "|".join([*FEMALE, *MALE]) + r")\.? \p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}",
+    "secret": r"(?i:(?<!\w)(?:api[_-]?key|access[_-]?key|token|secret|passw(?:or)?d|pwd)[\"']?\s*+[=:]\s*+[\"']?)[A-Za-z0-9_\-/+]{8,}+",
+    "name": r"(?<!\p{L})(?:" + "|".join(TITLES) + rf")\.? {WORD}(?: {WORD}){{0,2}}+",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+BARE = rf"(?<![\p{{L}}\p{{N}}_])(?:{WORD})"  # a capitalised word, looked at only in texts with names
 SAME = 8  # rounds of draws of a mailbox or secret before it grows
 LATIN = ["ba", "den", "fer", "gol", "har", "ki", "lan", "mor", "nel", "per", "ros", "san", "tor", "vel", "wen", "zan"]
 CYRILLIC = ["ба", "ден", "фер", "гол", "хар", "ки", "лан", "мор", "нел", "пер", "рос", "сан", "тор", "вел", "вен", "зан"]
@@ -50,19 +58,32 @@ CYRILLIC = ["ба", "ден", "фер", "гол", "хар", "ки", "лан", "
 
 def may_hold(text: Column) -> Column:
     """False only for texts in which no pattern can match: plain searches, far cheaper than the patterns."""
-    needed = ["@", *"0123456789", "AKIA", "ASIA", "=", ":", *(f"{x}{end}" for x in [*FEMALE, *MALE] for end in (" ", "."))]
+    return contains_any(text, ["@", *"0123456789", "AKIA", "ASIA", "=", ":"]) | may_name(text)
+
+
+def contains_any(text: Column, needed: list[str]) -> Column:
     out = text.contains(needed[0])
     for x in needed[1:]:
         out = out | text.contains(x)
     return out
 
 
+def may_name(text: Column) -> Column:
+    return contains_any(text, [f"{x}{end}" for x in TITLES for end in (" ", ".")])
+
+
+def by_names(text: Column, of) -> Column:
+    """``of`` the pattern for the text: with single capitalised words where it has a name."""
+    named = may_name(text) & text.rlike(PATTERNS["name"])
+    return F.when(named, of(f"{ANY}|{BARE}")).otherwise(of(ANY))
+
+
 def kind_of(hit: Column) -> Column:
     out = None
     for kind, pattern in PATTERNS.items():
         whole = hit.rlike(rf"\A(?:{pattern})\z")
         out = F.when(whole, kind) if out is None else out.when(whole, kind)
-    return out.otherwise("secret")
+    return out.when(hit.rlike(rf"\A{WORD}\z"), "bare").otherwise("secret")
 
 
 def digits(x: Column) -> Column:
@@ -127,12 +148,13 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     secret = F.concat(secret, F.when(value.rlike(r"\A[0-9A-F]{8,128}\z"), F.upper(more)).otherwise(more))
     access = F.concat(F.substr(value, F.lit(1), F.lit(4)), shaped(F.substr(value, F.lit(5)), seed))
     names = {}
-    for script, parts, female, male in (("latin", LATIN, ["a", "ia", "ina"], ["o", "us", "ek"]), ("cyrillic", CYRILLIC, ["а", "ия", "ина"], ["ий", "ек", "ан"])):
+    for script, parts, female, male, either in (("latin", LATIN, ["a", "ia", "ina"], ["o", "us", "ek"], ["e", "i", "y"]), ("cyrillic", CYRILLIC, ["а", "ия", "ина"], ["ий", "ек", "ан"], ["е", "и", "ю"])):
         part = lambda i, p=parts: F.element_at(F.array(*map(F.lit, p)), number_at(seed, i if isinstance(i, Column) else F.lit(i), len(p)) + 1)
         end = lambda e, i: F.element_at(F.array(*map(F.lit, e)), number_at(seed, F.lit(i), len(e)) + 1)
         grown = F.array_join(F.transform(F.sequence(F.lit(5), attempt + 5), lambda i: F.when(i > 5, part(i)).otherwise("")), "")  # noqa: B023
         names[f"given_f_{script}"] = F.concat(part(0), part(1), part(2), grown, end(female, 3))
         names[f"given_m_{script}"] = F.concat(part(0), part(1), part(2), grown, end(male, 3))
+        names[f"given_n_{script}"] = F.concat(part(0), part(1), part(2), grown, end(either, 3))
         names[f"surname_{script}"] = F.concat(part(0), part(1), part(2), part(3), part(4), grown)
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "phone", phone).when(kind == "card", card).when(kind == "key", access).when(kind == "secret", secret)
     for k, v in names.items():
@@ -143,25 +165,22 @@ def surrogate(key: str, kind: Column, value: Column, attempt: Column) -> Column:
 def atoms(hit: Column, kind: Column) -> Column:
     """Entities of a hit: itself, or each word of a name with gender and script."""
     words = F.split(F.regexp_replace(hit, r"\A\S+ ", ""), " ")
-    gender = F.when(hit.rlike(r"\A(?:" + "|".join(FEMALE) + r")\.? "), "f").otherwise("m")
+    title = lambda x: hit.rlike(r"\A(?:" + "|".join(x) + r")\.? ")
     last = F.size(words) - 1
 
     def atom(w, i):
         script = F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+        gender = F.when(title(FEMALE), "f").when(title(MALE), "m").when(F.lower(words[0]).isin(WOMEN), "f").when(F.lower(words[0]).isin(MEN), "m").otherwise("n")
         return F.struct(F.when(i == last, F.concat(F.lit("surname_"), script)).otherwise(F.concat(F.lit("given_"), gender, F.lit("_"), script)).alias("kind"), F.lower(w).alias("norm"), w.alias("raw"))
 
-    return F.when(kind == "name", F.transform(words, atom)).otherwise(F.array(F.struct(kind.alias("kind"), normal(kind, hit).alias("norm"), hit.alias("raw"))))
+    one = F.array(F.struct(kind.alias("kind"), F.when(kind == "bare", F.lower(hit)).otherwise(normal(kind, hit)).alias("norm"), hit.alias("raw")))
+    return F.when(kind == "name", F.transform(words, atom)).otherwise(one)
 
 
 def formatted(kind: Column, raw: Column, norm: Column, new: Column) -> Column:
     """The replacement in the mention's own format."""
-    symbols = chars(raw)
-
-    def put(c, i):
-        before = F.length(digits(F.substring(raw, F.lit(1), i + 1)))
-        return F.when(c.rlike("[0-9]"), F.substr(new, before, F.lit(1))).otherwise(c)
-
-    number = F.array_join(F.transform(symbols, put), "")
+    between = F.split(F.when(kind.isin("ssn", "phone", "card"), raw), "[0-9]", -1)  # what stands around the digits
+    number = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(between) - 1), chars(new), F.concat), ""), F.element_at(between, -1))
     name = F.when(F.upper(raw) == raw, F.upper(new)).otherwise(F.initcap(new))
     secret = F.concat(F.regexp_extract(raw, r"(?s)\A(.*?)[A-Za-z0-9_\-/+]+\z", 1), new)
     return F.when(kind.isin("ssn", "phone", "card"), number).when(kind.startswith("surname") | kind.startswith("given"), name).when(kind == "secret", secret).otherwise(new)
@@ -217,28 +236,37 @@ def free_values(now: DataFrame, bad: DataFrame, key: str) -> DataFrame:
     return materialize(out, "surrogates")
 
 
-def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000) -> DataFrame:
-    """``docs`` with entities in ``text_col`` replaced, and the count of replaced mentions as ``n_entities``."""
-    hits = F.regexp_extract_all(F.col("_text"), F.lit(ANY), F.lit(0))
+def mentions(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_id, _hash, _pos, _sub, _hit, _of, kind, norm, raw): an entity of a mention each; kind null for words that are no names."""
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+    hits = by_names(F.col("_text"), lambda p: F.regexp_extract_all(F.col("_text"), F.lit(p), F.lit(0)))
     found = plain.where(may_hold(F.col("_text"))).select("_id", F.xxhash64("_text").alias("_hash"), F.explode(F.array(hits)).alias("_hits")).where(F.size("_hits") > 0)
-    # one row per entity of a mention, so that the text is searched once here and once below
+    # one row per entity of a mention, so that the text is searched once here and once when it is put together
     each = found.select("_id", "_hash", F.posexplode("_hits").alias("_pos", "_hit")).withColumn("_kind", kind_of(F.col("_hit")))
     each = each.select("_id", "_hash", "_pos", "_hit", F.col("_kind"), F.posexplode(atoms(F.col("_hit"), F.col("_kind"))).alias("_sub", "_atom"))
     each = materialize(each.select("_id", "_hash", "_pos", "_sub", "_hit", F.col("_kind").alias("_of"), "_atom.*").distinct(), "mentions")
-    table = surrogate_table(each.select("kind", "norm").distinct(), key)
-    new = each.join(table, ["kind", "norm"]).withColumn("_new", formatted(F.col("kind"), F.col("raw"), F.col("norm"), F.col("new")))
-    spoken = new.groupBy("_id", "_hash", "_pos", "_of", "_hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_sub", "_new"))), lambda x: x["_new"]), " ").alias("_new"))
+    # a word alone is the name that the text first gives it
+    own = each.where("_of = 'name'").groupBy("_id", "_hash", "norm").agg(F.min(F.struct("_pos", "_sub", "kind"))["kind"].alias("_as"))
+    own = own.select(F.col("_id").alias("_oid"), F.col("_hash").alias("_ohash"), F.col("norm").alias("_onorm"), "_as")
+    bare = each.where("_of = 'bare'").join(own, F.col("_id").eqNullSafe(F.col("_oid")) & (F.col("_hash") == F.col("_ohash")) & (F.col("norm") == F.col("_onorm")), "left")
+    return each.where("_of <> 'bare'").unionByName(bare.withColumn("kind", F.col("_as")).select(each.columns))
+
+
+def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 200_000, count_col: str = "n_entities") -> DataFrame:
+    """``docs`` with entities in ``text_col`` replaced, and the number of replaced mentions as ``count_col``."""
+    each = materialize(mentions(docs, id_col, text_col), "entities")
+    table = surrogate_table(each.where("kind is not null").select("kind", "norm").distinct(), key)
+    new = each.join(table, ["kind", "norm"], "left").withColumn("_new", F.when(F.col("kind").isNull(), F.col("raw")).otherwise(formatted(F.col("kind"), F.col("raw"), F.col("norm"), F.col("new"))))
+    spoken = new.groupBy("_id", "_hash", "_pos", "_of", "_hit").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_sub", "_new"))), lambda x: x["_new"]), " ").alias("_new"), F.max(F.col("kind").isNotNull()).alias("_real"))
     spoken = spoken.withColumn("_new", F.when(F.col("_of") == "name", F.concat(F.regexp_extract("_hit", r"\A(\S+ )", 1), "_new")).otherwise(F.col("_new")))
-    lists = spoken.groupBy("_id", "_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_new"))), lambda x: x["_new"]).alias("_list"))
-    lists = materialize(lists.withColumnsRenamed({"_id": "_lid", "_hash": "_lhash"}), "replacements")
+    lists = spoken.groupBy("_id", "_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("_pos", "_new"))), lambda x: x["_new"]).alias("_list"), F.count_if("_real").alias("_count"))
+    lists = materialize(lists.where("_count > 0").withColumnsRenamed({"_id": "_lid", "_hash": "_lhash"}), "replacements")
     small = lists.count() <= broadcast_rows
     names = docs.columns
     work = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     same = F.col("_id").eqNullSafe(F.col("_lid")) & (F.xxhash64("_text") == F.col("_lhash"))
     joined = work.join(F.broadcast(lists) if small else lists, same, "left")
-    pieces = F.split("_text", ANY, -1)
+    pieces = by_names(F.col("_text"), lambda p: F.split("_text", p, -1))
     woven = F.concat(F.array_join(F.zip_with(F.slice(pieces, 1, F.size("_list")), "_list", lambda a, b: F.concat(a, b)), ""), F.element_at(pieces, -1))
     text = F.when(F.col("_list").isNull(), F.col("_text")).otherwise(woven)
-    count = F.coalesce(F.size("_list"), F.lit(0)).cast("long")
-    return joined.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in names], F.when(F.col("_list").isNull(), F.lit(0)).otherwise(count).cast("long").alias("n_entities"))
+    return joined.select(*[(text if c == text_col else F.col(f"_row.`{c}`")).alias(c) for c in names if c != count_col], F.coalesce("_count", F.lit(0)).cast("long").alias(count_col))
