@@ -96,14 +96,57 @@ BASE = f"with {CUST}, {frame_sql('cust', [*X, Y])}"
 REPS = f"reps as (select unnest(range(1, {B + 1})) as rep)"
 
 
-def move_sql(name: str, work: str, keep: str, count: int = B) -> str:
-    return f"select rep, w.rid, row_number() over (partition by rep order by md5(concat_ws(':', '{SEED}', '{name}', rep::varchar, w.rid::varchar)), w.rid) as pos, {keep} from {work} w, (select unnest(range(1, {count + 1})) as rep)"
+PRIME, ROUNDS = resample.PRIME, resample.ROUNDS
+
+
+def constants_sql(name: str, count: int, rounds: int = ROUNDS) -> str:
+    """A row a replicate: lists of the shifts, factors and addends of its rounds."""
+    d = f"md5(concat_ws(':', '{SEED}', '{name}', rep::varchar, i::varchar))"
+    part = lambda at, size: f"('0x' || substr(d, {at}, {size}))::bigint"
+    return f"select rep, list({part(1, 15)} order by i) as s, list({part(16, 8)} % {PRIME - 1} + 1 order by i) as a, list({part(24, 8)} % {PRIME} order by i) as b from (select rep, i, {d} as d from (select unnest(range(1, {count + 1})) as rep), (select unnest(range(0, {rounds})) as i)) group by rep"
+
+
+def moves_sql(name: str, work: str, keep: str, out: str, count: int = B) -> str:
+    """CTEs that end in ``out``: (rep, rid, pos, keep) of the rows of ``work`` in every replicate."""
+    ctes = [f"{out}_0 as (select c.*, w.rid, w.rid - 1 as x, (select count(*) from {work}) as n, {keep} from {work} w, ({constants_sql(name, count)}) c)"]
+    for i in range(1, ROUNDS + 1):
+        y = f"(select *, ((s[{i}] % n - x) % n + n) % n as y from {out}_{i - 1})"
+        h = f"(select *, (a[{i}] * (greatest(x, y) % {PRIME}) + b[{i}]) % {PRIME} as h from {y})"
+        ctes.append(f"{out}_{i} as (select * exclude (x, y, h), case when ((h * h + b[{i}]) % {PRIME}) % 2 = 1 then y else x end as x from {h})")
+    return ", ".join(ctes) + f", {out} as materialized (select * exclude (x, n, s, a, b), x + 1 as pos from {out}_{ROUNDS})"
+
+
+def uniform_sql(pos: str) -> str:
+    """A draw for each position, from the columns s, a, b of constants_sql with two rounds."""
+    h = f"((a[1] * ({pos} % {PRIME}) + b[1]) % {PRIME})"
+    return f"(((a[2] * (({h} * {h} + b[2]) % {PRIME}) + b[1]) % {PRIME}) / {PRIME}::double)"
 
 
 def stars_sql(p: str) -> str:
     return f"round_even({p}, 3)::varchar || case when {p} < 0.01 then ' (**)' when {p} < 0.05 then ' (*)' else ' (ns)' end"
 
 
+def integral_sql(f, top: str, points: int = 2000) -> str:
+    """Simpson's rule over 0..top of ``f`` (SQL of x)."""
+    weight = f"case when i = 0 or i = {points} then 1 when i % 2 = 1 then 4 else 2 end"
+    return f"(select sum(({weight}) * ({f('(i * top / ' + str(float(points)) + ')')})) * any_value(top) / {3 * points} from (select unnest(range(0, {points + 1})) as i, {top} as top))"
+
+
+def t_tail_sql(t: str, df: str) -> str:
+    f = lambda x: f"pow(1 + {x} * {x} / ({df}), -(({df}) + 1) / 2)"
+    return f"greatest(0, 1 - 2 * exp(lgamma((({df}) + 1) / 2) - lgamma(({df}) / 2)) / sqrt(({df}) * pi()) * {integral_sql(f, f'abs({t})')})"
+
+
+def z_tail_sql(z: str) -> str:
+    return f"greatest(0, 1 - 2 / sqrt(2 * pi()) * {integral_sql(lambda x: f'exp(-{x} * {x} / 2)', f'abs({z})')})"
+
+
+def f_tail_sql(f: str, one: str, two: str) -> str:
+    a, b = f"(({one}) / 2.0::double)", f"(({two}) / 2.0::double)"
+    beta = integral_sql(lambda x: f"2 * pow({x}, 2 * {a} - 1) * pow(1 - {x} * {x}, {b} - 1)", f"sqrt(({f}) * ({one}) / (({f}) * ({one}) + ({two})))")
+    return f"greatest(0, 1 - exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) * {beta})"
+
+
 # ---------------------------------------------------------------- sources, projections, outcomes
 
 
@@ -172,11 +215,14 @@ def pearson_t(spark, sf_dir):
     return spark.createDataFrame(rows, "a string, b string, t double").withColumn("t", r6("t", 4))
 
 
-@query()
+PEARSON = f"with {CUST}, r as (" + " union all ".join(f"select '{a}' as a, '{b}' as b, count(*)::double as n, covar_samp({a}, {b}) / nullif(stddev_samp({a}) * stddev_samp({b}), 0) as r from cust" for a, b in PAIRS) + "), t as (select a, b, n, r * sqrt((n - 2) / (1 - r * r)) as t from r)"
+
+
+@query(f"{PEARSON} select a, b, round_even({t_tail_sql('t.t', 't.n - 2')}, 6) as p from t")
 def pearson_p(spark, sf_dir):
-    """Two-sided p-values; SQL has no t distribution."""
+    """Two-sided p-values; the SQL integrates the density."""
     _, m = customers(spark, sf_dir)
-    return spark.createDataFrame([(a, b, tails.pearson_p(confounding.correlation(m, a, b), m.n)) for a, b in PAIRS], "a string, b string, p double")
+    return spark.createDataFrame([(a, b, tails.pearson_p(confounding.correlation(m, a, b), m.n)) for a, b in PAIRS], "a string, b string, p double").withColumn("p", r6("p"))
 
 
 # |t| at the 5 % level for v degrees of freedom, by the expansion around the normal quantile z
@@ -233,12 +279,16 @@ def classic_t_linear(spark, sf_dir):
     return spark.createDataFrame([(c["feature"], c["se"], c["stat"]) for c in linear.coefficients(m, X, Y)], "feature string, se double, stat double").select("feature", r6("se").alias("se"), r6("stat", 4).alias("stat"))
 
 
-@query()
+T_ROWS = " union all ".join(f"select '{c}' as feature, m.n - {len(X) + 1} as df, {slopes(Y, X)[i]} / {se_sql(i)} as t, ({cov(Y, Y)} * m.n - {rss(Y, X)}) / {len(X)} / ({rss(Y, X)} / (m.n - {len(X) + 1})) as f from m" for i, c in enumerate(X))
+
+
+@query(f"{BASE}, t as ({T_ROWS}), p as (select feature, {t_tail_sql('t.t', 't.df')} as p, {f_tail_sql('t.f', str(len(X)), 't.df')} as fp from t) select feature, round_even(p, 6) as p_classic, {stars_sql('p')} as p_classic_str, round_even(fp, 6) as f_p_value from p")
 def classic_pvalues_linear(spark, sf_dir):
-    """Classical p-values with marks, F and its p-value; SQL has neither tail."""
+    """Classical p-values with marks, and that of F; the SQL integrates the densities."""
     _, m = customers(spark, sf_dir)
     f = linear.diagnostics(m, X, Y)["f_p_value"]
-    return spark.createDataFrame([(c["feature"], c["p_classic"], text.marked(c["p_classic"], 3, 0.05, 0.01), float(f)) for c in linear.coefficients(m, X, Y)], "feature string, p_classic double, p_classic_str string, f_p_value double")
+    rows = spark.createDataFrame([(c["feature"], c["p_classic"], text.marked(c["p_classic"], 3, 0.05, 0.01), float(f)) for c in linear.coefficients(m, X, Y)], "feature string, p_classic double, p_classic_str string, f_p_value double")
+    return rows.withColumn("p_classic", r6("p_classic")).withColumn("f_p_value", r6("f_p_value"))
 
 
 @query(f"{BASE} select rid, round_even({fit_sql(Y, ['n_f', 'balance'])}, 6) as fitted, round_even({resid(Y, ['n_f', 'balance'])}, 6) + 0.0 as residual from fr, m")
@@ -272,13 +322,13 @@ def rss_metric(spark, sf_dir):
 # ---------------------------------------------------------------- resampling
 
 
-@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), p as ({move_sql('n_orders', 'fr', 'round_even(spend, 8) as spend', 5)}) select rep, rid, pos, spend from p")
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {moves_sql('n_orders', 'fr', 'round_even(spend, 8) as spend', 'p', 5)} select rep, rid, pos, spend from p")
 def permute_residuals(spark, sf_dir):
     frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
     return resample.permuted(frame, frame.count(), 5, SEED, "n_orders", [Y]).select("rep", "rid", "pos", F.bround(Y, 8).alias(Y))
 
 
-@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), p as ({move_sql('joint', 'fr', 'n_orders, n_f', 5)}) select rep, rid, pos, n_orders, n_f from p")
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {moves_sql('joint', 'fr', 'n_orders, n_f', 'p', 5)} select rep, rid, pos, n_orders, n_f from p")
 def permute_rows_joint(spark, sf_dir):
     frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
     return resample.permuted(frame, frame.count(), 5, SEED, "joint", ["n_orders", "n_f"]).select("rep", "rid", "pos", "n_orders", "n_f")
@@ -299,11 +349,11 @@ def bootstrap_indices(spark, sf_dir):
     return resample.bootstrap(frame, frame.count(), 5, SEED, [Y]).select("rep", "slot", "rid")
 
 
-@query(f"with {LBL}, fr as (select row_number() over (order by id) as rid, * from lbl) select rep, rid, ({draw_sql(f'''concat_ws(':', '{SEED}', 'k_chars:draw', rep::varchar, rid::varchar)''')}::double / pow(2, 60) < least(greatest(k_chars / 10, 0.001), 0.999))::int::double as y from fr, (select unnest(range(1, 4)) as rep)")
+@query(f"with {LBL}, fr as (select row_number() over (order by id) as rid, * from lbl), c as ({constants_sql('k_chars:draw', 3, 2)}), {moves_sql('k_chars', 'fr', 'k_chars', 'p', 3)} select rep, rid, pos, ({uniform_sql('pos')} < least(greatest(k_chars / 10, 0.001), 0.999))::int::double as y from p join c using (rep)")
 def bernoulli_outcome(spark, sf_dir):
     frame = prepare(tables.labelled(spark, sf_dir), "id", ["k_chars"], "quality")
-    rows = frame.crossJoin(F.broadcast(resample.replicates(spark, 3)))
-    return rows.select("rep", "rid", resample.bernoulli(F.col("k_chars") / 10, resample.key(SEED, "k_chars:draw", F.col("rep"), F.col("rid"))).alias("y"))
+    rows = resample.permuted(frame, frame.count(), 3, SEED, "k_chars", ["k_chars"], "k_chars:draw")
+    return rows.select("rep", "rid", "pos", resample.bernoulli(F.col("k_chars") / 10, F.col("u")).alias("y"))
 
 
 # ---------------------------------------------------------------- permutation tests, linear
@@ -330,7 +380,7 @@ def braak_sql() -> str:
     ctes = []
     for c in X:
         rest = [x for x in X if x != c]
-        ctes.append(f"w_{c} as materialized (select rid, {resid(Y, rest)} as e, {resid(c, rest)} as x from fr, m), p_{c} as ({move_sql(c, f'w_{c}', 'w.e')}), s_{c} as (select rep, sum(w.x * p.e) / (select sum(x * x) from w_{c}) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
+        ctes.append(f"w_{c} as materialized (select rid, {resid(Y, rest)} as e, {resid(c, rest)} as x from fr, m), {moves_sql(c, f'w_{c}', 'w.e', f'p_{c}')}, s_{c} as (select rep, sum(w.x * p.e) / (select sum(x * x) from w_{c}) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
     return ", ".join(ctes)
 
 
@@ -346,7 +396,7 @@ def kennedy_sql(z: list[str]) -> str:
             continue
         a, b = [x for x in X if x != c]
         ctes.append(
-            f"w_{c} as materialized (select rid, {resid(c, z)} as r, {resid(Y, [a, b])} as e, {resid(a, [])} as q0, {resid(b, [a])} as q1 from fr, m), p_{c} as ({move_sql(c, f'w_{c}', 'w.r')}), k_{c} as (select sum(r * r) as rr, sum(q0 * q0) as n0, sum(q1 * q1) as n1 from w_{c}), "
+            f"w_{c} as materialized (select rid, {resid(c, z)} as r, {resid(Y, [a, b])} as e, {resid(a, [])} as q0, {resid(b, [a])} as q1 from fr, m), {moves_sql(c, f'w_{c}', 'w.r', f'p_{c}')}, k_{c} as (select sum(r * r) as rr, sum(q0 * q0) as n0, sum(q1 * q1) as n1 from w_{c}), "
             f"s_{c} as (select rep, sum(w.e * p.r) / ((select rr from k_{c}) - pow(sum(w.q0 * p.r), 2) / (select n0 from k_{c}) - pow(sum(w.q1 * p.r), 2) / (select n1 from k_{c})) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
     return ", ".join(ctes)
 
@@ -361,26 +411,45 @@ def kennedy_linear_confounders(spark, sf_dir):
     return coefficient_rows(run_test(spark, sf_dir, "kennedy", ["n_f"]))
 
 
-def joint_sql() -> str:
-    t, z = ["n_orders", "n_f"], ["balance"]
-    work = f"w as materialized (select rid, {resid(Y, z)} as y, {resid(t[0], z)} as x0, {resid(t[1], z)} as x1, {resid('balance', [])} as q from fr, m), p as ({move_sql('joint', 'w', 'w.x0, w.x1')})"
-    gram = "g as (select sum(x0 * x0) as g00, sum(x0 * x1) as g01, sum(x1 * x1) as g11, sum(q * q) as qq from w)"
-    sums = "u as (select rep, sum(w.y * p.x0) as c0, sum(w.y * p.x1) as c1, sum(w.q * p.x0) as a0, sum(w.q * p.x1) as a1 from p join w on w.rid = p.pos group by rep)"
-    solve = "s as (select *, g00 - a0 * a0 / qq as s00, g01 - a0 * a1 / qq as s01, g11 - a1 * a1 / qq as s11 from u, g), i as (select (c0 * c0 * s11 - 2 * c0 * c1 * s01 + c1 * c1 * s00) / (s00 * s11 - s01 * s01) as v from s)"
-    obs = f"o as (select {rss(Y, z)} - {rss(Y, X)} as ob from m), b as (select count(*) filter (v >= ob - 1e-9 * greatest(1, abs(ob))) as b, count(*) as k from i, o)"
-    return f"{BASE}, {work}, {gram}, {sums}, {solve}, {obs} select round_even(ob, 6) as observed_improvement, b as n_exceed, k as n_perm, round_even((b + 1) / (k + 1), 6) as p_value, {stars_sql('((b + 1) / (k + 1))')} as p_value_str, 'RSS Reduction' as metric_type, 'linear' as model_type, 'n_orders, n_f' as features_tested, 'balance' as confounders from b, o"
+def joint_rows_sql(obs: str, metric: str, kind: str, tested: list[str], z: list[str]) -> str:
+    """From i (v: the improvement of each replicate) and ``obs``, the observed one."""
+    return f"o as ({obs}), b as (select count(*) filter (v >= ob - 1e-9 * greatest(1, abs(ob))) as b, count(*) as k from i, o) select round_even(any_value(ob), 6) as observed_improvement, any_value(b) as n_exceed, any_value(k) as n_perm, round_even((any_value(b) + 1) / (any_value(k) + 1), 6) as p_value, {stars_sql('((any_value(b) + 1) / (any_value(k) + 1))')} as p_value_str, '{metric}' as metric_type, '{kind}' as model_type, '{', '.join(tested)}' as features_tested, '{', '.join(z)}' as confounders from b, o"
 
 
-@query(joint_sql())
-def kennedy_joint_linear(spark, sf_dir):
-    t = run_test(spark, sf_dir, "kennedy_joint", ["balance"]).joint_table()
+def joint_sql(z: list[str]) -> str:
+    t = [c for c in X if c not in z]
+    k, q = len(t), len(z)
+    basis = [f"{resid(c, z[:i])} as q{i}" for i, c in enumerate(z)]
+    values = ", ".join([f"{resid(Y, z)} as y", *[f"{resid(c, z)} as x{i}" for i, c in enumerate(t)], *basis])
+    work = f"w as materialized (select rid, {values} from fr, m), {moves_sql('joint', 'w', ', '.join(f'w.x{i}' for i in range(k)), 'p')}"
+    gram = "g as (select " + ", ".join([f"sum(x{i} * x{j}) as g{i}{j}" for i in range(k) for j in range(k)] + [f"sum(q{a} * q{a}) as n{a}" for a in range(q)]) + " from w)"
+    sums = "u as (select rep, " + ", ".join([f"sum(w.y * p.x{i}) as c{i}" for i in range(k)] + [f"sum(w.q{a} * p.x{i}) as a{a}{i}" for a in range(q) for i in range(k)]) + " from p join w on w.rid = p.pos group by rep)"
+    inner = [["(g%d%d%s)" % (i, j, "".join(f" - a{a}{i} * a{a}{j} / n{a}" for a in range(q))) for j in range(k)] for i in range(k)]
+    solved = " + ".join(f"c{i} * {det([[f'c{r}' if col == i else inner[r][col] for col in range(k)] for r in range(k)])}" for i in range(k))
+    improvement = f"i as (select ({solved}) / {det(inner)} as v from u, g)"
+    return f"{BASE}, {work}, {gram}, {sums}, {improvement}, " + joint_rows_sql(f"select {rss(Y, z) if z else f'm.n * {cov(Y, Y)}'} - {rss(Y, X)} as ob from m", "RSS Reduction", "linear", t, z)
+
+
+def joint_columns(test: api.PermutationTest) -> DataFrame:
+    t = test.joint_table()
     return t.select(r6("observed_improvement").alias("observed_improvement"), "n_exceed", "n_perm", r6("p_value").alias("p_value"), "p_value_str", "metric_type", "model_type", F.array_join("features_tested", ", ").alias("features_tested"), F.array_join("confounders", ", ").alias("confounders"))
 
 
-@query()
+@query(joint_sql(["balance"]))
+def kennedy_joint_linear(spark, sf_dir):
+    return joint_columns(run_test(spark, sf_dir, "kennedy_joint", ["balance"]))
+
+
+@query(joint_sql([]))
+def kennedy_joint_linear_all(spark, sf_dir):
+    """Without confounders: the exposure model is the mean alone."""
+    return joint_columns(run_test(spark, sf_dir, "kennedy_joint"))
+
+
+@query(f"{BASE}, {braak_sql()} " + " union all ".join(exceed_sql(c, i) for i, c in enumerate(X)))
 def ter_braak_replicates(spark, sf_dir):
-    """The same test by the replicate-parallel plan, whose generator SQL doesn't have."""
-    return api.PermutationTest(tables.customers(spark, sf_dir), "id", X, Y, "ter_braak", None, 5000, SEED, plan="replicates").coefficient_table()
+    """The same test by the replicate-parallel plan, from the same draws."""
+    return coefficient_rows(api.PermutationTest(tables.customers(spark, sf_dir), "id", X, Y, "ter_braak", None, B, SEED, plan="replicates"))
 
 
 PS = [0.0, 0.004, 0.01, 0.0100001, 0.049, 0.05, 0.2, 0.0005, 1.0]
@@ -524,32 +593,132 @@ def deviance_metric(spark, sf_dir):
     return e.agg(F.bround(F.lit(dev), 4).alias("deviance"), r6(F.sum(F.col("quality") - F.col("p"))).alias("score_0"), r6(F.sum((F.col("quality") - F.col("p")) * F.col("k_chars"))).alias("score_1"))
 
 
-@query()
+LX, LY = ["k_chars", "n_dig"], "quality"
+LBASE = f"with {LBL}, {frame_sql('lbl', [*LX, LY])}"
+
+
+def logit_sql(name: str, rows: str, y: str, z: list[str], steps: int) -> str:
+    """CTEs that end in ``name``_b: (rep, b0, b1, ..., size of the last step), by Newton steps over ``rows`` (rep, y, z) of all replicates at once."""
+    k = len(z) + 1
+    x = ["1.0::double", *[f"r.{c}" for c in z]]
+    h = [[f"h{min(i, j)}{max(i, j)}" for j in range(k)] for i in range(k)]
+    out = [f"{name}_0 as (select distinct rep, {', '.join(f'0.0::double as b{i}' for i in range(k))}, 1.0::double as size from {rows})"]
+    for t in range(steps):
+        eta = " + ".join(f"b{i} * {c}" for i, c in enumerate(x))
+        sums = ", ".join([f"sum((r.{y} - p) * {x[i]}) as g{i}" for i in range(k)] + [f"sum(p * (1 - p) * {x[i]} * {x[j]}) as h{i}{j}" for i in range(k) for j in range(i, k)])
+        low = ", ".join(f"any_value(b{i}) as b{i}" for i in range(k))
+        grad = f"select rep, {low}, {sums} from (select r.*, b.* exclude (rep), 1 / (1 + exp(-({eta}))) as p from {rows} r join {name}_{t} b on r.rep = b.rep) r group by rep"
+        move = ", ".join(f"{det([[f'g{r}' if c == i else h[r][c] for c in range(k)] for r in range(k)])} / d as s{i}" for i in range(k))
+        size = "greatest(" + ", ".join(f"abs(s{i})" for i in range(k)) + ")" if k > 1 else "abs(s0)"
+        new = ", ".join(f"case when {size} < 1e-8 then b{i} else b{i} + s{i} * least(1, 5 / {size}) end as b{i}" for i in range(k))
+        out.append(f"{name}_{t + 1} as materialized (select rep, {new}, {size} as size from (select *, {move} from (select *, {det(h)} as d from ({grad}))))")
+    return ", ".join(out) + f", {name}_b as (select * from {name}_{steps})"
+
+
+SCALED = ", ".join(f"({c} - m.m_{c}) / sqrt({cov(c, c)}) as z_{c}" for c in LX)
+#: The observed model of LX: ob_b, in scaled columns.
+OBSERVED = f"ob_r as materialized (select 0 as rep, {LY} as y, {SCALED} from fr, m), " + logit_sql("ob", "ob_r", "y", [f"z_{c}" for c in LX], 12)
+
+
+def refit_sql(name: str, moved: str) -> str:
+    """CTEs of the refits of all replicates over ``moved`` (rep, y, LX)."""
+    return f"{name}_r as materialized (select rep, y, {SCALED} from {moved}, m), " + logit_sql(name, f"{name}_r", "y", [f"z_{c}" for c in LX], 30)
+
+
+def logistic_rows_sql(names: dict[str, str], z: list[str]) -> str:
+    parts = []
+    for i, c in enumerate(LX, 1):
+        coef = f"((select b{i} from ob_b) / (select sqrt({cov(c, c)}) from m))"
+        shown = f"select '{c}' as feature, {i - 1} as ordinal, round_even({coef}, 6) as coef"
+        if c in z:
+            parts.append(f"{shown}, 0::bigint as n_exceed, 0::bigint as n_perm, null::double as p_emp, '{text.MASKED}' as p_emp_str")
+            continue
+        sound = f"select abs(b{i} / (select sqrt({cov(c, c)}) from m)) >= abs({coef}) * (1 - 1e-9) as far, coalesce(size < 1e-8, false) as ok from {names[c]}_b"
+        parts.append(f"{shown}, b as n_exceed, k as n_perm, round_even((b + 1) / (k + 1), 6) as p_emp, {stars_sql('((b + 1) / (k + 1))')} as p_emp_str from (select count(*) filter (ok and far) as b, count(*) filter (ok) as k from ({sound}))")
+    return " union all ".join(parts)
+
+
+def braak_logistic_sql() -> str:
+    ctes, names = [OBSERVED], {}
+    for c in LX:
+        (rest,) = [x for x in LX if x != c]
+        names[c] = f"t_{c}"
+        ctes += [
+            f"a_{c}_r as (select 0 as rep, {LY} as y, ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)}) as z from fr, m)", logit_sql(f"a_{c}", f"a_{c}_r", "y", ["z"], 12),
+            f"e_{c} as materialized (select rid, p, {LY} - p as e from (select rid, {LY}, 1 / (1 + exp(-((select b0 from a_{c}_b) + (select b1 from a_{c}_b) * ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)})))) as p from fr, m))",
+            moves_sql(c, f"e_{c}", "w.e", f"v_{c}"), f"u_{c} as ({constants_sql(f'{c}:draw', B, 2)})",
+            f"y_{c} as (select v.rep, ({uniform_sql('v.pos')} < least(greatest(w.p + v.e, 0.001), 0.999))::int::double as y, {', '.join(f'fr.{x}' for x in LX)} from v_{c} v join u_{c} using (rep) join e_{c} w on w.rid = v.pos join fr on fr.rid = v.pos)",
+            refit_sql(f"t_{c}", f"y_{c}"),
+        ]
+    return f"{LBASE}, {', '.join(ctes)} {logistic_rows_sql(names, [])}"
+
+
+def kennedy_logistic_sql(z: list[str]) -> str:
+    ctes, names = [OBSERVED], {}
+    for c in [x for x in LX if x not in z]:
+        names[c] = f"t_{c}"
+        hat = fit_sql(c, z)
+        kept = ", ".join(f"fr.{x}" if x != c else f"{hat} + v.r as {x}" for x in LX)
+        for x in z:
+            kept = kept.replace(f"*({x}-", f"*(fr.{x}-")
+        ctes += [f"w_{c} as materialized (select rid, {resid(c, z)} as r from fr, m)", moves_sql(c, f"w_{c}", "w.r", f"v_{c}"), f"y_{c} as (select v.rep, fr.{LY} as y, {kept} from v_{c} v join fr on fr.rid = v.pos, m)", refit_sql(f"t_{c}", f"y_{c}")]
+    return f"{LBASE}, {', '.join(ctes)} {logistic_rows_sql(names, z)}"
+
+
+def joint_logistic_sql() -> str:
+    values = ", ".join(f"{resid(c, [])} as r_{c}" for c in LX)
+    ctes = [OBSERVED, f"w as materialized (select rid, {values} from fr, m)", moves_sql("joint", "w", ", ".join(f"w.r_{c}" for c in LX), "v"), f"y_j as (select v.rep, fr.{LY} as y, {', '.join(f'm.m_{c} + v.r_{c} as {c}' for c in LX)} from v join fr on fr.rid = v.pos, m)", refit_sql("t", "y_j")]
+    deviance = lambda name: f"select r.rep, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) as d from (select r.rep, r.y, least(greatest(1 / (1 + exp(-(b0 + b1 * z_{LX[0]} + b2 * z_{LX[1]}))), 2.220446049250313e-16), 1 - 2.220446049250313e-16) as p from {name}_r r join {name}_b b on r.rep = b.rep) r group by r.rep"
+    base = f"(select -2 * m.n * (m.m_{LY} * ln(m.m_{LY}) + (1 - m.m_{LY}) * ln(1 - m.m_{LY})) from m)"
+    ctes += [f"i as (select {base} - d as v from ({deviance('t')}) join t_b using (rep) where size < 1e-8)"]
+    return f"{LBASE}, {', '.join(ctes)}, " + joint_rows_sql(f"select {base} - d as ob from ({deviance('ob')})", "Deviance Reduction", "logistic", LX, [])
+
+
+LOGIT_P = f"x as (select sum(p * (1 - p)) as h00, " + ", ".join(f"sum(p * (1 - p) * z{i}) as h0{i}" for i in (1, 2)) + ", sum(p * (1 - p) * z1 * z1) as h11, sum(p * (1 - p) * z1 * z2) as h12, sum(p * (1 - p) * z2 * z2) as h22, sum(y * ln(p) + (1 - y) * ln(1 - p)) as ll, any_value(b1) as b1, any_value(b2) as b2 from (select y, b1, b2, z_k_chars as z1, z_n_dig as z2, 1 / (1 + exp(-(b0 + b1 * z_k_chars + b2 * z_n_dig))) as p from ob_r, ob_b))"
+
+
+def wald_sql() -> str:
+    h = [[f"x.h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    parts = []
+    for i, c in enumerate(LX, 1):
+        minor = [[h[r][k] for k in range(3) if k != i] for r in range(3) if r != i]
+        parts.append(f"select '{c}' as feature, x.b{i} / sqrt({cov(c, c)}) as coef, x.b{i} / sqrt({det(minor)} / {det(h)}) as stat, exp(-(x.ll - m.n * (m.m_{LY} * ln(m.m_{LY}) + (1 - m.m_{LY}) * ln(1 - m.m_{LY})))) as llr from x, m")
+    return f"{LBASE}, {OBSERVED}, {LOGIT_P}, w as ({' union all '.join(parts)}) select feature, round_even(coef, 6) as coef, round_even(stat, 4) as stat, round_even({z_tail_sql('w.stat')}, 6) as p_classic, round_even(llr, 6) as llr_p_value from w"
+
+
+@query(wald_sql())
 def classic_pvalues_logistic(spark, sf_dir):
-    """Wald and likelihood-ratio p-values; SQL has neither tail."""
-    frame, m = labelled(spark, sf_dir, ["k_chars", "n_dig"], "quality")
-    model = logistic.fit(frame, m, "quality", ["k_chars", "n_dig"])
-    p = logistic.diagnostics(model, m, ["k_chars", "n_dig"], "quality")["llr_p_value"]
-    return spark.createDataFrame([(c["feature"], c["coef"], c["stat"], c["p_classic"], p) for c in logistic.coefficients(model, ["k_chars", "n_dig"])], "feature string, coef double, stat double, p_classic double, llr_p_value double")
+    """Wald and likelihood-ratio p-values; the SQL integrates the normal density (with two features the ratio's tail is an exponential)."""
+    frame, m = labelled(spark, sf_dir, LX, LY)
+    model = logistic.fit(frame, m, LY, LX)
+    p = logistic.diagnostics(model, m, LX, LY)["llr_p_value"]
+    rows = spark.createDataFrame([(c["feature"], c["coef"], c["stat"], c["p_classic"], p) for c in logistic.coefficients(model, LX)], "feature string, coef double, stat double, p_classic double, llr_p_value double")
+    return rows.select("feature", r6("coef").alias("coef"), r6("stat", 4).alias("stat"), r6("p_classic").alias("p_classic"), r6("llr_p_value").alias("llr_p_value"))
 
 
 def logistic_test(spark, sf_dir, method: str, confounders=()):
-    return api.PermutationTest(tables.labelled(spark, sf_dir), "id", ["k_chars", "n_dig"], "quality", method, list(confounders), B, SEED)
+    return run_test(spark, sf_dir, method, confounders, LX, LY, tables.labelled)
 
 
-@query()
+@query(braak_logistic_sql())
 def ter_braak_logistic(spark, sf_dir):
-    return logistic_test(spark, sf_dir, "ter_braak").coefficient_table()
+    return coefficient_rows(logistic_test(spark, sf_dir, "ter_braak"))
 
 
-@query()
+@query(kennedy_logistic_sql(["n_dig"]))
 def kennedy_logistic(spark, sf_dir):
-    return logistic_test(spark, sf_dir, "kennedy", ["n_dig"]).coefficient_table()
+    return coefficient_rows(logistic_test(spark, sf_dir, "kennedy", ["n_dig"]))
 
 
-@query()
+@query(kennedy_logistic_sql([]))
+def kennedy_logistic_all(spark, sf_dir):
+    """Without confounders: the exposure model is the mean alone."""
+    return coefficient_rows(logistic_test(spark, sf_dir, "kennedy"))
+
+
+@query(joint_logistic_sql())
 def kennedy_joint_logistic(spark, sf_dir):
-    return logistic_test(spark, sf_dir, "kennedy_joint").joint_table()
+    return joint_columns(logistic_test(spark, sf_dir, "kennedy_joint"))
 
 
 # ---------------------------------------------------------------- text

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from resampla.operators import resample
 from resampla.plans.frame import CollinearFeatureError, Moments, linear, residual
 
 EPS = 2.220446049250313e-16  # fixed value: probabilities are kept this far from 0 and 1 in the deviance
-KERNEL_BYTES = 64 << 20
+STEPS = 30  # Newton steps of a replicate, in both plans
 
 
 class SeparationError(ValueError):
@@ -88,13 +89,71 @@ def deviance(frame: DataFrame, target: str, p: Column) -> float:
     return frame.agg((-2 * F.sum(F.col(target) * F.log(q) + (1 - F.col(target)) * F.log(1 - q))).alias("d")).first()["d"]
 
 
-def refits(moved: DataFrame, count: int, y: str, on: list[str], m: Moments, steps: int = 30) -> DataFrame:
+def newton(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, float, bool]:
+    """Slopes (intercept first), deviance and soundness of one logistic fit."""
+    a = np.c_[np.ones(len(y)), x]
+    mid, scale = a.mean(0), a.std(0)
+    mid[0], scale[0] = 0, 1
+    if (scale == 0).any() or not 0 < y.mean() < 1:
+        return np.full(a.shape[1], np.nan), np.nan, False
+    a = (a - mid) / scale
+    b, sound = np.zeros(a.shape[1]), False
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
+        try:
+            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-12 * np.eye(len(b)), a.T @ (y - p))
+        except np.linalg.LinAlgError:
+            break
+        size = np.abs(step).max()
+        if not np.isfinite(size) or np.abs(b).max() > 50:
+            break
+        if size < 1e-8:
+            sound = True
+            break
+        b = b + step * min(1, 5 / size)
+    p = np.clip(1 / (1 + np.exp(-np.clip(a @ b, -500, 500))), 2.2e-16, 1 - 2.2e-16)
+    out = b / scale
+    out[0] -= out[1:] @ mid[1:]
+    return out, float(-2 * (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), sound
+
+
+def whole_replicates(moved: DataFrame, y: str, on: list[str]) -> DataFrame:
+    """``refits`` of replicates that each lie in one partition, as ``resample.permuted`` leaves them while rows are few: no shuffle, one task fits many."""
+
+    def run(batches):
+        held, key = [], None
+
+        def close():
+            a = np.concatenate(held)
+            beta, deviance, sound = newton(a[:, 1:], a[:, 0])
+            return pa.RecordBatch.from_arrays([pa.array([key]), pa.array([beta[1:].tolist()], pa.list_(pa.float64())), pa.array([deviance]), pa.array([sound])], names=["rep", "beta", "deviance", "sound"])
+
+        for b in batches:
+            reps = b.column(0).to_numpy()
+            a = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], axis=1)
+            cut = np.r_[0, np.flatnonzero(reps[1:] != reps[:-1]) + 1, len(reps)] if len(reps) else []
+            for s, e in zip(cut[:-1], cut[1:]):
+                if held and reps[s] != key:
+                    yield close()
+                    held.clear()
+                key = int(reps[s])
+                held.append(a[s:e])
+        if held:
+            yield close()
+
+    ready = moved.select("rep", F.col(y).cast("double"), *on).sortWithinPartitions("rep")
+    return ready.mapInArrow(run, "rep long, beta array<double>, deviance double, sound boolean")
+
+
+def refits(moved: DataFrame, count: int, y: str, on: list[str], m: Moments, steps: int = STEPS) -> DataFrame:
     """(rep, beta array, deviance, sound) of a logistic model of ``y`` in every replicate at once.
 
     Each Newton step is one aggregation by replicate; what travels is a gradient and Hessian per replicate,
     solved on the driver (``count`` x (k+1)^2 numbers), so rows may be any number.  A replicate with one
-    class, or whose steps don't settle, is not sound.
+    class, or whose steps don't settle, is not sound.  While rows are few, a replicate is fitted where it lies.
     """
+    if m.n <= resample.BROADCAST_ROWS:
+        return whole_replicates(moved, y, on)
     spark, k = moved.sparkSession, len(on) + 1
     scale = {c: math.sqrt(m.block([c], [c])[0, 0]) if c in m.names else 1.0 for c in on}
     mean = {c: m.mean.get(c, 0.0) for c in on}
@@ -135,20 +194,20 @@ def refits(moved: DataFrame, count: int, y: str, on: list[str], m: Moments, step
 
 
 def simulated_outcome(frame: DataFrame, m: Moments, features: list[str], target: str, feature: str, count: int, seed: int) -> DataFrame:
-    """(rep, pos, y): permuted response residuals on the reduced model's probabilities, drawn as 0 or 1."""
+    """(rep, pos, y, features): permuted response residuals on the reduced model's probabilities, drawn as 0 or 1."""
     rest = [x for x in features if x != feature]
     p = probability(fit(frame, m, target, rest)["beta"], rest)
-    work = frame.select("rid", p.alias("p"), (F.col(target) - p).alias("e"))
-    moved = resample.at_positions(resample.permuted(work, m.n, count, seed, feature, ["e"]), work.select("rid", "p"), m.n, ["p"])
-    return moved.select("rep", "pos", resample.bernoulli(F.col("p") + F.col("e"), resample.key(seed, f"{feature}:draw", F.col("rep"), F.col("pos"))).alias("y"))
+    work = frame.select("rid", p.alias("p"), (F.col(target) - p).alias("e"), *features)
+    moved = resample.permuted(work, m.n, count, seed, feature, ["e"], f"{feature}:draw")
+    moved = resample.at_positions(moved, work.select("rid", "p", *features), m.n, ["p", *features])
+    return moved.select("rep", "pos", resample.bernoulli(F.col("p") + F.col("e"), F.col("u")).alias("y"), *features)
 
 
 def ter_braak(frame: DataFrame, m: Moments, features: list[str], target: str, count: int, seed: int) -> DataFrame:
     """(rep, feature, stat, sound)."""
     out = None
     for i, c in enumerate(features):
-        y = simulated_outcome(frame, m, features, target, c, count, seed)
-        moved = resample.at_positions(y, frame.select("rid", *features), m.n, features)
+        moved = simulated_outcome(frame, m, features, target, c, count, seed)
         one = refits(moved, count, "y", features, m).select("rep", F.lit(c).alias("feature"), F.get("beta", F.lit(i)).alias("stat"), "sound")
         out = one if out is None else out.unionByName(one)
     return out

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.plans.frame import ROWS_PER_RANK, positions
-
 TOLERANCE = 1e-9
 BROADCAST_ROWS = 200_000
 
@@ -26,21 +29,63 @@ def number(digest: Column) -> Column:
     return F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
-def uniform(digest: Column) -> Column:
-    return number(digest).cast("double") / float(2**60)
+# ---------------------------------------------------------------- permutations without a sort
+
+PRIME, ROUNDS = 2**31 - 1, 24
+
+
+@lru_cache(4096)
+def constants(seed: int, name: str, rep: int) -> tuple[tuple[int, int, int], ...]:
+    """(shift, factor, addend) of each round of a replicate, from digests."""
+    out = []
+    for i in range(ROUNDS):
+        d = hashlib.md5(f"{seed}:{name}:{rep}:{i}".encode()).hexdigest()
+        out.append((int(d[:15], 16), int(d[15:23], 16) % (PRIME - 1) + 1, int(d[23:31], 16) % PRIME))
+    return tuple(out)
+
+
+def positions(rid: np.ndarray, n: int, seed: int, name: str, rep: int) -> np.ndarray:
+    """Where a replicate's permutation of 1..n sends each of the given rows.
+
+    A swap-or-not shuffle: in each round the row and its mirror image about a drawn point swap places or don't, by a
+    drawn function of the two, so every round is a bijection of any 1..n, and rows need neither a sort nor each other.
+    """
+    x = rid.astype(np.int64) - 1
+    for shift, factor, addend in constants(seed, name, rep):
+        y = (shift % n - x) % n
+        h = (factor * (np.maximum(x, y) % PRIME) + addend) % PRIME
+        x = np.where((h * h + addend) % PRIME % 2 == 1, y, x)
+    return x + 1
+
+
+def uniforms(pos: np.ndarray, seed: int, name: str, rep: int) -> np.ndarray:
+    """A draw from [0, 1) for each position of a replicate."""
+    (_, a, b), (_, c, d) = constants(seed, name, rep)[:2]
+    h = (a * (pos.astype(np.int64) % PRIME) + b) % PRIME
+    return (c * ((h * h + d) % PRIME) + b) % PRIME / PRIME
 
 
-def permuted(frame: DataFrame, n: int, count: int, seed: int, name: str, columns: list[str]) -> DataFrame:
-    """(rep, pos, columns): in each replicate the rows' values moved to permuted positions 1..n.
+def permuted(frame: DataFrame, n: int, count: int, seed: int, name: str, columns: list[str], draws: str | None = None) -> DataFrame:
+    """(rep, rid, pos, columns): in each replicate the rows' values moved to permuted positions 1..n; with ``draws``, a draw for each position as ``u``.
 
-    Replicates are spread over tasks, and one replicate over pieces of the digest's range where it has
-    more than a million rows.
+    Every row computes its positions where it is: no shuffle and no sort.
     """
-    rows = frame.select("rid", *columns).crossJoin(F.broadcast(replicates(frame.sparkSession, count)))
-    rows = rows.withColumn("_key", key(seed, name, F.col("rep"), F.col("rid")))
-    pieces = -(-n // ROWS_PER_RANK)
-    cut = F.lit(0) if pieces == 1 else F.floor(number(F.col("_key")) / (2**60 / pieces)).cast("int")
-    return positions(rows, ["rep"], [F.col("_key"), F.col("rid")], cut, "pos").select("rep", "rid", "pos", *columns)
+    schema = "rep long, rid long, pos long, " + ", ".join([f"`{c}` double" for c in columns] + (["u double"] if draws else []))
+
+    spark = frame.sparkSession
+    parts = min(count, 2 * spark.sparkContext.defaultParallelism) if n <= BROADCAST_ROWS else 1  # few rows go to tasks that share out the replicates
+
+    def run(batches):
+        for b in batches:
+            rid = b.column(1).to_numpy()
+            for rep in range(b.column(0)[0].as_py() + 1 if len(rid) else count + 1, count + 1, parts):
+                pos = positions(rid, n, seed, name, rep)
+                more = [pa.array(uniforms(pos, seed, draws, rep))] if draws else []
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(rid), rep)), b.column(1), pa.array(pos), *b.columns[2:], *more], names=["rep", "rid", "pos", *columns, *(["u"] if draws else [])])
+
+    rows = frame.select(F.col("rid").cast("long"), *[F.col(c).cast("double") for c in columns])
+    rows = rows.select(F.lit(0).cast("long").alias("_part"), "*") if parts == 1 else spark.range(0, parts, 1, parts).toDF("_part").crossJoin(F.broadcast(rows))
+    return rows.mapInArrow(run, schema)
 
 
 def at_positions(moved: DataFrame, frame: DataFrame, n: int, columns: list[str]) -> DataFrame:
@@ -57,9 +102,9 @@ def bootstrap(frame: DataFrame, n: int, count: int, seed: int, columns: list[str
     return drawn.join(F.broadcast(fixed) if n <= BROADCAST_ROWS else fixed, "rid").select("rep", "slot", "rid", *columns)
 
 
-def bernoulli(p: Column, digest: Column) -> Column:
-    """1.0 with probability p, kept between 0.001 and 0.999."""
-    return (uniform(digest) < F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))).cast("double")
+def bernoulli(p: Column, u: Column) -> Column:
+    """1.0 where the draw is under p, which is kept between 0.001 and 0.999."""
+    return (u < F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))).cast("double")
 
 
 def exceeds(stat: Column, observed: Column) -> Column:

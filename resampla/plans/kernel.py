@@ -1,8 +1,8 @@
 """Replicate-parallel plan: small data go to every worker, replicates are spread over tasks.
 
 Used only while the design matrix takes at most ``KERNEL_BYTES``; beyond that the row-parallel plan of
-``operators.linear`` and ``operators.logistic`` does the same tests.  Draws are seeded by (seed, feature,
-replicate), so results don't depend on partitioning.
+``operators.linear`` and ``operators.logistic`` does the same tests.  Both use the same draws, so the size of
+the data doesn't change a result.
 """
 
 from __future__ import annotations
@@ -11,8 +11,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from resampla.operators import resample
+from resampla.operators.logistic import newton
+
 KERNEL_BYTES = 64 << 20
-BLOCK = 64
+BLOCK_BYTES = 32 << 20  # of the permuted values of a block of replicates
 
 
 def fits(n: int, columns: int) -> bool:
@@ -20,6 +23,8 @@ def fits(n: int, columns: int) -> bool:
 
 
 def design(frame: DataFrame, features: list[str], target: str) -> tuple[np.ndarray, np.ndarray]:
+    if not fits(frame.count(), len(features)):
+        raise ValueError("too many rows to send to every worker; use plan='rows'")
     rows = frame.orderBy("rid").select(*features, target).toPandas()
     return rows[features].to_numpy(float), rows[target].to_numpy(float)
 
@@ -29,53 +34,32 @@ def remainder(y: np.ndarray, z: np.ndarray) -> np.ndarray:
     return y - a @ np.linalg.lstsq(a, y, rcond=None)[0]
 
 
-def newton(x: np.ndarray, y: np.ndarray, steps: int = 40) -> tuple[np.ndarray, float, bool]:
-    """Slopes (intercept first), deviance and soundness of one logistic fit."""
-    a = np.c_[np.ones(len(y)), x]
-    mid, scale = a.mean(0), a.std(0)
-    mid[0], scale[0] = 0, 1
-    if (scale == 0).any() or not 0 < y.mean() < 1:
-        return np.full(a.shape[1], np.nan), np.nan, False
-    a = (a - mid) / scale
-    b, sound = np.zeros(a.shape[1]), False
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(a @ b, -500, 500)))
-        try:
-            step = np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + 1e-12 * np.eye(len(b)), a.T @ (y - p))
-        except np.linalg.LinAlgError:
-            break
-        size = np.abs(step).max()
-        if not np.isfinite(size) or np.abs(b).max() > 50:
-            break
-        if size < 1e-8:
-            sound = True
-            break
-        b = b + step * min(1, 5 / size)
-    p = np.clip(1 / (1 + np.exp(-np.clip(a @ b, -500, 500))), 2.2e-16, 1 - 2.2e-16)
-    out = b / scale
-    out[0] -= out[1:] @ mid[1:]
-    return out, float(-2 * (y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), sound
-
-
 def null_distribution(frame: DataFrame, features: list[str], target: str, method: str, confounders: list[str], binary: bool, count: int, seed: int) -> DataFrame:
     """(rep, feature, stat, sound): refitted slopes, or the improvement under the name 'joint'."""
     x, y = design(frame, features, target)
     tested = [i for i, c in enumerate(features) if c not in confounders or method == "ter_braak"]
     z = x[:, [features.index(c) for c in confounders]]
 
+    rid = np.arange(1, len(y) + 1)
+    block = max(1, BLOCK_BYTES // (8 * max(1, len(y)) * max(1, len(tested))))
+
     def permutations(reps, name):
-        return np.stack([np.random.default_rng([seed, name, r]).permutation(len(y)) for r in reps])
+        """Row r of a replicate's permuted values is the row of the given ones that is sent there."""
+        out = np.empty((len(reps), len(y)), np.int64)
+        for i, r in enumerate(reps):
+            out[i, resample.positions(rid, len(y), seed, name, int(r)) - 1] = rid - 1
+        return out
 
     def braak(reps, j):
         rest = np.delete(x, j, 1)
         if not binary:
             e, own = remainder(y, rest), remainder(x[:, j], rest)
-            return e[permutations(reps, j)] @ own / (own @ own), np.ones(len(reps), bool)
+            return e[permutations(reps, features[j])] @ own / (own @ own), np.ones(len(reps), bool)
         b = newton(rest, y)[0] if rest.shape[1] else np.array([np.log(y.mean() / (1 - y.mean()))])
         p = 1 / (1 + np.exp(-(np.c_[np.ones(len(y)), rest] @ b)))
         out = []
-        for r, perm in zip(reps, permutations(reps, j)):
-            drawn = (np.random.default_rng([seed, j, r, 1]).random(len(y)) < np.clip(p + (y - p)[perm], 0.001, 0.999)).astype(float)
+        for r, perm in zip(reps, permutations(reps, features[j])):
+            drawn = (resample.uniforms(rid, seed, f"{features[j]}:draw", int(r)) < np.clip(p + (y - p)[perm], 0.001, 0.999)).astype(float)
             b, _, ok = newton(x, drawn)
             out.append((b[j + 1], ok))
         return np.array([s for s, _ in out]), np.array([k for _, k in out])
@@ -84,7 +68,7 @@ def null_distribution(frame: DataFrame, features: list[str], target: str, method
         r = remainder(x[:, j], z)
         hat = x[:, j] - r
         rest = np.delete(x, j, 1)
-        moved = r[permutations(reps, j)]
+        moved = r[permutations(reps, features[j])]
         if not binary:
             e = remainder(y, rest)
             q = np.linalg.qr(np.c_[np.ones(len(y)), rest])[0]
@@ -102,22 +86,22 @@ def null_distribution(frame: DataFrame, features: list[str], target: str, method
         out = []
         if not binary:
             q, ry = np.linalg.qr(np.c_[np.ones(len(y)), z])[0], remainder(y, z)
-            for perm in permutations(reps, 10**6):
+            for perm in permutations(reps, "joint"):
                 m = e[perm]
                 a, c = q.T @ m, m.T @ ry
                 out.append((c @ np.linalg.solve(e.T @ e - a.T @ a, c), True))
         else:
             hat = x[:, tested] - e
             base = newton(z, y)[1] if z.shape[1] else -2 * (y * np.log(y.mean()) + (1 - y) * np.log(1 - y.mean())).sum()
-            for perm in permutations(reps, 10**6):
+            for perm in permutations(reps, "joint"):
                 _, d, ok = newton(np.c_[hat + e[perm], z], y)
                 out.append((base - d, ok))
         return np.array([s for s, _ in out]), np.array([k for _, k in out])
 
     def run(batches):
         for b in batches:
-            for lo in range(0, len(b), BLOCK):
-                reps = b["id"].to_numpy()[lo : lo + BLOCK]
+            for lo in range(0, len(b), block):
+                reps = b["id"].to_numpy()[lo : lo + block]
                 work = [("joint", *joint(reps))] if method == "kennedy_joint" else [(features[j], *(braak if method == "ter_braak" else kennedy)(reps, j)) for j in tested]
                 for name, stat, ok in work:
                     yield pd.DataFrame({"rep": reps, "feature": name, "stat": stat, "sound": ok})
