@@ -1,7 +1,7 @@
 """Site-relative line deduplication, in DataFrame functions only.
 
 Pages are grouped by host.  A line that more than ``ratio`` of the host's pages hold (and at least
-``min_pages`` of them) is boilerplate there and is dropped from each of them; the same line stays on
+``min_pages`` of them: by default it only has to repeat, or a host of a single page would lose all) is boilerplate there and is dropped from each of them; the same line stays on
 other hosts.  Lines are compared after trimming spaces; blank lines are not kept.
 
 Counting explodes one hash per page and distinct line, which is summed before the shuffle, so
@@ -11,7 +11,7 @@ all hosts' lists are broadcast only while they count ``broadcast_rows`` at most,
 
 Null texts count as pages without lines and give an empty text; a null host is a host of its own;
 repeated rows count as pages each; other columns, also ones named like inner ones, are kept as they
-are.  An empty table gives no rows.
+are, but one named ``_lines`` is replaced.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,10 @@ from resampla.llm.common import materialize
 
 # Tags whose ends part lines.
 BLOCKS = "p|div|br|hr|li|ul|ol|table|tr|td|th|h1|h2|h3|h4|h5|h6|title|head|body|html|header|footer|nav|article|section|aside|main|form|pre|blockquote|option|select"
-HIDDEN = r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->"
-BREAK = rf"(?i)</?({BLOCKS})(\s[^>]*)?/?>"
-TAG = r"<[^>]*>"
+# What is left open hides the rest; a tag ends before another begins: so every pattern takes time in proportion to the text.
+HIDDEN = r"(?is)<script.*?(</script>|\z)|<style.*?(</style>|\z)|<!--.*?(-->|\z)"
+BREAK = rf"(?i)</?({BLOCKS})(\s[^<>]*)?/?>"
+TAG = r"<[^<>]*>"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)"
 
 
@@ -54,7 +55,7 @@ def boilerplate_lines(pages: DataFrame, host: Column, text: Column, ratio: float
     return common.where(F.col("_n") > F.lit(ratio) * F.col("_total")).groupBy("_host").agg(F.collect_list("_mark").alias("_drop"))
 
 
-def drop_boilerplate(pages: DataFrame, host: Column, text: Column, out_col: str = "text", ratio: float = 0.1, min_pages: int = 5, broadcast_rows: int = 100_000) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: Column, text: Column, out_col: str = "text", ratio: float = 0.1, min_pages: int = 2, broadcast_rows: int = 100_000) -> DataFrame:
     """``pages`` with ``out_col`` set to the text without boilerplate lines, and struct ``_lines`` (n_lines, n_dropped)."""
     drops = materialize(boilerplate_lines(pages, host, text, ratio, min_pages), "boilerplate")
     held = drops.agg(F.sum(F.size("_drop"))).first()[0] or 0
@@ -66,5 +67,5 @@ def drop_boilerplate(pages: DataFrame, host: Column, text: Column, out_col: str
     done = lines.select("_row", "_all", kept.alias("_kept"))
     counts = F.struct(F.size("_all").cast("long").alias("n_lines"), (F.size("_all") - F.size("_kept")).cast("long").alias("n_dropped"))
     cleaned = F.array_join("_kept", "\n")
-    columns = [(cleaned if c == out_col else F.col(f"_row.`{c}`")).alias(c) for c in names]
+    columns = [(cleaned if c == out_col else F.col(f"_row.`{c}`")).alias(c) for c in names if c != "_lines"]
     return done.select(*columns, *([] if out_col in names else [cleaned.alias(out_col)]), counts.alias("_lines"))

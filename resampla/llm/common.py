@@ -9,7 +9,9 @@ length of a document's neighbours.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
+import platform
 import tempfile
 import uuid
 
@@ -20,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
+_LIBC = ctypes.CDLL("libc.so.6") if platform.libc_ver()[0] == "glibc" else None
 SLICE_BYTES = 2 << 20
 
 # ---------------------------------------------------------------- scratch tables
@@ -81,6 +84,13 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give freed memory back to the system; a Python worker otherwise keeps the most that it ever took."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -32,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, words
+from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, trim, words
 
-BLOCK_BYTES, SWEEPS, BURN, THETA = 16 << 20, 3, 1, 1.0
+BLOCK_BYTES, SWEEPS, BURN, THETA = 12 << 20, 3, 1, 1.0
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
 START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFFFF
 PAIRS, POSTINGS = 0, 1
@@ -158,8 +158,10 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
                 if size >= BLOCK_BYTES or seen >= 60_000:
                     yield close(held)
                     held, seen, size = [], 0, 0
+                    trim()
         if held:
             yield close(held)
+        trim()
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == 0, F.lit(False)).cast("int")
     marks = held_out + 2 * F.col(id_col).isNull().cast("int")  # bit 0: held out, bit 1: no id
@@ -172,12 +174,13 @@ def merged(batches):
     for bucket, uid, a, n in rows_of(batches):
         held.setdefault(bucket, []).append((uid, a, n))
     for bucket in sorted(held):
+        trim()
         mine = held.pop(bucket)
-        pairs = [unpacked(a) for _, a, _ in mine]
+        pairs, n = [unpacked(a) for _, a, _ in mine], np.concatenate([grown(x) for _, _, x in mine])
+        mine = [uid for uid, _, _ in mine]
         word, context = (np.concatenate(x) for x in zip(*pairs))
         sizes = np.cumsum([len(w) for w, _ in pairs])[:-1]
         del pairs
-        n = np.concatenate([grown(x) for _, _, x in mine])
         order = np.lexsort((context, word))
         word, context = word[order], context[order]
         begin = changes(word, context)
@@ -187,8 +190,10 @@ def merged(batches):
         word, context = word[begin], context[begin]
         asked, number = np.unique(context, return_inverse=True)
         yield emit([(bucket, COUNTS, None, packed(word, number, "<u4"), shrunk(n), asked.tobytes())], STATE)
-        for (uid, _, _), x in zip(mine, np.split(place, sizes)):
+        del word, context, n, number, asked, order
+        for uid, x in zip(mine, np.split(place, sizes)):
             yield emit([(bucket, PLACES, uid, shrunk(np.diff(x, prepend=-1)), None, None)], STATE)
+    trim()
 
 
 def drawn(key, salt, step):
@@ -283,6 +288,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             else:
                 mine[0][part] = (a, b, c)
         for bucket in sorted(held):
+            trim()
             mine, places = held.pop(bucket)
             a, b, c = mine.pop(COUNTS)
             contexts = np.frombuffer(c, np.uint64)

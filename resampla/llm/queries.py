@@ -23,11 +23,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-PII_KEY = "test key"  # a deployment sets its own secret
+PII_KEY = "spark.resampla.pii.key"  # the setting that holds a deployment's secret
 
 
 def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.replace_entities(read(spark, sf_dir, "documents"), PII_KEY).select("doc_id", "n_entities", "text")
+    return surrogates.replace_entities(read(spark, sf_dir, "documents"), spark.conf.get(PII_KEY, "test key")).select("doc_id", "n_entities", "text")
 
 
 def op3_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ with p as (
 l as (select page_id, host, unnest(ls) as line, generate_subscripts(ls, 1) as i from p),
 f as (select host, line, count(distinct page_id) as n from l group by host, line),
 t as (select host, count(*) as total from p group by host),
-b as (select f.host, f.line from f join t using (host) where n >= 5 and n > 0.1::double * total),
+b as (select f.host, f.line from f join t using (host) where n >= 2 and n > 0.1::double * total),
 k as (select l.page_id, count(*) as kept, string_agg(l.line, chr(10) order by i) as txt
   from l anti join b on l.host = b.host and l.line = b.line group by l.page_id)
 select p.page_id, p.host, len(p.ls)::bigint as n_lines, (len(p.ls) - coalesce(k.kept, 0))::bigint as n_dropped, md5(coalesce(k.txt, '')) as kept_md5

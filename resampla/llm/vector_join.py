@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import connected_components, materialize, mix, partitions
 
-CELL, BLOCK, CHUNK = 4096, 2048, 8192
+CELL, BLOCK_BYTES, CHUNK_BYTES = 16384, 8 << 20, 16 << 20  # vectors of a cell in the mean; bytes of a block and of a chunk
 
 
 def matrices(batch):
@@ -148,8 +148,9 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + base(d)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     guests = {s["cell"]: s["n"] for s in units.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    blocks = {c: -(-n // BLOCK) for c, n in count.items()}
-    chunks = {c: max(1, -(-(guests.get(c, 0) + n) // CHUNK)) for c, n in count.items()}
+    width = {c: 8 * next((d for d in pivots if first[d] <= c < first[d] + len(pivots[d])), c - kinds) for c in count}  # bytes of a cell's vectors
+    blocks = {c: -(-n * width[c] // BLOCK_BYTES) for c, n in count.items()}
+    chunks = {c: max(1, -(-(guests.get(c, 0) + n) * width[c] // CHUNK_BYTES)) for c, n in count.items()}
 
     def deal(batches):
         for batch in batches:

@@ -530,8 +530,8 @@ def test_vector_join_equals_brute_force(spark, monkeypatch):
     links = [(a, b) for a, b in itertools.combinations(good, 2) if len(good[a]) == len(good[b]) and good[a] @ good[b] / math.sqrt(good[a] @ good[a]) / math.sqrt(good[b] @ good[b]) >= 0.9]
     want, degree = components({*vecs, *odd}, links), collections.Counter(x for p in links for x in p)
     df = table(spark, rows, "vec_id long, embedding array<double>, id string")
-    for sizes in ((4096, 2048, 8192), (20, 7, 11)):
-        for name, v in zip(("CELL", "BLOCK", "CHUNK"), sizes):
+    for sizes in ((4096, 1 << 20, 1 << 21), (20, 7 * 64, 11 * 64)):
+        for name, v in zip(("CELL", "BLOCK_BYTES", "CHUNK_BYTES"), sizes):
             monkeypatch.setattr(vector_join, name, v)
         got = vector_join.cosine_components(df, 0.9).collect()
         assert len(got) == len({**vecs, **odd}) + 1

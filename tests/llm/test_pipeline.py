@@ -48,7 +48,7 @@ def test_stages(spark, corpus, monkeypatch):
     assert lines.keys() == kept.keys()
     for i, r in kept.items():
         cut = [x.strip(" ") for x in (r["text"] or "").split("\n") if x.strip(" ")]
-        rest = [x for x in cut if not (count[r["source"], x] >= 5 and count[r["source"], x] > 0.1 * total[r["source"]])]
+        rest = [x for x in cut if not (count[r["source"], x] >= 2 and count[r["source"], x] > 0.1 * total[r["source"]])]
         assert lines[i]["text"] == (r["text"] if len(rest) == len(cut) else "\n".join(rest))
     assert "Shared footer" not in (lines[3]["text"] if 3 in lines else "")
 
