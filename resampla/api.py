@@ -153,12 +153,12 @@ def identify_confounders(df: DataFrame, id_col: str, features: list[str], target
     return identify_all(df, id_col, features, target, [predictor], **options)[0]
 
 
-def kennedy_with_found_confounders(df: DataFrame, id_col: str, features: list[str], target: str, n_permutations: int = 5000, n_bootstrap: int = 1000, random_state: int | None = None) -> dict | None:
+def kennedy_with_found_confounders(df: DataFrame, id_col: str, features: list[str], target: str, n_permutations: int = 5000, n_bootstrap: int = 1000, random_state: int | None = None, plan: str = "auto") -> dict | None:
     """Kennedy's test for the first predictor with identified confounders, controlling for them; None without one."""
     found = [s for s in identify_all(df, id_col, features, target, n_bootstrap=n_bootstrap, random_state=random_state) if s["identified_confounders"]]
     if not found:
         return None
-    result = permutation_test_regression(df, id_col, features, target, n_permutations, method="kennedy", confounders=found[0]["identified_confounders"], random_state=random_state)
+    result = permutation_test_regression(df, id_col, features, target, n_permutations, method="kennedy", confounders=found[0]["identified_confounders"], random_state=random_state, plan=plan)
     return result | {"predictor": found[0]["predictor"], "confounders": found[0]["identified_confounders"]}
 
 

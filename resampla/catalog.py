@@ -229,8 +229,8 @@ def pearson_p(spark, sf_dir):
 T_CRIT = "(z.z + (pow(z.z, 3) + z.z) / (4 * (n - 2)) + (5 * pow(z.z, 5) + 16 * pow(z.z, 3) + 3 * z.z) / (96 * pow(n - 2, 2)))"
 
 
-def screen_sql(predictors: list[str]) -> str:
-    rows = " union all ".join(f"select '{p}' as predictor, '{c}' as feature, count(*) as n, corr({c}, {p}) as r, corr({c}, {Y}) as s from cust" for p in predictors for c in X if c != p)
+def screen_sql(predictors: list[str], x: list[str] = X, y: str = Y, source: str = "cust") -> str:
+    rows = " union all ".join(f"select '{p}' as predictor, '{c}' as feature, count(*) as n, corr({c}, {p}) as r, corr({c}, {y}) as s from {source}" for p in predictors for c in x if c != p)
     return f"sc as ({rows}), z as (select 1.959963984540054 as z), sr as (select predictor, feature, r, s, abs(r) >= 0.1 and abs(s) >= 0.1 and abs(r) * sqrt((n - 2) / (1 - r * r)) > {T_CRIT} and abs(s) * sqrt((n - 2) / (1 - s * s)) > {T_CRIT} as is_candidate from sc, z)"
 
 
@@ -476,10 +476,10 @@ def paths_sql(x: str, z: str, y: str) -> dict[str, str]:
     return {"total": f"{c(x, y)} / nullif({c(x, x)}, 0)", "a": f"{c(x, z)} / nullif({c(x, x)}, 0)", "b": f"({c(z, y)} * {c(x, x)} - {c(x, y)} * {c(x, z)}) / {low}", "direct": f"({c(x, y)} * {c(z, z)} - {c(z, y)} * {c(x, z)}) / {low}"}
 
 
-def mediation_sql(pairs: list[tuple[str, str]], name: str = "md") -> str:
+def mediation_sql(pairs: list[tuple[str, str]], name: str = "md", y: str = Y) -> str:
     parts = []
     for x, z in pairs:
-        e = paths_sql(x, z, Y)
+        e = paths_sql(x, z, y)
         boot = f"select ({e['a']}) * ({e['b']}) as i from bi join fr using (rid) group by rep"
         parts.append(f"select '{x}' as predictor, '{z}' as mediator, p.*, q.lo, q.hi from (select {', '.join(f'{v} as {k}' for k, v in e.items())} from fr) p, (select quantile_cont(i, 0.025) as lo, quantile_cont(i, 0.975) as hi from ({boot})) q")
     fill = lambda t: "replace(replace('" + t.replace("'", "''") + "', '{m}', mediator), '{p}', predictor)"
@@ -511,48 +511,54 @@ def mediation_bootstrap_ci(spark, sf_dir):
     return confounding.mediate(frame, m.n, Y, [("n_f", "n_orders")], B, 0.95, SEED).select(F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper"), "is_mediator")
 
 
-def identify_sql(predictors: list[str]) -> str:
-    pairs = [(p, c) for p in predictors for c in X if c != p]
-    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(X))
+def identify_sql(predictors: list[str], x: list[str] = X, y: str = Y, source: str = "cust", rows: str = FR) -> str:
+    pairs = [(p, c) for p in predictors for c in x if c != p]
+    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(x))
     lists = "select sr.predictor, " + ", ".join(f"coalesce(string_agg(case when is_candidate and is_mediator = {flag} then feature end, ',' order by o.i), '') as {name}" for flag, name in (("false", "identified_confounders"), ("true", "identified_mediators")))
     q = lambda t: "replace('" + t.replace("'", "''") + "', '{p}', predictor)"
     advice = f"case when identified_confounders = '' then {q(text.NO_CONTROL)} else replace({q(text.CONTROL)}, '{{c}}', '''' || replace(identified_confounders, ',', ''', ''') || '''') end as recommendation"
-    return f"{FR}, {mediation_sql(pairs)}, {screen_sql(predictors)}, o(c, i) as (values {order}), li as ({lists} from sr join md on md.predictor = sr.predictor and md.mediator = sr.feature join o on o.c = sr.feature group by sr.predictor) select predictor, identified_confounders, identified_mediators, {advice} from li"
+    return f"{rows}, {mediation_sql(pairs, y=y)}, {screen_sql(predictors, x, y, source)}, o(c, i) as (values {order}), li as ({lists} from sr join md on md.predictor = sr.predictor and md.mediator = sr.feature join o on o.c = sr.feature group by sr.predictor) select predictor, identified_confounders, identified_mediators, {advice} from li"
 
 
-def identified(spark, sf_dir, predictors: list[str]) -> DataFrame:
-    frame, m = customers(spark, sf_dir)
-    summary, _, _ = confounding.identify(frame, m.n, X, Y, predictors, count=B, seed=SEED)
+def identified(frame: DataFrame, m: Moments, x: list[str], y: str, predictors: list[str]) -> DataFrame:
+    summary, _, _ = confounding.identify(frame, m.n, x, y, predictors, count=B, seed=SEED)
     return summary.select("predictor", *[F.array_join(c, ",").alias(c) for c in ("identified_confounders", "identified_mediators")], "recommendation")
 
 
 @query(identify_sql(["n_orders"]))
 def identify_confounders(spark, sf_dir):
-    return identified(spark, sf_dir, ["n_orders"])
+    return identified(*customers(spark, sf_dir), X, Y, ["n_orders"])
 
 
 @query(identify_sql(X))
 def identify_all(spark, sf_dir):
-    return identified(spark, sf_dir, X)
+    return identified(*customers(spark, sf_dir), X, Y, X)
 
 
 @query(f"with i as ({identify_sql(X)}) select predictor, identified_confounders from i where identified_confounders <> ''")
 def predictors_with_confounders(spark, sf_dir):
-    return identified(spark, sf_dir, X).where("identified_confounders <> ''").select("predictor", "identified_confounders")
+    return identified(*customers(spark, sf_dir), X, Y, X).where("identified_confounders <> ''").select("predictor", "identified_confounders")
 
 
 @query()
 def kennedy_with_found_confounders(spark, sf_dir):
     """Sweep, first flagged predictor, Kennedy's test with its confounders; the report as rows."""
-    r = api.kennedy_with_found_confounders(tables.customers(spark, sf_dir), "id", X, Y, B, B, SEED)
-    lines = report.coefficient_report(r, X, Y).split("\n") if r else ["No confounders identified for any predictor."]
-    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+    return found_lines(spark, tables.customers(spark, sf_dir), X, Y)
+
+
+def found_lines(spark, source: DataFrame, x: list[str], y: str) -> DataFrame:
+    r = api.kennedy_with_found_confounders(source, "id", x, y, B, B, SEED, plan="rows")
+    said = report.coefficient_report(r, x, y, text.FOUND_TITLE.format(p=r["predictor"], c=r["confounders"], k=r["model_type"].capitalize())) if r else "No confounders identified for any predictor."
+    return as_lines(spark, said)
+
+
+def as_lines(spark, said: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(said.split("\n"))), "line int, text string")
 
 
 @query()
 def confounder_report(spark, sf_dir):
-    lines = report.confounder_report(api.identify_all(tables.customers(spark, sf_dir), "id", X, Y, n_bootstrap=B, random_state=SEED)).split("\n")
-    return spark.createDataFrame(list(enumerate(lines)), "line int, text string")
+    return as_lines(spark, report.confounder_report(api.identify_all(tables.customers(spark, sf_dir), "id", X, Y, n_bootstrap=B, random_state=SEED)))
 
 
 # ---------------------------------------------------------------- logistic
@@ -721,6 +727,27 @@ def kennedy_joint_logistic(spark, sf_dir):
     return joint_columns(logistic_test(spark, sf_dir, "kennedy_joint"))
 
 
+# ---------------------------------------------------------------- confounders of a 0/1 outcome
+
+
+LFR = f"with {LBL}, fr as (select row_number() over (order by id) as rid, * from lbl), {boot_sql(B)}"
+
+
+@query(identify_sql(LX, LX, LY, "lbl", LFR))
+def identify_all_logistic(spark, sf_dir):
+    return identified(*labelled(spark, sf_dir, LX, LY), LX, LY, LX)
+
+
+@query()
+def confounder_report_logistic(spark, sf_dir):
+    return as_lines(spark, report.confounder_report(api.identify_all(tables.labelled(spark, sf_dir), "id", LX, LY, n_bootstrap=B, random_state=SEED), " (Logistic)"))
+
+
+@query()
+def kennedy_with_found_confounders_logistic(spark, sf_dir):
+    return found_lines(spark, tables.labelled(spark, sf_dir), LX, LY)
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -735,7 +762,16 @@ def report_rows(spark, sf_dir):
     source = tables.customers(spark, sf_dir)
     a = report.coefficient_report(api.permutation_test_regression(source, "id", X, Y, B, random_state=SEED, plan="rows"), X, Y)
     b = report.joint_report(api.permutation_test_regression(source, "id", X, Y, B, method="kennedy_joint", confounders=["balance"], random_state=SEED, plan="rows"), Y)
-    return spark.createDataFrame(list(enumerate((a + b).split("\n"))), "line int, text string")
+    return as_lines(spark, a + b)
+
+
+@query()
+def report_rows_logistic(spark, sf_dir):
+    """The coefficient and joint reports of a 0/1 outcome, line by line."""
+    source = tables.labelled(spark, sf_dir)
+    a = report.coefficient_report(api.permutation_test_regression(source, "id", LX, LY, B, random_state=SEED, plan="rows"), LX, LY)
+    b = report.joint_report(api.permutation_test_regression(source, "id", LX, LY, B, method="kennedy_joint", random_state=SEED, plan="rows"), LY)
+    return as_lines(spark, a + b)
 
 
 __all__ = ["ORACLE", "QUERIES", "outcome_kind"]

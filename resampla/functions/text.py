@@ -45,6 +45,7 @@ def short(name: str, most: int) -> str:
 
 # The sentences of results; {p} predictor, {m} mediator, {c} confounders.
 CONTROL = "For Kennedy method with predictor '{p}', control for: {c}"
+FOUND_TITLE = "Kennedy (1995) Method for '{p}' (controlling for {c}) ({k})"
 NO_CONTROL = "No confounders identified for predictor '{p}'. Consider using ter Braak method instead."
 FULL = "'{m}' is a full mediator. It explains most of the effect of '{p}' on the outcome. Do not control for it as a confounder."
 PARTIAL = "'{m}' is a partial mediator. It explains some of the effect of '{p}' on the outcome. Consider whether to control for it based on research question."

@@ -50,15 +50,15 @@ def joint_report(result: dict, target: str | None = None, title: str = "Joint Pe
     return "\n".join(out + _legend(result))
 
 
-def confounder_report(summaries: list[dict]) -> str:
-    """Per predictor its lists, and the advice if either has entries; then the summary."""
-    out = ["Confounder Identification for All Predictors", ""]
+def confounder_report(summaries: list[dict], note: str = "") -> str:
+    """Per predictor its lists, and the advice if either has entries; then the summary. ``note`` stands after both titles."""
+    out = [f"Confounder Identification for All Predictors{note}", ""]
     for s in summaries:
         out += [f"Predictor: '{s['predictor']}'", f"  Identified Confounders: {s['identified_confounders']}", f"  Identified Mediators: {s['identified_mediators']}"]
         if s["identified_confounders"] or s["identified_mediators"]:
             out.append(f"  Recommendation: {s['recommendation']}")
         out.append("")
-    out += ["Summary: Predictors with Identified Confounders", ""]
+    out += [f"Summary: Predictors with Identified Confounders{note}", ""]
     found = [s for s in summaries if s["identified_confounders"]]
     out += [f"  {s['predictor']}: control for {s['identified_confounders']}" for s in found]
     if not found:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_RANK = 1_000_000
+ROWS_PER_RANK, SAMPLED = 1_000_000, 100
 
 
 class CollinearFeatureError(ValueError):
@@ -85,7 +85,7 @@ def positions(df: DataFrame, by: list[str], order: list[Column], cut: Column, ou
 def prepare(df: DataFrame, id_col: str, features: list[str], target: str, na: str = "fail") -> DataFrame:
     """(rid, features..., target) in doubles; rid is dense in the order of the id.
 
-    Nulls and NaN are an error, or their rows are left out with ``na='drop'``.
+    Nulls, NaN and infinite values are an error, or their rows are left out with ``na='drop'``.
     """
     unknown = [c for c in [id_col, *features, target] if c not in df.columns]
     if unknown:
@@ -95,19 +95,21 @@ def prepare(df: DataFrame, id_col: str, features: list[str], target: str, na: st
     out = df.select(F.col(id_col).alias("_id"), *[F.col(c).cast("double").alias(c) for c in [*features, target]])
     sound = F.col("_id").isNotNull()
     for c in [*features, target]:
-        sound = sound & F.col(c).isNotNull() & ~F.isnan(c)
+        sound = sound & F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     if na == "drop":
         out = out.where(sound)
     stats = out.agg(F.count("*").alias("n"), F.count_if(~sound).alias("bad"), F.count_if(F.col("_id").isNull()).alias("none")).first()
     if stats["bad"]:
-        raise ValueError(f"{stats['bad']} rows have null or NaN values")
+        raise ValueError(f"{stats['bad']} rows have null, NaN or infinite values")
     pieces = -(-stats["n"] // ROWS_PER_RANK)
     cut = F.lit(0)
-    if pieces > 1 and dict(out.dtypes)["_id"] in ("tinyint", "smallint", "int", "bigint", "float", "double"):
-        bounds = out.approxQuantile("_id", [i / pieces for i in range(1, pieces)], 0.001)
-        for b in sorted(set(bounds)):
-            cut = cut + (F.col("_id") > b).cast("int")
-    return positions(out, [], [F.col("_id")], cut, "rid").drop("_id")
+    if pieces > 1:
+        every = max(1, stats["n"] // (SAMPLED * pieces))  # ids of any ordered type, about SAMPLED of them a piece
+        seen = [r["_id"] for r in out.where(F.pmod(F.xxhash64("_id"), F.lit(every)) == 0).select("_id").distinct().orderBy("_id").collect()]
+        for b in sorted({seen[i * len(seen) // pieces] for i in range(1, pieces)}) if seen else []:
+            cut = cut + (F.col("_id") > F.lit(b)).cast("int")
+    # rows that share an id are told apart by their values
+    return positions(out, [], [F.col(c) for c in ["_id", *features, target]], cut, "rid").drop("_id")
 
 
 def outcome_kind(df: DataFrame, target: str) -> str:

@@ -10,11 +10,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def split_source(df: DataFrame, features: list[str], target: str, id_col: str) -> DataFrame:
-    """Id, features and target of a source as one frame; rows stay aligned by construction."""
-    return df.select(id_col, *features, target)
-
-
 def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per customer: order counts, mean price, balance and total spend in millions."""
     orders = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
