@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 
 from resampla import api
 from resampla.functions import tails, text
-from resampla.operators import confounding, linear, report, resample
+from resampla.operators import confounding, linear, logistic, report, resample
+from resampla.plans import frame as frame_module
 from resampla.plans import kernel
 from resampla.plans.frame import CollinearFeatureError, moments, outcome_kind, prepare
 
@@ -97,16 +98,55 @@ def test_results_do_not_depend_on_order_or_partitions(spark, sample):
     assert runs[0]["p_values"] == runs[1]["p_values"]
     assert all(1 / 20 <= p <= 1 for p in runs[0]["p_values"])
     again = [api.permutation_test_regression(df, "id", ["a", "b", "z"], "y", 19, random_state=5, plan="replicates")["p_values"] for _ in range(2)]
-    assert again[0] == again[1]
-
-
-def test_ranks_over_pieces_equal_one_sort(spark, sample, monkeypatch):
+    assert again[0] == again[1] == runs[0]["p_values"]
+
+
+def test_permutations_are_bijections_that_look_drawn(spark, sample, monkeypatch):
+    for n in (1, 2, 3, 40, 1000):
+        rid = np.arange(1, n + 1)
+        sent = [resample.positions(rid, n, 7, "a", r) for r in range(1, 41)]
+        assert all(sorted(p) == rid.tolist() for p in sent)
+    moved = np.array([resample.positions(np.arange(1, 9), 8, 7, "b", r) for r in range(1, 4001)])
+    share = np.array([[(moved[:, i] == j).mean() for j in range(1, 9)] for i in range(8)])
+    assert abs(share - 1 / 8).max() < 0.025 and abs(np.mean(moved[:, 0] < moved[:, 1]) - 0.5) < 0.04
+    u = resample.uniforms(np.arange(1, 50_001), 7, "b", 1)
+    assert 0 <= u.min() < u.max() < 1 and abs(np.histogram(u, 10, (0, 1))[0] / 5000 - 1).max() < 0.08
     df, _, _ = sample
     frame = prepare(df, "id", ["a"], "y")
-    whole = resample.permuted(frame, 40, 3, 1, "a", ["a"]).collect()
-    monkeypatch.setattr(resample, "ROWS_PER_RANK", 7)
-    pieces = resample.permuted(frame, 40, 3, 1, "a", ["a"]).collect()
-    assert sorted(map(tuple, whole)) == sorted(map(tuple, pieces))
+    shared = resample.permuted(frame, 40, 3, 1, "a", ["a"], "d").collect()
+    monkeypatch.setattr(resample, "BROADCAST_ROWS", 7)
+    assert sorted(map(tuple, shared)) == sorted(map(tuple, resample.permuted(frame, 40, 3, 1, "a", ["a"], "d").collect()))
+
+
+def test_row_numbers_of_any_ids_in_pieces(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    ids = ["k%d" % x for x in r.integers(0, 40, 60)]
+    df = spark.createDataFrame([(k, float(i), float(i % 7)) for i, k in enumerate(ids)], "id string, a double, y double")
+    want = [a for _, a in sorted((k, float(i)) for i, k in enumerate(ids))]
+    for rows in (10**6, 9):
+        monkeypatch.setattr(frame_module, "ROWS_PER_RANK", rows)
+        assert [x["a"] for x in prepare(df, "id", ["a"], "y").orderBy("rid").collect()] == want
+    with pytest.raises(ValueError, match="infinite"):
+        prepare(df.selectExpr("id", "case when a = 3 then double('inf') else a end as a", "y"), "id", ["a"], "y")
+
+
+def test_refits_where_rows_lie_equal_joint_newton_steps(spark, monkeypatch):
+    r = np.random.default_rng(12)
+    a, b = r.normal(size=90), r.normal(size=90)
+    df = frame_of(spark, {"a": a, "b": b, "y": (r.random(90) < 1 / (1 + np.exp(-a))).astype(float)})
+    frame = prepare(df, "id", ["a", "b"], "y")
+    m = moments(frame, ["a", "b", "y"])
+    go = lambda: sorted((x["rep"], x["feature"], round(x["stat"], 6), x["sound"]) for x in logistic.ter_braak(frame, m, ["a", "b"], "y", 6, 3).collect())
+    near = go()
+    monkeypatch.setattr(resample, "BROADCAST_ROWS", 5)
+    assert len(near) == 12 and go() == near
+
+
+def test_found_confounders_title_and_logistic_block():
+    assert text.FOUND_TITLE.format(p="x1", c=["x2"], k="Linear") == "Kennedy (1995) Method for 'x1' (controlling for ['x2']) (Linear)"
+    result = {"model_type": "logistic", "method": "kennedy", "model_coefs": [1.0], "permuted_p_values": ["0.01 (*)"], "classic_p_values": ["0.2 (ns)"], "p_value_threshold_one": 0.05, "p_value_threshold_two": 0.01, "diagnostics": {"pseudo_r_squared": 0.25, "log_likelihood": -3.5, "log_likelihood_null": -4.5, "llr_p_value": 0.5}}
+    said = report.coefficient_report(result, ["a"], "y")
+    assert "Pseudo R-sq:" in said and "LL-Null:" in said and "5.0000e-01" in said and "P>|z| (Emp)" in said
 
 
 def test_observed_model(spark, sample):
@@ -129,6 +169,7 @@ def test_logistic_plans_and_kernel(spark):
     assert sound and out["rows"]["model_coefs"] == pytest.approx(list(beta[1:]), abs=1e-6)
     assert out["rows"]["diagnostics"]["log_likelihood"] == pytest.approx(-dev / 2, abs=1e-4)
     for o in out.values():
+        assert o["p_values"] == out["rows"]["p_values"]
         assert o["model_type"] == "logistic" and o["permuted_p_values"][1] == text.MASKED and 0.1 <= o["p_values"][0] <= 1
     joint = api.permutation_test_regression(df, "id", ["a", "b"], "y", 9, method="kennedy_joint", random_state=1)
     assert joint["metric_type"] == "Deviance Reduction" and joint["observed_improvement"] > 0
