@@ -180,7 +180,7 @@ def atoms(hit: Column, kind: Column) -> Column:
 def formatted(kind: Column, raw: Column, norm: Column, new: Column) -> Column:
     """The replacement in the mention's own format."""
     between = F.split(F.when(kind.isin("ssn", "phone", "card"), raw), "[0-9]", -1)  # what stands around the digits
-    number = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(between) - 1), chars(new), F.concat), ""), F.element_at(between, -1))
+    number = F.concat(F.array_join(F.zip_with(F.slice(between, 1, F.size(between) - 1), chars(new), lambda a, b: F.concat(a, b)), ""), F.element_at(between, -1))
     name = F.when(F.upper(raw) == raw, F.upper(new)).otherwise(F.initcap(new))
     secret = F.concat(F.regexp_extract(raw, r"(?s)\A(.*?)[A-Za-z0-9_\-/+]+\z", 1), new)
     return F.when(kind.isin("ssn", "phone", "card"), number).when(kind.startswith("surname") | kind.startswith("given"), name).when(kind == "secret", secret).otherwise(new)
