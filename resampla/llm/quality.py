@@ -168,13 +168,14 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25)
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, rows: dict[int, int]) -> tuple[list[bytes], np.ndarray, float]:
     """At most ``rows[y]`` training texts of each class y, by the order of a hash; the held-out fold is never read.
 
-    The bound is the documented limit on what a classifier learns from; everything is scored.  The third value
+    The bound is the documented limit on what a classifier learns from; everything is scored.  Of repeated ids the
+    least label and the least text count; rows without an id are not learned from.  The third value
     is the log odds of class 1 over the whole training fold less that in the sample, for honest probabilities.
     """
-    train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").dropDuplicates(["doc_id"])
+    train = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held).select("doc_id", F.col(label).cast("int").alias("y")).where("y in (0, 1)").groupBy("doc_id").agg(F.min("y").alias("y"))
     chosen = [train.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows[y]) for y in (0, 1)]
     keys = chosen[0].unionByName(chosen[1])
-    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toPandas()
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(keys), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").select("text", "y").toPandas()
     y, whole = found.y.to_numpy(np.float32), {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
     odds = lambda one, none: np.log(max(one, 1) / max(none, 1))
     return [t.encode() for t in found.text], y, float(odds(whole.get(1, 0), whole.get(0, 0)) - odds(y.sum(), (1 - y).sum()))

@@ -1,5 +1,6 @@
 """Corpus operators on small tables, against brute force, with the awkward cases of each."""
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -436,7 +437,7 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    odd = ["a  b", "a\n b", "a \n b", "a   b", "  a", " a ", "a\n\n  \nb", " ", "it's  ok", "a\t b", "a  b", "x" * 5000, "été où 東京 🙂 don't"]
+    odd = ["a  b", "a\n b", "a \n b", "a   b", "  a", " a ", "a\n\n  \nb", " ", "it's  ok", "a\t b", "a  b", "x" * 5000, "été où 東京 🙂 don't", "a <|endoftext|> b", "<|endoftext|>"]
     rows = [*texts.items(), *enumerate(odd, 500)]
     model = Tokenizer.from_file(path)
     got = packing.pack_documents(table(spark, rows), path, capacity=256).collect()
@@ -469,22 +470,63 @@ def test_packing(spark, texts):
     assert packing.pack_documents(table(spark, []), path).count() == 0
 
 
-def test_best_fit_places_everything_once():
+def one_by_one(lengths, capacity):
+    """Sequential best fit, longest first: the number of sequences."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        left = (gaps.pop(at) if at < len(gaps) else capacity) - n
+        if left:
+            bisect.insort(gaps, left)
+    return sum(lengths), gaps
+
+
+def test_sweep_gives_each_document_the_smallest_gap_that_is_left():
     r = np.random.default_rng(3)
-    counts = collections.Counter(r.integers(1, 2049, 5000).tolist()) + collections.Counter({700: 900, 2048: 3})
-    runs, fill = packing.best_fit(dict(counts)), collections.defaultdict(list)
-    seen = collections.Counter()
-    for length, rank, n, first, offset in runs:
-        assert rank == seen[length]
-        seen[length] += n
-        for i in range(n):
-            fill[first + i].append((offset, length))
-    assert seen == counts
-    for parts in fill.values():
-        parts.sort()
-        assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 2048
+    for _ in range(60):
+        docs, gaps = (packing.items(r.integers(1, 30, n), np.arange(n)) for n in r.integers(0, 40, 2))
+        d, g, i, j = packing.sweep(docs, gaps)
+        left, want = sorted(g["n"].tolist()), []
+        for n in d["n"].tolist():
+            at = bisect.bisect_left(left, n)
+            if at < len(left):
+                want.append((n, left.pop(at)))
+        assert sorted(zip(d["n"][i].tolist(), g["n"][j].tolist())) == sorted(want) and len(set(i)) == len(set(j)) == len(i)
+
+
+def test_what_ranges_leave_over_meets_by_rank():
+    r = np.random.default_rng(4)
+    for _ in range(60):
+        left = {int(k): r.integers(0, 5, 2).tolist() for k in r.choice(20, 8, replace=False)}
+        stack, want = [], []
+        for k in sorted(left):
+            for d in range(left[k][0]):
+                if stack:
+                    want.append(((k, d), stack.pop()))
+            stack += [(k, g) for g in range(left[k][1])]
+        got = [((p, a + n), (q, d - 1 - n)) for _, p, a, b, q, c, d in packing.carry(left) for n in range(b - a)]
+        assert sorted(got) == sorted(want)
+
+
+@pytest.mark.parametrize("rows", [1 << 16, 40])
+def test_rounds_place_everything_once(spark, monkeypatch, rows):
+    monkeypatch.setattr(packing, "RANGE_ROWS", rows)
+    r = np.random.default_rng(5)
+    cases = {"mixed": np.r_[r.integers(1, 257, 400), np.full(150, 90), np.full(5, 256)], "tiny": r.integers(1, 9, 900)}
+    for name, lengths in cases.items():
+        pieces = spark.createDataFrame([(i, 0, int(n)) for i, n in enumerate(lengths)] + [(None, 0, 3)] * 2, "doc_id long, piece int, length long")
+        got, fill = packing.pack(pieces, 256).collect(), collections.defaultdict(list)
+        assert collections.Counter((x["doc_id"], x["length"]) for x in got) == collections.Counter((x["doc_id"], x["length"]) for x in pieces.collect())
+        for x in got:
+            fill[x["sequence_id"]].append((x["offset"], x["length"]))
+        for parts in fill.values():
+            parts.sort()
+            assert parts[0][0] == 0 and all(a + b == c for (a, b), (c, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= 256
+        total, gaps = one_by_one([x["length"] for x in got], 256)
+        assert len(fill) <= 1.04 * (total + sum(gaps)) / 256 + 2, name
     with pytest.raises(ValueError):
-        packing.best_fit({2049: 1})
+        packing.pack(spark.createDataFrame([(1, 0, 257)], "doc_id long, piece int, length long"), 256)
+    assert packing.pack(pieces.limit(0), 256).count() == 0
 
 
 # ---------------------------------------------------------------- n-gram join (8)
@@ -505,11 +547,33 @@ def test_jaccard_join_equals_brute_force(spark, texts, k, percent, monkeypatch):
     assert ngram_join.jaccard_components(df.limit(0), k, percent).count() == 0
 
 
+def test_jaccard_join_by_deletions_and_repeated_ids(spark, texts, monkeypatch):
+    """With common shingles presumed, one-deletion neighbours are the cheaper signatures; and ids that repeat keep their own texts."""
+    monkeypatch.setattr(ngram_join, "RARITY", 0.5)
+    ngram_join.allocation.cache_clear()
+    try:
+        assert sum(ngram_join.allocation(b, 80, 1 << 10)[1] > 0 for b in range(25)) > 12
+        sets = sets_of(texts, 5)
+        links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+        rows = [*texts.items(), (None, texts[43] + " more"), (50, texts[0]), (0, texts[0])]
+        got = collections.defaultdict(set)
+        for x in ngram_join.jaccard_components(table(spark, rows), 5, 80).collect():
+            got[x["doc_id"]].add((x["n_shingles"], x["component_id"]))
+    finally:
+        ngram_join.allocation.cache_clear()
+    want = components(sets, links)
+    assert all({(len(sets[i]), want[i])} == got[i] for i in sets if i not in (50,)) and got[50] == {(len(sets[50]), want[50]), (len(sets[0]), 0)}
+    assert {c for _, c in got[None]} == {want[43]}
+    kept = collections.Counter((x["doc_id"], x["text"]) for x in ngram_join.one_of_each(table(spark, rows), 5, 80).collect())
+    assert kept == collections.Counter((i, t) for i, t in texts.items() if want[i] == i)
+
+
 def test_allocation_keeps_the_pigeonhole():
-    for percent in (80, 90):
+    assert any(ngram_join.allocation(b, 80, 1 << 16)[1] for b in range(20))
+    for percent, nodes in itertools.product((80, 90), (1 << 10, 1 << 16, 1 << 34)):
         for b in range(60):
             lo, hi = ngram_join.band(b, percent)
-            n0, n1 = ngram_join.allocation(b, percent, 1 << 16)
+            n0, n1 = ngram_join.allocation(b, percent, nodes)
             assert n0 + 2 * n1 > 2 * hi * (100 - percent) // (100 + percent)
             assert (hi + 1) * percent // 100 <= hi  # what links to a larger band reaches the next one only
             assert ngram_join.band(b + 1, percent)[1] >= lo * 100 // percent
