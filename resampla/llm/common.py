@@ -91,6 +91,16 @@ def trim() -> None:
         _LIBC.malloc_trim(0)
 
 
+def trimmed(run):
+    """``run`` over batches, after which the worker gives back what it has freed."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

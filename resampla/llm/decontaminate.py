@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from resampla.llm import common
-from resampla.llm.common import LOWER, U64, prefix_hash, slices, small_batches, span_hash, text_buffers
+from resampla.llm.common import LOWER, U64, prefix_hash, slices, small_batches, span_hash, text_buffers, trimmed
 
 SHINGLE, RADIUS, SIMILARITY, ITEMS = 5, 15, 0.8, 2000
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]  # first bit and width
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 cols = list(zip(*out)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["id", "item", "similarity", "word"])
 
-        found = plain.mapInArrow(run, "id long, item long, similarity double, word long")
+        found = plain.mapInArrow(trimmed(run), "id long, item long, similarity double, word long")
         out = found if out is None else out.unionByName(found)
     return out.withColumnRenamed("id", id_col).withColumnRenamed("item", item_col)
 
@@ -208,5 +208,5 @@ def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
                     clean[[lo + k for k, *_ in index.search(d, o)]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(trimmed(run), docs.schema)
     return docs

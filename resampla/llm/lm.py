@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, trim, words
+from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, trim, trimmed, words
 
 BLOCK_BYTES, SWEEPS, BURN, THETA = 12 << 20, 3, 1, 1.0
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
@@ -165,7 +165,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
 
     held_out = F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % fold == 0, F.lit(False)).cast("int")
     marks = held_out + 2 * F.col(id_col).isNull().cast("int")  # bit 0: held out, bit 1: no id
-    return docs.select(F.col(id_col).cast("long"), marks, F.col(text_col)).toDF("id", "marks", "text").mapInArrow(run, BLOCK)
+    return docs.select(F.col(id_col).cast("long"), marks, F.col(text_col)).toDF("id", "marks", "text").mapInArrow(trimmed(run), BLOCK)
 
 
 def merged(batches):
@@ -272,7 +272,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     parts = partitions(spark)
     table = materialize(blocks(docs, id_col, text_col, fold), "blocks", by="kind")
     pairs = table.where(F.col("kind") == PAIRS).select("bucket", "uid", "a", "b")
-    state = materialize(pairs.repartition(parts, "bucket").mapInArrow(merged, STATE), "state")
+    state = materialize(pairs.repartition(parts, "bucket").mapInArrow(trimmed(merged), STATE), "state")
     discard(table, part=f"kind={PAIRS}")
     release(spark)
     known = [state.where(F.col("part") == COUNTS)]
@@ -342,10 +342,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 for k, x in enumerate(np.concatenate([mine[i] for i in sorted(mine)], axis=1)):
                     yield emit([(bucket, first + k, None, shrunk(x), None, None)], STATE)
 
-        asks = materialize(ranged.mapInArrow(ask, STATE), "asks")
+        asks = materialize(ranged.mapInArrow(trimmed(ask), STATE), "asks")
         others = [np.frombuffer(r["a"], np.float64) for r in asks.where("part = -1").select("a").collect()]  # a row a range
-        replies = asks.where("part >= 0").repartition(parts, "part").mapInArrow(add, STATE)
-        known.append(materialize(replies.repartition(parts, "bucket").mapInArrow(join, STATE), "totals"))
+        replies = asks.where("part >= 0").repartition(parts, "part").mapInArrow(trimmed(add), STATE)
+        known.append(materialize(replies.repartition(parts, "bucket").mapInArrow(trimmed(join), STATE), "totals"))
         discard(asks)
         release(spark)
         return np.sum(others, axis=0) if others else np.zeros(8)
@@ -385,7 +385,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield emit([(POSTINGS, uid, bucket, p[at].tobytes(), words_, shrunk(np.diff(np.r_[begin, len(of)])))], BLOCK)
 
     known.append(state.where(F.col("part") == PLACES))
-    answers = together().mapInArrow(answer, BLOCK)
+    answers = together().mapInArrow(trimmed(answer), BLOCK)
 
     def finish(batches):
         def close(rows):
@@ -413,4 +413,4 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     both = table.where(F.col("kind") == POSTINGS).unionByName(answers).drop("kind").repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return both.mapInArrow(finish, schema).withColumnRenamed("id", id_col)
+    return both.mapInArrow(trimmed(finish), schema).withColumnRenamed("id", id_col)

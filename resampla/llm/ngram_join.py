@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, connected_components, discard, materialize, mix, partitions, shingles, slices, text_buffers, word_hashes
+from resampla.llm.common import LOWER, U64, connected_components, discard, materialize, mix, partitions, shingles, slices, text_buffers, trimmed, word_hashes
 
 BLOCK, BLOCK_BYTES, FIRST, RARITY = 2048, 8 << 20, 1, 0.05
 BANDS = U64(0xFFF)
@@ -188,7 +188,7 @@ def shingle_nodes(docs: DataFrame, k: int, id_col: str, text_col: str) -> DataFr
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), b.column(2)], names=["id", "n_shingles", "node", "text_hash"])
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_hash"))
-    return plain.mapInArrow(run, "id long, n_shingles long, node long, text_hash long")
+    return plain.mapInArrow(trimmed(run), "id long, n_shingles long, node long, text_hash long")
 
 
 def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str, count: int) -> DataFrame:
@@ -242,8 +242,8 @@ def candidate_groups(docs: DataFrame, k: int, num: int, text_col: str, count: in
                 continue
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(whole, size)[keep].view(np.int64)), pa.array(node[keep].view(np.int64))], names=["group", "node"])
 
-    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(sign, "bucket int, pairs binary").repartition(parts, "bucket")
-    return blobs.mapInArrow(gather, "group long, node long").dropDuplicates(["group", "node"])
+    blobs = docs.select(F.col(text_col).alias("text")).mapInArrow(trimmed(sign), "bucket int, pairs binary").repartition(parts, "bucket")
+    return blobs.mapInArrow(trimmed(gather), "group long, node long").dropDuplicates(["group", "node"])
 
 
 def node_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, id_col: str, text_col: str, broadcast_rows: int) -> DataFrame:
@@ -268,7 +268,7 @@ def node_sets(docs: DataFrame, reps: DataFrame, k: int, num: int, id_col: str, t
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names=["node", "n", "band", "fine0", "fine1", "members"])
 
-    return chosen.mapInArrow(run, "node long, n long, band int, fine0 binary, fine1 binary, members binary").dropDuplicates(["node"])
+    return chosen.mapInArrow(trimmed(run), "node long, n long, band int, fine0 binary, fine1 binary, members binary").dropDuplicates(["node"])
 
 
 def passing_pairs(groups: DataFrame, nodes: DataFrame, num: int, first_round: bool) -> DataFrame:
@@ -342,7 +342,7 @@ def passing_pairs(groups: DataFrame, nodes: DataFrame, num: int, first_round: bo
             yield flush(held)
 
     ready = work.repartition(parts, *keys).sortWithinPartitions(*keys)
-    return ready.mapInArrow(run, "a long, b long").distinct()
+    return ready.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
@@ -360,7 +360,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, num: int) -> DataFrame:
                 ok[i] = 100 * common >= num * (len(s) + len(t) - common)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
-    return both.select("a", "b", "_s", "_t").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "_s", "_t").mapInArrow(trimmed(run), "a long, b long")
 
 
 def jaccard_rows(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 1_000_000) -> tuple[DataFrame, DataFrame]:

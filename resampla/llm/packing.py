@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import materialize, mix, partitions, small_batches
+from resampla.llm.common import materialize, mix, partitions, small_batches, trimmed
 
 CAPACITY = 2048
 MEMO = 700_000  # spellings that a worker remembers; only speed depends on it
@@ -136,7 +136,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(trimmed(run), "id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", id_col)
 
 
 # ---------------------------------------------------------------- rounds
@@ -282,7 +282,7 @@ def entered(pieces: DataFrame, floors: list[int], tiny: int, join_tiny: bool) ->
             of = (n[:, None] <= np.array(floors)[None]).sum(1)
             yield batch_of(rows + [(DOC, k, items(n[of == k], u[of == k])) for k in range(len(floors))], count=True)
 
-    return pieces.select("length", "_row").mapInArrow(run, STATE)
+    return pieces.select("length", "_row").mapInArrow(trimmed(run), STATE)
 
 
 def one_round(state: DataFrame, docs: dict[int, int], gaps: dict[int, int], rest: int, capacity: int) -> tuple[DataFrame, DataFrame, list[dict]]:
@@ -341,8 +341,8 @@ def one_round(state: DataFrame, docs: dict[int, int], gaps: dict[int, int], rest
             out += [(DOC_LEFT, r, np.delete(d, i)), (GAP_LEFT, r, np.delete(g, j))]
             yield batch_of(out, count=True)
 
-    swept = state.mapInArrow(deal, STATE).withColumn("_to", F.when(F.col("range") < 0, F.pmod(F.hash(F.spark_partition_id()), F.lit(ranges))).otherwise(F.col("range")))
-    swept = materialize(swept.repartition(ranges, "_to").drop("_to").mapInArrow(settle, STATE), "swept")
+    swept = state.mapInArrow(trimmed(deal), STATE).withColumn("_to", F.when(F.col("range") < 0, F.pmod(F.hash(F.spark_partition_id()), F.lit(ranges))).otherwise(F.col("range")))
+    swept = materialize(swept.repartition(ranges, "_to").drop("_to").mapInArrow(trimmed(settle), STATE), "swept")
     now = counted(swept)  # two numbers a range, and one a size
     runs = carry(now[2])
     by_docs, by_gaps = {}, {}
@@ -363,7 +363,7 @@ def one_round(state: DataFrame, docs: dict[int, int], gaps: dict[int, int], rest
                     out.append((kind, r, np.frombuffer(rows.as_py(), ITEM)))
             yield batch_of(out)
 
-    placed, after = swept.where(F.col("kind") == PUT), swept.where(F.col("kind").isin(GAP, DOC_LEFT, GAP_LEFT)).mapInArrow(plain, STATE)
+    placed, after = swept.where(F.col("kind") == PUT), swept.where(F.col("kind").isin(GAP, DOC_LEFT, GAP_LEFT)).mapInArrow(trimmed(plain), STATE)
     if not runs:
         return placed, after, now[:2]
 
@@ -384,8 +384,8 @@ def one_round(state: DataFrame, docs: dict[int, int], gaps: dict[int, int], rest
                     x = held.pop(run)
                     yield batch_of(met(run, x[DOC_LEFT], x[GAP_LEFT][::-1], capacity), [(k, run, y) for k, y in x.items()], True)
 
-    carried = swept.where(F.col("kind").isin(DOC_LEFT, GAP_LEFT)).mapInArrow(slice_, STATE)
-    carried = materialize(carried.repartition(min(len(runs), parts), "range").mapInArrow(meet, STATE), "carried")
+    carried = swept.where(F.col("kind").isin(DOC_LEFT, GAP_LEFT)).mapInArrow(trimmed(slice_), STATE)
+    carried = materialize(carried.repartition(min(len(runs), parts), "range").mapInArrow(trimmed(meet), STATE), "carried")
     for sizes, more in zip(now, counted(carried)):
         for n, c in more.items():
             sizes[n] = sizes.get(n, 0) + c
@@ -432,9 +432,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     placed = put[0]
     for p in put[1:]:
         placed = placed.unionByName(p)
-    placed = placed.mapInArrow(rows, schema)
+    placed = placed.mapInArrow(trimmed(rows), schema)
     if crowd:  # a member lies in its bundle's sequence
-        member = start.where(F.col("kind") == MEMBER).mapInArrow(rows, schema).toDF("_row", "_whole", "_at")
+        member = start.where(F.col("kind") == MEMBER).mapInArrow(trimmed(rows), schema).toDF("_row", "_whole", "_at")
         inside = member.join(placed.withColumnRenamed("_row", "_whole"), "_whole").select("_row", "sequence_id", (F.col("offset") + F.col("_at")).alias("offset"))
         placed = placed.join(member.select("_row"), "_row", "left_anti").unionByName(inside)
     return pieces.join(placed, "_row").drop("_row")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import slices, small_batches, text_buffers
+from resampla.llm.common import slices, small_batches, text_buffers, trimmed
 
 WIDTH, DIM, FILTERS, CELL, HIDDEN = 7, 4, 16, 128, 16
 
@@ -192,7 +192,7 @@ def score_quality(docs: DataFrame, net: ByteConv, id_col: str = "doc_id", text_c
 
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(trimmed(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def keep_quality(docs: DataFrame, net: ByteConv, threshold: float, text_col: str = "text") -> DataFrame:
@@ -207,7 +207,7 @@ def keep_quality(docs: DataFrame, net: ByteConv, threshold: float, text_col: str
             yield b.filter(pa.array((np.concatenate(parts) if parts else np.zeros(0)) >= threshold))
 
     small_batches(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
 
 
 def train_quality(docs: DataFrame, labels: DataFrame, rows: int = 1000, steps: int = 700) -> ByteConv:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import U64, discard, materialize, mix, partitions, powers, prefix_hash, slices, span_hash, text_buffers
+from resampla.llm.common import U64, discard, materialize, mix, partitions, powers, prefix_hash, slices, span_hash, text_buffers, trimmed
 
 LENGTH, LEAD, BLOCK_BYTES, SAMPLED = 100, 32, 12 << 20, 256
 WORDS = LEAD // 8
@@ -184,7 +184,7 @@ def plan(docs: DataFrame, parts: int, sample_rows: int) -> tuple[np.ndarray, np.
                 yield pa.RecordBatch.from_arrays([pa.array([k[pick].tobytes()], pa.binary()), pa.array([len(o) - 1], pa.int64())], names=["k", "n"])
 
     every = max(1, docs.count() // sample_rows)
-    rows = docs.where(F.pmod(F.xxhash64("id", "tag"), F.lit(every)) == 0).select("text").mapInArrow(run, "k binary, n long").collect()
+    rows = docs.where(F.pmod(F.xxhash64("id", "tag"), F.lit(every)) == 0).select("text").mapInArrow(trimmed(run), "k binary, n long").collect()
     lead = np.frombuffer(b"".join(r["k"] for r in rows), np.uint64).reshape(-1, WORDS)
     if not len(lead):
         return lead, np.zeros(0, np.uint64)
@@ -263,8 +263,8 @@ def covered_runs(docs: DataFrame, parts: int, splitters, common) -> DataFrame:
             many |= np.isin(lead_hash(rows["k"]), common)
             yield batch_of(out + by_document(2, merge(spans_of(rows[many], rows["n"][many].astype(np.int64))), parts))
 
-    moved = docs.mapInArrow(split, ROW).withColumn("to", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.pmod(F.hash("bucket", F.spark_partition_id()), F.lit(parts))))
-    return moved.repartition(parts, "to").select("kind", "bucket", "rows").mapInArrow(settle, ROW)
+    moved = docs.mapInArrow(trimmed(split), ROW).withColumn("to", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.pmod(F.hash("bucket", F.spark_partition_id()), F.lit(parts))))
+    return moved.repartition(parts, "to").select("kind", "bucket", "rows").mapInArrow(trimmed(settle), ROW)
 
 
 def per_document(spans: DataFrame, parts: int) -> DataFrame:
@@ -278,7 +278,7 @@ def per_document(spans: DataFrame, parts: int) -> DataFrame:
             ends = np.r_[first[1:], len(rows)]
             yield pa.RecordBatch.from_arrays([pa.array(rows["d"][first]), pa.array(rows["t"][first].astype(np.int64)), pa.array([rows[s:e].tobytes() for s, e in zip(first, ends)], pa.binary())], names=["doc", "of", "spans"])
 
-    return spans.repartition(parts, "bucket").mapInArrow(run, "doc long, of long, spans binary")
+    return spans.repartition(parts, "bucket").mapInArrow(trimmed(run), "doc long, of long, spans binary")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame, how: str, broadcast_bytes: int) -> DataFrame:
@@ -327,8 +327,8 @@ def covered_windows(docs: DataFrame, parts: int) -> DataFrame:
             _, later = firsts(rows, "w")
             yield batch_of(by_document(1, merge(spans_of(rows[later], 1)), parts))
 
-    moved = docs.mapInArrow(split, ROW).withColumn("to", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.pmod(F.hash("bucket", F.spark_partition_id()), F.lit(parts))))
-    return moved.repartition(parts, "to").select("kind", "bucket", "rows").mapInArrow(settle, ROW)
+    moved = docs.mapInArrow(trimmed(split), ROW).withColumn("to", F.when(F.col("kind") == 0, F.col("bucket")).otherwise(F.pmod(F.hash("bucket", F.spark_partition_id()), F.lit(parts))))
+    return moved.repartition(parts, "to").select("kind", "bucket", "rows").mapInArrow(trimmed(settle), ROW)
 
 
 def removed_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1000, broadcast_bytes: int = 32 << 20) -> DataFrame:
@@ -368,4 +368,4 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types))], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     done = removed_spans(docs, id_col, text_col).select(F.when(F.col("id") >= NO_ID, F.col("id")).alias("id"), "text", "spans")
-    return done.mapInArrow(run, "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return done.mapInArrow(trimmed(run), "id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import LOWER, U64, distinct, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffers, words
+from resampla.llm.common import LOWER, U64, distinct, mix, powers, prefix_hash, slices, small_batches, span_hash, text_buffers, trimmed, words
 from resampla.llm.quality import labelled_sample, logistic
 
 WINDOW, STRIDE, DIM, H, BUCKETS = 16, 8, 16, 8, 1 << 14
@@ -267,7 +267,7 @@ def score_toxicity(docs: DataFrame, net: BiGru, id_col: str = "doc_id", text_col
 
     small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return plain.mapInArrow(run, "id long, score double").withColumnRenamed("id", id_col)
+    return plain.mapInArrow(trimmed(run), "id long, score double").withColumnRenamed("id", id_col)
 
 
 def train_toxicity(docs: DataFrame, labels: DataFrame, rows: int = 700, steps: int = 300) -> BiGru:

@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.llm.common import connected_components, materialize, mix, partitions
+from resampla.llm.common import connected_components, materialize, mix, partitions, trimmed
 
 CELL, BLOCK_BYTES, CHUNK_BYTES = 16384, 8 << 20, 16 << 20  # vectors of a cell in the mean; bytes of a block and of a chunk
 
@@ -56,7 +56,7 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, begin)) if len(begin) else flat, size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[s : s + n].tobytes() for s, n in zip(begin, size)], pa.binary())], names=["id", "v"])
 
-    return fine.dropDuplicates(["id"]).mapInArrow(run, "id long, v binary")
+    return fine.dropDuplicates(["id"]).mapInArrow(trimmed(run), "id long, v binary")
 
 
 def chords(x, pivots):
@@ -131,7 +131,7 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
                 own = dist.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(own + base(d)), pa.array(dist[np.arange(len(x)), own])], names=["cell", "far"])
 
-    stats = units.mapInArrow(measure, "cell long, far double").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
+    stats = units.mapInArrow(trimmed(measure), "cell long, far double").groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("r")).collect()
     radius, count = {s["cell"]: s["r"] for s in stats}, {s["cell"]: s["n"] for s in stats}  # one row per pivot
 
     def visits(d, dist, own):
@@ -147,7 +147,7 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
                 n = visits(d, dist, dist.argmin(1)).sum(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + base(d)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
-    guests = {s["cell"]: s["n"] for s in units.mapInArrow(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
+    guests = {s["cell"]: s["n"] for s in units.mapInArrow(trimmed(tally), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
     width = {c: 8 * next((d for d in pivots if first[d] <= c < first[d] + len(pivots[d])), c - kinds) for c in count}  # bytes of a cell's vectors
     blocks = {c: -(-n * width[c] // BLOCK_BYTES) for c, n in count.items()}
     chunks = {c: max(1, -(-(guests.get(c, 0) + n) * width[c] // CHUNK_BYTES)) for c, n in count.items()}
@@ -214,8 +214,8 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
             yield from flush()
 
     keys = ["cell", "block", "chunk"]
-    dealt = units.mapInArrow(deal, "cell long, block long, chunk long, role int, ids binary, v binary")
-    met = materialize(dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "role").mapInArrow(meet, "id long, n long, root long"), "met")
+    dealt = units.mapInArrow(trimmed(deal), "cell long, block long, chunk long, role int, ids binary, v binary")
+    met = materialize(dealt.repartition(parts, *keys).sortWithinPartitions(*keys, "role").mapInArrow(trimmed(meet), "id long, n long, root long"), "met")
     degree = met.groupBy("id").agg(F.sum("n").alias("n_links"))
     roots = connected_components(met.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b")), "cells")
     every = vectors.select(F.col(id_col).cast("long").alias("id"))
