@@ -25,10 +25,11 @@ id stays null and counts as training.  Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
-import uuid
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFFFF
 PAIRS, POSTINGS = 0, 1
 BLOCK = "kind int, uid string, bucket int, a binary, b binary, c binary"
 STATE = "bucket int, part int, uid string, a binary, b binary, c binary"
-COUNTS, PLACES = -1, -2  # parts of a range's state: its pairs, and where a block's pairs stand among them
+COUNTS, PLACES, WORDS_OF = -1, -2, -3  # parts of the state: a range's pairs, where a block's pairs stand among them, a block's postings
 
 
 def token_keys(data, offsets):
@@ -141,13 +142,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
             word, context = word[begin], context[begin]
             train = np.add.reduceat((marks[doc] & 1 == 0).astype(np.int64), begin)
             cut = np.r_[np.searchsorted(word, bucket_bounds(parts)), len(word)]
-            uid = uuid.uuid4().hex
+            uid = f"{TaskContext.get().partitionId()}-{next(number)}"  # the same if the task runs again
             wide = "<u2" if len(ids) < 1 << 16 else "<u4"
             rows = [(POSTINGS, uid, -1, ids.astype("<i8").tobytes(), marks.tobytes() + shrunk(size), doc.astype(wide).tobytes())]
             rows += [(PAIRS, uid, i, packed(word[s:e], context[s:e]), shrunk(train[s:e]), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
             return emit(rows, BLOCK)
 
-        held, seen, size = [], 0, 0
+        held, seen, size, number = [], 0, 0, count()
         for b in batches:
             data, offsets = text_buffers(b.column(2))
             ids, marks = b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy().astype(np.uint8)
@@ -169,10 +170,13 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
 
 
 def merged(batches):
-    """State of each range met in a partition: COUNTS (a: all pairs, contexts by number; b: training counts; c: the contexts), and PLACES of each block."""
+    """State of each range met in a partition: COUNTS (a: all pairs, contexts by number; b: training counts; c: the contexts), and PLACES of each block; postings as they are."""
     held: dict[int, list] = {}
-    for bucket, uid, a, n in rows_of(batches):
-        held.setdefault(bucket, []).append((uid, a, n))
+    for kind, uid, bucket, a, b, c in rows_of(batches):
+        if kind == POSTINGS:
+            yield emit([(bucket, WORDS_OF, uid, a, b, c)], STATE)
+        else:
+            held.setdefault(bucket, []).append((uid, a, b))
     for bucket in sorted(held):
         trim()
         mine = held.pop(bucket)
@@ -270,10 +274,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    table = materialize(blocks(docs, id_col, text_col, fold), "blocks", by="kind")
-    pairs = table.where(F.col("kind") == PAIRS).select("bucket", "uid", "a", "b")
-    state = materialize(pairs.repartition(parts, "bucket").mapInArrow(trimmed(merged), STATE), "state")
-    discard(table, part=f"kind={PAIRS}")
+    to = F.when(F.col("kind") == PAIRS, F.col("bucket")).otherwise(F.pmod(F.hash("uid"), F.lit(parts)))
+    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartition(parts, "_to").drop("_to").mapInArrow(trimmed(merged), STATE), "state")
     release(spark)
     known = [state.where(F.col("part") == COUNTS)]
     shared: dict = {"seed": seed}
@@ -411,6 +413,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if rows:
             yield close(rows)
 
-    both = table.where(F.col("kind") == POSTINGS).unionByName(answers).drop("kind").repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
+    answers = materialize(answers.select("uid", "bucket", "a", "b", "c"), "answers")
+    postings = state.where(F.col("part") == WORDS_OF).select("uid", "bucket", "a", "b", "c")
+    discard(*known[1:-1])
+    release(spark)
+    both = postings.unionByName(answers).repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return both.mapInArrow(trimmed(finish), schema).withColumnRenamed("id", id_col)
