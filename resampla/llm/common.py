@@ -57,24 +57,25 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write a table into the shared folder and read it again.
+def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """Cut the lineage: write a table into the shared folder (a folder for each value of ``by``) and read it again.
 
     Unlike an executor-local copy it survives lost executors.  Removed by ``discard``, or when the driver ends.
     """
     spark = df.sparkSession
     small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/resampla-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
 
 
-def discard(*tables: DataFrame) -> None:
-    """Remove scratch tables that ``materialize`` wrote, once their last reader is done."""
+def discard(*tables: DataFrame, part: str = "") -> None:
+    """Remove scratch tables that ``materialize`` wrote (or one folder of them), once their last reader is done."""
     for df in tables:
         for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            _remove(df.sparkSession, folder)
+            if folder.endswith(part):
+                _remove(df.sparkSession, folder)
 
 
 def release(spark: SparkSession) -> None:

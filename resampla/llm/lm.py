@@ -275,7 +275,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     parts = partitions(spark)
     to = F.when(F.col("kind") == PAIRS, F.col("bucket")).otherwise(F.pmod(F.hash("uid"), F.lit(parts)))
-    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartition(parts, "_to").drop("_to").mapInArrow(trimmed(merged), STATE), "state")
+    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartition(parts, "_to").drop("_to").mapInArrow(trimmed(merged), STATE), "state", by="part")
     release(spark)
     known = [state.where(F.col("part") == COUNTS)]
     shared: dict = {"seed": seed}
@@ -416,6 +416,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     answers = materialize(answers.select("uid", "bucket", "a", "b", "c"), "answers")
     postings = state.where(F.col("part") == WORDS_OF).select("uid", "bucket", "a", "b", "c")
     discard(*known[1:-1])
+    for done in (COUNTS, PLACES):  # the postings alone are still needed
+        discard(state, part=f"part={done}")
     release(spark)
     both = postings.unionByName(answers).repartition(parts, "uid").sortWithinPartitions("uid", "bucket")
     schema = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
