@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, lm, ngram_join, packing, quality, suffix_dedup, surrogates, toxicity, vector_join
+from resampla.llm import boilerplate, decontaminate, hilbert, lm, ngram_join, packing, prefix_trie, quality, suffix_dedup, surrogates, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,7 +92,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup}
+def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = hilbert.hilbert_shards(read(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"], 40)
+    return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def rebuilt(sequences: DataFrame) -> DataFrame:
+    """Every conversation c with its first h turns taken from conversation c - c % 100, h being crc32 of c modulo 6."""
+    heads = sequences.where(F.col("conv_id") % 100 == 0).select(F.col("conv_id").alias("base"), F.slice("turns", 1, 5).alias("head"))
+    h = (F.crc32(F.col("conv_id").cast("string").cast("binary")) % 6).cast("int")
+    joined = sequences.withColumn("h", h).join(heads, F.col("conv_id") - F.col("conv_id") % 100 == F.col("base"), "left")
+    head = F.coalesce(F.slice("head", F.lit(1), F.col("h")), F.slice("turns", 1, 0))
+    return joined.select("conv_id", F.concat(head, F.slice("turns", F.col("h") + 1, F.greatest(F.size("turns"), F.lit(1)))).alias("turns"))
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie_nodes(rebuilt(prefix_trie.conversation_sequences(read(spark, sf_dir, "conversations"))))
+
+
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op12_hilbert_sharding": op12_hilbert_sharding, "op13_conversation_trie": op13_conversation_trie}
 CLOSURE = "reach as (select {id} as id, {id} as r from {nodes} union select reach.id, l.b from reach join l on reach.r = l.a)"
 OP8_SQL = rf"""
 with recursive w as (
@@ -115,4 +133,28 @@ d as (select a, count(*) as n from l group by a), c as (select id, min(r) as r f
 select vec_id, coalesce(d.n, 0)::bigint as n_links, c.r as component_id, vec_id = c.r as kept
 from embeddings join c on c.id = vec_id left join d on d.a = vec_id
 """
-ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL}
+OP13_SQL = """
+with recursive crc_table as (select i::bigint as i, i::bigint as v, 0 as round from range(256) t(i)
+  union all select i, xor(v >> 1, 3988292384 * (v & 1)), round + 1 from crc_table where round < 8),
+t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is not null),
+c as (select conv_id, turn, left(role, 64) as r, left(text, 64) as x, md5(length(role)::varchar || ':' || role || text) as code, length(text) as size from t),
+own as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, r, x, code) as pos, code, size from c),
+digits as (select distinct conv_id, conv_id::varchar as s from t),
+crc as (select conv_id, s, 0 as i, 4294967295::bigint as v from digits
+  union all select conv_id, s, crc.i + 1, xor(crc.v >> 8, k.v) from crc join crc_table k on k.round = 8 and k.i = xor(crc.v & 255, ascii(substr(s, crc.i + 1, 1))::bigint) where crc.i < length(s)),
+h as (select conv_id, xor(v, 4294967295) % 6 as h from crc where i = length(s)),
+whole as (select h.conv_id, 0 as part, pos, code, size from h join own on own.conv_id = h.conv_id - h.conv_id % 100 and pos <= h.h
+  union all select h.conv_id, 1, pos, code, size from h join own on own.conv_id = h.conv_id and pos > h.h),
+seq as (select conv_id, row_number() over w as d, code, size, md5(string_agg(code, ',') over (w rows unbounded preceding)) as key from whole window w as (partition by conv_id order by part, pos)),
+p as (select conv_id, 0::bigint as d, '' as key, null::varchar as up, 0 as size from h
+  union all select conv_id, d, key, coalesce(lag(key) over (partition by conv_id order by d), '') as up, size from seq),
+node as (select key, any_value(up) as up, d as depth, min(conv_id) as conv_id, count(*) as n_convs, any_value(size) as size from p group by key, d),
+kids as (select up as key, count(*) as n_children from node where up is not null group by up),
+below as (select p.key, count(*) filter (k.key is null) as n_leaves, sum((n.n_convs - 1) * n.size)::bigint as saved_tokens
+  from node n left join kids k using (key) join p on p.conv_id = n.conv_id and p.d <= n.depth group by p.key),
+stop as (select conv_id, arg_max(key, d) as key from p group by conv_id),
+ends as (select key, sha256(string_agg(conv_id::varchar, ',' order by conv_id)) as sha from stop group by key)
+select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n_children, 0)::bigint as n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) as ends_sha256
+from node n left join node u on u.key = n.up left join kids on kids.key = n.key join below on below.key = n.key left join ends on ends.key = n.key
+"""
+ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL, "op13_conversation_trie": OP13_SQL}

@@ -17,7 +17,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "embeddings"):
+    for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
     ours, theirs = queries.QUERIES[name](spark, SMALL).toPandas(), con.sql(queries.ORACLE[name]).df()
     cols = sorted(ours.columns)
@@ -60,3 +60,12 @@ def test_convolution_equals_plain_loops():
 def test_ids_of_the_packing_query(spark):
     got = queries.op7_best_fit_packing(spark, SMALL)
     assert got.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"] and got.where("offset + length > 2048").count() == 0
+
+
+def test_shards_of_the_query(spark):
+    got = queries.op12_hilbert_sharding(spark, SMALL).collect()
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()}
+    assert len(got) == len(docs) and all((r["size"], r["text_crc32"]) == (len(docs[r["doc_id"]]) + 16, zlib.crc32(docs[r["doc_id"]])) for r in got)
+    counts = np.bincount([r["shard"] for r in got], minlength=40)
+    assert len(counts) == 40 and counts.max() - counts.min() <= 1 and {r["law"] for r in got} == {"rows"} and {r["grown_shard"] for r in got} == {None}
+    assert len({(r["shard"], r["slot"]) for r in got}) == len(got) and all(0 <= r["slot"] < counts[r["shard"]] for r in got)
