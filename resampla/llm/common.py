@@ -135,12 +135,12 @@ def slices(data: np.ndarray, offsets: np.ndarray, limit: int = SLICE_BYTES):
         lo = hi
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of the white-space separated words ``[^\\x20\\x09-\\x0D]+``."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of the words between bytes of ``between``; by default ``[^\\x20\\x09-\\x0D]+``."""
     if not len(data):
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~SPACE[data]
+    solid = ~between[data]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
     before[offsets[:-1][offsets[:-1] < len(data)]] = False

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from resampla.llm import boilerplate, decontaminate, hilbert, lm, ngram_join, packing, prefix_trie, quality, suffix_dedup, surrogates, toxicity, vector_join
+from resampla.llm import boilerplate, collocations, decontaminate, hilbert, lm, ngram_join, packing, prefix_trie, quality, suffix_dedup, surrogates, toxicity, vector_join
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -92,6 +92,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"), 100, 2000)
+
+
 def op12_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hilbert.hilbert_shards(read(spark, sf_dir, "documents"), ["lang", "source", "n_chars", "doc_id"], 40)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -110,7 +114,7 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie_nodes(rebuilt(prefix_trie.conversation_sequences(read(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op12_hilbert_sharding": op12_hilbert_sharding, "op13_conversation_trie": op13_conversation_trie}
+QUERIES = {"op1_toxicity": op1_toxicity, "op2_pii_surrogates": op2_pii_surrogates, "op3_pitman_yor": op3_pitman_yor, "op4_site_line_dedup": op4_site_line_dedup, "op5_benchmark_decontamination": op5_benchmark_decontamination, "op6_quality_classifier": op6_quality_classifier, "op7_best_fit_packing": op7_best_fit_packing, "op8_ngram_jaccard": op8_ngram_jaccard, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_suffix_dedup": op10_suffix_dedup, "op11_collocations": op11_collocations, "op12_hilbert_sharding": op12_hilbert_sharding, "op13_conversation_trie": op13_conversation_trie}
 CLOSURE = "reach as (select {id} as id, {id} as r from {nodes} union select reach.id, l.b from reach join l on reach.r = l.a)"
 OP8_SQL = rf"""
 with recursive w as (
@@ -157,4 +161,20 @@ ends as (select key, sha256(string_agg(conv_id::varchar, ',' order by conv_id))
 select n.conv_id, n.depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(kids.n_children, 0)::bigint as n_children, n_leaves, saved_tokens, coalesce(sha, sha256('')) as ends_sha256
 from node n left join node u on u.key = n.up left join kids on kids.key = n.key join below on below.key = n.key left join ends on ends.key = n.key
 """
-ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL, "op13_conversation_trie": OP13_SQL}
+OP11_SQL = r"""
+with p as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+w as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from p),
+t as (select lang, sum(len(w))::hugeint as n from w group by lang),
+g as (select lang, w, unnest(range(1, len(w) + 1)) as i from w where len(w) > 0),
+f as (select lang, w[i:i + k - 1] as p, count(*)::hugeint as a from g, (select unnest(range(1, 6)) as k) where i + k - 1 <= len(w) group by 1, 2 having count(*) >= 100),
+held as (select distinct l.lang, unnest([l.p[1:len(l.p) - 1], l.p[2:len(l.p)]]) as p, l.a from f l where len(l.p) > 2),
+c as (select lang, p, a from f anti join held using (lang, p, a) where len(p) > 1),
+k as (select lang, p, a, unnest(range(1, len(p))) as k from c),
+s as (select k.lang, k.p, k.a, k.k, x.a as l, y.a as r, t.n, (1000 * k.a * t.n) // (x.a * y.a) as score from k join t using (lang)
+  join f x on x.lang = k.lang and x.p = k.p[1:k.k] join f y on y.lang = k.lang and y.p = k.p[k.k + 1:len(k.p)]),
+b as (select * from s qualify row_number() over (partition by lang, p order by score, k) = 1),
+o as (select *, array_to_string(p, ' ') as phrase from b)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score
+from o qualify row_number() over (partition by lang order by score desc, a desc, phrase) <= 2000
+"""
+ORACLE: dict[str, str] = {"op4_site_line_dedup": OP4_SQL, "op8_ngram_jaccard": OP8_SQL, "op9_embedding_near_dedup": OP9_SQL, "op11_collocations": OP11_SQL, "op13_conversation_trie": OP13_SQL}

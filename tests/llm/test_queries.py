@@ -19,11 +19,11 @@ def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from read_parquet('{SMALL}/{t}.parquet')")
-    ours, theirs = queries.QUERIES[name](spark, SMALL).toPandas(), con.sql(queries.ORACLE[name]).df()
+    ours, theirs = queries.QUERIES[name](spark, SMALL), con.sql(queries.ORACLE[name])
     cols = sorted(ours.columns)
     assert cols == sorted(theirs.columns)
-    tidy = lambda d: sorted(map(tuple, d[cols].astype(str).values.tolist()))
-    assert tidy(ours) == tidy(theirs)
+    tidy = lambda rows: sorted(map(repr, rows))
+    assert tidy(map(tuple, ours.select(*cols).collect())) == tidy(theirs.select(*[f'"{c}"' for c in cols]).fetchall())
 
 
 @pytest.mark.parametrize("name,fold,held,label", [("op1_toxicity", 4, 2, "toxic"), ("op6_quality_classifier", 5, 0, "quality")])
