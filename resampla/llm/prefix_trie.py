@@ -4,8 +4,8 @@ Every distinct sequence of first turns is a node.  Turns are encoded by a dictio
 raises where two turns would share one, and another ``salt`` parts them).  Equal conversations are first folded into
 one with a count, so a conversation with a third of all rows is one sequence.
 
-* Radix passes: sequences at a node are counted by their next turn.  A bucket with more than ``local_turns`` turns is a node of
-  its own and is partitioned again a turn deeper; turns that all of a bucket share are skipped at once (32 a pass), so the
+* Radix passes: sequences at a node are counted by their next turn.  A bucket with more than ``local_turns`` turns (by default
+  an eighth of a partition's share, between 1,024 and ``LOCAL_TURNS``) is a node of its own and is partitioned again a turn deeper; turns that all of a bucket share are skipped at once (32 a pass), so the
   number of passes follows the branching of large buckets.  Rows are joined to the few large buckets, never gathered.
 * Local buckets: dealt to tasks by (node, turn), worked through in slabs of about ``SLAB`` turns; three-way partitions by the
   next turn emit the shared nodes, and the unshared rest of a sequence is emitted as one chain.
@@ -272,7 +272,7 @@ def split_large(work: DataFrame, local_turns: int, level: int) -> tuple[DataFram
     return keyed.join(F.broadcast(small) if count <= BROADCAST_BUCKETS else small, ["node", "depth", "nxt"], "left"), units
 
 
-def trie_nodes(sequences: DataFrame, local_turns: int = LOCAL_TURNS) -> DataFrame:
+def trie_nodes(sequences: DataFrame, local_turns: int | None = None) -> DataFrame:
     """All nodes of the trie of ``sequences`` (conv_id, turns: array of (code, size))."""
     spark = sequences.sparkSession
     parts = partitions(spark)
@@ -281,9 +281,10 @@ def trie_nodes(sequences: DataFrame, local_turns: int = LOCAL_TURNS) -> DataFram
     keyed = materialize(keyed.withColumn("key", F.unhex(F.md5(F.concat_ws(",", F.col("codes").cast("array<string>")).cast("binary")))), "sequences")
     folded = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("id"), F.any_value("codes").alias("codes"), F.any_value("sizes").alias("sizes"))
     work = folded.join(end_hashes(keyed.select("key", "id")), "key").drop("key")
-    total = keyed.agg(F.count("*").alias("n"), F.min("id").alias("id")).first()
+    total = keyed.agg(F.count("*").alias("n"), F.min("id").alias("id"), F.sum(F.size("codes")).alias("turns")).first()
     if not total["n"]:
         return spark.createDataFrame([], NODE)
+    local_turns = local_turns or min(LOCAL_TURNS, max(1024, total["turns"] // (8 * parts)))
     root = spark.createDataFrame([(None, None, None, total["id"], 0, total["n"], [0])], "node long, depth long, nxt long, to_node long, to_depth long, n_convs long, chain array<int>")
     levels, local, ended, scratch = [root], [], [], [keyed]
     work = work.select(F.lit(total["id"]).alias("node"), F.lit(0).cast("long").alias("depth"), "codes", "sizes", "n", "id", "sha")
