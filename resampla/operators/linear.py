@@ -9,12 +9,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resampla.functions import tails
-from resampla.operators import resample
+from resampla.plans import exchange
 from resampla.plans.frame import CollinearFeatureError, Moments, linear, moments, residual
 
 
@@ -45,48 +45,78 @@ def diagnostics(m: Moments, features: list[str], target: str) -> dict:
     }
 
 
-def orthonormal(m: Moments, on: list[str], prefix: str) -> list:
-    """Column expressions of an orthonormal basis of the centred columns (the constant apart)."""
-    out = []
-    for i, c in enumerate(on):
-        size = m.rss(c, on[:i])
-        if size <= 1e-20 * max(1.0, m.n * m.block([c], [c])[0, 0]):
-            raise CollinearFeatureError(f"linearly dependent: {on}")
-        out.append((residual(m, c, on[:i]) / math.sqrt(size)).alias(f"{prefix}{i}"))
-    return out
+def scaled(m: Moments, columns: list[str]) -> dict[str, Column]:
+    """Centred columns of unit variance."""
+    scale = {c: math.sqrt(m.block([c], [c])[0, 0]) for c in columns}
+    if any(s == 0 for s in scale.values()):
+        raise CollinearFeatureError(f"constant: {[c for c in columns if scale[c] == 0]}")
+    return {c: (F.col(c) - F.lit(m.mean[c])) / F.lit(scale[c]) for c in columns}
+
+
+def correlations(m: Moments, columns: list[str]) -> np.ndarray:
+    """n times the correlation matrix: the sums of products of scaled columns."""
+    a = m.block(columns, columns)
+    scale = np.sqrt(np.diag(a))
+    return m.n * a / np.outer(scale, scale)
+
+
+def feature_rows(reps: np.ndarray, names: list[str], stats: np.ndarray):
+    for name, stat in zip(names, stats):
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array([name] * len(reps)), pa.array(stat, from_pandas=True)], names=["rep", "feature", "stat"])
 
 
 def ter_braak(frame: DataFrame, m: Moments, features: list[str], target: str, count: int, seed: int) -> DataFrame:
     """(rep, feature, stat): refitted slopes after permuting the residuals of the model without the feature.
 
-    A single feature's reduced model is the mean alone.
+    A single feature's reduced model is the mean alone.  All features go through one exchange.
     """
-    out = None
-    for c in features:
+    columns, below = {}, []
+    for i, c in enumerate(features):
         rest = [x for x in features if x != c]
-        work = frame.select("rid", residual(m, target, rest).alias("e"), residual(m, c, rest).alias("x"))
-        moved = resample.at_positions(resample.permuted(work, m.n, count, seed, c, ["e"]), work.select("rid", "x"), m.n, ["x"])
-        one = moved.groupBy("rep").agg((F.sum(F.col("x") * F.col("e")) / F.lit(m.rss(c, rest))).alias("stat")).select("rep", F.lit(c).alias("feature"), "stat")
-        out = one if out is None else out.unionByName(one)
-    return out
+        columns |= {f"e{i}": residual(m, target, rest), f"x{i}": residual(m, c, rest)}
+        below.append(m.rss(c, rest))
+    packed = exchange.pack(frame, m.n, columns)
+
+    def sums(reps, pos, moved, held):
+        return np.stack([e[0] @ x for e, x in zip(moved, held)], 1)
+
+    states = exchange.exchanged(packed, [exchange.Channel(c, [f"e{i}"]) for i, c in enumerate(features)], [f"x{i}" for i in range(len(features))], count, seed, sums)
+    return exchange.replicate_rows(states, len(features), lambda reps, s: feature_rows(reps, features, (s / below).T), "rep long, feature string, stat double")
 
 
 def kennedy(frame: DataFrame, m: Moments, features: list[str], target: str, confounders: list[str], count: int, seed: int) -> DataFrame:
-    """(rep, feature, stat): slopes of each feature whose residuals given the confounders are permuted, all others kept."""
-    out = None
-    for c in (x for x in features if x not in confounders):
-        rest = [x for x in features if x != c]
-        basis = orthonormal(m, rest, "q")
-        names = [f"q{i}" for i in range(len(rest))]
-        work = frame.select("rid", residual(m, c, confounders).alias("r"), residual(m, target, rest).alias("e"), *basis)
-        moved = resample.at_positions(resample.permuted(work, m.n, count, seed, c, ["r"]), work.select("rid", "e", *names), m.n, ["e", *names])
-        shared = [F.pow(F.sum(F.col(q) * F.col("r")), 2.0) for q in names]
-        below = F.lit(m.rss(c, confounders))
-        for s in shared:
-            below = below - s
-        one = moved.groupBy("rep").agg(F.sum(F.col("e") * F.col("r")).alias("up"), below.alias("low")).select("rep", F.lit(c).alias("feature"), F.try_divide("up", "low").alias("stat"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else frame.sparkSession.createDataFrame([], "rep long, feature string, stat double")
+    """(rep, feature, stat): slopes of each feature whose residuals given the confounders are permuted, all others kept.
+
+    From the sums of a feature's moved residuals with all columns: what they share with the other features leaves the residuals'
+    own square and their product with the outcome.
+    """
+    tested = [c for c in features if c not in confounders]
+    if not tested:
+        return frame.sparkSession.createDataFrame([], "rep long, feature string, stat double")
+    for c in tested:
+        m.fit(target, [x for x in features if x != c])  # raises where the other features are dependent
+    fixed = [*features, target]
+    packed = exchange.pack(frame, m.n, {f"r{i}": residual(m, c, confounders) for i, c in enumerate(tested)} | {f"z{i}": z for i, z in enumerate(scaled(m, fixed).values())})
+    gram, k = correlations(m, fixed), len(features)
+    spread = math.sqrt(m.block([target], [target])[0, 0])
+    own = [m.rss(c, confounders) for c in tested]
+
+    def sums(reps, pos, moved, held):
+        return np.concatenate([r[0] @ held.T for r in moved], 1)
+
+    def finish(reps, s):
+        stats = []
+        for i, c in enumerate(tested):
+            rest = [j for j in range(k) if features[j] != c]
+            part = s[:, i * (k + 1) : (i + 1) * (k + 1)]
+            shared = np.linalg.solve(gram[np.ix_(rest, rest)], part[:, rest].T)  # of the other features' slopes
+            low = own[i] - (part[:, rest].T * shared).sum(0)
+            up = spread * (part[:, k] - gram[k, rest] @ shared)
+            stats.append(np.divide(up, low, out=np.full(len(reps), np.nan), where=low != 0))
+        yield from feature_rows(reps, tested, np.array(stats))
+
+    states = exchange.exchanged(packed, [exchange.Channel(c, [f"r{i}"]) for i, c in enumerate(tested)], [f"z{i}" for i in range(k + 1)], count, seed, sums)
+    return exchange.replicate_rows(states, len(tested) * (k + 1), finish, "rep long, feature string, stat double")
 
 
 def kennedy_joint(frame: DataFrame, m: Moments, features: list[str], target: str, confounders: list[str], count: int, seed: int) -> tuple[float, DataFrame]:
@@ -95,23 +125,24 @@ def kennedy_joint(frame: DataFrame, m: Moments, features: list[str], target: str
     if not tested:
         raise ValueError("every feature is a confounder: nothing is left to test")
     observed = m.rss(target, confounders) - m.rss(target, features)
-    x, q = [f"x{i}" for i in range(len(tested))], [f"q{i}" for i in range(len(confounders))]
-    work = frame.select("rid", residual(m, target, confounders).alias("y"), *[residual(m, c, confounders).alias(n) for c, n in zip(tested, x)], *orthonormal(m, confounders, "q"))
-    moved = resample.at_positions(resample.permuted(work, m.n, count, seed, "joint", x), work.select("rid", "y", *q), m.n, ["y", *q])
-    sums = [F.sum(F.col("y") * F.col(a)).alias(f"c_{a}") for a in x] + [F.sum(F.col(b) * F.col(a)).alias(f"a_{b}_{a}") for a in x for b in q]
-    rows = moved.groupBy("rep").agg(*sums)
-    z = m.block(confounders, confounders)
-    own = m.block(tested, tested) - (m.block(tested, confounders) @ np.linalg.solve(z, m.block(confounders, tested)) if confounders else 0.0)
+    k, q = len(tested), len(confounders)
+    columns = {f"x{i}": residual(m, c, confounders) for i, c in enumerate(tested)} | {"y": residual(m, target, confounders)} | {f"z{i}": z for i, z in enumerate(scaled(m, confounders).values())}
+    packed = exchange.pack(frame, m.n, columns)
+    inner = correlations(m, confounders) if q else np.zeros((0, 0))
+    own = m.block(tested, tested) - (m.block(tested, confounders) @ np.linalg.solve(m.block(confounders, confounders), m.block(confounders, tested)) if q else 0.0)
     gram = m.n * own
 
-    def solve(batches):
-        for b in batches:
-            c = b[[f"c_{a}" for a in x]].to_numpy()
-            shared = np.stack([b[[f"a_{k}_{a}" for a in x]].to_numpy() for k in q], axis=1) if q else np.zeros((len(b), 0, len(x)))
-            s = gram - np.einsum("rqi,rqj->rij", shared, shared)
-            yield pd.DataFrame({"rep": b["rep"], "improvement": np.einsum("ri,ri->r", c, np.linalg.solve(s, c[..., None])[..., 0])})
+    def sums(reps, pos, moved, held):
+        return np.einsum("krn,fn->rkf", moved[0], held).reshape(len(reps), -1)
+
+    def finish(reps, s):
+        s = s.reshape(len(reps), k, q + 1)
+        c, shared = s[:, :, 0], s[:, :, 1:]
+        left = gram - shared @ np.linalg.solve(inner, shared.transpose(0, 2, 1)) if q else np.broadcast_to(gram, (len(reps), k, k))
+        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array((c * np.linalg.solve(left, c[..., None])[..., 0]).sum(1))], names=["rep", "improvement"])
 
-    return float(observed), rows.mapInPandas(solve, "rep long, improvement double")
+    states = exchange.exchanged(packed, [exchange.Channel("joint", [f"x{i}" for i in range(k)])], ["y", *[f"z{i}" for i in range(q)]], count, seed, sums)
+    return float(observed), exchange.replicate_rows(states, k * (q + 1), finish, "rep long, improvement double")
 
 
 def fitted(frame: DataFrame, m: Moments, target: str, on: list[str]) -> DataFrame:

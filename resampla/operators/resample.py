@@ -58,6 +58,16 @@ def positions(rid: np.ndarray, n: int, seed: int, name: str, rep: int) -> np.nda
     return x + 1
 
 
+def origins(pos: np.ndarray, n: int, seed: int, name: str, rep: int) -> np.ndarray:
+    """The rows that a replicate's permutation sends to the given positions: every round undoes itself, so rounds run backwards."""
+    x = pos.astype(np.int64) - 1
+    for shift, factor, addend in reversed(constants(seed, name, rep)):
+        y = (shift % n - x) % n
+        h = (factor * (np.maximum(x, y) % PRIME) + addend) % PRIME
+        x = np.where((h * h + addend) % PRIME % 2 == 1, y, x)
+    return x + 1
+
+
 def uniforms(pos: np.ndarray, seed: int, name: str, rep: int) -> np.ndarray:
     """A draw from [0, 1) for each position of a replicate."""
     (_, a, b), (_, c, d) = constants(seed, name, rep)[:2]
