@@ -126,7 +126,7 @@ def screen_potential_confounders(df: DataFrame, id_col: str, features: list[str]
 def mediation_analysis(df: DataFrame, id_col: str, features: list[str], target: str, predictor: str, mediator: str, n_bootstrap: int = 1000, confidence_level: float = 0.95, precision: int = 4, random_state: int | None = None) -> dict:
     frame = prepare(df, id_col, features, target)
     seed = secrets.randbits(31) if random_state is None else random_state
-    row = confounding.mediate(frame, frame.count(), target, [(predictor, mediator)], n_bootstrap, confidence_level, seed).first()
+    row = confounding.mediate(frame, moments(frame, [*features, target]), target, [(predictor, mediator)], n_bootstrap, confidence_level, seed).first()
     return _mediation(row, precision)
 
 
@@ -141,7 +141,7 @@ def identify_all(df: DataFrame, id_col: str, features: list[str], target: str, p
     frame = prepare(df, id_col, features, target).persist()
     seed = secrets.randbits(31) if random_state is None else random_state
     try:
-        summary, screened, mediation = confounding.identify(frame, frame.count(), features, target, predictors or features, correlation_threshold, p_value_threshold, n_bootstrap, confidence_level, seed)
+        summary, screened, mediation = confounding.identify(frame, moments(frame, [*features, target]), features, target, predictors or features, correlation_threshold, p_value_threshold, n_bootstrap, confidence_level, seed)
         med = [_mediation(r, 4) for r in mediation.collect()]
         tested = [r.asDict() for r in screened.orderBy("predictor", "ordinal").collect()]
         return [s.asDict() | {"screening_results": [t for t in tested if t["predictor"] == s["predictor"]], "mediation_results": {m["mediator"]: m for m in med if m["predictor"] == s["predictor"]}} for s in summary.orderBy("ordinal").collect()]

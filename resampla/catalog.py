@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from resampla import api
 from resampla.functions import tails, text
-from resampla.operators import confounding, linear, logistic, report, resample
+from resampla.operators import bootstrap, confounding, linear, logistic, report, resample
 from resampla.plans.frame import Moments, moments, outcome_kind, prepare
 from resampla.sources import tables
 
@@ -334,19 +334,47 @@ def permute_rows_joint(spark, sf_dir):
     return resample.permuted(frame, frame.count(), 5, SEED, "joint", ["n_orders", "n_f"]).select("rep", "rid", "pos", "n_orders", "n_f")
 
 
-def draw_sql(text_: str) -> str:
-    return f"('0x' || substr(md5({text_}), 1, 15))::bigint"
 
+def boot_noise(x: str, y: str) -> str:
+    """The hash of node x and serial y under a replicate's constants a, b."""
+    h = f"((a[1] * (({x}) % {PRIME}) + b[1]) % {PRIME})"
+    h = f"((a[2] * (({h} * {h} + {y}) % {PRIME}) + b[2]) % {PRIME})"
+    return f"((a[3] * (({h} * {h} + b[3]) % {PRIME}) + b[1]) % {PRIME})"
 
-def boot_sql(count: int) -> str:
-    index = draw_sql(f"concat_ws(':', '{SEED}', 'boot', rep::varchar, s.rid::varchar)")
-    return f"bi as (select rep, s.rid as slot, {index} % (select count(*) from fr) + 1 as rid from fr s, (select unnest(range(1, {count + 1})) as rep))"
 
+def boot_uniform(x: str, y: str) -> str:
+    return f"(({boot_noise(x, f'2 * ({y})')} + {boot_noise(x, f'2 * ({y}) + 1')} / {PRIME}::double) / {PRIME}::double)"
 
-@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {boot_sql(5)} select rep, slot, rid from bi")
+
+BOOT_LEVELS = 12  # of the tree of row ranges: up to 500,000 rows
+
+
+def boot_sql(count: int, rows: str = "fr") -> str:
+    """CTEs that end in bi (rep, slot, rid), a row a draw: binomial splits of row ranges by transformed rejection, then single draws in each leaf."""
+    leaf = bootstrap.LEAF
+    ctes = [f"bc as materialized ({constants_sql('boot', count, 3)})", f"bt0 as (select rep, 1::bigint as node, 0::bigint as lo, (select count(*) from {rows}) as size, (select count(*) from {rows}) as m from bc)"]
+    for i in range(BOOT_LEVELS):
+        split = f"select t.*, a, b, (size // 2) / size::double as p from bt{i} t join bc using (rep) where size > {leaf}"
+        wide = "select *, sqrt(m * p * (1 - p)) as spread, floor((m + 1) * p) as mode from b0"
+        tries = f"select *, 1.15 + 2.53 * spread as bb, {boot_uniform('node', '2 * t')} - 0.5 as u, {boot_uniform('node', '2 * t + 1')} as v from b1, (select unnest(range(0, 24)) as t)"
+        shape = "select *, -0.0873 + 0.0248 * bb + 0.01 * p as aa, 0.5 - abs(u) as us from b2"
+        k = "select *, floor((2 * aa / us + bb) * u + m * p + 0.5) as k from b3"
+        far = "ln(v * (2.83 + 5.1 / bb) * spread / (aa / (us * us) + bb)) <= lgamma(mode + 1) + lgamma(m - mode + 1) - lgamma(k + 1) - lgamma(m - k + 1) + (k - mode) * ln(p / (1 - p))"
+        ctes.append(
+            f"bs{i} as materialized (with b0 as ({split}), b1 as ({wide}), b2 as ({tries}), b3 as ({shape}), b4 as ({k}) "
+            f"select rep, node, any_value(lo) as lo, any_value(size) as size, any_value(m) as m, arg_min(k, t)::bigint as l from b4 where case when k < 0 or k > m then false when us >= 0.07 and v <= 0.92 - 4.2 / bb then true else {far} end group by rep, node)")
+        ctes.append(
+            f"bt{i + 1} as (select * from bt{i} where size <= {leaf} union all select rep, 2 * node, lo, size // 2, l from bs{i} "
+            f"union all select rep, 2 * node + 1, lo + size // 2, size - size // 2, m - l from bs{i})")
+    ctes.append(f"bi as materialized (select rep, lo + floor({boot_uniform('node', 'k')} * size)::bigint + 1 as rid from (select t.*, a, b, unnest(range(0, m)) as k from bt{BOOT_LEVELS} t join bc using (rep)))")
+    return ", ".join(ctes)
+
+
+@query(f"with {CUST}, fr as (select row_number() over (order by id) as rid, * from cust), {boot_sql(5)} select rep, rid, count(*) as times from bi group by rep, rid")
 def bootstrap_indices(spark, sf_dir):
+    """How often each replicate drew each row."""
     frame = prepare(tables.customers(spark, sf_dir), "id", X, Y)
-    return resample.bootstrap(frame, frame.count(), 5, SEED, [Y]).select("rep", "slot", "rid")
+    return bootstrap.drawn(frame, frame.count(), 5, SEED)
 
 
 @query(f"with {LBL}, fr as (select row_number() over (order by id) as rid, * from lbl), c as ({constants_sql('k_chars:draw', 3, 2)}), {moves_sql('k_chars', 'fr', 'k_chars', 'p', 3)} select rep, rid, pos, ({uniform_sql('pos')} < least(greatest(k_chars / 10, 0.001), 0.999))::int::double as y from p join c using (rep)")
@@ -494,7 +522,7 @@ MED_SELECT = "select predictor, mediator, round_even(total, 4) as total_effect,
 @query(f"{FR}, {mediation_sql([('n_f', 'n_orders'), ('n_orders', 'n_f')])} {MED_SELECT}")
 def mediation(spark, sf_dir):
     frame, m = customers(spark, sf_dir)
-    t = confounding.mediate(frame, m.n, Y, [("n_f", "n_orders"), ("n_orders", "n_f")], B, 0.95, SEED)
+    t = confounding.mediate(frame, m, Y, [("n_f", "n_orders"), ("n_orders", "n_f")], B, 0.95, SEED)
     return t.select(*[F.bround(c, 4).alias(c) if k == "double" else F.col(c) for c, k in t.dtypes])
 
 
@@ -508,7 +536,7 @@ def mediation_point(spark, sf_dir):
 @query(f"{FR}, {mediation_sql([('n_f', 'n_orders')])} select round_even(lo, 4) as ci_lower, round_even(hi, 4) as ci_upper, is_mediator from md")
 def mediation_bootstrap_ci(spark, sf_dir):
     frame, m = customers(spark, sf_dir)
-    return confounding.mediate(frame, m.n, Y, [("n_f", "n_orders")], B, 0.95, SEED).select(F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper"), "is_mediator")
+    return confounding.mediate(frame, m, Y, [("n_f", "n_orders")], B, 0.95, SEED).select(F.bround("ci_lower", 4).alias("ci_lower"), F.bround("ci_upper", 4).alias("ci_upper"), "is_mediator")
 
 
 def identify_sql(predictors: list[str], x: list[str] = X, y: str = Y, source: str = "cust", rows: str = FR) -> str:
@@ -521,7 +549,7 @@ def identify_sql(predictors: list[str], x: list[str] = X, y: str = Y, source: st
 
 
 def identified(frame: DataFrame, m: Moments, x: list[str], y: str, predictors: list[str]) -> DataFrame:
-    summary, _, _ = confounding.identify(frame, m.n, x, y, predictors, count=B, seed=SEED)
+    summary, _, _ = confounding.identify(frame, m, x, y, predictors, count=B, seed=SEED)
     return summary.select("predictor", *[F.array_join(c, ",").alias(c) for c in ("identified_confounders", "identified_mediators")], "recommendation")
 
 

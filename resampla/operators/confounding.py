@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resampla.functions import tails, text
-from resampla.operators import resample
+from resampla.operators import bootstrap
 from resampla.plans.frame import Moments, moments
 
 SCREEN = "predictor string, feature string, ordinal int, r_pred double, p_pred double, r_out double, p_out double, is_candidate boolean"
@@ -24,12 +25,12 @@ def correlation(m: Moments, a: str, b: str) -> float:
     return max(-1.0, min(1.0, float(m.block([a], [b])[0, 0]) / scale)) if scale > 0 else math.nan
 
 
-def screen(frame: DataFrame, features: list[str], target: str, predictors: list[str], least: float = 0.1, alpha: float = 0.05) -> DataFrame:
+def screen(frame: DataFrame, features: list[str], target: str, predictors: list[str], least: float = 0.1, alpha: float = 0.05, m: Moments | None = None) -> DataFrame:
     """One row per predictor and other feature: correlations with predictor and outcome; a candidate passes all four tests.
 
     All pairs come from one pass; undefined correlations never pass.
     """
-    m = moments(frame, [*features, target])
+    m = m or moments(frame, [*features, target])
     rows = []
     for p in predictors:
         for i, c in enumerate(features):
@@ -52,23 +53,24 @@ def paths(x: str, z: str, y: str) -> dict[str, Column]:
     }
 
 
-def mediate(frame: DataFrame, n: int, target: str, pairs: list[tuple[str, str]], count: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
+def mediate(frame: DataFrame, m: Moments, target: str, pairs: list[tuple[str, str]], count: int = 1000, level: float = 0.95, seed: int = 0) -> DataFrame:
     """One row per (predictor, mediator): effects, percentile interval of the indirect effect, and what follows.
 
-    All pairs share the draws of a replicate and one aggregation; the model is linear for any outcome.
+    All pairs share the draws of a replicate and its one moment matrix; each pair is a row from there on.  The model is linear for any outcome.
     """
+    spark = frame.sparkSession
     schema = "predictor string, mediator string, total_effect double, direct_effect double, a_path double, b_path double, indirect_effect double, ci_lower double, ci_upper double, is_mediator boolean, proportion_mediated double, interpretation string"
     if not pairs:
-        return frame.sparkSession.createDataFrame([], schema)
+        return spark.createDataFrame([], schema)
     used = sorted({c for p in pairs for c in p} | {target})
-    drawn = resample.bootstrap(frame, n, count, seed, used)
-    point = frame.agg(*[e.alias(f"{k}_{i}") for i, (x, z) in enumerate(pairs) for k, e in paths(x, z, target).items()])
-    boot = drawn.groupBy("rep").agg(*[(paths(x, z, target)["a"] * paths(x, z, target)["b"]).alias(f"i_{i}") for i, (x, z) in enumerate(pairs)])
-    ends = [(1 - level) / 2, 1 - (1 - level) / 2]
-    band = boot.agg(*[F.percentile(f"i_{i}", F.array(*map(F.lit, ends))).alias(f"ci_{i}") for i in range(len(pairs))])
-    entries = [F.struct(F.lit(x).alias("predictor"), F.lit(z).alias("mediator"), *[F.col(f"{k}_{i}").alias(k) for k in ("total", "direct", "a", "b")], F.col(f"ci_{i}").alias("ci")) for i, (x, z) in enumerate(pairs)]
-    rows = point.crossJoin(band).select(F.explode(F.array(*entries)).alias("r")).select("r.*")
-    rows = rows.withColumn("indirect", F.col("a") * F.col("b")).withColumn("lo", F.get("ci", F.lit(0))).withColumn("hi", F.get("ci", F.lit(1)))
+    at = {c: i for i, c in enumerate(used)}
+    c = m.block(used, used) * (m.n / (m.n - 1)) if m.n > 1 else np.zeros((len(used), len(used)))
+    effects = bootstrap.path_values(c, np.array([at[x] for x, _ in pairs]), np.array([at[z] for _, z in pairs]), at[target])
+    point = [(i, x, z, *(None if math.isnan(e[i]) else float(e[i]) for e in effects)) for i, (x, z) in enumerate(pairs)]
+    rows = spark.createDataFrame(point, "pair long, predictor string, mediator string, total double, a double, b double, direct double")
+    ends = F.array(F.lit((1 - level) / 2), F.lit(1 - (1 - level) / 2))
+    band = bootstrap.indirect_effects(frame, m, pairs, target, count, seed).groupBy("pair").agg(F.percentile("value", ends).alias("ci"))
+    rows = rows.join(band, "pair").withColumn("indirect", F.col("a") * F.col("b")).withColumn("lo", F.get("ci", F.lit(0))).withColumn("hi", F.get("ci", F.lit(1)))
     rows = rows.withColumn("is_mediator", F.coalesce((F.col("lo") > 0) | (F.col("hi") < 0), F.lit(False)))
     share = F.when(F.abs("total") > 1e-10, F.try_divide("indirect", "total"))
     return rows.select(
@@ -77,11 +79,11 @@ def mediate(frame: DataFrame, n: int, target: str, pairs: list[tuple[str, str]],
     )
 
 
-def identify(frame: DataFrame, n: int, features: list[str], target: str, predictors: list[str], least: float = 0.1, alpha: float = 0.05, count: int = 1000, level: float = 0.95, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
+def identify(frame: DataFrame, m: Moments, features: list[str], target: str, predictors: list[str], least: float = 0.1, alpha: float = 0.05, count: int = 1000, level: float = 0.95, seed: int = 0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summary, screening, mediation): candidates that don't mediate are confounders; all pairs run in one job."""
-    screened = screen(frame, features, target, predictors, least, alpha)
+    screened = screen(frame, features, target, predictors, least, alpha, m)
     pairs = [(r["predictor"], r["feature"]) for r in screened.where("is_candidate").orderBy("predictor", "ordinal").collect()]
-    mediation = mediate(frame, n, target, pairs, count, level, seed)
+    mediation = mediate(frame, m, target, pairs, count, level, seed)
     order = frame.sparkSession.createDataFrame([(p, features.index(p)) for p in predictors], "predictor string, ordinal int")
     placed = mediation.join(frame.sparkSession.createDataFrame([(c, i) for i, c in enumerate(features)], "mediator string, _at int"), "mediator")
     pick = lambda flag: F.transform(F.array_sort(F.collect_list(F.when(F.col("is_mediator") == flag, F.struct("_at", "mediator")))), lambda s: s["mediator"])

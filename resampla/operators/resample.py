@@ -104,14 +104,6 @@ def at_positions(moved: DataFrame, frame: DataFrame, n: int, columns: list[str])
     return moved.join(F.broadcast(fixed) if n <= BROADCAST_ROWS else fixed, "pos")
 
 
-def bootstrap(frame: DataFrame, n: int, count: int, seed: int, columns: list[str]) -> DataFrame:
-    """(rep, slot, rid, columns): n draws with replacement in each replicate."""
-    slots = frame.select(F.col("rid").alias("slot")).crossJoin(F.broadcast(replicates(frame.sparkSession, count)))
-    drawn = slots.withColumn("rid", number(key(seed, "boot", F.col("rep"), F.col("slot"))) % n + 1)
-    fixed = frame.select("rid", *columns)
-    return drawn.join(F.broadcast(fixed) if n <= BROADCAST_ROWS else fixed, "rid").select("rep", "slot", "rid", *columns)
-
-
 def bernoulli(p: Column, u: Column) -> Column:
     """1.0 where the draw is under p, which is kept between 0.001 and 0.999."""
     return (u < F.least(F.greatest(p, F.lit(0.001)), F.lit(0.999))).cast("double")
