@@ -87,9 +87,9 @@ LBL = """lbl as (select doc_id as id, n_chars / 1000.0::double as k_chars, lengt
   (lang = 'en')::int::double as is_en, quality::double as quality, toxic::double as toxic from labels join documents using (doc_id))"""
 
 
-def frame_sql(source: str, columns: list[str]) -> str:
+def frame_sql(source: str, columns: list[str], order: str = "id") -> str:
     pairs = ", ".join(f"covar_pop({a}, {b}) as c_{a}_{b}" for i, a in enumerate(sorted(columns)) for b in sorted(columns)[i:])
-    return f"fr as (select row_number() over (order by id) as rid, * from {source}), m as (select count(*)::double as n, {', '.join(f'avg({c}) as m_{c}' for c in columns)}, {pairs} from fr)"
+    return f"fr as (select row_number() over (order by {order}) as rid, * from {source}), m as (select count(*)::double as n, {', '.join(f'avg({c}) as m_{c}' for c in columns)}, {pairs} from fr)"
 
 
 BASE = f"with {CUST}, {frame_sql('cust', [*X, Y])}"
@@ -396,19 +396,19 @@ def coefficient_rows(test: api.PermutationTest) -> DataFrame:
     return t.select("feature", "ordinal", r6("coef").alias("coef"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_exceed", "n_perm")], r6("p_emp").alias("p_emp"), "p_emp_str")
 
 
-def exceed_sql(c: str, i: int, masked: bool = False) -> str:
-    coef = f"(select {slopes(Y, X)[i]} from m)"
+def exceed_sql(c: str, i: int, masked: bool = False, x: list[str] = X, y: str = Y) -> str:
+    coef = f"(select {slopes(y, x)[i]} from m)"
     if masked:
         return f"select '{c}' as feature, {i} as ordinal, round_even({coef}, 6) as coef, 0::bigint as n_exceed, 0::bigint as n_perm, null::double as p_emp, '{text.MASKED}' as p_emp_str"
     inner = f"select count(*) filter (abs(stat) >= abs({coef}) * (1 - 1e-9)) as b, count(*) as k from s_{c}"
     return f"select '{c}' as feature, {i} as ordinal, round_even({coef}, 6) as coef, b as n_exceed, k as n_perm, round_even((b + 1) / (k + 1), 6) as p_emp, {stars_sql('((b + 1) / (k + 1))')} as p_emp_str from ({inner})"
 
 
-def braak_sql() -> str:
+def braak_sql(x: list[str] = X, y: str = Y, count: int = B) -> str:
     ctes = []
-    for c in X:
-        rest = [x for x in X if x != c]
-        ctes.append(f"w_{c} as materialized (select rid, {resid(Y, rest)} as e, {resid(c, rest)} as x from fr, m), {moves_sql(c, f'w_{c}', 'w.e', f'p_{c}')}, s_{c} as (select rep, sum(w.x * p.e) / (select sum(x * x) from w_{c}) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
+    for c in x:
+        rest = [o for o in x if o != c]
+        ctes.append(f"w_{c} as materialized (select rid, {resid(y, rest)} as e, {resid(c, rest)} as x from fr, m), {moves_sql(c, f'w_{c}', 'w.e', f'p_{c}', count)}, s_{c} as (select rep, sum(w.x * p.e) / (select sum(x * x) from w_{c}) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
     return ", ".join(ctes)
 
 
@@ -417,14 +417,15 @@ def ter_braak_linear(spark, sf_dir):
     return coefficient_rows(run_test(spark, sf_dir, "ter_braak"))
 
 
-def kennedy_sql(z: list[str]) -> str:
+def kennedy_sql(z: list[str], x: list[str] = X, y: str = Y, count: int = B) -> str:
+    """Of three features."""
     ctes = []
-    for c in X:
+    for c in x:
         if c in z:
             continue
-        a, b = [x for x in X if x != c]
+        a, b = [o for o in x if o != c]
         ctes.append(
-            f"w_{c} as materialized (select rid, {resid(c, z)} as r, {resid(Y, [a, b])} as e, {resid(a, [])} as q0, {resid(b, [a])} as q1 from fr, m), {moves_sql(c, f'w_{c}', 'w.r', f'p_{c}')}, k_{c} as (select sum(r * r) as rr, sum(q0 * q0) as n0, sum(q1 * q1) as n1 from w_{c}), "
+            f"w_{c} as materialized (select rid, {resid(c, z)} as r, {resid(y, [a, b])} as e, {resid(a, [])} as q0, {resid(b, [a])} as q1 from fr, m), {moves_sql(c, f'w_{c}', 'w.r', f'p_{c}', count)}, k_{c} as (select sum(r * r) as rr, sum(q0 * q0) as n0, sum(q1 * q1) as n1 from w_{c}), "
             f"s_{c} as (select rep, sum(w.e * p.r) / ((select rr from k_{c}) - pow(sum(w.q0 * p.r), 2) / (select n0 from k_{c}) - pow(sum(w.q1 * p.r), 2) / (select n1 from k_{c})) as stat from p_{c} p join w_{c} w on w.rid = p.pos group by rep)")
     return ", ".join(ctes)
 
@@ -649,19 +650,26 @@ def logit_sql(name: str, rows: str, y: str, z: list[str], steps: int) -> str:
     return ", ".join(out) + f", {name}_b as (select * from {name}_{steps})"
 
 
-SCALED = ", ".join(f"({c} - m.m_{c}) / sqrt({cov(c, c)}) as z_{c}" for c in LX)
-#: The observed model of LX: ob_b, in scaled columns.
-OBSERVED = f"ob_r as materialized (select 0 as rep, {LY} as y, {SCALED} from fr, m), " + logit_sql("ob", "ob_r", "y", [f"z_{c}" for c in LX], 12)
+def scaled_sql(x: list[str]) -> str:
+    return ", ".join(f"({c} - m.m_{c}) / sqrt({cov(c, c)}) as z_{c}" for c in x)
 
 
-def refit_sql(name: str, moved: str) -> str:
-    """CTEs of the refits of all replicates over ``moved`` (rep, y, LX)."""
-    return f"{name}_r as materialized (select rep, y, {SCALED} from {moved}, m), " + logit_sql(name, f"{name}_r", "y", [f"z_{c}" for c in LX], 30)
+def observed_sql(x: list[str], y: str) -> str:
+    """The observed model: ob_b, in scaled columns."""
+    return f"ob_r as materialized (select 0 as rep, {y} as y, {scaled_sql(x)} from fr, m), " + logit_sql("ob", "ob_r", "y", [f"z_{c}" for c in x], 12)
 
 
-def logistic_rows_sql(names: dict[str, str], z: list[str]) -> str:
+OBSERVED = observed_sql(LX, LY)
+
+
+def refit_sql(name: str, moved: str, x: list[str], steps: int) -> str:
+    """CTEs of the refits of all replicates over ``moved`` (rep, y, x)."""
+    return f"{name}_r as materialized (select rep, y, {scaled_sql(x)} from {moved}, m), " + logit_sql(name, f"{name}_r", "y", [f"z_{c}" for c in x], steps)
+
+
+def logistic_rows_sql(names: dict[str, str], z: list[str], x: list[str]) -> str:
     parts = []
-    for i, c in enumerate(LX, 1):
+    for i, c in enumerate(x, 1):
         coef = f"((select b{i} from ob_b) / (select sqrt({cov(c, c)}) from m))"
         shown = f"select '{c}' as feature, {i - 1} as ordinal, round_even({coef}, 6) as coef"
         if c in z:
@@ -672,40 +680,41 @@ def logistic_rows_sql(names: dict[str, str], z: list[str]) -> str:
     return " union all ".join(parts)
 
 
-def braak_logistic_sql() -> str:
-    ctes, names = [OBSERVED], {}
-    for c in LX:
-        (rest,) = [x for x in LX if x != c]
+def braak_logistic_sql(x: list[str] = LX, y: str = LY, base: str = LBASE, count: int = B, steps: int = 30) -> str:
+    """Of two features."""
+    ctes, names = [observed_sql(x, y)], {}
+    for c in x:
+        (rest,) = [o for o in x if o != c]
         names[c] = f"t_{c}"
         ctes += [
-            f"a_{c}_r as (select 0 as rep, {LY} as y, ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)}) as z from fr, m)", logit_sql(f"a_{c}", f"a_{c}_r", "y", ["z"], 12),
-            f"e_{c} as materialized (select rid, p, {LY} - p as e from (select rid, {LY}, 1 / (1 + exp(-((select b0 from a_{c}_b) + (select b1 from a_{c}_b) * ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)})))) as p from fr, m))",
-            moves_sql(c, f"e_{c}", "w.e", f"v_{c}"), f"u_{c} as ({constants_sql(f'{c}:draw', B, 2)})",
-            f"y_{c} as (select v.rep, ({uniform_sql('v.pos')} < least(greatest(w.p + v.e, 0.001), 0.999))::int::double as y, {', '.join(f'fr.{x}' for x in LX)} from v_{c} v join u_{c} using (rep) join e_{c} w on w.rid = v.pos join fr on fr.rid = v.pos)",
-            refit_sql(f"t_{c}", f"y_{c}"),
+            f"a_{c}_r as (select 0 as rep, {y} as y, ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)}) as z from fr, m)", logit_sql(f"a_{c}", f"a_{c}_r", "y", ["z"], 12),
+            f"e_{c} as materialized (select rid, p, {y} - p as e from (select rid, {y}, 1 / (1 + exp(-((select b0 from a_{c}_b) + (select b1 from a_{c}_b) * ({rest} - m.m_{rest}) / sqrt({cov(rest, rest)})))) as p from fr, m))",
+            moves_sql(c, f"e_{c}", "w.e", f"v_{c}", count), f"u_{c} as ({constants_sql(f'{c}:draw', count, 2)})",
+            f"y_{c} as (select v.rep, ({uniform_sql('v.pos')} < least(greatest(w.p + v.e, 0.001), 0.999))::int::double as y, {', '.join(f'fr.{o}' for o in x)} from v_{c} v join u_{c} using (rep) join e_{c} w on w.rid = v.pos join fr on fr.rid = v.pos)",
+            refit_sql(f"t_{c}", f"y_{c}", x, steps),
         ]
-    return f"{LBASE}, {', '.join(ctes)} {logistic_rows_sql(names, [])}"
+    return f"{base}, {', '.join(ctes)} {logistic_rows_sql(names, [], x)}"
 
 
-def kennedy_logistic_sql(z: list[str]) -> str:
-    ctes, names = [OBSERVED], {}
-    for c in [x for x in LX if x not in z]:
+def kennedy_logistic_sql(z: list[str], x: list[str] = LX, y: str = LY, base: str = LBASE, count: int = B, steps: int = 30) -> str:
+    ctes, names = [observed_sql(x, y)], {}
+    for c in [o for o in x if o not in z]:
         names[c] = f"t_{c}"
         hat = fit_sql(c, z)
-        kept = ", ".join(f"fr.{x}" if x != c else f"{hat} + v.r as {x}" for x in LX)
-        for x in z:
-            kept = kept.replace(f"*({x}-", f"*(fr.{x}-")
-        ctes += [f"w_{c} as materialized (select rid, {resid(c, z)} as r from fr, m)", moves_sql(c, f"w_{c}", "w.r", f"v_{c}"), f"y_{c} as (select v.rep, fr.{LY} as y, {kept} from v_{c} v join fr on fr.rid = v.pos, m)", refit_sql(f"t_{c}", f"y_{c}")]
-    return f"{LBASE}, {', '.join(ctes)} {logistic_rows_sql(names, z)}"
+        kept = ", ".join(f"fr.{o}" if o != c else f"{hat} + v.r as {o}" for o in x)
+        for o in z:
+            kept = kept.replace(f"*({o}-", f"*(fr.{o}-")
+        ctes += [f"w_{c} as materialized (select rid, {resid(c, z)} as r from fr, m)", moves_sql(c, f"w_{c}", "w.r", f"v_{c}", count), f"y_{c} as (select v.rep, fr.{y} as y, {kept} from v_{c} v join fr on fr.rid = v.pos, m)", refit_sql(f"t_{c}", f"y_{c}", x, steps)]
+    return f"{base}, {', '.join(ctes)} {logistic_rows_sql(names, z, x)}"
 
 
-def joint_logistic_sql() -> str:
-    values = ", ".join(f"{resid(c, [])} as r_{c}" for c in LX)
-    ctes = [OBSERVED, f"w as materialized (select rid, {values} from fr, m)", moves_sql("joint", "w", ", ".join(f"w.r_{c}" for c in LX), "v"), f"y_j as (select v.rep, fr.{LY} as y, {', '.join(f'm.m_{c} + v.r_{c} as {c}' for c in LX)} from v join fr on fr.rid = v.pos, m)", refit_sql("t", "y_j")]
-    deviance = lambda name: f"select r.rep, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) as d from (select r.rep, r.y, least(greatest(1 / (1 + exp(-(b0 + b1 * z_{LX[0]} + b2 * z_{LX[1]}))), 2.220446049250313e-16), 1 - 2.220446049250313e-16) as p from {name}_r r join {name}_b b on r.rep = b.rep) r group by r.rep"
-    base = f"(select -2 * m.n * (m.m_{LY} * ln(m.m_{LY}) + (1 - m.m_{LY}) * ln(1 - m.m_{LY})) from m)"
-    ctes += [f"i as (select {base} - d as v from ({deviance('t')}) join t_b using (rep) where size < 1e-8)"]
-    return f"{LBASE}, {', '.join(ctes)}, " + joint_rows_sql(f"select {base} - d as ob from ({deviance('ob')})", "Deviance Reduction", "logistic", LX, [])
+def joint_logistic_sql(x: list[str] = LX, y: str = LY, base: str = LBASE, count: int = B, steps: int = 30) -> str:
+    values = ", ".join(f"{resid(c, [])} as r_{c}" for c in x)
+    ctes = [observed_sql(x, y), f"w as materialized (select rid, {values} from fr, m)", moves_sql("joint", "w", ", ".join(f"w.r_{c}" for c in x), "v", count), f"y_j as (select v.rep, fr.{y} as y, {', '.join(f'm.m_{c} + v.r_{c} as {c}' for c in x)} from v join fr on fr.rid = v.pos, m)", refit_sql("t", "y_j", x, steps)]
+    deviance = lambda name: f"select r.rep, -2 * sum(y * ln(p) + (1 - y) * ln(1 - p)) as d from (select r.rep, r.y, least(greatest(1 / (1 + exp(-(b0 + b1 * z_{x[0]} + b2 * z_{x[1]}))), 2.220446049250313e-16), 1 - 2.220446049250313e-16) as p from {name}_r r join {name}_b b on r.rep = b.rep) r group by r.rep"
+    none = f"(select -2 * m.n * (m.m_{y} * ln(m.m_{y}) + (1 - m.m_{y}) * ln(1 - m.m_{y})) from m)"
+    ctes += [f"i as (select {none} - d as v from ({deviance('t')}) join t_b using (rep) where size < 1e-8)"]
+    return f"{base}, {', '.join(ctes)}, " + joint_rows_sql(f"select {none} - d as ob from ({deviance('ob')})", "Deviance Reduction", "logistic", x, [])
 
 
 LOGIT_P = f"x as (select sum(p * (1 - p)) as h00, " + ", ".join(f"sum(p * (1 - p) * z{i}) as h0{i}" for i in (1, 2)) + ", sum(p * (1 - p) * z1 * z1) as h11, sum(p * (1 - p) * z1 * z2) as h12, sum(p * (1 - p) * z2 * z2) as h22, sum(y * ln(p) + (1 - y) * ln(1 - p)) as ll, any_value(b1) as b1, any_value(b2) as b2 from (select y, b1, b2, z_k_chars as z1, z_n_dig as z2, 1 / (1 + exp(-(b0 + b1 * z_k_chars + b2 * z_n_dig))) as p from ob_r, ob_b))"
@@ -755,6 +764,49 @@ def kennedy_joint_logistic(spark, sf_dir):
     return joint_columns(logistic_test(spark, sf_dir, "kennedy_joint"))
 
 
+# ---------------------------------------------------------------- many rows: order lines, by the exchange
+
+
+RX, RY, RB = ["quantity", "discount"], "returned", 19
+RET = "ret as (select l_orderkey * 10 + l_linenumber as id, l_quantity::double as quantity, l_discount::double as discount, l_tax::double as tax, (l_returnflag = 'R')::int::double as returned, l_extendedprice::double / 1000 as price from lineitem)"
+RBASE = f"with {RET}, {frame_sql('ret', [*RX, RY], 'id, quantity, discount, returned')}"
+PX, PY = ["quantity", "discount", "tax"], "price"
+
+
+def returns_test(spark, sf_dir, method: str, confounders=()):
+    return run_test(spark, sf_dir, method, confounders, RX, RY, tables.returns, RB)
+
+
+@query(braak_logistic_sql(RX, RY, RBASE, RB, 10))
+def ter_braak_logistic_returns(spark, sf_dir):
+    """Order lines: every row of lineitem in each replicate, refitted by steps that keep nothing."""
+    return coefficient_rows(returns_test(spark, sf_dir, "ter_braak"))
+
+
+@query(kennedy_logistic_sql(["discount"], RX, RY, RBASE, RB, 10))
+def kennedy_logistic_returns(spark, sf_dir):
+    return coefficient_rows(returns_test(spark, sf_dir, "kennedy", ["discount"]))
+
+
+@query(joint_logistic_sql(RX, RY, RBASE, RB, 10))
+def kennedy_joint_logistic_returns(spark, sf_dir):
+    return joint_columns(returns_test(spark, sf_dir, "kennedy_joint"))
+
+
+PBASE = f"with {RET}, {frame_sql('ret', [*PX, PY], 'id, quantity, discount, tax, price')}"
+
+
+@query(f"{PBASE}, {braak_sql(PX, PY, RB)} " + " union all ".join(exceed_sql(c, i, False, PX, PY) for i, c in enumerate(PX)))
+def ter_braak_linear_prices(spark, sf_dir):
+    """Order lines: prices on quantity, discount and tax."""
+    return coefficient_rows(run_test(spark, sf_dir, "ter_braak", (), PX, PY, tables.returns, RB))
+
+
+@query(f"{PBASE}, {kennedy_sql(['tax'], PX, PY, RB)} " + " union all ".join(exceed_sql(c, i, c == "tax", PX, PY) for i, c in enumerate(PX)))
+def kennedy_linear_prices(spark, sf_dir):
+    return coefficient_rows(run_test(spark, sf_dir, "kennedy", ["tax"], PX, PY, tables.returns, RB))
+
+
 # ---------------------------------------------------------------- confounders of a 0/1 outcome
 
 

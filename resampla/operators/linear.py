@@ -1,7 +1,7 @@
 """Least squares: observed model, diagnostics, and permutation tests without refits.
 
-By the Frisch-Waugh-Lovell theorem a refitted coefficient is a ratio of sums over residuals, so each
-replicate is one group of a partial aggregation instead of a model.
+By the Frisch-Waugh-Lovell theorem a refitted coefficient is a ratio of sums over residuals, so a replicate is a few sums
+instead of a model; values meet their permuted positions by the exchange of ``plans.exchange``.
 """
 
 from __future__ import annotations

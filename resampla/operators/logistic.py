@@ -1,21 +1,24 @@
-"""Logistic regression by Newton steps: one aggregation over the rows per step, and batched refits of replicates."""
+"""Logistic regression by Newton steps: one aggregation over the rows per step, and refits of all replicates that keep nothing between steps."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from resampla.functions import tails
 from resampla.operators import resample
+from resampla.operators.linear import scaled
+from resampla.plans import exchange
 from resampla.plans.frame import CollinearFeatureError, Moments, linear, residual
 
 EPS = 2.220446049250313e-16  # fixed value: probabilities are kept this far from 0 and 1 in the deviance
 STEPS = 30  # Newton steps of a replicate, in both plans
+FEW_ROWS = 20_000  # up to which a replicate is fitted where it lies, without an exchange
 
 
 class SeparationError(ValueError):
@@ -65,6 +68,64 @@ def fit(frame: DataFrame, m: Moments, target: str, on: list[str], steps: int = 6
     return {"beta": turn @ beta, "cov": turn @ np.linalg.inv(h) @ turn.T, "ll": row["ll"]}
 
 
+def newton_sums(y: np.ndarray, x: list[np.ndarray], beta: np.ndarray) -> np.ndarray:
+    """Deviance, gradient and upper Hessian of models (models x (1 + k + k (k + 1) / 2)): rows of ``beta``, outcomes and columns either shared by them or a row each."""
+    eta = beta[:, :1] + sum((b[:, None] * c for b, c in zip(beta.T[1:], x)), 0.0)
+    p = 1 / (1 + np.exp(-np.clip(eta + np.zeros(np.shape(y)[-1]), -500, 500)))
+    q = np.clip(p, EPS, 1 - EPS)
+    out = [-2 * (y * np.log(q) + (1 - y) * np.log(1 - q)).sum(1)]
+    r, w = y - p, p * (1 - p)
+    out += [r.sum(1), *((r * c).sum(1) for c in x)]
+    for i, a in enumerate([None, *x]):
+        wa = w if a is None else w * a
+        out += [wa.sum(1) if c is None else (wa * c).sum(1) for c in [None, *x][i:]]
+    return np.stack(out, 1)
+
+
+def newton_step(sums: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Deviances, steps and Hessians from ``newton_sums``."""
+    i, j = np.triu_indices(k)
+    h = np.zeros((len(sums), k, k))
+    h[:, i, j] = h[:, j, i] = sums[:, 1 + k :]
+    return sums[:, 0], np.linalg.solve(h + 1e-12 * np.eye(k), sums[:, 1 : 1 + k, None])[..., 0], h
+
+
+def fits(frame: DataFrame, m: Moments, target: str, sets: list[list[str]], steps: int = 60) -> list[np.ndarray]:
+    """Maximum likelihood slopes (intercept first) of one outcome on several sets of columns: all models step together, one aggregation a step."""
+    columns = sorted({c for on in sets for c in on})
+    packed = exchange.pack(frame, m.n, scaled(m, columns) | {target: F.col(target)})
+    packed.frame = packed.frame.persist()  # n rows, read once a step
+    at = {c: i for i, c in enumerate(packed.columns)}
+    beta, live, width = [np.zeros(len(on) + 1) for on in sets], set(range(len(sets))), [1 + k + k * (k + 1) // 2 for k in (len(on) + 1 for on in sets)]
+    try:
+        for _ in range(steps):
+            now = [b.copy() for b in beta]
+            todo = sorted(live)
+            state = exchange.summed(packed, lambda data: np.concatenate([newton_sums(data[at[target]], [data[at[c]] for c in sets[i]], now[i][None])[0] for i in todo]))
+            for i, part in zip(todo, np.split(state, np.cumsum([width[i] for i in todo])[:-1])):
+                _, step, _ = newton_step(part[None], len(beta[i]))
+                size = np.abs(step[0]).max()
+                if not np.isfinite(size) or np.abs(beta[i]).max() > 50:
+                    raise SeparationError("the likelihood has no maximum")
+                if size < 1e-10:
+                    live.discard(i)
+                else:
+                    beta[i] = beta[i] + step[0] * min(1.0, 5.0 / size)
+            if not live:
+                break
+        else:
+            raise SeparationError("the likelihood has no maximum")
+    finally:
+        packed.frame.unpersist()
+    out = []
+    for on, b in zip(sets, beta):
+        own = b.copy()
+        own[1:] /= [math.sqrt(m.block([c], [c])[0, 0]) for c in on]
+        own[0] -= sum(s * m.mean[c] for s, c in zip(own[1:], on))
+        out.append(own)
+    return out
+
+
 def coefficients(model: dict, features: list[str]) -> list[dict]:
     """Slopes with Wald z statistics and two-sided p-values."""
     out = []
@@ -118,7 +179,7 @@ def newton(x: np.ndarray, y: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray
 
 
 def whole_replicates(moved: DataFrame, y: str, on: list[str]) -> DataFrame:
-    """``refits`` of replicates that each lie in one partition, as ``resample.permuted`` leaves them while rows are few: no shuffle, one task fits many."""
+    """(rep, beta array, deviance, sound) of replicates that each lie in one partition, as ``resample.permuted`` leaves them while rows are few: no shuffle, one task fits many."""
 
     def run(batches):
         held, key = [], None
@@ -145,87 +206,141 @@ def whole_replicates(moved: DataFrame, y: str, on: list[str]) -> DataFrame:
     return ready.mapInArrow(run, "rep long, beta array<double>, deviance double, sound boolean")
 
 
-def refits(moved: DataFrame, count: int, y: str, on: list[str], m: Moments, steps: int = STEPS) -> DataFrame:
-    """(rep, beta array, deviance, sound) of a logistic model of ``y`` in every replicate at once.
+def stepped(packed: exchange.Packed, channels: list[exchange.Channel], fixed: list[str], count: int, seed: int, start: list[np.ndarray], design: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slopes: models x replicates x k in scaled columns, deviances, sound) of several models refitted in every replicate.
 
-    Each Newton step is one aggregation by replicate; what travels is a gradient and Hessian per replicate,
-    solved on the driver (``count`` x (k+1)^2 numbers), so rows may be any number.  A replicate with one
-    class, or whose steps don't settle, is not sound.  While rows are few, a replicate is fitted where it lies.
+    All step together.  Each step moves the values anew, from positions computed anew: nothing of replicates x rows is kept.  What
+    reaches the driver is a gradient and a Hessian of each.  ``design(model, reps, pos, moved, held)`` gives the outcome and the columns.
+    A replicate with one class, or whose steps don't settle, is not sound.
     """
-    if m.n <= resample.BROADCAST_ROWS:
-        return whole_replicates(moved, y, on)
-    spark, k = moved.sparkSession, len(on) + 1
-    scale = {c: math.sqrt(m.block([c], [c])[0, 0]) if c in m.names else 1.0 for c in on}
-    mean = {c: m.mean.get(c, 0.0) for c in on}
-    z = [F.lit(1.0)] + [(F.col(c) - mean[c]) / (scale[c] or 1.0) for c in on]
-    work = moved.select("rep", F.col(y).alias("_y"), *[c.alias(f"_z{i}") for i, c in enumerate(z)]).persist()  # read once per step
-    beta = np.zeros((count, k))
-    sound, open_, dev = np.ones(count, bool), np.ones(count, bool), np.full(count, np.nan)
-    for _ in range(steps):
-        live = np.flatnonzero(open_)
-        table = spark.createDataFrame(pd.DataFrame({"rep": live + 1, "_b": [b.tolist() for b in beta[live]]}), "rep long, _b array<double>")
-        eta = sum((F.get("_b", F.lit(i)) * F.col(f"_z{i}") for i in range(k)), F.lit(0.0))
-        p = 1 / (1 + F.exp(-eta))
-        q = F.least(F.greatest(p, F.lit(EPS)), F.lit(1 - EPS))
-        rows = work.join(F.broadcast(table), "rep").withColumn("_p", p).groupBy("rep").agg(
-            (-2 * F.sum(F.col("_y") * F.log(q) + (1 - F.col("_y")) * F.log(1 - q))).alias("d"),
-            *[F.sum((F.col("_y") - F.col("_p")) * F.col(f"_z{i}")).alias(f"g{i}") for i in range(k)],
-            *[F.sum(F.col("_p") * (1 - F.col("_p")) * F.col(f"_z{i}") * F.col(f"_z{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)],
-        ).toPandas()
-        at = rows["rep"].to_numpy() - 1
-        g = rows[[f"g{i}" for i in range(k)]].to_numpy()
-        h = np.stack([np.stack([rows[f"h{min(i, j)}_{max(i, j)}"].to_numpy() for j in range(k)], 1) for i in range(k)], 1)
-        h = h + np.eye(k) * 1e-12
-        step = np.linalg.solve(h, g[..., None])[..., 0]
-        size = np.abs(step).max(1)
-        dev[at] = rows["d"]
-        lost = ~np.isfinite(size) | (np.abs(beta[at]).max(1) > 50)
-        sound[at[lost]] = False
-        settled = size < 1e-8
-        beta[at] += np.where((settled | lost)[:, None], 0, step * np.minimum(1, 5 / np.maximum(size, 1e-300))[:, None])
-        open_[at[settled | lost]] = False
-        if not open_.any():
-            break
-    work.unpersist()
-    sound[open_] = False
-    for i, c in enumerate(on, 1):
-        beta[:, i] /= scale[c] or 1.0
-    return spark.createDataFrame(pd.DataFrame({"rep": np.arange(1, count + 1), "beta": [b.tolist() for b in beta[:, 1:]], "deviance": dev, "sound": sound}), "rep long, beta array<double>, deviance double, sound boolean")
-
-
-def simulated_outcome(frame: DataFrame, m: Moments, features: list[str], target: str, feature: str, count: int, seed: int) -> DataFrame:
+    models, k = len(start), len(start[0])
+    width = 1 + k + k * (k + 1) // 2
+    beta = np.repeat(np.array(start)[:, None], count, 1)
+    sound, live, dev = np.ones((models, count), bool), np.ones((models, count), bool), np.full((models, count), np.nan)
+    packed.frame = packed.frame.persist()  # n rows
+    try:
+        for _ in range(STEPS):
+            now, open_ = beta.copy(), live.copy()
+
+            def sums(reps, pos, moved, held):
+                out = np.zeros((len(reps), models * width))
+                for i in range(models):
+                    at = np.flatnonzero(open_[i, reps - 1])
+                    if len(at):
+                        y, x = design(i, reps, pos, moved, held)
+                        pick = lambda c: c[at] if np.ndim(c) == 2 else c
+                        out[at, i * width : (i + 1) * width] = newton_sums(pick(y), [pick(c) for c in x], now[i, reps[at] - 1])
+                return out
+
+            for row in exchange.exchanged(packed, channels, fixed, count, seed, sums, live.any(0)).collect():
+                state = np.frombuffer(row["state"], np.float64).reshape(-1, models, width)
+                reps = row["first"] - 1 + np.arange(len(state))
+                for i in range(models):
+                    at = np.flatnonzero(live[i, reps])
+                    if not len(at):
+                        continue
+                    r = reps[at]
+                    dev[i, r], step, _ = newton_step(state[at, i], k)
+                    size = np.abs(step).max(1)
+                    lost = ~np.isfinite(size) | (np.abs(beta[i, r]).max(1) > 50)
+                    settled = size < 1e-8
+                    sound[i, r[lost]] = False
+                    beta[i, r] += np.where((settled | lost)[:, None], 0, step * np.minimum(1, 5 / np.maximum(size, 1e-300))[:, None])
+                    live[i, r[settled | lost]] = False
+            if not live.any():
+                break
+    finally:
+        packed.frame.unpersist()
+    return beta, dev, sound & ~live
+
+
+def stat_rows(spark, features: list[str], stats: np.ndarray, sound: np.ndarray) -> DataFrame:
+    table = pa.table({"rep": np.tile(np.arange(1, stats.shape[1] + 1), len(features)), "feature": np.repeat(features, stats.shape[1]), "stat": stats.ravel(), "sound": sound.ravel()})
+    return spark.createDataFrame(table)
+
+
+def simulated_outcome(frame: DataFrame, m: Moments, features: list[str], target: str, feature: str, beta: np.ndarray, count: int, seed: int) -> DataFrame:
     """(rep, pos, y, features): permuted response residuals on the reduced model's probabilities, drawn as 0 or 1."""
     rest = [x for x in features if x != feature]
-    p = probability(fit(frame, m, target, rest)["beta"], rest)
+    p = probability(beta, rest)
     work = frame.select("rid", p.alias("p"), (F.col(target) - p).alias("e"), *features)
     moved = resample.permuted(work, m.n, count, seed, feature, ["e"], f"{feature}:draw")
     moved = resample.at_positions(moved, work.select("rid", "p", *features), m.n, ["p", *features])
     return moved.select("rep", "pos", resample.bernoulli(F.col("p") + F.col("e"), F.col("u")).alias("y"), *features)
 
 
-def ter_braak(frame: DataFrame, m: Moments, features: list[str], target: str, count: int, seed: int) -> DataFrame:
-    """(rep, feature, stat, sound)."""
-    out = None
-    for i, c in enumerate(features):
-        moved = simulated_outcome(frame, m, features, target, c, count, seed)
-        one = refits(moved, count, "y", features, m).select("rep", F.lit(c).alias("feature"), F.get("beta", F.lit(i)).alias("stat"), "sound")
-        out = one if out is None else out.unionByName(one)
+def start_of(m: Moments, beta: np.ndarray, on: list[str]) -> np.ndarray:
+    """A model's slopes in scaled columns."""
+    out = np.array(beta, float)
+    out[0] += sum(b * m.mean[c] for b, c in zip(beta[1:], on))
+    out[1:] *= [math.sqrt(m.block([c], [c])[0, 0]) for c in on]
     return out
 
 
+def ter_braak(frame: DataFrame, m: Moments, features: list[str], target: str, count: int, seed: int) -> DataFrame:
+    """(rep, feature, stat, sound).  Up to FEW_ROWS rows a replicate is fitted where it lies; beyond that all features' models of all replicates step together."""
+    rests = [[x for x in features if x != c] for c in features]
+    reduced = fits(frame, m, target, [*rests, features])
+    if m.n <= FEW_ROWS:
+        out = None
+        for i, c in enumerate(features):
+            moved = simulated_outcome(frame, m, features, target, c, reduced[i], count, seed)
+            one = whole_replicates(moved, "y", features).select("rep", F.lit(c).alias("feature"), F.get("beta", F.lit(i)).alias("stat"), "sound")
+            out = one if out is None else out.unionByName(one)
+        return out
+    k = len(features)
+    columns = scaled(m, features)
+    for i, (b, rest) in enumerate(zip(reduced, rests)):
+        p = probability(b, rest)
+        columns |= {f"_p{i}": p, f"_e{i}": F.col(target) - p}
+    channels = [exchange.Channel(c, [f"_e{i}"]) for i, c in enumerate(features)]
+
+    def design(i, reps, pos, moved, held):
+        u = np.stack([resample.uniforms(pos, seed, f"{features[i]}:draw", int(r)) for r in reps])
+        return (u < np.clip(held[k + i] + moved[i][0], 0.001, 0.999)).astype(float), list(held[:k])
+
+    start = start_of(m, reduced[-1], features)
+    beta, _, sound = stepped(exchange.pack(frame, m.n, columns), channels, [*features, *[f"_p{i}" for i in range(k)]], count, seed, [start] * k, design)
+    scale = [math.sqrt(m.block([c], [c])[0, 0]) for c in features]
+    return stat_rows(frame.sparkSession, features, np.stack([beta[i, :, i + 1] / scale[i] for i in range(k)]), sound)
+
+
 def kennedy(frame: DataFrame, m: Moments, features: list[str], target: str, confounders: list[str], count: int, seed: int) -> DataFrame:
     """(rep, feature, stat, sound): the feature is rebuilt from its fit on the confounders and permuted residuals."""
-    out = None
-    for i, c in enumerate(features):
-        if c in confounders:
-            continue
-        work = frame.select("rid", residual(m, c, confounders).alias("_r"))
-        fixed = [*[x for x in features if x != c], target]
-        moved = resample.at_positions(resample.permuted(work, m.n, count, seed, c, ["_r"]), frame.select("rid", *fixed), m.n, fixed)
-        moved = moved.withColumn(c, linear(*m.fit(c, confounders), confounders) + F.col("_r"))
-        one = refits(moved, count, target, features, m).select("rep", F.lit(c).alias("feature"), F.get("beta", F.lit(i)).alias("stat"), "sound")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else frame.sparkSession.createDataFrame([], "rep long, feature string, stat double, sound boolean")
+    tested = [c for c in features if c not in confounders]
+    if not tested:
+        return frame.sparkSession.createDataFrame([], "rep long, feature string, stat double, sound boolean")
+    if m.n <= FEW_ROWS:
+        out = None
+        for c in tested:
+            work = frame.select("rid", residual(m, c, confounders).alias("_r"))
+            fixed = [*[x for x in features if x != c], target]
+            moved = resample.at_positions(resample.permuted(work, m.n, count, seed, c, ["_r"]), frame.select("rid", *fixed), m.n, fixed)
+            moved = moved.withColumn(c, linear(*m.fit(c, confounders), confounders) + F.col("_r"))
+            one = whole_replicates(moved, target, features).select("rep", F.lit(c).alias("feature"), F.get("beta", F.lit(features.index(c))).alias("stat"), "sound")
+            out = one if out is None else out.unionByName(one)
+        return out
+    packed, rebuilt, scale = rebuilt_columns(frame, m, features, target, tested, confounders)
+    k = len(features)
+
+    def design(i, reps, pos, moved, held):
+        x = list(held[:k])
+        x[features.index(tested[i])] = held[k + 1 + i] + moved[i][0]
+        return held[k], x
+
+    start = start_of(m, fits(frame, m, target, [features])[0], features)
+    beta, _, sound = stepped(packed, [exchange.Channel(c, [f"_r{i}"]) for i, c in enumerate(tested)], [*features, target, *rebuilt], count, seed, [start] * len(tested), design)
+    return stat_rows(frame.sparkSession, tested, np.stack([beta[i, :, features.index(c) + 1] / scale[c] for i, c in enumerate(tested)]), sound)
+
+
+def rebuilt_columns(frame: DataFrame, m: Moments, features: list[str], target: str, tested: list[str], confounders: list[str]) -> tuple[exchange.Packed, list[str], dict[str, float]]:
+    """Packed scaled features, outcome, and of each tested feature its fit on the confounders and residual, in the feature's scale."""
+    scale = {c: math.sqrt(m.block([c], [c])[0, 0]) for c in features}
+    columns = scaled(m, features) | {target: F.col(target)}
+    for i, c in enumerate(tested):
+        hat = linear(*m.fit(c, confounders), confounders)
+        columns |= {f"_h{i}": (hat - F.lit(m.mean[c])) / F.lit(scale[c]), f"_r{i}": residual(m, c, confounders) / F.lit(scale[c])}
+    return exchange.pack(frame, m.n, columns), [f"_h{i}" for i in range(len(tested))], scale
 
 
 def kennedy_joint(frame: DataFrame, m: Moments, features: list[str], target: str, confounders: list[str], count: int, seed: int) -> tuple[float, DataFrame]:
@@ -234,11 +349,25 @@ def kennedy_joint(frame: DataFrame, m: Moments, features: list[str], target: str
     if not tested:
         raise ValueError("every feature is a confounder: nothing is left to test")
     base = -2 * fit(frame, m, target, confounders)["ll"]
-    observed = base + 2 * fit(frame, m, target, features)["ll"]
-    work = frame.select("rid", *[residual(m, c, confounders).alias(f"_r{i}") for i, c in enumerate(tested)])
-    fixed = [*confounders, target]
-    moved = resample.at_positions(resample.permuted(work, m.n, count, seed, "joint", [f"_r{i}" for i in range(len(tested))]), frame.select("rid", *fixed), m.n, fixed)
-    for i, c in enumerate(tested):
-        moved = moved.withColumn(c, linear(*m.fit(c, confounders), confounders) + F.col(f"_r{i}"))
-    done = refits(moved, count, target, [*tested, *confounders], m)
-    return float(observed), done.select("rep", (F.lit(base) - F.col("deviance")).alias("improvement"), "sound")
+    full = fit(frame, m, target, features)
+    observed = base + 2 * full["ll"]
+    if m.n <= FEW_ROWS:
+        work = frame.select("rid", *[residual(m, c, confounders).alias(f"_r{i}") for i, c in enumerate(tested)])
+        fixed = [*confounders, target]
+        moved = resample.at_positions(resample.permuted(work, m.n, count, seed, "joint", [f"_r{i}" for i in range(len(tested))]), frame.select("rid", *fixed), m.n, fixed)
+        for i, c in enumerate(tested):
+            moved = moved.withColumn(c, linear(*m.fit(c, confounders), confounders) + F.col(f"_r{i}"))
+        done = whole_replicates(moved, target, [*tested, *confounders])
+        return float(observed), done.select("rep", (F.lit(base) - F.col("deviance")).alias("improvement"), "sound")
+    packed, rebuilt, _ = rebuilt_columns(frame, m, features, target, tested, confounders)
+    k = len(features)
+
+    def design(i, reps, pos, moved, held):
+        x = list(held[:k])
+        for j, c in enumerate(tested):
+            x[features.index(c)] = held[k + 1 + j] + moved[0][j]
+        return held[k], x
+
+    _, dev, sound = stepped(packed, [exchange.Channel("joint", [f"_r{i}" for i in range(len(tested))])], [*features, target, *rebuilt], count, seed, [start_of(m, full["beta"], features)], design)
+    table = pa.table({"rep": np.arange(1, count + 1), "improvement": base - dev[0], "sound": sound[0]})
+    return float(observed), frame.sparkSession.createDataFrame(table)

@@ -93,16 +93,17 @@ def scattered(parts: list[tuple[np.ndarray, np.ndarray]], source: np.ndarray) ->
     return out
 
 
-def exchanged(packed: Packed, channels: list[Channel], fixed: list[str], count: int, seed: int, sums: Callable) -> DataFrame:
+def exchanged(packed: Packed, channels: list[Channel], fixed: list[str], count: int, seed: int, sums: Callable, live: np.ndarray | None = None) -> DataFrame:
     """(first, state): for each block of replicates, from its first one on, the sums over all rows.
 
     ``sums(reps, pos, moved, held)`` gets the replicates' numbers, the positions of a range, for each channel its moved
-    columns (columns x replicates x rows) and the range's own ``fixed`` columns, and returns replicates x sums.
+    columns (columns x replicates x rows) and the range's own ``fixed`` columns, and returns replicates x sums.  Blocks
+    without any replicate marked in ``live`` are left out.
     """
     n, per, ranges = packed.n, packed.per, packed.ranges
     at = {c: i for i, c in enumerate(packed.columns)}
     lanes = sum(len(c.columns) for c in channels)
-    todo = blocks(count, max(1, BLOCK_BYTES // (8 * per * max(1, lanes))))
+    todo = [(lo, hi) for lo, hi in blocks(count, max(1, BLOCK_BYTES // (8 * per * max(1, lanes)))) if live is None or live[lo - 1 : hi - 1].any()]
     row = pa.schema([("dest", pa.int32()), ("block", pa.int32()), ("channel", pa.int32()), ("source", pa.int32()), ("counts", pa.binary()), ("data", pa.binary())])
 
     def send(batches):
@@ -116,10 +117,10 @@ def exchanged(packed: Packed, channels: list[Channel], fixed: list[str], count:
                         pos = np.stack([resample.positions(rid, n, seed, channel.name, rep) for rep in range(lo, hi)])
                         order, counts, ends = split_by_range(pos, per, ranges)
                         values = np.stack([np.broadcast_to(data[at[c]], pos.shape).ravel()[order] for c in channel.columns])
-                        live = np.flatnonzero(counts.sum(1))
+                        met = np.flatnonzero(counts.sum(1))
                         starts = np.r_[0, ends[:-1]]
-                        ints = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int32), len(live)))
-                        yield pa.RecordBatch.from_arrays([ints(live), ints(b), ints(k), ints(r), pa.array([counts[d].astype(np.int32).tobytes() for d in live]), pa.array([np.ascontiguousarray(values[:, starts[d] : ends[d]]).tobytes() for d in live])], schema=row)
+                        ints = lambda x: pa.array(np.broadcast_to(np.asarray(x, np.int32), len(met)))
+                        yield pa.RecordBatch.from_arrays([ints(met), ints(b), ints(k), ints(r), pa.array([counts[d].astype(np.int32).tobytes() for d in met]), pa.array([np.ascontiguousarray(values[:, starts[d] : ends[d]]).tobytes() for d in met])], schema=row)
 
     def one(dest, b, rows):
         lo, hi = todo[b]
@@ -173,6 +174,21 @@ def added(states: DataFrame, parts: int, key: str = "first") -> DataFrame:
     return states.select(key, "state")
 
 
+def summed(packed: Packed, sums: Callable) -> np.ndarray:
+    """``sums`` of the matrix of each range, added up: one state of a bounded size reaches the driver."""
+
+    def run(batches):
+        for b in batches:
+            for r, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                state = np.ascontiguousarray(sums(np.frombuffer(raw.as_buffer(), np.float64).reshape(len(names), -1)), np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([r], pa.int32()), pa.array([state.tobytes()])], names=["first", "part", "state"])
+
+    names = packed.columns
+    states = packed.frame.mapInArrow(run, "first long, part int, state binary")
+    states = added(states, packed.ranges) if packed.ranges > FAN else states  # up to FAN states are added here
+    return sum(np.frombuffer(x["state"], np.float64) for x in states.select("state").collect())
+
+
 def replicate_rows(states: DataFrame, width: int, finish: Callable, schema: str) -> DataFrame:
     """Rows of each replicate from the summed states: ``finish(reps, sums)`` gives columns of ``schema``."""
 

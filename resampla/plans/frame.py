@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,8 +48,56 @@ class Moments:
         return float(self.n * (self.block([target], [target])[0, 0] - (beta @ self.block(on, [target])[:, 0] if on else 0.0)))
 
 
+WIDE, BLOCK, ROWS = 24, 256, 2048
+
+
+def block_sums(batches, p: int):
+    """Each task's count, means and centred products as blocks: (first row of the block, first column, count, means of both, products)."""
+    n, mean, products = 0, np.zeros(p), {(i, j): 0.0 for i in range(0, p, BLOCK) for j in range(i, p, BLOCK)}
+    for b in batches:
+        for lo in range(0, len(b), ROWS):
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.slice(lo, ROWS).columns], axis=1)
+            k, here = len(x), x.mean(0)
+            x = x - here
+            gap, both = here - mean, n * k / (n + k)
+            for i, j in products:
+                products[i, j] = products[i, j] + x[:, i : i + BLOCK].T @ x[:, j : j + BLOCK] + both * np.outer(gap[i : i + BLOCK], gap[j : j + BLOCK])
+            mean, n = mean + gap * k / (n + k), n + k
+    if n:
+        for (i, j), s in products.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([n]), pa.array([mean[i : i + BLOCK].tobytes()]), pa.array([mean[j : j + BLOCK].tobytes()]), pa.array([np.ascontiguousarray(s).tobytes()])], names=["i", "j", "n", "mean_i", "mean_j", "s"])
+
+
+def merge_blocks(key, table):
+    """The blocks of one place from several tasks as one."""
+    n, s, mi, mj = 0, 0.0, 0.0, 0.0
+    for k, a, b, raw in zip(*(table.column(c).to_pylist() for c in ("n", "mean_i", "mean_j", "s"))):
+        a, b = np.frombuffer(a), np.frombuffer(b)
+        s = s + np.frombuffer(raw).reshape(len(a), len(b)) + n * k / (n + k) * np.outer(a - mi, b - mj)
+        mi, mj, n = mi + (a - mi) * k / (n + k), mj + (b - mj) * k / (n + k), n + k
+    return pa.table({"i": [key[0].as_py()], "j": [key[1].as_py()], "n": [n], "mean_i": [mi.tobytes()], "mean_j": [mj.tobytes()], "s": [s.tobytes()]})
+
+
+def wide_moments(df: DataFrame, columns: list[str]) -> Moments:
+    """Moments of many columns: blocks of the matrix of products summed in each task, merged by block up a tree; p x p numbers reach the driver."""
+    p, kind = len(columns), "i long, j long, n long, mean_i binary, mean_j binary, s binary"
+    rows = df.select(*[F.col(c).cast("double") for c in columns])
+    parts = rows.mapInArrow(lambda batches: block_sums(batches, p), kind)
+    near = parts.groupBy("i", "j", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).applyInArrow(merge_blocks, kind)
+    mean, cov, n = {}, np.zeros((p, p)), 0
+    for r in near.groupBy("i", "j").applyInArrow(merge_blocks, kind).toLocalIterator():
+        n, i, j = r["n"], r["i"], r["j"]
+        a, b = np.frombuffer(r["mean_i"]), np.frombuffer(r["mean_j"])
+        cov[i : i + len(a), j : j + len(b)] = np.frombuffer(r["s"]).reshape(len(a), len(b)) / n
+        cov[j : j + len(b), i : i + len(a)] = cov[i : i + len(a), j : j + len(b)].T
+        mean |= {columns[i + k]: float(v) for k, v in enumerate(a)}
+    return Moments(list(columns), n, mean or dict.fromkeys(columns), cov)
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """One partial aggregation over all rows; numerically centred as it goes."""
+    """One partial aggregation over all rows; numerically centred as it goes.  Beyond WIDE columns the products are summed as blocks."""
+    if len(columns) > WIDE:
+        return wide_moments(df, columns)
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     cov = np.zeros((len(columns), len(columns)))
@@ -114,5 +163,5 @@ def prepare(df: DataFrame, id_col: str, features: list[str], target: str, na: st
 
 def outcome_kind(df: DataFrame, target: str) -> str:
     """'logistic' if the target has exactly the two values 0 and 1, else 'linear'."""
-    row = df.agg(F.count_distinct(target).alias("k"), F.bool_and(F.col(target).isin(0.0, 1.0)).alias("b")).first()
-    return "logistic" if row["k"] == 2 and row["b"] else "linear"
+    row = df.agg(F.min(target).alias("a"), F.max(target).alias("b"), F.bool_and(F.col(target).isin(0.0, 1.0)).alias("only")).first()
+    return "logistic" if row["only"] and row["a"] == 0 and row["b"] == 1 else "linear"

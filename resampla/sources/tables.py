@@ -27,9 +27,9 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per order line: quantity, discount, tax, and whether it was returned."""
+    """One row per order line: quantity, discount, tax, whether it was returned, and price in thousands."""
     line = table(spark, sf_dir, "lineitem")
-    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), recode(F.col("l_returnflag"), "R").alias("returned"))
+    return line.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_quantity").alias("quantity"), F.col("l_discount").alias("discount"), F.col("l_tax").alias("tax"), recode(F.col("l_returnflag"), "R").alias("returned"), (F.col("l_extendedprice").cast("double") / 1000).alias("price"))
 
 
 def recode(column, value):
