@@ -339,7 +339,9 @@ def boot_noise(x: str, y: str) -> str:
     """The hash of node x and serial y under a replicate's constants a, b."""
     h = f"((a[1] * (({x}) % {PRIME}) + b[1]) % {PRIME})"
     h = f"((a[2] * (({h} * {h} + {y}) % {PRIME}) + b[2]) % {PRIME})"
-    return f"((a[3] * (({h} * {h} + b[3]) % {PRIME}) + b[1]) % {PRIME})"
+    for i in range(3, bootstrap.MIXES + 1):
+        h = f"((a[{i}] * (({h} * {h} + b[{i}]) % {PRIME}) + b[{i - 1}]) % {PRIME})"
+    return h
 
 
 def boot_uniform(x: str, y: str) -> str:
@@ -352,7 +354,7 @@ BOOT_LEVELS = 12  # of the tree of row ranges: up to 500,000 rows
 def boot_sql(count: int, rows: str = "fr") -> str:
     """CTEs that end in bi (rep, slot, rid), a row a draw: binomial splits of row ranges by transformed rejection, then single draws in each leaf."""
     leaf = bootstrap.LEAF
-    ctes = [f"bc as materialized ({constants_sql('boot', count, 3)})", f"bt0 as (select rep, 1::bigint as node, 0::bigint as lo, (select count(*) from {rows}) as size, (select count(*) from {rows}) as m from bc)"]
+    ctes = [f"bc as materialized ({constants_sql('boot', count, bootstrap.MIXES)})", f"bt0 as (select rep, 1::bigint as node, 0::bigint as lo, (select count(*) from {rows}) as size, (select count(*) from {rows}) as m from bc)"]
     for i in range(BOOT_LEVELS):
         split = f"select t.*, a, b, (size // 2) / size::double as p from bt{i} t join bc using (rep) where size > {leaf}"
         wide = "select *, sqrt(m * p * (1 - p)) as spread, floor((m + 1) * p) as mode from b0"

@@ -21,22 +21,24 @@ from resampla.operators.resample import PRIME, constants
 from resampla.plans import exchange
 from resampla.plans.frame import Moments
 
-LEAF, ATTEMPTS, STATE_BYTES, CHUNK_BYTES = 128, 1000, 16 << 20, 16 << 20
+LEAF, MIXES, ATTEMPTS, STATE_BYTES, CHUNK_BYTES = 128, 6, 1000, 16 << 20, 16 << 20
 
 # ---------------------------------------------------------------- numbers
 
 
 def streams(seed: int, reps) -> np.ndarray:
-    """(replicates, 2, 3): factors and addends of each replicate's hash."""
-    return np.array([[[k[1] for k in constants(seed, "boot", int(r))[:3]], [k[2] for k in constants(seed, "boot", int(r))[:3]]] for r in reps], np.int64).reshape(-1, 2, 3)
+    """(replicates, 2, MIXES): factors and addends of each replicate's hash."""
+    return np.array([[[k[at] for k in constants(seed, "boot", int(r))[:MIXES]] for at in (1, 2)] for r in reps], np.int64).reshape(-1, 2, MIXES)
 
 
 def noise(s: np.ndarray, x, y):
-    """Whole numbers under PRIME from node ``x`` and serial ``y``."""
+    """Whole numbers under PRIME from node ``x`` and serial ``y``: squares, so that successive serials are no short polynomial."""
     a, b = s[:, 0].T, s[:, 1].T
     h = (a[0] * (x % PRIME) + b[0]) % PRIME
     h = (a[1] * ((h * h + y) % PRIME) + b[1]) % PRIME
-    return (a[2] * ((h * h + b[2]) % PRIME) + b[0]) % PRIME
+    for i in range(2, MIXES):
+        h = (a[i] * ((h * h + b[i]) % PRIME) + b[i - 1]) % PRIME
+    return h
 
 
 def uniform(s: np.ndarray, x, y):

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +49,7 @@ class Moments:
         return float(self.n * (self.block([target], [target])[0, 0] - (beta @ self.block(on, [target])[:, 0] if on else 0.0)))
 
 
-WIDE, BLOCK, ROWS = 24, 256, 2048
+WIDE, BLOCK, ROWS, PARTS = 24, 256, 2048, 64
 
 
 def block_sums(batches, p: int):
@@ -64,8 +65,9 @@ def block_sums(batches, p: int):
                 products[i, j] = products[i, j] + x[:, i : i + BLOCK].T @ x[:, j : j + BLOCK] + both * np.outer(gap[i : i + BLOCK], gap[j : j + BLOCK])
             mean, n = mean + gap * k / (n + k), n + k
     if n:
+        part = TaskContext.get().partitionId() % PARTS
         for (i, j), s in products.items():
-            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([n]), pa.array([mean[i : i + BLOCK].tobytes()]), pa.array([mean[j : j + BLOCK].tobytes()]), pa.array([np.ascontiguousarray(s).tobytes()])], names=["i", "j", "n", "mean_i", "mean_j", "s"])
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([j]), pa.array([part]), pa.array([n]), pa.array([mean[i : i + BLOCK].tobytes()]), pa.array([mean[j : j + BLOCK].tobytes()]), pa.array([np.ascontiguousarray(s).tobytes()])], names=["i", "j", "part", "n", "mean_i", "mean_j", "s"])
 
 
 def merge_blocks(key, table):
@@ -75,17 +77,17 @@ def merge_blocks(key, table):
         a, b = np.frombuffer(a), np.frombuffer(b)
         s = s + np.frombuffer(raw).reshape(len(a), len(b)) + n * k / (n + k) * np.outer(a - mi, b - mj)
         mi, mj, n = mi + (a - mi) * k / (n + k), mj + (b - mj) * k / (n + k), n + k
-    return pa.table({"i": [key[0].as_py()], "j": [key[1].as_py()], "n": [n], "mean_i": [mi.tobytes()], "mean_j": [mj.tobytes()], "s": [s.tobytes()]})
+    return pa.table({"i": [key[0].as_py()], "j": [key[1].as_py()], "part": [key[2].as_py() if len(key) > 2 else 0], "n": [n], "mean_i": [mi.tobytes()], "mean_j": [mj.tobytes()], "s": [s.tobytes()]})
 
 
 def wide_moments(df: DataFrame, columns: list[str]) -> Moments:
     """Moments of many columns: blocks of the matrix of products summed in each task, merged by block up a tree; p x p numbers reach the driver."""
-    p, kind = len(columns), "i long, j long, n long, mean_i binary, mean_j binary, s binary"
+    p, kind = len(columns), "i long, j long, part long, n long, mean_i binary, mean_j binary, s binary"
     rows = df.select(*[F.col(c).cast("double") for c in columns])
     parts = rows.mapInArrow(lambda batches: block_sums(batches, p), kind)
-    near = parts.groupBy("i", "j", F.pmod(F.spark_partition_id(), F.lit(64)).alias("part")).applyInArrow(merge_blocks, kind)
+    near = parts.groupBy("i", "j", "part").applyInArrow(merge_blocks, kind)
     mean, cov, n = {}, np.zeros((p, p)), 0
-    for r in near.groupBy("i", "j").applyInArrow(merge_blocks, kind).toLocalIterator():
+    for r in near.groupBy("i", "j").applyInArrow(merge_blocks, kind).collect():
         n, i, j = r["n"], r["i"], r["j"]
         a, b = np.frombuffer(r["mean_i"]), np.frombuffer(r["mean_j"])
         cov[i : i + len(a), j : j + len(b)] = np.frombuffer(r["s"]).reshape(len(a), len(b)) / n

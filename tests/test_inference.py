@@ -10,7 +10,7 @@ from resampla import api
 from resampla.functions import tails, text
 from resampla.operators import confounding, linear, logistic, report, resample
 from resampla.plans import frame as frame_module
-from resampla.plans import kernel
+from resampla.plans import exchange, kernel
 from resampla.plans.frame import CollinearFeatureError, moments, outcome_kind, prepare
 
 
@@ -138,7 +138,8 @@ def test_refits_where_rows_lie_equal_joint_newton_steps(spark, monkeypatch):
     m = moments(frame, ["a", "b", "y"])
     go = lambda: sorted((x["rep"], x["feature"], round(x["stat"], 6), x["sound"]) for x in logistic.ter_braak(frame, m, ["a", "b"], "y", 6, 3).collect())
     near = go()
-    monkeypatch.setattr(resample, "BROADCAST_ROWS", 5)
+    monkeypatch.setattr(logistic, "FEW_ROWS", 5)
+    monkeypatch.setattr(exchange, "LEAST", 16)
     assert len(near) == 12 and go() == near
 
 
