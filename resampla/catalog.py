@@ -483,12 +483,16 @@ def ter_braak_replicates(spark, sf_dir):
     return coefficient_rows(api.PermutationTest(tables.customers(spark, sf_dir), "id", X, Y, "ter_braak", None, B, SEED, plan="replicates"))
 
 
-PS = [0.0, 0.004, 0.01, 0.0100001, 0.049, 0.05, 0.2, 0.0005, 1.0]
+PART_P = "select p_partkey, (count(*) filter (abs(l_discount - 0.05) >= 0.04 * (1 - 1e-9)) + 1) / (count(*) + 1)::double as p from lineitem join part on l_partkey = p_partkey group by p_partkey"
 
 
-@query("select p, " + stars_sql("p") + " as marked from (select unnest([" + ", ".join(f"{p}::double" for p in PS) + "]) as p)")
+@query(f"with p as ({PART_P}) select p_partkey, round_even(p, 6) as p, {stars_sql('p')} as marked from p")
 def significance_stars(spark, sf_dir):
-    return spark.createDataFrame([(p,) for p in PS], "p double").select("p", text.marked_column(F.col("p"), 3, 0.05, 0.01).alias("marked"))
+    """Marks of one p-value a part: how often the discounts of its order lines are far from 5 %."""
+    line, part = tables.table(spark, sf_dir, "lineitem"), tables.table(spark, sf_dir, "part").select("p_partkey")
+    t = line.join(part, F.col("l_partkey") == F.col("p_partkey")).groupBy("p_partkey").agg(F.count_if(resample.exceeds(F.col("l_discount") - 0.05, F.lit(0.04))).alias("b"), F.count("*").alias("k"))
+    t = t.withColumn("p", resample.p_value(F.col("b"), F.col("k")))
+    return t.select("p_partkey", r6("p").alias("p"), text.marked_column(F.col("p"), 3, 0.05, 0.01).alias("marked"))
 
 
 @query("select l_returnflag as grp, count(*) filter (abs(l_discount - 0.05) >= 0.03 * (1 - 1e-9)) as n_exceed, count(*) as n_perm, round_even((count(*) filter (abs(l_discount - 0.05) >= 0.03 * (1 - 1e-9)) + 1) / (count(*) + 1), 6) as p_emp from lineitem group by l_returnflag")
@@ -809,6 +813,124 @@ def kennedy_linear_prices(spark, sf_dir):
     return coefficient_rows(run_test(spark, sf_dir, "kennedy", ["tax"], PX, PY, tables.returns, RB))
 
 
+# ---------------------------------------------------------------- reports in SQL
+
+
+def quoted(t: str) -> str:
+    return "'" + t.replace("'", "''") + "'"
+
+
+def pair_sql(label: str, value: str, other: str, number: str) -> str:
+    return f"rpad('{label}', {report.LABEL}, ' ') || rpad({value}, {report.LEFT - report.LABEL}, ' ') || lpad('{other}', {report.RIGHT}, ' ') || ' ' || lpad({number}, greatest({report.VALUE}, length({number}))::int, ' ')"
+
+
+def head_sql(title: str, kind: str, method: str, target: str) -> list[str]:
+    """Lines over d (a row of diagnostics)."""
+    line, number = quoted("=" * report.WIDTH), lambda c: f"d.{c}::varchar"
+    out = [line, quoted(f"{title:^{report.WIDTH}}"), line, pair_sql("Dep. Variable:", quoted(text.short(target, 20)), "No. Observations:", number("n_observations"))]
+    out += [pair_sql("Model Type:", quoted(kind), "No. Features:", number("n_features")), pair_sql("Method:", quoted(method), "AIC:", number("aic"))]
+    for label, name, other, value in report.LINEAR if kind == "linear" else report.LOGISTIC:
+        out.append(pair_sql(label, number(name) if name else "''", other, f"printf('%.4e', d.{value})" if value.endswith("_p_value") else number(value)))
+    return out
+
+
+RULE, LEGEND = quoted("-" * report.WIDTH), [quoted("=" * report.WIDTH), quoted("(*) p < 0.05   (**) p < 0.01   (ns) p >= 0.05"), "''"]
+
+
+def numbered_sql(lists: str) -> str:
+    return f"select (generate_subscripts(l, 1) - 1)::int as line, unnest(l) as text from (select {lists} as l)"
+
+
+def coefficient_lines(title: str, kind: str, method: str, target: str, diagnostics: str, coefs: str, classic: str, z: list[str]) -> str:
+    """A list of lines, as an expression: ``coefs`` has feature, ordinal, coef, p_emp_str and ``classic`` feature, p_classic_str."""
+    letter = "t" if kind == "linear" else "z"
+    header = quoted(f"{'Feature':<{report.NAME}} {'Coef':>12} {f'P>|{letter}| (Emp)':>18} {f'P>|{letter}| (Asy)':>18}")
+    masked = f"case when c.feature in ({', '.join(map(quoted, z))}) then '{text.MASKED}' else a.p_classic_str end" if z else "a.p_classic_str"
+    row = f"rpad(c.feature, {report.NAME}, ' ') || ' ' || printf('%12.4f', c.coef) || ' ' || lpad(c.p_emp_str, 18, ' ') || ' ' || lpad({masked}, 18, ' ')"
+    rows = f"(select list({row} order by c.ordinal) from ({coefs}) c join ({classic}) a on a.feature = c.feature)"
+    return f"list_concat((select [{', '.join([*head_sql(title, kind, method, target), RULE, header, RULE])}] from ({diagnostics}) d), {rows}, [{', '.join(LEGEND)}])"
+
+
+def joint_lines(kind: str, target: str, diagnostics: str, joint: str) -> str:
+    names = "['Features Tested: ' || j.features_tested] || case when j.confounders = '' then [] else ['Confounders: ' || j.confounders] end"
+    tail = f"[{RULE}, rpad('Observed Improvement:', 30, ' ') || ' ' || printf('%12.4f', j.observed_improvement), rpad('Joint p-Value:', 30, ' ') || ' ' || lpad(j.p_value_str, 12, ' '), {', '.join(LEGEND)}]"
+    head = f"[{', '.join(head_sql('Joint Permutation Test Results', kind, 'kennedy_joint', target))}, rpad('Metric:', {report.LABEL}, ' ') || j.metric_type, {RULE}]"
+    return f"(select {head} || {names} || {tail} from ({diagnostics}) d, ({joint}) j)"
+
+
+def small_f_tail_sql(x: str, one: str, two: str) -> str:
+    """Upper tail of F, however small, from the residual share ``x`` of the sum of squares: the incomplete beta integral in powers of e."""
+    a, b = f"(({one}) / 2.0::double)", f"(({two}) / 2.0::double)"
+    inner = integral_sql(lambda w: f"exp(-{w}) * pow(1 - ({x}) * exp(-{w} / {b}), {a} - 1)", "40.0::double", 4000)
+    return f"exp({b} * ln({x}) - ln({b}) - lgamma({a}) - lgamma({b}) + lgamma({a} + {b}) + ln({inner}))"
+
+
+def linear_diagnostics_sql() -> str:
+    share = f"select m.n as n, {rss(Y, X)} / (m.n * {cov(Y, Y)}) as x from m"
+    return f"select o.*, f.p as f_p_value from ({ORACLE['ols_diagnostics']}) o, ({BASE}, e as ({share}) select {small_f_tail_sql('e.x', str(len(X)), f'(e.n - {len(X) + 1})')} as p from e) f"
+
+
+def logistic_diagnostics_sql(x: list[str], y: str, base: str) -> str:
+    """Of two features, whose likelihood ratio has an exponential tail."""
+    eta = " + ".join(["b0", *[f"b{i} * z_{c}" for i, c in enumerate(x, 1)]])
+    fitted = f"l as (select count(*) as n, avg(y) as q, sum(y * ln(p) + (1 - y) * ln(1 - p)) as ll from (select y, 1 / (1 + exp(-({eta}))) as p from ob_r, ob_b)), d as (select *, n * (q * ln(q) + (1 - q) * ln(1 - q)) as l0 from l)"
+    return f"{base}, {observed_sql(x, y)}, {fitted} select n as n_observations, {len(x)} as n_features, round_even(1 - ll / l0, 4) as pseudo_r_squared, round_even(ll, 4) as log_likelihood, round_even(l0, 4) as log_likelihood_null, round_even({2 * len(x) + 2} - 2 * ll, 4) as aic, round_even({len(x) + 1} * ln(n) - 2 * ll, 4) as bic, exp(l0 - ll) as llr_p_value from d"
+
+
+def logistic_classic_sql(x: list[str], y: str, base: str) -> str:
+    """Marked Wald p-values of two features."""
+    z1, z2 = (f"z_{c}" for c in x)
+    h = [[f"x.h{min(i, j)}{max(i, j)}" for j in range(3)] for i in range(3)]
+    sums = f"x as (select sum(w) as h00, sum(w * z1) as h01, sum(w * z2) as h02, sum(w * z1 * z1) as h11, sum(w * z1 * z2) as h12, sum(w * z2 * z2) as h22, any_value(b1) as b1, any_value(b2) as b2 from (select z1, z2, b1, b2, p * (1 - p) as w from (select {z1} as z1, {z2} as z2, b1, b2, 1 / (1 + exp(-(b0 + b1 * {z1} + b2 * {z2}))) as p from ob_r, ob_b)))"
+    parts = []
+    for i, c in enumerate(x, 1):
+        minor = [[h[r][k] for k in range(3) if k != i] for r in range(3) if r != i]
+        parts.append(f"select '{c}' as feature, x.b{i} / sqrt({det(minor)} / {det(h)}) as stat from x")
+    return f"{base}, {observed_sql(x, y)}, {sums}, w as ({' union all '.join(parts)}), p as (select feature, {z_tail_sql('w.stat')} as p from w) select feature, {stars_sql('p')} as p_classic_str from p"
+
+
+LINEAR_CLASSIC = f"select feature, p_classic_str from ({ORACLE['classic_pvalues_linear']})"
+
+
+def listed(names: str) -> str:
+    """A comma-separated text as a list is printed."""
+    return f"case when {names} = '' then '[]' else {quoted(chr(91) + chr(39))} || replace({names}, ',', {quoted(chr(39) + ', ' + chr(39))}) || {quoted(chr(39) + chr(93))} end"
+
+
+def confounder_lines(identified_: str, x: list[str], note: str = "") -> str:
+    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(x))
+    own = f"[concat({quoted('Predictor: ' + chr(39))}, predictor, {quoted(chr(39))}), '  Identified Confounders: ' || {listed('identified_confounders')}, '  Identified Mediators: ' || {listed('identified_mediators')}] || case when identified_confounders = '' and identified_mediators = '' then [] else ['  Recommendation: ' || recommendation] end || ['']"
+    found = f"coalesce(list('  ' || predictor || ': control for ' || {listed('identified_confounders')} order by o.i) filter (identified_confounders <> ''), ['  No confounders identified for any predictor.', '  This suggests the predictors are relatively independent.'])"
+    return f"(select ['Confounder Identification for All Predictors{note}', ''] || flatten(list({own} order by o.i)) || ['Summary: Predictors with Identified Confounders{note}', ''] || {found} || [''] from ({identified_}) s join (values {order}) o(c, i) on o.c = s.predictor)"
+
+
+def found_sql(identified_: str, x: list[str], kind: str, lines) -> str:
+    """The report of the first predictor with confounders: the tests of all sets that may be found, of which one is taken."""
+    sets = [[c for k, c in enumerate(x) if bits >> k & 1] for bits in range(1, 2 ** len(x) - 1)]
+    order = ", ".join(f"('{c}', {i})" for i, c in enumerate(x))
+    parts = []
+    for z in sets:
+        for p in (c for c in x if c not in z):
+            title = text.FOUND_TITLE.format(p=p, c=z, k=kind.capitalize())
+            parts.append((p, ",".join(z), lines(title, z)))
+    tests = " union all ".join(f"select '{p}' as p, '{z}' as z, {l} as l" for p, z, l in parts)
+    first = f"select arg_min(predictor, o.i) as p, arg_min(identified_confounders, o.i) as z from ({identified_}) s join (values {order}) o(c, i) on o.c = s.predictor where identified_confounders <> ''"
+    return numbered_sql(f"coalesce((select any_value(t.l) from ({first}) f join ({tests}) t on t.p = f.p and t.z = f.z), ['No confounders identified for any predictor.'])")
+
+
+def linear_found_lines(title: str, z: list[str]) -> str:
+    coefs = f"{BASE}, {kennedy_sql(z)} " + " union all ".join(exceed_sql(c, i, c in z) for i, c in enumerate(X))
+    return coefficient_lines(title, "linear", "kennedy", Y, linear_diagnostics_sql(), coefs, LINEAR_CLASSIC, z)
+
+
+def logistic_found_lines(x: list[str], y: str, base: str):
+    return lambda title, z: coefficient_lines(title, "logistic", "kennedy", y, logistic_diagnostics_sql(x, y, base), kennedy_logistic_sql(z, x, y, base), logistic_classic_sql(x, y, base), z)
+
+
+ORACLE["confounder_report"] = numbered_sql(confounder_lines(identify_sql(X), X))
+ORACLE["kennedy_with_found_confounders"] = found_sql(identify_sql(X), X, "linear", linear_found_lines)
+
+
 # ---------------------------------------------------------------- confounders of a 0/1 outcome
 
 
@@ -820,16 +942,40 @@ def identify_all_logistic(spark, sf_dir):
     return identified(*labelled(spark, sf_dir, LX, LY), LX, LY, LX)
 
 
-@query()
+@query(numbered_sql(confounder_lines(identify_sql(LX, LX, LY, "lbl", LFR), LX, " (Logistic)")))
 def confounder_report_logistic(spark, sf_dir):
     return as_lines(spark, report.confounder_report(api.identify_all(tables.labelled(spark, sf_dir), "id", LX, LY, n_bootstrap=B, random_state=SEED), " (Logistic)"))
 
 
-@query()
+@query(found_sql(identify_sql(LX, LX, LY, "lbl", LFR), LX, "logistic", logistic_found_lines(LX, LY, LBASE)))
 def kennedy_with_found_confounders_logistic(spark, sf_dir):
     return found_lines(spark, tables.labelled(spark, sf_dir), LX, LY)
 
 
+# Customers who spend much: a 0/1 outcome with a confounder to find.
+BX, BY = ["n_orders", "n_f"], "large"
+BUY = f"{CUST}, buy as (select *, (spend > 2.5)::int::double as large from cust)"
+BUYERS = f"with {BUY}, {frame_sql('buy', [*BX, BY])}"
+BFR = f"with {BUY}, fr as (select row_number() over (order by id) as rid, * from buy), {boot_sql(B)}"
+
+
+@query(identify_sql(BX, BX, BY, "buy", BFR))
+def identify_all_buyers(spark, sf_dir):
+    frame = prepare(tables.buyers(spark, sf_dir), "id", BX, BY)
+    return identified(frame, moments(frame, [*BX, BY]), BX, BY, BX)
+
+
+@query(numbered_sql(confounder_lines(identify_sql(BX, BX, BY, "buy", BFR), BX, " (Logistic)")))
+def confounder_report_buyers(spark, sf_dir):
+    return as_lines(spark, report.confounder_report(api.identify_all(tables.buyers(spark, sf_dir), "id", BX, BY, n_bootstrap=B, random_state=SEED), " (Logistic)"))
+
+
+@query(found_sql(identify_sql(BX, BX, BY, "buy", BFR), BX, "logistic", logistic_found_lines(BX, BY, BUYERS)))
+def kennedy_with_found_confounders_buyers(spark, sf_dir):
+    """A 0/1 outcome, end to end: the sweep finds a confounder, and Kennedy's test controls for it."""
+    return found_lines(spark, tables.buyers(spark, sf_dir), BX, BY)
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -838,7 +984,13 @@ def truncate_name(spark, sf_dir):
     return tables.table(spark, sf_dir, "part").select("p_partkey", text.shortened(F.concat_ws(" ", "p_name", "p_type"), 25).alias("short"))
 
 
-@query()
+REPORT = coefficient_lines("Permutation Test Results", "linear", "ter_braak", Y, linear_diagnostics_sql(), ORACLE["ter_braak_linear"], LINEAR_CLASSIC, [])
+JOINT_REPORT = joint_lines("linear", Y, linear_diagnostics_sql(), ORACLE["kennedy_joint_linear"])
+LREPORT = coefficient_lines("Permutation Test Results", "logistic", "ter_braak", LY, logistic_diagnostics_sql(LX, LY, LBASE), ORACLE["ter_braak_logistic"], logistic_classic_sql(LX, LY, LBASE), [])
+LJOINT_REPORT = joint_lines("logistic", LY, logistic_diagnostics_sql(LX, LY, LBASE), ORACLE["kennedy_joint_logistic"])
+
+
+@query(numbered_sql(f"list_concat(({REPORT})[:-2], {JOINT_REPORT})"))
 def report_rows(spark, sf_dir):
     """The coefficient and joint reports, line by line."""
     source = tables.customers(spark, sf_dir)
@@ -847,7 +999,7 @@ def report_rows(spark, sf_dir):
     return as_lines(spark, a + b)
 
 
-@query()
+@query(numbered_sql(f"list_concat(({LREPORT})[:-2], {LJOINT_REPORT})"))
 def report_rows_logistic(spark, sf_dir):
     """The coefficient and joint reports of a 0/1 outcome, line by line."""
     source = tables.labelled(spark, sf_dir)

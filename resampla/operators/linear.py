@@ -23,7 +23,7 @@ def coefficients(m: Moments, features: list[str], target: str) -> list[dict]:
     _, beta = m.fit(target, features)
     df = m.n - len(features) - 1
     s2 = max(m.rss(target, features), 0.0) / df if df > 0 else math.nan
-    inverse = np.linalg.inv(m.n * m.block(features, features))
+    inverse = m.inverse(features)
     out = []
     for i, c in enumerate(features):
         se = float(math.sqrt(s2 * inverse[i, i])) if df > 0 else math.nan
@@ -87,8 +87,8 @@ def ter_braak(frame: DataFrame, m: Moments, features: list[str], target: str, co
 def kennedy(frame: DataFrame, m: Moments, features: list[str], target: str, confounders: list[str], count: int, seed: int) -> DataFrame:
     """(rep, feature, stat): slopes of each feature whose residuals given the confounders are permuted, all others kept.
 
-    From the sums of a feature's moved residuals with all columns: what they share with the other features leaves the residuals'
-    own square and their product with the outcome.
+    From the sums of a feature's moved residuals with an orthonormal basis of all features and with the outcome: what they share with
+    the other features leaves the residuals' own square and their product with the outcome.
     """
     tested = [c for c in features if c not in confounders]
     if not tested:
@@ -97,21 +97,24 @@ def kennedy(frame: DataFrame, m: Moments, features: list[str], target: str, conf
         m.fit(target, [x for x in features if x != c])  # raises where the other features are dependent
     fixed = [*features, target]
     packed = exchange.pack(frame, m.n, {f"r{i}": residual(m, c, confounders) for i, c in enumerate(tested)} | {f"z{i}": z for i, z in enumerate(scaled(m, fixed).values())})
-    gram, k = correlations(m, fixed), len(features)
+    k, triangle = len(features), m.triangle(fixed)
+    turn = np.linalg.inv(triangle[:k, :k]).T  # from scaled features to the basis
     spread = math.sqrt(m.block([target], [target])[0, 0])
     own = [m.rss(c, confounders) for c in tested]
 
     def sums(reps, pos, moved, held):
-        return np.concatenate([r[0] @ held.T for r in moved], 1)
+        basis = np.concatenate([turn @ held[:k], held[k:]])
+        return np.concatenate([r[0] @ basis.T for r in moved], 1)
 
     def finish(reps, s):
         stats = []
         for i, c in enumerate(tested):
             rest = [j for j in range(k) if features[j] != c]
             part = s[:, i * (k + 1) : (i + 1) * (k + 1)]
-            shared = np.linalg.solve(gram[np.ix_(rest, rest)], part[:, rest].T)  # of the other features' slopes
-            low = own[i] - (part[:, rest].T * shared).sum(0)
-            up = spread * (part[:, k] - gram[k, rest] @ shared)
+            others = np.linalg.qr(triangle[:k, rest])[0]  # the other features' span, in the basis
+            shared = part[:, :k] @ others
+            low = own[i] - (shared**2).sum(1)
+            up = spread * (part[:, k] - shared @ (others.T @ triangle[:k, k]))
             stats.append(np.divide(up, low, out=np.full(len(reps), np.nan), where=low != 0))
         yield from feature_rows(reps, tested, np.array(stats))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,12 +20,37 @@ class CollinearFeatureError(ValueError):
 
 @dataclass
 class Moments:
-    """Count, means and centred second moments (divided by n) of some columns."""
+    """Count, means and centred second moments (divided by n) of some columns; of nearly dependent ones also a triangular factor."""
 
     names: list[str]
     n: int
     mean: dict[str, float]
     cov: np.ndarray
+    factor: np.ndarray | None = None  # of the centred columns in units of their deviations
+
+    def triangle(self, columns: list[str]) -> np.ndarray:
+        """T with T'T the sums of products of the centred columns in units of their deviations."""
+        if self.factor is not None:
+            return np.linalg.qr(self.factor[:, [self.names.index(c) for c in columns]], "r")
+        a = self.block(columns, columns)
+        scale = np.sqrt(np.diag(a))
+        return math.sqrt(self.n) * np.linalg.cholesky(a / np.outer(scale, scale)).T
+
+    def inverse(self, on: list[str]) -> np.ndarray:
+        """Inverse of the sums of products of the centred columns."""
+        scale = np.sqrt(np.diag(self.block(on, on)))
+        up = np.linalg.inv(self.triangle(on))
+        return up @ up.T / np.outer(scale, scale)
+
+    def exact(self, target: str, on: list[str]) -> tuple[np.ndarray, float]:
+        """Slopes and residual sum of squares by the factor."""
+        a, y = self.factor[:, [self.names.index(c) for c in on]], self.factor[:, self.names.index(target)]
+        size = np.linalg.svd(a, compute_uv=False)
+        if size[-1] < 1e-12 * size[0]:
+            raise CollinearFeatureError(f"linearly dependent: {on}")
+        beta = np.linalg.lstsq(a, y, rcond=None)[0]
+        unit = np.sqrt(np.diag(self.block([*on, target], [*on, target])))
+        return beta * unit[-1] / unit[:-1], float(((y - a @ beta) ** 2).sum() * unit[-1] ** 2)
 
     def block(self, a: list[str], b: list[str]) -> np.ndarray:
         at = {c: i for i, c in enumerate(self.names)}
@@ -38,6 +64,9 @@ class Moments:
         scale = np.sqrt(np.diag(a))
         if (scale == 0).any():
             raise CollinearFeatureError(f"constant: {[c for c, s in zip(on, scale) if s == 0]}")
+        if self.factor is not None:
+            beta, _ = self.exact(target, on)
+            return self.mean[target] - float(beta @ [self.mean[c] for c in on]), beta
         r = a / np.outer(scale, scale)
         if np.linalg.eigvalsh(r)[0] < 1e-10:
             raise CollinearFeatureError(f"linearly dependent: {on}")
@@ -45,6 +74,8 @@ class Moments:
         return self.mean[target] - float(beta @ [self.mean[c] for c in on]), beta
 
     def rss(self, target: str, on: list[str]) -> float:
+        if self.factor is not None and on:
+            return self.exact(target, on)[1]
         _, beta = self.fit(target, on)
         return float(self.n * (self.block([target], [target])[0, 0] - (beta @ self.block(on, [target])[:, 0] if on else 0.0)))
 
@@ -96,10 +127,47 @@ def wide_moments(df: DataFrame, columns: list[str]) -> Moments:
     return Moments(list(columns), n, mean or dict.fromkeys(columns), cov)
 
 
+NEAR = 1e-6  # least eigenvalue of correlations under which products of columns say too little of them
+
+
+def tall_factor(df: DataFrame, m: Moments) -> np.ndarray:
+    """Triangular factor of the centred columns in units of their deviations: each task's rows, merged up a tree."""
+    scale = np.sqrt(np.diag(m.cov))
+    mean, scale = np.array([m.mean[c] for c in m.names]), np.where(scale > 0, scale, 1.0)
+    p = len(m.names)
+
+    def triangle(parts):
+        r = np.zeros((0, p))
+        for x in parts:
+            r = np.linalg.qr(np.concatenate([r, x]), "r")
+        return r
+
+    def rows(batches):
+        r = triangle((np.stack([c.to_numpy(zero_copy_only=False) for c in b.slice(lo, ROWS).columns], axis=1) - mean) / scale for b in batches for lo in range(0, len(b), ROWS))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % PARTS]), pa.array([r.tobytes()])], names=["part", "r"])
+
+    def merge(key, table):
+        r = triangle(np.frombuffer(raw).reshape(-1, p) for raw in table.column("r").to_pylist())
+        return pa.table({"part": [key[0].as_py()], "r": [r.tobytes()]})
+
+    near = df.select(*[F.col(c).cast("double") for c in m.names]).mapInArrow(rows, "part long, r binary").groupBy("part").applyInArrow(merge, "part long, r binary")
+    return triangle(np.frombuffer(x["r"]).reshape(-1, p) for x in near.orderBy("part").collect())
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """One partial aggregation over all rows; numerically centred as it goes.  Beyond WIDE columns the products are summed as blocks."""
-    if len(columns) > WIDE:
-        return wide_moments(df, columns)
+    """One partial aggregation over all rows; numerically centred as it goes.
+
+    Beyond WIDE columns the products are summed as blocks.  Columns that nearly depend on each other take a second pass, for their factor.
+    """
+    m = wide_moments(df, columns) if len(columns) > WIDE else plain_moments(df, columns)
+    live = np.flatnonzero(np.diag(m.cov) > 0)
+    scale = np.sqrt(np.diag(m.cov))[live]
+    if len(live) > 1 and np.linalg.eigvalsh(m.cov[np.ix_(live, live)] / np.outer(scale, scale))[0] < NEAR:
+        m.factor = tall_factor(df, m)
+    return m
+
+
+def plain_moments(df: DataFrame, columns: list[str]) -> Moments:
     pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
     row = df.agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)], *[F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i, j in pairs]).first()
     cov = np.zeros((len(columns), len(columns)))

@@ -19,6 +19,11 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("c_custkey").alias("id"), zero("n_orders"), zero("avg_price"), zero("n_f"), F.col("c_acctbal").alias("acctbal"), (F.col("c_acctbal") / 1000).alias("balance"), (F.coalesce("total", F.lit(0.0)) / 1e6).alias("spend"))
 
 
+def buyers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, and whether they spend more than 2.5 millions as a 0/1 outcome."""
+    return customers(spark, sf_dir).withColumn("large", (F.col("spend") > 2.5).cast("double"))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per labelled document: length, digits, language flag and the two 0/1 outcomes."""
     joined = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")

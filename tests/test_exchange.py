@@ -210,3 +210,35 @@ def test_prepared_rows_feed_the_exchange(spark):
     data = {r["range"]: np.frombuffer(r["data"]) for r in packed.frame.collect()}
     want = [r["a"] for r in frame.orderBy("rid").collect()]
     assert sorted(data) == [0, 1, 2, 3] and np.concatenate([data[i] for i in range(4)]).tolist() == want
+
+
+def test_nearly_dependent_columns_equal_a_dense_solve(spark):
+    """Condition 1e7: slopes, errors, residuals and both tests."""
+    r = np.random.default_rng(9)
+    n = 400
+    a, c, e = r.normal(size=(3, n))
+    b = a + 2e-7 * e
+    y = a - c + r.normal(size=n)
+    x = np.c_[a, b, c]
+    z = x - x.mean(0)
+    assert 5e6 < np.linalg.cond(z) < 5e7
+    frame = numbered(spark, [a, b, c, y], ["a", "b", "c", "y"]).repartition(7)
+    m = moments(frame, ["a", "b", "c", "y"])
+    want = np.linalg.lstsq(z, y - y.mean(), rcond=None)[0]
+    got = linear.coefficients(m, ["a", "b", "c"], "y")
+    assert [g["coef"] for g in got] == pytest.approx(want, rel=1e-8)
+    left = y - y.mean() - z @ want
+    se = np.sqrt(left @ left / (n - 4) * np.diag(np.linalg.inv(np.linalg.qr(z, "r")) @ np.linalg.inv(np.linalg.qr(z, "r")).T))
+    assert [g["se"] for g in got] == pytest.approx(se, rel=1e-7) and m.rss("y", ["a", "b", "c"]) == pytest.approx(left @ left, rel=1e-10)
+    seen = {k["rid"]: k["residual"] for k in linear.fitted(frame, m, "y", ["a", "b", "c"]).collect()}
+    assert [seen[i + 1] for i in range(n)] == pytest.approx(left, abs=1e-7)
+    rid = np.arange(1, n + 1)
+    null = {(k["rep"], k["feature"]): k["stat"] for k in linear.kennedy(frame, m, ["a", "b", "c"], "y", [], 3, 2).collect()}
+    for j, name in enumerate("abc"):
+        for rep in (1, 3):
+            w = z.copy()
+            w[resample.positions(rid, n, 2, name, rep) - 1, j] = z[:, j]
+            assert null[rep, name] == pytest.approx(np.linalg.lstsq(w, y - y.mean(), rcond=None)[0][j], rel=1e-6)
+    with pytest.raises(frame_module.CollinearFeatureError):
+        twin = frame.withColumn("d", F.col("a") - 2 * F.col("c"))
+        moments(twin, ["a", "c", "d", "y"]).fit("y", ["a", "c", "d"])
