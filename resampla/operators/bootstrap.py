@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from resampla.operators.resample import PRIME, constants
+from resampla.operators.resample import PRIME, constants, under_prime
 from resampla.plans import exchange
 from resampla.plans.frame import Moments
 
@@ -34,10 +34,10 @@ def streams(seed: int, reps) -> np.ndarray:
 def noise(s: np.ndarray, x, y):
     """Whole numbers under PRIME from node ``x`` and serial ``y``: squares, so that successive serials are no short polynomial."""
     a, b = s[:, 0].T, s[:, 1].T
-    h = (a[0] * (x % PRIME) + b[0]) % PRIME
-    h = (a[1] * ((h * h + y) % PRIME) + b[1]) % PRIME
+    h = under_prime(a[0] * (x % PRIME) + b[0])
+    h = under_prime(a[1] * under_prime(h * h + y) + b[1])
     for i in range(2, MIXES):
-        h = (a[i] * ((h * h + b[i]) % PRIME) + b[i - 1]) % PRIME
+        h = under_prime(a[i] * under_prime(h * h + b[i]) + b[i - 1])
     return h
 
 

@@ -44,35 +44,52 @@ def constants(seed: int, name: str, rep: int) -> tuple[tuple[int, int, int], ...
     return tuple(out)
 
 
-def positions(rid: np.ndarray, n: int, seed: int, name: str, rep: int) -> np.ndarray:
-    """Where a replicate's permutation of 1..n sends each of the given rows.
+def under_prime(x):
+    """Remainders by PRIME of whole numbers from 0 on; a division by a constant is far cheaper than ``%``."""
+    return x - x // PRIME * PRIME
+
+
+CACHED = 1 << 16  # numbers worked on at a time
+
+
+def sent(x: np.ndarray, n: int, seed: int, name: str, reps: np.ndarray, back: bool) -> np.ndarray:
+    """(replicates, len(x)): each replicate's rounds, forwards or backwards, on places counted from 0."""
+    out = np.empty((len(reps), len(x)), np.int64)
+    width = max(1, CACHED // max(1, len(x)))
+    for lo in range(0, len(reps), width):
+        k = np.array([constants(seed, name, int(r)) for r in reps[lo : lo + width]], dtype=np.int64).transpose(1, 2, 0)[..., None]  # rounds, numbers, replicates, 1
+        here = np.broadcast_to(x, (k.shape[2], len(x)))
+        for shift, factor, addend in k[::-1] if back else k:
+            y = (shift % n + n) - here
+            y -= n * (y >= n)
+            high = np.maximum(here, y)
+            h = under_prime(factor * (high if n <= PRIME else under_prime(high)) + addend)
+            here = np.where(under_prime(h * h + addend) & 1, y, here)
+        out[lo : lo + width] = here
+    return out
+
+
+def positions(rid: np.ndarray, n: int, seed: int, name: str, rep) -> np.ndarray:
+    """Where a replicate's permutation of 1..n sends each of the given rows; a row of places each for several replicates.
 
     A swap-or-not shuffle: in each round the row and its mirror image about a drawn point swap places or don't, by a
     drawn function of the two, so every round is a bijection of any 1..n, and rows need neither a sort nor each other.
     """
-    x = rid.astype(np.int64) - 1
-    for shift, factor, addend in constants(seed, name, rep):
-        y = (shift % n - x) % n
-        h = (factor * (np.maximum(x, y) % PRIME) + addend) % PRIME
-        x = np.where((h * h + addend) % PRIME % 2 == 1, y, x)
-    return x + 1
+    out = sent(rid.astype(np.int64) - 1, n, seed, name, np.atleast_1d(rep), False) + 1
+    return out if np.ndim(rep) else out[0]
 
 
-def origins(pos: np.ndarray, n: int, seed: int, name: str, rep: int) -> np.ndarray:
+def origins(pos: np.ndarray, n: int, seed: int, name: str, rep) -> np.ndarray:
     """The rows that a replicate's permutation sends to the given positions: every round undoes itself, so rounds run backwards."""
-    x = pos.astype(np.int64) - 1
-    for shift, factor, addend in reversed(constants(seed, name, rep)):
-        y = (shift % n - x) % n
-        h = (factor * (np.maximum(x, y) % PRIME) + addend) % PRIME
-        x = np.where((h * h + addend) % PRIME % 2 == 1, y, x)
-    return x + 1
+    out = sent(pos.astype(np.int64) - 1, n, seed, name, np.atleast_1d(rep), True) + 1
+    return out if np.ndim(rep) else out[0]
 
 
 def uniforms(pos: np.ndarray, seed: int, name: str, rep: int) -> np.ndarray:
     """A draw from [0, 1) for each position of a replicate."""
     (_, a, b), (_, c, d) = constants(seed, name, rep)[:2]
-    h = (a * (pos.astype(np.int64) % PRIME) + b) % PRIME
-    return (c * ((h * h + d) % PRIME) + b) % PRIME / PRIME
+    h = under_prime(a * under_prime(pos.astype(np.int64)) + b)
+    return under_prime(c * under_prime(h * h + d) + b) / PRIME
 
 
 def permuted(frame: DataFrame, n: int, count: int, seed: int, name: str, columns: list[str], draws: str | None = None) -> DataFrame:

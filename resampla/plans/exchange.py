@@ -114,7 +114,7 @@ def exchanged(packed: Packed, channels: list[Channel], fixed: list[str], count:
                 for b, (lo, hi) in enumerate(todo):
                     yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([b], pa.int32()), pa.array([-1], pa.int32()), pa.array([-1], pa.int32()), pa.array([b""]), pa.array([data[[at[c] for c in fixed]].tobytes()])], schema=row)
                     for k, channel in enumerate(channels):
-                        pos = np.stack([resample.positions(rid, n, seed, channel.name, rep) for rep in range(lo, hi)])
+                        pos = resample.positions(rid, n, seed, channel.name, np.arange(lo, hi))
                         order, counts, ends = split_by_range(pos, per, ranges)
                         values = np.stack([np.broadcast_to(data[at[c]], pos.shape).ravel()[order] for c in channel.columns])
                         met = np.flatnonzero(counts.sum(1))
@@ -135,7 +135,7 @@ def exchanged(packed: Packed, channels: list[Channel], fixed: list[str], count:
                 parts[k].append((np.frombuffer(counts, np.int32), np.frombuffer(data, np.float64).reshape(len(channels[k].columns), -1)))
         moved = []
         for channel, p in zip(channels, parts):
-            source = np.stack([(resample.origins(pos, n, seed, channel.name, rep) - 1) // per for rep in range(lo, hi)])
+            source = (resample.origins(pos, n, seed, channel.name, np.arange(lo, hi)) - 1) // per
             moved.append(scattered(p, source))
         state = np.ascontiguousarray(sums(np.arange(lo, hi), pos, moved, held), np.float64)
         return pa.RecordBatch.from_arrays([pa.array([lo]), pa.array([dest], pa.int32()), pa.array([state.tobytes()])], names=["first", "part", "state"])

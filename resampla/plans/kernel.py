@@ -46,8 +46,7 @@ def null_distribution(frame: DataFrame, features: list[str], target: str, method
     def permutations(reps, name):
         """Row r of a replicate's permuted values is the row of the given ones that is sent there."""
         out = np.empty((len(reps), len(y)), np.int64)
-        for i, r in enumerate(reps):
-            out[i, resample.positions(rid, len(y), seed, name, int(r)) - 1] = rid - 1
+        np.put_along_axis(out, resample.positions(rid, len(y), seed, name, np.asarray(reps)) - 1, np.broadcast_to(rid - 1, out.shape), 1)
         return out
 
     def braak(reps, j):
