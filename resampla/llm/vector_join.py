@@ -2,7 +2,10 @@
 
 Vectors are normalised in double precision, so that cosine >= c means a chord of at most
 r = sqrt(2 - 2c), which is a metric.  Pivots (vectors in the order of a hash) partition the vectors;
-each belongs to the cell of its nearest pivot.  By the triangle inequality a vector can only link
+each belongs to the cell of its nearest pivot (lengths of under 256 vectors are one cell).  Their number, ``LEAST`` to the next power of four beyond n / ``CELL`` and
+at most ``PIVOT_BYTES`` of vectors, is the one of least cost: on a sample of ``PROBES`` vectors, the pairs
+that the cells would compare, the distances to pivots, and ``MOVE`` times the copies that visit other cells.  It decides the
+plan only; where vectors are spread so evenly that no pivot excludes anything, few cells cost least.  By the triangle inequality a vector can only link
 into cell j if its distance to pivot j is at most the cell's radius plus r, and exceeds the
 distance to its own pivot by at most 2 r; only then is it replicated there, and of two cells only to
 the lower one, so every pair is met exactly once.  Cells join independently.
@@ -14,7 +17,7 @@ are computed in double.  They return link counts and a spanning forest of the li
 the pairs, so a group of near copies costs rows in proportion to its size.
 
 Null, empty, zero or non-finite vectors, or vectors with null components, link with nothing; only
-vectors of the same length are compared.  Of repeated ids one row is kept.  A null id is kept with no
+vectors of the same length are compared.  Of repeated ids the normalised vector with the least bytes counts.  A null id is kept with no
 links.  Extra columns are ignored; an empty table gives no rows.
 """
 
@@ -28,16 +31,19 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import connected_components, materialize, mix, partitions, trimmed
 
-CELL, BLOCK_BYTES, CHUNK_BYTES = 16384, 8 << 20, 16 << 20  # vectors of a cell in the mean; bytes of a block and of a chunk
+CELL, LEAST, BLOCK_BYTES, CHUNK_BYTES = 64, 4, 8 << 20, 16 << 20  # vectors of a cell at least, in the mean; cells at least; bytes of a block and of a chunk
+PIVOT_BYTES, PROBES, MOVE = 16 << 20, 1000, 2000  # bytes of all pivots; vectors that the cost is measured on; comparisons that cost as much as moving a vector
 
 
-def matrices(batch):
-    """(ids, matrix of unit rows) for each vector length in the batch, from binary doubles."""
+def matrices(batch, pivots=1):
+    """(length, ids, matrix of unit rows) for each vector length in the batch, from binary doubles; few rows at once where pivots are many."""
+    step = max(1, (1 << 22) // pivots)
     ids, sizes = batch.column(0).to_numpy(), pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False) // 8
     raw = batch.column(1)
     for d in np.unique(sizes):
-        at = np.flatnonzero(sizes == d)
-        yield int(d), ids[at], np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), d)
+        every = np.flatnonzero(sizes == d)
+        for at in np.split(every, range(step, len(every), step)):
+            yield int(d), ids[at], np.frombuffer(b"".join(raw.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), d)
 
 
 def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -56,13 +62,31 @@ def unit_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
             flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, begin)) if len(begin) else flat, size)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([flat[s : s + n].tobytes() for s, n in zip(begin, size)], pa.binary())], names=["id", "v"])
 
-    return fine.dropDuplicates(["id"]).mapInArrow(trimmed(run), "id long, v binary")
+    return fine.mapInArrow(trimmed(run), "id long, v binary").groupBy("id").agg(F.min("v").alias("v"))
 
 
 def chords(x, pivots):
     return np.sqrt(np.maximum(2 - 2 * (x @ pivots.T), 0))
 
 
+def cells_of_least_cost(pivots, probes, n, r):
+    """How many of the leading pivots to take for n vectors, by what the probes would compare and move."""
+    dist = chords(probes, pivots)
+    best, k = None, LEAST
+    while k <= max(LEAST, len(pivots)):
+        d = dist[:, :k]
+        own, near = d.argmin(1), d.min(1)
+        radius = np.full(d.shape[1], -9.0)
+        np.maximum.at(radius, own, near)
+        go = (d <= radius + r) & (d - near[:, None] <= 2 * r)
+        share = np.bincount(own, minlength=d.shape[1]) / len(probes)
+        cost = n * (go @ share).mean() / 2 + 3 * k + MOVE * (go.sum(1).mean() - 1) / 2  # a vector's
+        if best is None or cost < best[0]:
+            best = (cost, k)
+        k *= 4
+    return best[1]
+
+
 def join_group(home_ids, home, ids, x, same, cos):
     """Link counts and forest edges between a block and a chunk; ``same``: within one block, each pair once."""
     h32, x32 = home.astype(np.float32), x.astype(np.float32)
@@ -106,27 +130,32 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
     spark = vectors.sparkSession
     parts = partitions(spark)
     units = materialize(unit_vectors(vectors, id_col, vec_col), "units")
-    total = units.count()
     r = float(np.sqrt(2 - 2 * cos))
     slack = 1e-6  # rounding of distances never excludes a pair
-    wanted = int(min(1024, max(1, -(-total // CELL))))
-    picked = units.withColumn("_d", F.octet_length("v")).orderBy(F.xxhash64("id"), "id").limit(wanted).collect()
+    width_of = units.groupBy((F.octet_length("v") / 8).cast("int").alias("d")).count().collect()  # one row per length of vectors
     pivots: dict[int, np.ndarray] = {}
-    for d in {x["_d"] // 8 for x in picked}:
-        pivots[d] = np.stack([np.frombuffer(x["v"], np.float64) for x in picked if x["_d"] == 8 * d])
+    for d, n in width_of:
+        if n < LEAST * CELL:
+            pivots[d] = np.zeros((1, d))  # one cell, around the origin
+            continue
+        wanted = LEAST
+        while wanted * CELL < n and 4 * wanted * 8 * d * len(width_of) <= PIVOT_BYTES:
+            wanted *= 4
+        picked = units.where(F.octet_length("v") == 8 * d).orderBy(F.xxhash64("id"), "id").limit(max(wanted, PROBES)).collect()
+        some = np.stack([np.frombuffer(x["v"], np.float64) for x in picked])
+        pivots[d] = some[: cells_of_least_cost(some[:wanted], some[-PROBES:], n, r)]
     first = {d: sum(len(p) for e, p in sorted(pivots.items()) if e < d) for d in pivots}  # cells are numbered over all lengths
-    kinds = sum(len(p) for p in pivots.values())
+    most = max((len(p) for p in pivots.values()), default=1)
 
     def near(d, x):
-        """Distances to the pivots of this length; without any, one pivot at the origin of a cell of its own."""
-        return chords(x, pivots[d]) if d in pivots else np.zeros((len(x), 1))
+        return chords(x, pivots[d])
 
     def base(d):
-        return first[d] if d in pivots else kinds + d
+        return first[d]
 
     def measure(batches):
         for batch in batches:
-            for d, _, x in matrices(batch):
+            for d, _, x in matrices(batch, most):
                 dist = near(d, x)
                 own = dist.argmin(1)
                 yield pa.RecordBatch.from_arrays([pa.array(own + base(d)), pa.array(dist[np.arange(len(x)), own])], names=["cell", "far"])
@@ -142,20 +171,20 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
 
     def tally(batches):
         for batch in batches:
-            for d, _, x in matrices(batch):
+            for d, _, x in matrices(batch, most):
                 dist = near(d, x)
                 n = visits(d, dist, dist.argmin(1)).sum(0)
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)) + base(d)), pa.array(n.astype(np.int64))], names=["cell", "n"])
 
     guests = {s["cell"]: s["n"] for s in units.mapInArrow(trimmed(tally), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()}
-    width = {c: 8 * next((d for d in pivots if first[d] <= c < first[d] + len(pivots[d])), c - kinds) for c in count}  # bytes of a cell's vectors
+    width = {c: 8 * next(d for d in pivots if first[d] <= c < first[d] + len(pivots[d])) for c in count}  # bytes of a cell's vectors
     blocks = {c: -(-n * width[c] // BLOCK_BYTES) for c, n in count.items()}
     chunks = {c: max(1, -(-(guests.get(c, 0) + n) * width[c] // CHUNK_BYTES)) for c, n in count.items()}
 
     def deal(batches):
         for batch in batches:
             out: dict[tuple, list] = {}
-            for d, ids, x in matrices(batch):
+            for d, ids, x in matrices(batch, most):
                 dist = near(d, x)
                 own = dist.argmin(1)
                 key = mix(ids.astype(np.uint64))

@@ -606,6 +606,32 @@ def test_vector_join_equals_brute_force(spark, monkeypatch):
     assert vector_join.cosine_components(df.limit(0)).count() == 0
 
 
+def test_vector_join_partitions_by_default_and_settles_repeated_ids(spark, monkeypatch):
+    """2,000 vectors lie in several cells without any setting; clusters, near copies across cells, ids with two vectors."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(40, 16))
+    x = np.r_[centres[r.integers(0, 40, 1500)] + 0.25 * r.normal(size=(1500, 16)), r.normal(size=(500, 16))]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    hit = np.triu(unit @ unit.T >= 0.9, 1)
+    links = list(zip(*(c.tolist() for c in np.nonzero(hit))))
+    want, degree = components(range(2000), links), collections.Counter(i for p in links for i in p)
+    taken, choose = [], vector_join.cells_of_least_cost
+    monkeypatch.setattr(vector_join, "cells_of_least_cost", lambda *a: taken.append(choose(*a)) or taken[-1])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    greater, other = [], max(range(2000), key=lambda j: unit[j].tobytes())
+    for i in range(0, 2000, 97):  # a second vector of the id, greater by the bytes of its normal form
+        if unit[other].tobytes() > unit[i].tobytes():
+            greater.append((i, rows[other][1]))
+    assert len(greater) > 15
+    for many, parts in ((rows + greater, 3), (greater + rows, 7)):
+        got = vector_join.cosine_components(table(spark, many, "vec_id long, embedding array<double>").repartition(parts), 0.9).collect()
+        assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (degree[i], want[i]) for i in range(2000)} and len(got) == 2000
+    assert taken[0] > 1 and taken[0] == taken[1]
+    even = r.normal(size=(1256, 64))
+    even /= np.linalg.norm(even, axis=1)[:, None]
+    assert choose(even[:256], even[256:], 50_000, 0.447) == vector_join.LEAST  # no pivot excludes anything
+
+
 # ---------------------------------------------------------------- substrings (10)
 
 
