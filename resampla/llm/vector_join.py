@@ -3,7 +3,7 @@
 Vectors are normalised in double precision, so that cosine >= c means a chord of at most
 r = sqrt(2 - 2c), which is a metric.  Pivots (vectors in the order of a hash) partition the vectors;
 each belongs to the cell of its nearest pivot (lengths of under 256 vectors are one cell).  Their number, ``LEAST`` to the next power of four beyond n / ``CELL`` and
-at most ``PIVOT_BYTES`` of vectors, is the one of least cost: on a sample of ``PROBES`` vectors, the pairs
+at most ``PIVOT_BYTES`` of vectors, is the one of least cost: on ``PROBES`` other vectors at most, the pairs
 that the cells would compare, the distances to pivots, and ``MOVE`` times the copies that visit other cells.  It decides the
 plan only; where vectors are spread so evenly that no pivot excludes anything, few cells cost least.  By the triangle inequality a vector can only link
 into cell j if its distance to pivot j is at most the cell's radius plus r, and exceeds the
@@ -76,9 +76,7 @@ def cells_of_least_cost(pivots, probes, n, r):
     while k <= max(LEAST, len(pivots)):
         d = dist[:, :k]
         own, near = d.argmin(1), d.min(1)
-        radius = np.full(d.shape[1], -9.0)
-        np.maximum.at(radius, own, near)
-        go = (d <= radius + r) & (d - near[:, None] <= 2 * r)
+        go = (d <= near.max() + r) & (d - near[:, None] <= 2 * r)
         share = np.bincount(own, minlength=d.shape[1]) / len(probes)
         cost = n * (go @ share).mean() / 2 + 3 * k + MOVE * (go.sum(1).mean() - 1) / 2  # a vector's
         if best is None or cost < best[0]:
@@ -141,9 +139,10 @@ def cosine_components(vectors: DataFrame, cos: float = 0.9, id_col: str = "vec_i
         wanted = LEAST
         while wanted * CELL < n and 4 * wanted * 8 * d * len(width_of) <= PIVOT_BYTES:
             wanted *= 4
-        picked = units.where(F.octet_length("v") == 8 * d).orderBy(F.xxhash64("id"), "id").limit(max(wanted, PROBES)).collect()
+        picked = units.where(F.octet_length("v") == 8 * d).orderBy(F.xxhash64("id"), "id").limit(wanted + PROBES).collect()
         some = np.stack([np.frombuffer(x["v"], np.float64) for x in picked])
-        pivots[d] = some[: cells_of_least_cost(some[:wanted], some[-PROBES:], n, r)]
+        wanted = min(wanted, len(some) // 2)
+        pivots[d] = some[: cells_of_least_cost(some[:wanted], some[wanted:], n, r)]
     first = {d: sum(len(p) for e, p in sorted(pivots.items()) if e < d) for d in pivots}  # cells are numbered over all lengths
     most = max((len(p) for p in pivots.values()), default=1)
 
