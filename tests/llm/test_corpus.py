@@ -210,6 +210,34 @@ def test_names_alone_follow_the_name_in_full(spark):
     assert three == rows[2][1] and sorted(c for _, c, _ in got) == [0, 2, 2, 4, 4] and [t for i, _, t in got if i is None] == [f"Mr {m[2]}. {m[2]}!"] * 2
 
 
+def test_names_by_context_other_scripts_and_formats(spark):
+    iban = "DE89 3704 0044 0532 0130 00"
+    rows = [
+        (1, "John Smith <john.smith@acme.com> called John Smith. Fine?"), (2, "Patient: Anna Kowalska, born. Kowalska left."), (3, "said mr. john reed and mr. john was here"),
+        (4, "Prof. 王小明 来了。李明先生说。"), (5, "Host 2001:db8::1 and 2001:DB8:0:0:0:0:0:1 at 12:30:45, std::vector a::b"), (6, f"Pay {iban} or {iban.replace(' ', '')}; code AB12 3456 7890"),
+        (7, "Herr Müller kam. Müller-Lüdenscheidt auch. Mr Jean-Luc Reed; Jean-Luc, Luc."), (8, "Mr Will Will said I Will go in May. Mr May knows. From John Smith <j@x.org>"), (9, "Plain text: nothing <here> 1::2x"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(table(spark, rows), "k").collect()}
+    m = re.fullmatch(r"(\w+) (\w+) <(\S+)@\S+\.com> called (\w+) (\w+)\. Fine\?", got[1])
+    assert m[1] == m[4] and m[2] == m[5] and not {"John", "Smith", "john.smith"} & set(m.groups())
+    m8 = re.fullmatch(r"Mr (\w+) (\w+) said I Will go in May\. Mr (\w+) knows\. From (\w+) (\w+) <.*>", got[8])
+    assert m8[4] == m[1] and m8[5] == m[2] and "Will" not in (m8[1], m8[2]) and m8[3] != "May"
+    m = re.fullmatch(r"Patient: (\w+) (\w+), born\. (\w+) left\.", got[2])
+    assert m[2] == m[3] != "Kowalska" and m[1].endswith("a")
+    m = re.fullmatch(r"said mr\. ([a-z]+) ([a-z]+) and mr\. ([a-z]+) was here", got[3])
+    assert m[2] != "reed" and "john" not in m.groups()
+    m = re.fullmatch(r"Prof\. (\w{2,}) 来了。(\w{2,})先生说。", got[4])
+    assert "王小明" not in got[4] and "李明" not in got[4] and all(re.fullmatch("[\u4e00-\u9fff]+", w) for w in m.groups())
+    m = re.fullmatch(r"Host ([0-9a-f:]+) and ([0-9A-F:]+) at 12:30:45, std::vector a::b", got[5])
+    assert "2001:db8::1" not in got[5] and m and len(m[1].split(":")) == 8
+    m = re.fullmatch(r"Pay (DE[\d ]+) or (DE\d+); code AB12 3456 7890", got[6])
+    value = m[2][4:] + "".join(str(int(c, 36)) for c in m[2][:4])
+    assert m[1].replace(" ", "") == m[2] != iban.replace(" ", "") and int(value) % 97 == 1 and [len(g) for g in m[1].split()] == [4] * 5 + [2]
+    m = re.fullmatch(r"Herr (\w+) kam\. (\w+)-Lüdenscheidt auch\. Mr (\w+)-(\w+) (\w+); (\w+)-(\w+), (\w+)\.", got[7])
+    assert m[1] == m[2] != "Müller" and (m[3], m[4]) == (m[6], m[7]) and m[8] == m[4] != "Luc"
+    assert got[9] == rows[8][1]
+
+
 def test_patterns_take_time_in_proportion(spark):
     n = 100_000
     rows = [(1, "x" * n + " 1"), (2, "x@" + "a." * n), (3, "token" + " " * n), (4, "1 " * (n // 2)), (5, "Mr " + "A" * n + " a@" + "b-" * n), (6, "token=" + "a" * 20_000 + " mail a@b.co.uk"), (7, "+" * n + "1" * n)]
