@@ -3,9 +3,10 @@
 Each context - the preceding token itself, or the start of a text -
 is a restaurant whose customers are the tokens that follow; all restaurants share one parent,
 the restaurant of the whole corpus, whose parent is uniform over the V known tokens and one unknown.
-Seating is sampled by Gibbs sweeps: all customers of a dish leave a restaurant and re-enter one by
-one, each taking a new table with the probability of the Chinese-restaurant process; tables send
-customers to the parent.  (Beyond 64 customers of one dish they re-enter in blocks of a 64th of those
+Seating is sampled by sweeps over all dishes at once: all customers of a dish are seated anew one by
+one, each taking a new table with the probability of the Chinese-restaurant process given the totals of the sweep before;
+tables send customers to the parent.  Those totals still hold the dish's own former tables, which a strict Gibbs step
+would take out, so this is a synchronous approximation of Gibbs sampling that favours new tables of rare dishes a little.  (Beyond 64 customers of one dish they re-enter in blocks of a 64th of those
 seated, each of which takes its expected new tables, rounded at random.)  Discounts come from the counts of counts.  The predictive
 probabilities of the sweeps after burn-in are averaged; a text's score is the sum of their log10.  Draws hang on hashes
 of word, context and sweep, so the scores are the same for any partitioning.
