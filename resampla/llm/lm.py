@@ -3,11 +3,13 @@
 Each context - the preceding token itself, or the start of a text -
 is a restaurant whose customers are the tokens that follow; all restaurants share one parent,
 the restaurant of the whole corpus, whose parent is uniform over the V known tokens and one unknown.
-Seating is sampled by sweeps over all dishes at once: all customers of a dish are seated anew one by
-one, each taking a new table with the probability of the Chinese-restaurant process given the totals of the sweep before;
-tables send customers to the parent.  Those totals still hold the dish's own former tables, which a strict Gibbs step
-would take out, so this is a synchronous approximation of Gibbs sampling that favours new tables of rare dishes a little.  (Beyond 64 customers of one dish they re-enter in blocks of a 64th of those
-seated, each of which takes its expected new tables, rounded at random.)  Discounts come from the counts of counts.  The predictive
+Seating is sampled by Gibbs sweeps in blocks: all customers of a dish leave a restaurant and take their tables, and the customers these
+sent to the parent, with them; how many tables they take anew is drawn from its distribution given all other
+seats.  That distribution is the Chinese-restaurant process's, summed over all seatings of so many tables (generalised Stirling
+numbers) and weighted by the parent's probability of the dish, which grows with every customer sent.  Two things are approximate: all blocks of
+a sweep are drawn at once, each given the others' seats of the sweep before (the usual way to run Gibbs in parallel), and the parent's tables of a
+dish are held where they were while its restaurants are drawn.  Beyond 256 customers of one dish the number is drawn from the normal distribution at the
+peak of its weights (Stirling ratios between those of 256, 512, ... 4,096 customers; beyond that scaled).  Discounts come from the counts of counts.  The predictive
 probabilities of the sweeps after burn-in are averaged; a text's score is the sum of their log10.  Draws hang on hashes
 of word, context and sweep, so the scores are the same for any partitioning.
 
@@ -26,6 +28,7 @@ id stays null and counts as training.  Extra columns are ignored; an empty table
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, trim, trimmed, words
 
 BLOCK_BYTES, SWEEPS, BURN, THETA = 12 << 20, 3, 1, 1.0
+EXACT, LARGEST = 256, 4096  # customers of a dish in a restaurant up to which tables are drawn from their whole distribution; and whose weights stand for all larger numbers
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
 START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFFFF
 PAIRS, POSTINGS = 0, 1
@@ -206,19 +210,70 @@ def drawn(key, salt, step):
     return (mix(key + U64((salt * 0x9E3779B97F4A7C15 + step * 0xD1B54A32D192ED03) & (1 << 64) - 1)) >> U64(11)).astype(np.float64) / 2.0**53
 
 
-def seat(c, a, d, key, salt):
-    """Tables of c customers (each >= 1) of one dish that enter one by one; a: mass of a new table for the dish; draws hang on ``key``."""
-    t, done, step = np.ones(len(c)), np.ones(len(c), np.int64), 0
-    live = np.flatnonzero(c > 1)
-    while len(live):
-        m = np.minimum(np.maximum(done[live] // 64, 1), c[live] - done[live])
-        p = a[live] / (a[live] + done[live] - d * t[live])
-        t[live] += np.floor(m * np.clip(p, 0, 1) + drawn(key[live], salt, step))
-        done[live] += m
-        live, step = live[done[live] < c[live]], step + 1
+@cache
+def stirling(d):
+    """Row c <= EXACT, and rows of doubled c up to LARGEST: log(S(c, t + 1) / S(c, t)) for t = 1 to c - 1, S(c, t) being the weight of all seatings of c customers at t tables under discount d."""
+    log, t = np.full(LARGEST + 2, -np.inf), np.arange(LARGEST + 2)
+    log[1] = 0
+    rows = {1: log[:0]}
+    for n in range(1, LARGEST):  # the same with one customer more
+        m = n + 3
+        log[1:m] = np.logaddexp(log[: m - 1], log[1:m] + np.log(np.maximum(n - d * t[1:m], 1e-300)))
+        if n < EXACT or (n + 1) % EXACT == 0 and ((n + 1) // EXACT).bit_count() == 1:
+            rows[n + 1] = np.diff(log[1 : n + 2])
+    return rows
+
+
+def seat(c, d, mass, key, salt):
+    """Tables of the c customers (each >= 1) of one dish; mass(i, t): that of a new table for dish i after t of its tables; draws hang on ``key``."""
+    t, steps = np.ones(len(c)), stirling(d)
+    few = np.flatnonzero((c > 1) & (c <= EXACT))
+    few = few[np.argsort(c[few], kind="stable")]
+    for alike in np.split(few, np.flatnonzero(np.diff(c[few])) + 1) if len(few) else ():
+        n = int(c[alike[0]])
+        tables = np.arange(1, n)
+        for i in np.split(alike, range(max(1, (1 << 18) // n), len(alike), max(1, (1 << 18) // n))):
+            w = np.zeros((len(i), n))  # logarithms of the weights of 1 to n tables
+            np.cumsum(np.log(mass(i[:, None], tables)) + steps[n], axis=1, out=w[:, 1:])
+            w = np.cumsum(np.exp(w - w.max(axis=1, keepdims=True)), axis=1)
+            t[i] += (w[:, :-1] <= (drawn(key[i], salt, 0) * w[:, -1])[:, None]).sum(axis=1)
+    many = np.flatnonzero(c > EXACT)
+    if len(many):
+        t[many] = peaks(c[many].astype(np.float64), d, lambda x: mass(many, x), steps, drawn(key[many], salt, 0), drawn(key[many], salt, 1))
     return t
 
 
+def peaks(c, d, mass, steps, u, v):
+    """Numbers of tables drawn from the normal distribution at the peak of their weights.
+
+    Step ratios of c customers lie between those of the next smaller and larger row, at equal log t / log c.  Beyond
+    LARGEST tables grow as c ** d: t tables stand where t * (LARGEST / c) ** d of its row do, and a step's ratio goes as one over the tables.
+    """
+    near = np.minimum(c, LARGEST)
+    scale, whole = (near / c) ** d, np.log(near)
+    below = np.minimum(np.floor(np.log2(near / EXACT)).astype(int), (LARGEST // EXACT).bit_length() - 2)
+    share = np.log2(near / EXACT) - below
+
+    def slope(t):
+        at, out = np.log(np.maximum(t * scale, 1)) / whole, np.zeros(len(t))
+        for k in np.unique(below):
+            mine = below == k
+            for n, part in ((EXACT << k, 1 - share[mine]), (EXACT << k + 1, share[mine])):
+                tables = np.arange(1, n)
+                out[mine] += part * np.interp(at[mine], np.log(tables) / np.log(n), steps[n] + np.log(tables))
+        return out - at * whole + np.log(scale) + np.log(mass(t))
+
+    low, high = np.ones(len(c)), (near - 1) / scale
+    for _ in range(32):  # weights rise up to the peak and fall beyond it
+        middle = (low + high) / 2
+        rising = slope(middle) > 0
+        low, high = np.where(rising, middle, low), np.where(rising, high, middle)
+    before, after = np.maximum(low * 0.95, 1), np.maximum(low * 1.05, low + 0.5)
+    spread = np.sqrt(np.minimum((after - before) / np.maximum(slope(before) - slope(after), 1e-300), low + 1))
+    normal = np.sqrt(-2 * np.log1p(-u)) * np.cos(2 * np.pi * v)
+    return np.clip(np.round(low + 0.5 + spread * normal), 1, c)
+
+
 class Restaurants:
     """One range's dishes, and the seatings that known totals lead to.
 
@@ -246,13 +301,23 @@ class Restaurants:
         totals[i]: the corpus's (tables per context, parent's customers, parent's tables) before sweep i.
         """
         s = self.shared
-        cw = self.summed(np.ones(len(self.at)))
+        d, d0, base = s["d"], s["d0"], 1 / (s["V"] + 1)
+        t, counts = np.ones(len(self.at)), self.counts
+        cw = self.summed(t)
         tw = (cw > 0).astype(np.float64)
+        some = np.flatnonzero(cw > 0)
         for i, (tables, c, r) in enumerate(totals):
-            t = seat(self.counts, (THETA + s["d"] * tables[self.context]) * self.root(cw, tw, c, r)[self.of], s["d"], self.pair, 2 * (s["seed"] + i))
-            cw, tw = self.summed(t), np.zeros(len(self.words))
-            some = np.flatnonzero(cw > 0)
-            tw[some] = seat(cw[some].astype(np.int64), np.full(len(some), (THETA + s["d0"] * r) / (s["V"] + 1)), s["d0"], self.words[some], 2 * (s["seed"] + i) + 1)
+            others, sent, top, from_above, all_ = tables[self.context] - t, cw[self.of] - t, tw[self.of], (THETA + d0 * r) * base, THETA + c - t
+
+            def in_context(k, n):
+                """The dish's other customers in the parent and the n that its tables have sent stay at no more tables than there are customers."""
+                there = sent[k] + n
+                return (THETA + d * (others[k] + n)) * (there - d0 * np.minimum(top[k], there) + from_above) / (all_[k] + n)
+
+            t = seat(counts, d, in_context, self.pair, 2 * (s["seed"] + i))
+            cw, rest = self.summed(t), r - tw[some]
+            tw = np.zeros(len(self.words))
+            tw[some] = seat(cw[some].astype(np.int64), d0, lambda k, n, rest=rest: (THETA + d0 * (rest[k] + n)) * base, self.words[some], 2 * (s["seed"] + i) + 1)
             yield t, cw, tw
 
     def averaged(self, totals, customers):
@@ -276,7 +341,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     parts = partitions(spark)
     to = F.when(F.col("kind") == PAIRS, F.col("bucket")).otherwise(F.pmod(F.hash("uid"), F.lit(parts)))
-    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartition(parts, "_to").drop("_to").mapInArrow(trimmed(merged), STATE), "state", by="part")
+    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartitionById(parts, F.col("_to")).drop("_to").mapInArrow(trimmed(merged), STATE), "state", by="part")
     release(spark)
     known = [state.where(F.col("part") == COUNTS)]
     shared: dict = {"seed": seed}
@@ -304,7 +369,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         out = known[0]
         for k in known[1:]:
             out = out.unionByName(k)
-        return out.repartition(parts, "bucket")
+        return out.repartitionById(parts, F.col("bucket"))
 
     def exchange(measure, ranged):
         """Totals over all ranges of some numbers for each pair, by context, sent back to every range that asks for the context.
@@ -347,8 +412,8 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         asks = materialize(ranged.mapInArrow(trimmed(ask), STATE), "asks")
         others = [np.frombuffer(r["a"], np.float64) for r in asks.where("part = -1").select("a").collect()]  # a row a range
-        replies = asks.where("part >= 0").repartition(parts, "part").mapInArrow(trimmed(add), STATE)
-        known.append(materialize(replies.repartition(parts, "bucket").mapInArrow(trimmed(join), STATE), "totals"))
+        replies = asks.where("part >= 0").repartitionById(parts, F.col("part")).mapInArrow(trimmed(add), STATE)
+        known.append(materialize(replies.repartitionById(parts, F.col("bucket")).mapInArrow(trimmed(join), STATE), "totals"))
         discard(asks)
         release(spark)
         return np.sum(others, axis=0) if others else np.zeros(8)

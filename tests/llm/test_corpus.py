@@ -310,23 +310,152 @@ def test_predictive_probabilities_sum_to_one():
     assert n[-1] == 0 and (p > 0).all() and np.bincount(number, p) == pytest.approx(np.ones(3), abs=1e-9)
 
 
-def test_seating_follows_the_process():
-    """Mean tables of 30 customers against the exact recursion."""
-    a, d, c = 2.0, 0.5, 30
-    dist = np.zeros(c + 2)
-    dist[1] = 1
-    for n in range(1, c):
-        t = np.arange(c + 2)
-        new = np.where(dist > 0, dist * a / np.maximum(a + n - d * t, 1e-9), 0)
-        dist = dist - new
-        dist[1:] += new[:-1]
-    got = lm.seat(np.full(20_000, c), np.full(20_000, a), d, common.mix(np.arange(20_000, dtype=np.uint64)), 3)
-    assert got.mean() == pytest.approx(float(dist @ np.arange(c + 2)), rel=0.01)
-    assert got.var() == pytest.approx(float(dist @ np.arange(c + 2) ** 2 - (dist @ np.arange(c + 2)) ** 2), rel=0.05)
+def test_tables_follow_their_distribution():
+    """Means and variances of drawn tables against all seatings enumerated: weight of a new table by the tables so far, of an old one by its size less the discount."""
+    d, c = 0.4, 6
+    mass = lambda i, t: (1.5 + d * t) * (0.2 + t) / (9 + t)
+    dist = collections.Counter()
+
+    def enter(sizes, weight):
+        if sum(sizes) == c:
+            dist[len(sizes)] += weight
+            return
+        enter([*sizes, 1], weight * mass(0, len(sizes)))
+        for j, n in enumerate(sizes):
+            enter([*sizes[:j], n + 1, *sizes[j + 1 :]], weight * (n - d))
+
+    enter([1], 1.0)
+    total = sum(dist.values())
+    mean = sum(t * w for t, w in dist.items()) / total
+    var = sum(t * t * w for t, w in dist.items()) / total - mean**2
+    got = lm.seat(np.full(40_000, c), d, lambda i, t: mass(0, t) + 0 * i, common.mix(np.arange(40_000, dtype=np.uint64)), 3)
+    assert got.mean() == pytest.approx(mean, rel=0.01) and got.var() == pytest.approx(var, rel=0.05)
+
+
+def exact_model(pairs, asked, d, d0, sweeps, burn, seed):
+    """Gibbs by the book, customer by customer over tables with their sizes; mean predictive probability of the asked (word, context)."""
+    r = np.random.default_rng(seed)
+    kinds = {w for w, _ in pairs}
+    v = len(kinds)
+    top = {w: [] for w in kinds}  # sizes of the parent's tables
+    rooms = collections.defaultdict(lambda: collections.defaultdict(list))
+    n = {"customers": 0, "tables": 0}
+    size, tables = collections.Counter(), collections.Counter()
+
+    def root(w):
+        own = top.get(w, [])
+        return (sum(own) - d0 * len(own) + (lm.THETA + d0 * n["tables"]) / (v + 1)) / (lm.THETA + n["customers"])
+
+    def pick(weights):
+        return int(np.searchsorted(np.cumsum(weights), r.random() * sum(weights), side="right"))
+
+    def add_top(w):
+        j = pick([*(x - d0 for x in top[w]), (lm.THETA + d0 * n["tables"]) / (v + 1)])
+        if j == len(top[w]):
+            top[w].append(0)
+            n["tables"] += 1
+        top[w][j] += 1
+        n["customers"] += 1
+
+    def add(w, u):
+        own = rooms[u][w]
+        j = pick([*(x - d for x in own), (lm.THETA + d * tables[u]) * root(w)])
+        if j == len(own):
+            own.append(0)
+            tables[u] += 1
+            add_top(w)
+        own[j] += 1
+        size[u] += 1
+
+    def remove(w, u):
+        own = rooms[u][w]
+        j = pick(own)
+        own[j] -= 1
+        size[u] -= 1
+        if not own[j]:
+            del own[j]
+            tables[u] -= 1
+            k = pick(top[w])
+            top[w][k] -= 1
+            n["customers"] -= 1
+            if not top[w][k]:
+                del top[w][k]
+                n["tables"] -= 1
+
+    for w, u in pairs:
+        add(w, u)
+    mean = np.zeros(len(asked))
+    for i in range(sweeps):
+        for w, u in pairs:
+            remove(w, u)
+            add(w, u)
+        if i >= burn:
+            own = [rooms[u][w] if u in rooms and w in rooms[u] else [] for w, u in asked]
+            mean += [(sum(o) - d * len(o) + (lm.THETA + d * tables[u]) * root(w)) / (lm.THETA + size[u]) for o, (w, u) in zip(own, asked)]
+    return mean / (sweeps - burn)
+
+
+def test_tables_of_large_dishes(spark):
+    """Beyond EXACT customers the draw follows the weights of all seatings, too."""
+    d, key = 0.5, common.mix(np.arange(4000, dtype=np.uint64))
+    log, t = np.full(3002, -np.inf), np.arange(3002)
+    log[1] = 0
+    for c in range(2, 3001):
+        log = np.logaddexp(np.r_[-np.inf, log[:-1]], log + np.log(np.maximum(c - 1 - d * t, 1e-300)))
+        if c in (300, 3000):
+            for a in (20.0, 400.0):
+                mass = lambda x, a=a: a + 0.01 * x
+                w = log[1 : c + 1] + np.r_[0, np.cumsum(np.log(mass(np.arange(1, c))))]
+                w = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+                mean = w @ np.arange(1, c + 1)
+                got = lm.seat(np.full(4000, c), d, lambda i, x: mass(x), key, 3)
+                assert got.mean() == pytest.approx(mean, rel=0.02) and got.std() == pytest.approx(np.sqrt(w @ np.arange(1, c + 1) ** 2 - mean**2), rel=0.05)
+
+
+def local_scores(n, asked, d, d0, sweeps):
+    """The operator's restaurants with all words in one range, without Spark, for any number of sweeps."""
+    old, lm.SWEEPS = lm.SWEEPS, sweeps
+    word, context = (np.array(x, np.uint64) for x in zip(*sorted({*asked, *n})))
+    contexts, number = np.unique(context, return_inverse=True)
+    counts = np.array([n[int(w), int(u)] for w, u in zip(word, context)])
+    kinds = len({w for w, _ in n})
+    x = lm.Restaurants(word, number, counts, contexts, {"V": kinds, "d": d, "d0": d0, "seed": 17})
+    totals = [(np.bincount(x.context, minlength=len(contexts)).astype(float), float(len(x.at)), float(kinds))]
+    try:
+        for _ in range(sweeps):
+            *_, (t, cw, tw) = x.sweeps(totals)
+            totals.append((np.bincount(x.context, t, len(contexts)), cw.sum(), tw.sum()))
+        mean, _ = x.averaged(totals, np.bincount(number, counts, len(contexts)))
+    finally:
+        lm.SWEEPS = old
+    at = {(int(w), int(u)): p for w, u, p in zip(word, context, mean)}
+    return np.array([at[x] for x in asked])
+
+
+def test_scores_are_near_those_of_gibbs_customer_by_customer(spark):
+    """A sampler that shares nothing with the operator's but token_keys: three sweeps are as near it as its own two sweeps are, forty are nearer."""
+    r = np.random.default_rng(3)
+    p = 1 / np.arange(1, 61)
+    rows = [(i, " ".join(f"w{k}" for k in (r.choice(60, 25, p=p / p.sum()) + (i % 3 == 0) * np.arange(25)) % 60)) for i in range(90)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    keyed = {i: [(int(w), int(c)) for w, c, _ in zip(*lm.token_keys(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)])))] for i, t in rows}
+    pairs = [x for i, ps in keyed.items() if not held(i) for x in ps]
+    n = collections.Counter(pairs)
+    cut = lambda c: min(0.95, max(0.05, c[1] / max(c[1] + 2 * c[2], 1)))
+    d, d0 = cut(collections.Counter(n.values())), cut(collections.Counter(collections.Counter(w for w, _ in n).values()))
+    asked = [x for ps in keyed.values() for x in ps]
+    score = lambda mean: np.log10(mean).reshape(len(rows), 26).sum(axis=1) / 26
+    want = score(exact_model(pairs, asked, d, d0, 80, 20, 5))
+    apart = lambda x: np.sqrt(np.mean((x - want) ** 2))
+    two = apart(score(exact_model(pairs, asked, d, d0, 12, 10, 7)))
+    got = {x["doc_id"]: x["score"] / 26 for x in lm.score_corpus(table(spark, rows)).collect()}
+    three = np.array([got[i] for i in keyed])
+    assert three == pytest.approx(score(local_scores(n, asked, d, d0, 3)), abs=1e-5)
+    assert apart(three) < 1.25 * two and apart(score(local_scores(n, asked, d, d0, 40))) < 0.5 * two
 
 
 def plain_model(rows, fold=10, seed=17):
-    """The same sampler over dictionaries, one pair after another."""
+    """The same blocks over dictionaries, one pair after another, each drawn by summed weights of its tables."""
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % fold == 0
     keyed = [(held(i), [(int(w), int(c)) for w, c, _ in zip(*lm.token_keys(np.frombuffer((t or "").encode(), np.uint8), np.array([0, len((t or "").encode())])))]) for i, t in rows]
     n = collections.Counter(p for out, ps in keyed if not out for p in ps)
@@ -335,17 +464,32 @@ def plain_model(rows, fold=10, seed=17):
         customers[c] += k
     cut = lambda c: min(0.95, max(0.05, c[1] / max(c[1] + 2 * c[2], 1)))
     d, d0, v = cut(collections.Counter(n.values())), cut(collections.Counter(by_word.values())), len(by_word)
-    cw, tw, tables, c, r = dict(by_word), dict.fromkeys(by_word, 1), dict(by_context), len(n), v
+    t, cw, tw, tables, c, r = dict.fromkeys(n, 1), dict(by_word), dict.fromkeys(by_word, 1), dict(by_context), len(n), v
     one = lambda x: np.array([x], np.uint64)
     mean = collections.Counter()
     root = lambda w: (cw.get(w, 0) - d0 * tw.get(w, 0) + (lm.THETA + d0 * r) / (v + 1)) / (lm.THETA + c)
+
+    def tables_of(k, disc, mass, key, salt):
+        if k > lm.EXACT:
+            return int(lm.seat(np.array([k]), disc, lambda i, m: mass(m), one(key), salt)[0])
+        ways = [0.0, 1.0]  # weight of all seatings of the customers so far, by tables
+        for seated in range(1, k):
+            ways = [0.0] + [(ways[m] * (seated - disc * m) if m < len(ways) else 0) + ways[m - 1] for m in range(1, seated + 2)]
+        weight = [ways[m] * math.prod(mass(j) for j in range(1, m)) for m in range(1, k + 1)]
+        x = lm.drawn(one(key), salt, 0)[0] * sum(weight)
+        return 1 + sum(y <= x for y in list(itertools.accumulate(weight))[:-1])
+
     for i in range(lm.SWEEPS):
-        t = {(w, u): lm.seat(np.array([k]), np.array([(lm.THETA + d * tables[u]) * root(w)]), d, common.mix(one(w) + common.mix(one(u) + np.uint64(1))), 2 * (seed + i))[0] for (w, u), k in n.items()}
-        cw, tables = collections.Counter(), collections.Counter()
+        new = {}
+        for (w, u), k in n.items():
+            sent, others, was = cw[w] - t[w, u], tables[u] - t[w, u], t[w, u]
+            mass = lambda m: (lm.THETA + d * (others + m)) * (sent + m - d0 * np.minimum(tw[w], sent + m) + (lm.THETA + d0 * r) / (v + 1)) / (lm.THETA + c - was + m)  # noqa: E731, B023
+            new[w, u] = tables_of(k, d, mass, int(common.mix(one(w) + common.mix(one(u) + np.uint64(1)))[0]), 2 * (seed + i))
+        t, cw, tables = new, collections.Counter(), collections.Counter()
         for (w, u), k in t.items():
             cw[w] += k
             tables[u] += k
-        tw = {w: lm.seat(np.array([int(k)]), np.array([(lm.THETA + d0 * r) / (v + 1)]), d0, one(w), 2 * (seed + i) + 1)[0] for w, k in cw.items()}
+        tw = {w: tables_of(k, d0, lambda m: (lm.THETA + d0 * (r - tw[w] + m)) / (v + 1), w, 2 * (seed + i) + 1) for w, k in cw.items()}  # noqa: B023
         c, r = sum(cw.values()), sum(tw.values())
         if i >= lm.BURN:
             for w, u in {p for _, ps in keyed for p in ps}:
