@@ -78,9 +78,10 @@ def changes(*columns):
 
 
 def packed(word, context, kind=None):
-    """Sorted pairs in bytes: the number of words, each word and its number of pairs, and the contexts (hashes in six bytes, or numbers of ``kind``)."""
+    """Sorted pairs in bytes: the number of words, each word's distance from the last (all first bytes, all second bytes, ...; most high ones are 0) and its number of pairs, and the contexts (hashes in six bytes, or numbers of ``kind``)."""
     first = changes(word)
-    out = np.uint64(len(first)).tobytes() + word[first].tobytes() + np.diff(np.r_[first, len(word)]).astype("<u4").tobytes()
+    apart = np.diff(word[first] >> U64(8), prepend=U64(0))
+    out = np.uint64(len(first)).tobytes() + apart.view(np.uint8).reshape(-1, 8).T.tobytes() + np.diff(np.r_[first, len(word)]).astype("<u4").tobytes()
     if kind:
         return out + context.astype(kind).tobytes()
     return out + (context >> U64(32)).astype("<u4").tobytes() + (context >> U64(16)).astype("<u2").tobytes()
@@ -88,7 +89,8 @@ def packed(word, context, kind=None):
 
 def unpacked(raw, kind=None):
     n = int(np.frombuffer(raw, np.uint64, 1)[0])
-    word, arity = np.frombuffer(raw, np.uint64, n, 8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
+    apart = np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, 8).reshape(8, n).T).view(np.uint64).ravel()
+    word, arity = np.cumsum(apart, dtype=np.uint64) << U64(8), np.frombuffer(raw, "<u4", n, 8 + 8 * n)
     total, at = int(arity.sum()), 8 + 12 * n
     if kind:
         return np.repeat(word, arity), np.frombuffer(raw, kind, total, at)
@@ -114,6 +116,22 @@ def grown(raw):
     return x
 
 
+def tight(x, below):
+    """Numbers under ``below`` in as many bits as they need."""
+    width = max(1, int(below - 1).bit_length())
+    return b"".join(np.packbits(np.unpackbits(y.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]).tobytes() for y in np.split(x, range(1 << 18, len(x), 1 << 18)))
+
+
+def loose(raw, below, n):
+    width, out = max(1, int(below - 1).bit_length()), np.zeros(n, np.uint32)
+    for lo in range(0, n, 1 << 18):  # a multiple of eight numbers fills whole bytes
+        some = min(n - lo, 1 << 18)
+        bits = np.zeros((some, 32), np.uint8)
+        bits[:, :width] = np.unpackbits(np.frombuffer(raw, np.uint8, (some * width + 7) // 8, lo * width // 8), count=some * width).reshape(some, width)
+        out[lo : lo + some] = np.packbits(bits, axis=1, bitorder="little").view("<u4").ravel()
+    return out
+
+
 def bucket_bounds(parts: int) -> np.ndarray:
     """Least hash of each range."""
     return np.array([(i << 64) // parts & ~0xFF for i in range(parts)], np.uint64)
@@ -148,8 +166,7 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
             train = np.add.reduceat((marks[doc] & 1 == 0).astype(np.int64), begin)
             cut = np.r_[np.searchsorted(word, bucket_bounds(parts)), len(word)]
             uid = f"{TaskContext.get().partitionId()}-{next(number)}"  # the same if the task runs again
-            wide = "<u2" if len(ids) < 1 << 16 else "<u4"
-            rows = [(POSTINGS, uid, -1, ids.astype("<i8").tobytes(), marks.tobytes() + shrunk(size), doc.astype(wide).tobytes())]
+            rows = [(POSTINGS, uid, -1, ids.astype("<i8").tobytes(), marks.tobytes() + shrunk(size), tight(doc, len(ids)))]
             rows += [(PAIRS, uid, i, packed(word[s:e], context[s:e]), shrunk(train[s:e]), None) for i, (s, e) in enumerate(zip(cut[:-1], cut[1:])) if s < e]
             return emit(rows, BLOCK)
 
@@ -461,7 +478,7 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             ids = np.frombuffer(ids, "<i8")
             n = len(ids)
             marks, size = np.frombuffer(sizes[:n], np.uint8), grown(sizes[n:])
-            doc = np.frombuffer(doc, "<u2" if n < 1 << 16 else "<u4")
+            doc = loose(doc, n, int(size.sum()))
             log = np.concatenate([np.frombuffer(a, "<f4") for _, a, _, _ in rows[1:]]).astype(np.float64)
             total = np.concatenate([np.repeat(grown(b), grown(c)) for _, _, b, c in rows[1:]]).astype(np.float64)
             base = np.log10((total + 0.1) / (shared["N"] + 0.1 * (shared["V"] + 1)))

@@ -293,6 +293,16 @@ def test_language_model_counts_and_improves(spark, texts):
     assert lm.score_corpus(table(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("n, below", [(0, 0), (1, 1), (9, 2), (300_001, 3837), (70_000, 65_537)])
+def test_numbers_in_few_bits_come_back(n, below):
+    x = np.random.default_rng(n).integers(0, max(below, 1), n).astype(np.uint32)
+    raw = lm.tight(x, below)
+    assert (lm.loose(raw, below, n) == x).all() and len(raw) <= n * max(1, (below - 1).bit_length()) / 8 + 1
+    word = np.sort(np.random.default_rng(n).integers(0, 1 << 63, n // 2).astype(np.uint64) << np.uint64(8))
+    word, context = np.repeat(word, 2), np.tile(np.array([5, 7], np.uint64) << np.uint64(16), n // 2)
+    assert all((a == b).all() for a, b in zip(lm.unpacked(lm.packed(word, context)), (word, context)))
+
+
 def test_predictive_probabilities_sum_to_one():
     r = np.random.default_rng(0)
     kinds = np.unique(common.mix(np.arange(1, 41, dtype=np.uint64))) & np.uint64(0xFFFFFFFFFFFFFF00)
