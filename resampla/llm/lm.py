@@ -13,8 +13,8 @@ peak of its weights (Stirling ratios between those of 256, 512, ... 4,096 custom
 probabilities of the sweeps after burn-in are averaged; a text's score is the sum of their log10.  Draws hang on hashes
 of word, context and sweep, so the scores are the same for any partitioning.
 
-*Distribution.*  Tokens are 56-bit hashes; the space of words is cut into ranges, one per partition, so all
-contexts of a word lie together.  A block of documents sends each range its distinct (word, context) pairs with
+*Distribution.*  Tokens are 56-bit hashes; the space of words is cut into ranges, one for every 16 MB of text but no more than
+shuffle partitions (each range sends each other one row a sweep, so small tables should have few), and all contexts of a word lie together.  A block of documents sends each range its distinct (word, context) pairs with
 training counts, summed before the shuffle, so a frequent word costs one entry per block and context.  The range keeps
 its pairs once, and for each block the places of its pairs among them.
 Ranges sample independently; a restaurant's totals are summed between sweeps by ranges of contexts, which each
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from resampla.llm.common import LOWER, U64, discard, materialize, mix, partitions, prefix_hash, release, slices, span_hash, text_buffers, trim, trimmed, words
 
-BLOCK_BYTES, SWEEPS, BURN, THETA = 12 << 20, 3, 1, 1.0
+BLOCK_BYTES, RANGE_BYTES, SWEEPS, BURN, THETA = 12 << 20, 16 << 20, 3, 1, 1.0
 EXACT, LARGEST = 256, 4096  # customers of a dish in a restaurant up to which tables are drawn from their whole distribution; and whose weights stand for all larger numbers
 END = int(mix(np.array([0xE0F], np.uint64))[0]) & ~0xFF
 START = int(mix(np.array([0x57A], np.uint64))[0]) & ~0xFFFF
@@ -149,9 +149,8 @@ def rows_of(batches):
         yield from zip(*(c.to_pylist() for c in b.columns))
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int) -> DataFrame:
+def blocks(docs: DataFrame, id_col: str, text_col: str, fold: int, parts: int) -> DataFrame:
     """Per block of documents: a row per range (a: distinct pairs, b: training counts), and its postings (a: ids, b: marks and the pairs' tokens, c: their documents)."""
-    parts = partitions(docs.sparkSession)
 
     def run(batches):
         def close(held):
@@ -356,9 +355,10 @@ def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Rows whose crc32(id as text) mod ``fold`` is 0 are held out; the model learns from all others.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    parts = min(partitions(spark), max(1, -(-size // RANGE_BYTES)))
     to = F.when(F.col("kind") == PAIRS, F.col("bucket")).otherwise(F.pmod(F.hash("uid"), F.lit(parts)))
-    state = materialize(blocks(docs, id_col, text_col, fold).withColumn("_to", to).repartitionById(parts, F.col("_to")).drop("_to").mapInArrow(trimmed(merged), STATE), "state", by="part")
+    state = materialize(blocks(docs, id_col, text_col, fold, parts).withColumn("_to", to).repartitionById(parts, F.col("_to")).drop("_to").mapInArrow(trimmed(merged), STATE), "state", by="part")
     release(spark)
     known = [state.where(F.col("part") == COUNTS)]
     shared: dict = {"seed": seed}

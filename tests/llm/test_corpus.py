@@ -508,7 +508,8 @@ def plain_model(rows, fold=10, seed=17):
     return [sum(math.log10(mean[p]) for p in ps) for _, ps in keyed]
 
 
-def test_scores_equal_a_plain_sampler_for_any_partitioning(spark, texts):
+def test_scores_equal_a_plain_sampler_for_any_partitioning(spark, texts, monkeypatch):
+    monkeypatch.setattr(lm, "RANGE_BYTES", 1000)  # as many ranges as partitions
     rows = [(i, t) for i, t in texts.items() if i != 74] + [(None, "null id of words"), (3, texts[3])]
     want = sorted(zip([-1 if i is None else i for i, _ in rows], plain_model(rows)))
     for parts in ("4", "7"):
