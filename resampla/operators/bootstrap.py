@@ -1,7 +1,7 @@
 """Bootstrap by multinomial counts: each row learns how often each replicate drew it, without a join.
 
 n draws with replacement from rows 1..n are counts, and counts split down a tree of row ranges: of the m draws of a range, its first
-half gets Binomial(m, its share of the rows).  Ranges of up to LEAF rows deal their draws out singly.  Every number comes from a hash of
+half gets Binomial(m, its share of the rows).  Ranges of up to LEAF rows, and those LEVELS deep, deal their draws out singly.  Every number comes from a hash of
 (seed, replicate, node of the tree), so any task can walk from the root to its own rows, and SQL can repeat the draws.
 Binomials are exact up to rounding: transformed rejection for a mean of 10 or more, single trials below.
 
@@ -21,7 +21,8 @@ from resampla.operators.resample import PRIME, constants, under_prime
 from resampla.plans import exchange
 from resampla.plans.frame import Moments
 
-LEAF, MIXES, ATTEMPTS, STATE_BYTES, CHUNK_BYTES = 128, 6, 1000, 16 << 20, 16 << 20
+LEAF, LEVELS, MIXES, ATTEMPTS, STATE_BYTES, CHUNK_BYTES = 128, 12, 6, 1000, 16 << 20, 16 << 20
+DEALT = 1 << 13  # draws that are dealt out at once
 
 # ---------------------------------------------------------------- numbers
 
@@ -94,7 +95,7 @@ def leaves(s: np.ndarray, n: int, lo: int, hi: int):
         node, first, size, m = stack.pop()
         if first >= hi or first + size <= lo:
             continue
-        if size <= LEAF:
+        if size <= LEAF or node >> LEVELS:
             yield node, first, size, m
             continue
         half = size // 2
@@ -105,12 +106,16 @@ def leaves(s: np.ndarray, n: int, lo: int, hi: int):
 def counts(s: np.ndarray, n: int, lo: int, hi: int):
     """(first row, replicates x rows counts) of consecutive pieces that cover rows lo..hi-1."""
     for node, first, size, m in leaves(s, n, lo, hi):
-        rep = np.repeat(np.arange(len(s)), m)
-        serial = np.arange(len(rep)) - np.repeat(np.cumsum(m) - m, m)
-        slot = (uniform(s[rep], node, serial) * size).astype(np.int64)
-        drawn = np.bincount(rep * size + slot, minlength=len(s) * size).reshape(len(s), size)
         a, b = max(lo, first), min(hi, first + size)
-        yield a, drawn[:, a - first : b - first]
+        drawn = np.zeros((len(s), b - a), np.int32)
+        before, total = np.cumsum(m) - m, int(m.sum())
+        for at in range(0, total, DEALT):
+            draw = np.arange(at, min(at + DEALT, total))
+            rep = np.searchsorted(before, draw, "right") - 1
+            row = first + (uniform(s[rep], node, draw - before[rep]) * size).astype(np.int64)
+            here = (row >= a) & (row < b)
+            np.add.at(drawn.reshape(-1), (rep * (b - a) + row - a)[here], 1)
+        yield a, drawn
 
 
 # ---------------------------------------------------------------- tables
@@ -129,7 +134,7 @@ def drawn(frame: DataFrame, n: int, count: int, seed: int) -> DataFrame:
                 reps = np.arange(*todo[b])
                 for first, w in counts(streams(seed, reps), n, r * per, min(n, (r + 1) * per)):
                     at, row = np.nonzero(w)
-                    yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(first + 1 + row), pa.array(w[at, row])], names=["rep", "rid", "times"])
+                    yield pa.RecordBatch.from_arrays([pa.array(reps[at]), pa.array(first + 1 + row), pa.array(w[at, row].astype(np.int64))], names=["rep", "rid", "times"])
 
     return spark.range(0, ranges * len(todo), 1, ranges * len(todo)).mapInArrow(run, "rep long, rid long, times long") if n else spark.createDataFrame([], "rep long, rid long, times long")
 

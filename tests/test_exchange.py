@@ -242,3 +242,17 @@ def test_nearly_dependent_columns_equal_a_dense_solve(spark):
     with pytest.raises(frame_module.CollinearFeatureError):
         twin = frame.withColumn("d", F.col("a") - 2 * F.col("c"))
         moments(twin, ["a", "c", "d", "y"]).fit("y", ["a", "c", "d"])
+
+
+def test_bootstrap_of_more_rows_than_small_leaves_hold_equals_sql():
+    import duckdb
+
+    from resampla import catalog
+    from resampla.operators import bootstrap
+
+    n = 600_000
+    want = duckdb.sql(f"with fr as (select range + 1 as rid from range({n})), {catalog.boot_sql(1)} select rid, count(*) as times from bi where rid <= 2000 group by rid order by rid").fetchall()
+    got = [(first + 1 + i, int(w[0, i])) for first, w in bootstrap.counts(bootstrap.streams(catalog.SEED, [1]), n, 0, 2000) for i in np.flatnonzero(w[0])]
+    assert sorted(got) == want
+    whole = np.concatenate([w[0] for _, w in bootstrap.counts(bootstrap.streams(catalog.SEED, [1]), n, 0, n)])
+    assert len(whole) == n and whole.sum() == n
