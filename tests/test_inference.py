@@ -233,3 +233,18 @@ def test_report_layout():
     assert lines[8].endswith("1.2346e-02") and lines[-4] == "x" * 22 + "... " + "1.2346".rjust(12) + " " + "0.01 (*)".rjust(18) + " " + "0.2 (ns)".rjust(18)
     joint = report.joint_report(result | {"metric_type": "RSS Reduction", "features_tested": ["a", "b"], "confounders": [], "observed_improvement": 2.0, "p_value_str": "0.01 (*)"})
     assert "Features Tested: a, b" in joint and "Confounders" not in joint and "Joint p-Value:                     0.01 (*)" in joint
+
+
+def test_totals_are_added_in_the_order_of_keys_for_any_partitions(spark, tmp_path):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ in their last bit, and so would distinct totals."""
+    from resampla.sources import tables
+
+    spark.createDataFrame([(1, 5.0), (2, 6.0), (3, 7.0)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    price = {1: [0.1, 0.2, 0.3], 2: [0.1, 0.2, 0.3]}
+    rows = [(10 * i + c, c, "F", p) for c, l in price.items() for i, p in enumerate(l)]
+    for i, r in enumerate(sorted(rows, key=lambda r: (r[1], r[0] if r[1] == 1 else -r[0]))):  # one customer's rows forwards, the other's backwards
+        spark.createDataFrame([r], "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double").write.parquet(str(tmp_path / f"orders.parquet/part={i}"))
+    got = {r["id"]: r for r in tables.customers(spark, str(tmp_path)).collect()}
+    assert got[1]["spend"] == got[2]["spend"] == (0.1 + 0.2 + 0.3) / 1e6
+    assert got[1]["avg_price"] == (0.1 + 0.2 + 0.3) / 3 and got[1]["n_f"] == 3 and got[2]["n_orders"] == 3
+    assert (got[3]["spend"], got[3]["n_orders"], got[3]["n_f"], got[3]["avg_price"]) == (0, 0, 0, 0)
