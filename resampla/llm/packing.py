@@ -34,20 +34,17 @@ from pyspark.sql import functions as F
 from resampla.llm.common import materialize, mix, partitions, small_batches, trimmed
 
 CAPACITY = 2048
-MEMO = 700_000  # spellings that a worker remembers; only speed depends on it
-_HARD = re.compile(r"\s \s")
+_HARD, _RUN = re.compile(r"\s \s"), re.compile(r"\s\s")
 _state: dict = {}
 
 
 class Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
-    The vocabulary's own pre-tokeniser never joins text across a single space, so what stands
-    between two spaces is encoded once and remembered.  Texts with runs of white space around a
-    space, where that doesn't hold, are encoded whole by the vocabulary's own library.  New
-    spellings are joined and merged in one call by rank: in a byte-level vocabulary the rank of a
-    merge is the id it makes, so both ways give the same ids (a test holds them together).  Texts that
-    spell out a special token are left to the library too, which gives it its own id.
+    Pieces are merged by rank: in a byte-level vocabulary the rank of a merge is the id it makes, so that gives the
+    same ids as the vocabulary's own library, faster (a test holds them together).  Texts without runs of white space need no
+    look-ahead, which is slow.  Texts with runs of white space around a space, and those that spell out a special token,
+    which gets its own id, are left to the library.  Nothing is remembered: most spellings of a large corpus are seldom met again.
     """
 
     # The pre-tokeniser's pattern.
@@ -67,44 +64,18 @@ class Encoder:
         self.added = sorted(v.content for v in self.model.get_added_tokens_decoder().values())
         ranks = {k: v for k, v in ranks.items() if k.decode("utf-8", "replace") not in self.added}
         self.ranked = tiktoken.Encoding("ranked", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.size = np.zeros(max(ranks.values()) + 1, np.int64)
-        self.size[list(ranks.values())] = [len(k) for k in ranks]
-        self.memo: dict[str, bytes] = {}
+        self.single = tiktoken.Encoding("single", pat_str=self.PATTERN.replace(r"\s+(?!\S)|", ""), mergeable_ranks=ranks, special_tokens={})
 
     def raw(self, texts: list[str]) -> list[bytes]:
         if not texts:
             return []
         return [np.array(x.ids, "<u4").tobytes() for x in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, missing: list[str]) -> dict[str, bytes]:
-        """Ids of the spellings, each after one space."""
-        plain = [x for x in missing if x and "\n" not in x]
-        if len(" ".join(plain).split()) != len(plain):  # other white space inside
-            plain = [x for x in plain if x.split() == [x]]
-        ids = lambda x: np.array(self.ranked.encode_ordinary(x), "<u4")
-        new = {x: ids(" " + x).tobytes() for x in set(missing).difference(plain)}
-        joined = " " + " ".join(plain) if plain else ""
-        found = ids(joined)
-        # each spelling begins at a space, the only ones there are, and so does its first token
-        starts = np.flatnonzero(np.frombuffer(joined.encode(), np.uint8) == 32)
-        cut = np.searchsorted(np.r_[0, np.cumsum(self.size[found])], np.r_[starts, len(joined.encode())]) * 4
-        data, cut = found.tobytes(), cut.tolist()
-        new.update(zip(plain, [data[i:j] for i, j in zip(cut, cut[1:])]))
-        return new
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        hard = [("  " in t or _HARD.search(t) is not None or any(x in t for x in self.added)) for t in texts]
-        parts = [None if h else t.split(" ") for t, h in zip(texts, hard)]
-        used = set().union(*(x[1:] for x in parts if x))
-        missing = list(used - self.memo.keys())
-        if len(self.memo) + len(missing) > MEMO:
-            self.memo.clear()
-            missing = list(used)
-        self.memo.update(self.learn(missing))
+        runs = [_RUN.search(t) is not None for t in texts]
+        hard = [(r and ("  " in t or _HARD.search(t) is not None)) or any(x in t for x in self.added) for t, r in zip(texts, runs)]
         whole = iter(self.raw([t for t, h in zip(texts, hard) if h]))
-        head = lambda x: np.array(self.ranked.encode_ordinary(x), "<u4").tobytes()
-        get = self.memo.__getitem__
-        return [next(whole) if x is None else head(x[0]) + b"".join(map(get, x[1:])) for x in parts]
+        return [next(whole) if h else np.array((self.ranked if r else self.single).encode_ordinary(t), "<u4").tobytes() for t, r, h in zip(texts, runs, hard)]
 
 
 def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

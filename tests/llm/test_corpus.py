@@ -885,3 +885,22 @@ def test_digest_of_the_query(spark, texts):
     kept = suffix_dedup.substring_dedup(table(spark, [(1, "a" * 250), (2, None)])).collect()
     by = {r["doc_id"]: r for r in kept}
     assert by[1]["n_removed"] == 249 and hashlib.sha256(by[1]["kept"]).hexdigest() == hashlib.sha256(b"a").hexdigest() and by[2]["n_bytes"] == 0
+
+
+def test_encoder_gives_the_librarys_ids_and_keeps_nothing():
+    import random
+    import tracemalloc
+
+    from resampla.llm import packing
+    from resampla.llm.queries import tokenizer_path
+
+    e, r = packing.Encoder(tokenizer_path()), random.Random(5)
+    bits = ["a", "the", "Don't", "'s", "x9", "42", "é", "中文", "ﬁ", "!?", "--", " ", " ", " ", "\n", "\n\n", "\t", "\x85", "\xa0", " ", "\x1c", "​", "🙂", *e.added[:2]]
+    texts = ["", " ", "\n", "a ", " a", *("".join(r.choices(bits, k=r.randint(1, 25))) for _ in range(3000))]
+    assert e.encode(texts) == e.raw(texts)
+    tracemalloc.start()
+    for lo in range(0, 100_000, 1000):  # spellings that don't come again
+        e.encode([" ".join(f"w{i}x" for i in range(lo, lo + 1000))])
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2_000_000
