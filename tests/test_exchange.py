@@ -203,6 +203,33 @@ def test_stateless_steps_equal_refits_in_place(spark, monkeypatch, method):
     assert not spark.sparkContext._jsc.getPersistentRDDs()
 
 
+def steep(spark, n=700):
+    """Slopes far from those of any replicate, on columns with a long tail."""
+    r = np.random.default_rng(5)
+    a, c = r.exponential(size=(2, n)) ** 2
+    y = (r.random(n) < 1 / (1 + np.exp(4 - 4 * a - 2 * c))).astype(float)
+    frame = numbered(spark, [a, c, y], ["a", "c", "y"])
+    return frame, moments(frame, ["a", "c", "y"]), ["a", "c"]
+
+
+@pytest.mark.parametrize("method", ["ter_braak", "kennedy_joint"])
+def test_steps_settle_far_from_the_observed_slopes(spark, monkeypatch, method):
+    frame, m, x = steep(spark)
+    extra = {"ter_braak": (), "kennedy": (["c"],), "kennedy_joint": ([],)}[method]
+
+    def go():
+        out = getattr(logistic, method)(frame, m, x, "y", *extra, 5, 3)
+        rows = out[1] if method == "kennedy_joint" else out
+        return {(r["rep"], r["feature"] if "feature" in rows.columns else ""): (r["stat"] if "stat" in rows.columns else r["improvement"], r["sound"]) for r in rows.collect()}
+
+    near = go()
+    monkeypatch.setattr(logistic, "FEW_ROWS", 100)
+    far = go()
+    assert all(sound for _, sound in near.values()) and far.keys() == near.keys()
+    for k, (stat, _) in near.items():
+        assert far[k][1] and far[k][0] == pytest.approx(stat, abs=1e-6)
+
+
 def test_prepared_rows_feed_the_exchange(spark):
     df = spark.createDataFrame([(f"k{i}", float(i), float(i * i % 7)) for i in range(50)], "id string, a double, y double")
     frame = prepare(df, "id", ["a"], "y")
