@@ -283,3 +283,27 @@ def test_bootstrap_of_more_rows_than_small_leaves_hold_equals_sql():
     assert sorted(got) == want
     whole = np.concatenate([w[0] for _, w in bootstrap.counts(bootstrap.streams(catalog.SEED, [1]), n, 0, n)])
     assert len(whole) == n and whole.sum() == n
+
+
+def test_ter_braak_moves_values_once_whatever_the_steps(spark, monkeypatch):
+    """Only outcomes differ between its refits, so their products with the columns are all that steps need of them."""
+    frame, m, x = many(spark)
+    monkeypatch.setattr(logistic, "FEW_ROWS", 100)
+    monkeypatch.setattr(exchange, "LEAST", 64)
+    monkeypatch.setattr(logistic, "CHUNK", 50)
+    monkeypatch.setattr(logistic, "MODELS", 4)
+    calls, plain = [], exchange.exchanged
+    monkeypatch.setattr(exchange, "exchanged", lambda *a, **k: calls.append(1) or plain(*a, **k))
+    far = {(r["rep"], r["feature"]): r for r in logistic.ter_braak(frame, m, x, "y", 7, 3).collect()}
+    assert len(calls) == 1 and len(far) == 21
+    monkeypatch.setattr(logistic, "FEW_ROWS", 10_000)
+    for r in logistic.ter_braak(frame, m, x, "y", 7, 3).collect():
+        assert far[r["rep"], r["feature"]]["stat"] == pytest.approx(r["stat"], abs=1e-8) and far[r["rep"], r["feature"]]["sound"] == r["sound"] is True
+
+
+def test_outcomes_of_one_class_are_not_sound(spark):
+    frame, m, x = many(spark)
+    packed = exchange.pack(frame, m.n, {c: F.col(c) for c in "abc"}, 64)
+    outcome = lambda i, reps, pos, moved, held: np.where((reps == 2)[:, None], 0.0, np.broadcast_to(pos % 2.0, (len(reps), len(pos))))
+    _, sound = logistic.stepped_outcomes(packed, [exchange.Channel("k", ["a"])], x, [], 3, 1, 1, outcome)
+    assert sound.tolist() == [[True, False, True]]
